@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from revdiff.functions.text import extract_number, is_blank, strip_number_prefix, trim_ws
 from revdiff.operators.scan import nonblank_rows
 from revdiff.operators.spans import covering_join
+from revdiff.sources.session import cut_lineage
 
 KEY = ["pair_id", "side"]
 # A sheet has 2**20 rows at most, so (section, row) packs into one ordered number.
@@ -55,6 +56,7 @@ def extract_control(cells: DataFrame, layouts: DataFrame, sections: DataFrame) -
             F.any_value("section_rows").alias("section_rows"),
         )
     )
+    rows = cut_lineage(rows)  # read again for the header texts
     header = F.array_contains("chapter_rows", F.col("row_num")) | F.array_contains("section_rows", F.col("row_num"))
     points = (
         rows.filter(~header & ~is_blank(F.col("text")))
@@ -94,6 +96,7 @@ def extract_risk(cells: DataFrame, layouts: DataFrame, sections: DataFrame) -> D
             _in("input_col", "cf").alias("cf"),
         )
     )
+    rows = cut_lineage(rows)  # read again for the header texts
     points = rows.filter(~is_blank(F.col("text")))
     placed = covering_join(points, good, KEY, "row_num", "first_row", "last_row", "inner")
     return placed.join(_headers(rows, "section_row", "section"), [*KEY, "section_row"], "left").select(
@@ -119,7 +122,7 @@ def extract_general(cells: DataFrame, layouts: DataFrame, spans: DataFrame) -> t
 
     Returns ``questions`` (with ``row_labels``, one per spanned row) and ``question_cells``.
     """
-    sheet = _sheet_cells(cells, layouts)
+    sheet = cut_lineage(_sheet_cells(cells, layouts))  # read by row and by cell
     by_row = (
         sheet.groupBy(*KEY, "row_num")
         .agg(_in("text_col", "text").alias("text"), _in("number_col", "text").alias("label"))

@@ -7,28 +7,38 @@ summary row per bin is carried along the key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 4096
+Carry = tuple[Column, Callable[[Column], Column]]
 
 
-def _binned(df: DataFrame, order: str, bin_size: float) -> DataFrame:
-    return df.withColumn("_bin", F.floor(F.col(order) / F.lit(bin_size)))
+def _carry(df: DataFrame, keys: Sequence[str], order: str, bin_size: float, summaries: dict[str, Carry]) -> DataFrame:
+    """Adds ``_bin`` and, per entry ``name: (summary, fold)``, the fold of all earlier bins of the key."""
+    binned = df.withColumn("_bin", F.floor(F.col(order) / F.lit(bin_size)))
+    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = binned.groupBy(*keys, "_bin").agg(*[s.alias(name) for name, (s, _) in summaries.items()])
+    bins = bins.select(*keys, "_bin", *[fold(F.col(name)).over(earlier).alias(name) for name, (_, fold) in summaries.items()])
+    a, b = binned.alias("a"), bins.alias("b")
+    cond = F.lit(True)
+    for k in (*keys, "_bin"):
+        cond = cond & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return a.join(b, cond, "left").select("a.*", *[F.col(f"b.{name}") for name in summaries])
 
 
-def _with_carry(df: DataFrame, keys: Sequence[str], summary: Column, carry) -> DataFrame:
-    """Attach ``_carry``: ``carry`` of the per-bin ``summary`` over all earlier bins of the key."""
-    bins = df.groupBy(*keys, "_bin").agg(summary.alias("_s"))
-    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select(*keys, "_bin", carry(F.col("_s")).over(earlier).alias("_carry"))
-    same = [df[k].eqNullSafe(bins[k]) for k in (*keys, "_bin")]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    return df.join(bins, cond, "left").select(df["*"], bins["_carry"])
+def _in_bin(keys: Sequence[str], order: str):
+    return Window.partitionBy(*keys, "_bin").orderBy(order)
+
+
+def _hit(order: str, value: Column) -> Column:
+    return F.when(value.isNotNull(), F.struct(F.col(order).alias("o"), value.alias("v")))
+
+
+def _before(w):
+    return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
 def asof_last(
@@ -38,42 +48,37 @@ def asof_last(
 
     Rows that share an order value see the header among them.
     """
-    hit = F.when(is_header, F.struct(F.col(order).alias("o"), value.alias("v")))
-    binned = _binned(df, order, bin_size).withColumn("_hit", hit)
-    carried = _with_carry(binned, keys, F.max("_hit"), F.max)
-    running = (
-        Window.partitionBy(*keys, "_bin").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    latest = F.coalesce(F.max("_hit").over(running), F.col("_carry"))
-    return carried.withColumn(out, latest.getField("v")).drop("_bin", "_hit", "_carry")
+    df = df.withColumn("_h", _hit(order, F.when(is_header, value)))
+    rows = _carry(df, keys, order, bin_size, {"_c": (F.max("_h"), F.max)})
+    upto = _in_bin(keys, order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = F.coalesce(F.max("_h").over(upto), F.col("_c"))
+    return rows.withColumn(out, latest.getField("v")).drop("_bin", "_h", "_c")
 
 
-def previous_row(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, bin_size: float = BIN) -> DataFrame:
-    """``value`` of the row just before, in ``order`` (unique per key); null on the first row.
-
-    The result is wrapped in a struct ``(v)`` so that a null value and no row differ.
-    """
-    binned = _binned(df, order, bin_size).withColumn("_v", F.struct(value.alias("v")))
-    carried = _with_carry(
-        binned, keys, F.max_by("_v", order), lambda s: F.last(s, ignorenulls=True)
-    )
-    inside = Window.partitionBy(*keys, "_bin").orderBy(order)
-    return carried.withColumn(out, F.coalesce(F.lag("_v").over(inside), F.col("_carry"))).drop("_bin", "_v", "_carry")
-
+def ordinal(df: DataFrame, keys: Sequence[str], order: str, out: str, bin_size: float = BIN) -> DataFrame:
+    """1-based row number per key in ``order`` (unique per key)."""
+    rows = _carry(df, keys, order, bin_size, {"_c": (F.count(F.lit(1)), F.sum)})
+    n = F.coalesce(F.col("_c"), F.lit(0)) + F.row_number().over(_in_bin(keys, order))
+    return rows.withColumn(out, n.cast("bigint")).drop("_bin", "_c")
 
-def latest_before(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, bin_size: float = BIN) -> DataFrame:
-    """Latest non-null ``value`` among the rows strictly before, in ``order`` (unique per key)."""
-    hit = F.when(value.isNotNull(), F.struct(F.col(order).alias("o"), value.alias("v")))
-    binned = _binned(df, order, bin_size).withColumn("_hit", hit)
-    carried = _with_carry(binned, keys, F.max("_hit"), F.max)
-    before = Window.partitionBy(*keys, "_bin").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    latest = F.coalesce(F.max("_hit").over(before), F.col("_carry"))
-    return carried.withColumn(out, latest.getField("v")).drop("_bin", "_hit", "_carry")
 
+def headings(
+    df: DataFrame, keys: Sequence[str], order: str, section: Column, chapter: Column, bin_size: float = BIN
+) -> DataFrame:
+    """Adds ``position``, ``above`` and ``last_chapter`` to rows in ``order`` (unique per key).
 
-def ordinal(df: DataFrame, keys: Sequence[str], order: str, out: str, bin_size: float = BIN) -> DataFrame:
-    """1-based row number per key in ``order`` (unique per key)."""
-    carried = _with_carry(_binned(df, order, bin_size), keys, F.count(F.lit(1)), F.sum)
-    inside = Window.partitionBy(*keys, "_bin").orderBy(order)
-    n = F.coalesce(F.col("_carry"), F.lit(0)) + F.row_number().over(inside)
-    return carried.withColumn(out, n.cast("bigint")).drop("_bin", "_carry")
+    ``above`` is ``struct(v)`` with the section of the row above, null on the first row;
+    ``last_chapter`` is the nearest non-null chapter above.
+    """
+    df = df.withColumns({"_s": F.struct(section.alias("v")), "_h": _hit(order, chapter)})
+    rows = _carry(df, keys, order, bin_size, {
+        "_n": (F.count(F.lit(1)), F.sum),
+        "_a": (F.max_by("_s", order), lambda c: F.last(c, ignorenulls=True)),
+        "_c": (F.max("_h"), F.max),
+    })
+    w = _in_bin(keys, order)
+    return rows.withColumns({
+        "position": (F.coalesce(F.col("_n"), F.lit(0)) + F.row_number().over(w)).cast("bigint"),
+        "above": F.coalesce(F.lag("_s").over(w), F.col("_a")),
+        "last_chapter": F.coalesce(F.max("_h").over(_before(w)), F.col("_c")).getField("v"),
+    }).drop("_bin", "_s", "_h", "_n", "_a", "_c")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from revdiff.functions.display import change_badges
 from revdiff.functions.rules import cf_display, dv_display
-from revdiff.operators.ordering import BIN, latest_before, ordinal, previous_row
+from revdiff.operators.ordering import BIN, headings, ordinal
 
 _TIES = 1 << 20  # more than the records that can share a sheet row
 STATUSES = ["added", "removed", "changed", "unchanged"]
@@ -78,13 +78,11 @@ def sheet_breaks(sheet: DataFrame) -> DataFrame:
     # records that share a sheet row: one per section that covers it, so this window is small
     tie = Window.partitionBy("pair_id", "row_num").orderBy("status_rank", "ord")
     place = F.col("row_num").cast("bigint") * _TIES + F.row_number().over(tie)
-    placed = ordinal(sheet.withColumn("_o", place), ["pair_id"], "_o", "position", BIN * _TIES).drop("_o")
-    above = previous_row(placed, ["pair_id"], "position", F.col("section"), "_above")
     chapter = F.nullif("chapter", F.lit(""))
-    marked = latest_before(above, ["pair_id"], "position", chapter, "_chapter")
-    chapter_break = chapter.isNotNull() & ~chapter.eqNullSafe(F.col("_chapter"))
-    section_break = chapter_break | F.col("_above").isNull() | ~F.col("section").eqNullSafe(F.col("_above.v"))
-    return marked.withColumns({"chapter_break": chapter_break, "section_break": section_break}).drop("_above", "_chapter")
+    rows = headings(sheet.withColumn("_o", place), ["pair_id"], "_o", F.col("section"), chapter, BIN * _TIES)
+    chapter_break = chapter.isNotNull() & ~chapter.eqNullSafe(F.col("last_chapter"))
+    section_break = chapter_break | F.col("above").isNull() | ~F.col("section").eqNullSafe(F.col("above.v"))
+    return rows.withColumns({"chapter_break": chapter_break, "section_break": section_break}).drop("_o", "above", "last_chapter")
 
 
 def search_rows(table: DataFrame, columns: list[str], query: str) -> DataFrame:

@@ -10,6 +10,7 @@ from revdiff.operators import diff, extract, layout, ordering, report, scan, spa
 from revdiff.operators.align import align
 from revdiff.plans import corpus
 from revdiff.plans.corpus import split_sides, table
+from revdiff.sources.session import cut_lineage
 
 RULE = ("dv_type", "dv_op", "dv_f1", "dv_f2", "cf_type", "cf_op", "cf_v1", "cf_v2")
 
@@ -27,7 +28,7 @@ def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def text_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """Each turn against its own revision."""
-    p, c = corpus.turns(spark, sf, "prev"), corpus.turns(spark, sf, "curr")
+    p, c = (corpus.turns(spark, sf, side) for side in ("prev", "curr"))
     both = p.join(c.select("pair_id", "turn", F.col("text").alias("new_text")), ["pair_id", "turn"])
     score = fn.text_similarity(F.col("text"), F.col("new_text"))
     return both.select("pair_id", "turn", score.alias("similarity"))
@@ -275,7 +276,7 @@ def span_expand(spark: SparkSession, sf: str) -> DataFrame:
 
 def asof_header(spark: SparkSession, sf: str) -> DataFrame:
     """For every event the latest 'error' event of the same user at or before it."""
-    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.unix_micros("ts").alias("at"))
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     hour = 3_600_000_000.0
     out = ordering.asof_last(e, ["user_id"], "at", F.col("event_type") == "error", F.col("event_id"), "header_id", hour)
     return out.select("event_id", "header_id")
@@ -326,7 +327,7 @@ def row_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _risk(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    prev, curr = split_sides(corpus.risk_questions(spark, sf))
+    prev, curr = split_sides(cut_lineage(corpus.risk_questions(spark, sf)))
     return prev, curr, align(prev, curr)
 
 
@@ -336,7 +337,7 @@ def _risk_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _control_diff(spark: SparkSession, sf: str) -> DataFrame:
-    prev, curr = split_sides(corpus.control_questions(spark, sf))
+    prev, curr = split_sides(cut_lineage(corpus.control_questions(spark, sf)))
     return diff.diff_records(prev, curr, align(prev, curr), diff.CONTROL_FLAGS)
 
 
@@ -416,11 +417,11 @@ def change_badges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bucket_ordinal(spark: SparkSession, sf: str) -> DataFrame:
-    return report.bucket_ordinal(_risk_diff(spark, sf)).select("pair_id", "status", "n_ord", "o_ord", "position")
+    return report.bucket_ordinal(cut_lineage(_risk_diff(spark, sf))).select("pair_id", "status", "n_ord", "o_ord", "position")
 
 
 def _sheet(spark: SparkSession, sf: str, make) -> DataFrame:
-    d = _risk_diff(spark, sf)
+    d = cut_lineage(_risk_diff(spark, sf))
     parts = [make(report.sheet_order(d, side)).withColumn("view", F.lit(side)) for side in ("current", "previous")]
     return parts[0].unionByName(parts[1])
 
@@ -450,7 +451,7 @@ def word_diff_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def report_payload(spark: SparkSession, sf: str) -> DataFrame:
-    return report.report_payload(_risk_diff(spark, sf))
+    return report.report_payload(cut_lineage(_risk_diff(spark, sf)))
 
 
 # ---------------------------------------------------------------- cell diff
@@ -481,9 +482,9 @@ def cell_diff_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _general(spark: SparkSession, sf: str):
-    questions, cells = corpus.general_questions(spark, sf)
+    questions, cells = (cut_lineage(t) for t in corpus.general_questions(spark, sf))
     prev, curr = split_sides(questions)
-    alignment = align(prev, curr)
+    alignment = cut_lineage(align(prev, curr))
     changes = {k: diff.question_cell_changes(*split_sides(cells), alignment, k) for k in ("answer", "explanation")}
     return prev, curr, alignment, changes
 

@@ -7,13 +7,13 @@ Each conversation, document or brand is one block (``pair_id``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revdiff.functions.address import col_index
 from revdiff.operators.extract import extract_control, extract_general, extract_risk
 from revdiff.operators.layout import parse_layouts, section_specs, span_specs
 from revdiff.operators.scan import attach_rules
+from revdiff.sources.session import cut_lineage
 
 REWORDED = [(" the ", " this "), (" la ", " sa "), (" die ", " jene "), (" de ", " del ")]
 SHORT = 60
@@ -26,106 +26,79 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reword(c: Column) -> Column:
+def reword(c: str) -> str:
     for old, new in REWORDED:
-        c = F.replace(c, F.lit(old), F.lit(new))
+        c = f"replace({c}, '{old}', '{new}')"
     return c
 
 
-def _cells(rows: DataFrame, side: str, sheet: str, columns: dict[str, Column]) -> DataFrame:
-    """Unpivot ``rows(pair_id, row_num, ...)`` into cells; null values give no cell."""
-    wide = F.array(*[F.struct(F.lit(c).alias("col"), v.cast("string").alias("text")) for c, v in columns.items()])
-    return (
-        rows.select(F.col("pair_id").cast("string").alias("pair_id"), F.lit(side).alias("side"),
-                    F.lit(sheet).alias("sheet"), F.col("row_num").cast("int").alias("row_num"), F.explode(wide).alias("w"))
-        .filter("w.text IS NOT NULL")
-        .select("pair_id", "side", "sheet", "row_num", "w.col", col_index(F.col("w.col")).alias("col_idx"), "w.text")
+def _cells(spark: SparkSession, sheet: str, rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Unpivot ``rows(pair_id, side, row_num, ...)`` into cells; null values give no cell."""
+    entries = ", ".join(f"'{c}', {ord(c) - 64}, CAST({v} AS STRING)" for c, v in columns.items())
+    return spark.sql(
+        f"""SELECT CAST(pair_id AS STRING) pair_id, side, '{sheet}' sheet, CAST(row_num AS INT) row_num, col, col_idx, value text
+        FROM {{rows}} LATERAL VIEW stack({len(columns)}, {entries}) w AS col, col_idx, value WHERE value IS NOT NULL""",
+        rows=rows,
     )
 
 
 # ---------------------------------------------------------------- conversations
 
 
-def turns(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    """``pair_id, row_num, turn, role, text`` of one side; ``row_num`` is turn + 2."""
-    base = table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").cast("string").alias("pair_id"), (F.col("turn") + 2).cast("int").alias("row_num"),
-        F.col("turn").cast("int").alias("turn"), "role", "text",
-    )
-    if side == "prev":
-        return base
-    edited = F.when(F.col("role") == "system", F.reverse("text")).otherwise(reword(F.col("text")))
-    return base.filter(F.length("text") >= SHORT).withColumn("text", edited)
-
-
-def _closing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("pair_id")).agg(
-        F.lit(12).alias("row_num"),
-        F.concat(F.lit("Closing remarks after "), F.count(F.lit(1)).cast("string"), F.lit(" turns.")).alias("text"),
+def turns(spark: SparkSession, sf_dir: str, side: str | None = None) -> DataFrame:
+    """``pair_id, side, row_num, turn, role, text``; ``row_num`` is turn + 2."""
+    both = spark.sql(
+        f"""SELECT CAST(conv_id AS STRING) pair_id, side, CAST(turn + 2 AS INT) row_num, CAST(turn AS INT) turn, role,
+          CASE WHEN side = 'prev' THEN text WHEN role = 'system' THEN reverse(text) ELSE {reword("text")} END text
+        FROM {{c}} LATERAL VIEW explode(array('prev', 'curr')) s AS side WHERE side = 'prev' OR length(text) >= {SHORT}""",
+        c=table(spark, sf_dir, "conversations"),
     )
+    return both if side is None else both.filter(F.col("side") == side).drop("side")
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("pair_id")).distinct()
+    """Every conversation on both sides, with its number of turns."""
+    return spark.sql(
+        """SELECT CAST(conv_id AS STRING) pair_id, side, count(*) turns FROM {c} LATERAL VIEW explode(array('prev', 'curr')) s AS side
+        GROUP BY conv_id, side""",
+        c=table(spark, sf_dir, "conversations"),
+    )
 
 
 def risk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sheet with number (B), text (C), input (D) and explanation (E) per turn."""
-    long = F.length("text") > 500
-    number = F.concat(F.substring("role", 1, 1), F.lit("."), F.col("turn").cast("string"))
-    out = []
-    for side in ("prev", "curr"):
-        new = side == "curr"
-        label = F.when((F.col("role") == "assistant") & (F.length("text") > 1000), F.concat(number, F.lit("x"))).otherwise(number) if new else number
-        explain = (
-            F.when(F.col("role") == "user", F.lit("EXPLAIN  user"))
-            .when((F.col("role") == "assistant") & long, F.lit("Explain assistant reply"))
-            .otherwise(F.concat(F.lit("Explain "), F.col("role")))
-            if new else F.concat(F.lit("Explain "), F.col("role"))
-        )
-        out.append(_cells(turns(spark, sf_dir, side), side, RISK_SHEET,
-                          {"B": label, "C": F.col("text"), "D": F.lit(""), "E": explain}))
-        head = _blocks(spark, sf_dir).withColumn("row_num", F.lit(1))
-        out.append(_cells(head, side, RISK_SHEET, {"C": F.lit("Conversation")}))
-    out.append(_cells(_closing(spark, sf_dir), "curr", RISK_SHEET, {"C": F.col("text")}))
-    cells = out[0]
-    for part in out[1:]:
-        cells = cells.unionByName(part)
-    return cells
+    """Sheet with number (B), text (C), input (D) and explanation (E) per turn, and a closing row."""
+    body = _cells(spark, RISK_SHEET, turns(spark, sf_dir), {
+        "B": "substring(role, 1, 1) || '.' || turn || IF(side = 'curr' AND role = 'assistant' AND length(text) > 1000, 'x', '')",
+        "C": "text",
+        "D": "''",
+        "E": """CASE WHEN side = 'prev' THEN 'Explain ' || role WHEN role = 'user' THEN 'EXPLAIN  user'
+                WHEN role = 'assistant' AND length(text) > 500 THEN 'Explain assistant reply' ELSE 'Explain ' || role END""",
+    })
+    blocks = spark.sql(
+        """SELECT pair_id, side, row_num, CASE row_num WHEN 1 THEN 'Conversation' ELSE 'Closing remarks after ' || turns || ' turns.' END text
+        FROM {b} LATERAL VIEW explode(IF(side = 'prev', array(1), array(1, 12))) r AS row_num""",
+        b=_blocks(spark, sf_dir),
+    )
+    return body.unionByName(_cells(spark, RISK_SHEET, blocks, {"C": "text"}))
 
 
 def risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per turn: users a list of choices, assistants a length range, long replies a highlight."""
-    parts = []
-    for side in ("prev", "curr"):
-        t = turns(spark, sf_dir, side)
-        size = F.length("text").cast("string")
-        turn = F.col("turn").cast("string")
-        choices = (F.lit('"Yes,No,'), turn, F.lit('"')) if side == "prev" else (F.lit('"'), turn, F.lit(', No,Yes"'))
-        none = F.lit(None).cast("string")
-        where = [F.col("pair_id"), F.lit(side).alias("side"), F.lit(RISK_SHEET).alias("sheet")]
-
-        def rule(df, kind, type_, op, v1, v2, where=where):
-            return df.select(
-                *where, F.lit(kind).alias("kind"), F.col("turn").alias("rule_ord"), F.lit(0).alias("range_ord"),
-                F.col("row_num").alias("r1"), F.lit(4).alias("c1"), F.col("row_num").alias("r2"), F.lit(4).alias("c2"),
-                F.lit(type_).alias("type"), F.lit(op).cast("string").alias("op"), v1.alias("v1"), v2.alias("v2"),
-            )
-
-        parts.append(rule(t.filter("role = 'user'"), "dv", "List", "Between", F.concat(*choices), F.lit("")))
-        parts.append(rule(t.filter("role = 'assistant'"), "dv", "WholeNumber", "Between", F.lit("1"), size))
-        long = t.filter((F.col("role") == "assistant") & (F.length("text") > 800))
-        parts.append(rule(long, "cf", "Expression", "Equal", F.concat(F.lit("=LEN(C"), F.col("row_num").cast("string"), F.lit(")>800")), none))
-    rules = parts[0]
-    for part in parts[1:]:
-        rules = rules.unionByName(part)
-    return rules
+    return spark.sql(
+        f"""SELECT pair_id, side, '{RISK_SHEET}' sheet, w.kind, turn rule_ord, 0 range_ord, row_num r1, 4 c1, row_num r2, 4 c2, w.type, w.op, w.v1, w.v2
+        FROM {{t}} LATERAL VIEW inline(array(
+          named_struct('kind', IF(role = 'user', 'dv', NULL), 'type', 'List', 'op', 'Between',
+            'v1', IF(side = 'prev', '"Yes,No,' || turn || '"', '"' || turn || ', No,Yes"'), 'v2', ''),
+          named_struct('kind', IF(role = 'assistant', 'dv', NULL), 'type', 'WholeNumber', 'op', 'Between', 'v1', '1', 'v2', CAST(length(text) AS STRING)),
+          named_struct('kind', IF(role = 'assistant' AND length(text) > 800, 'cf', NULL), 'type', 'Expression', 'op', 'Equal',
+            'v1', '=LEN(C' || row_num || ')>800', 'v2', NULL)
+        )) w AS kind, type, op, v1, v2 WHERE w.kind IS NOT NULL""",
+        t=turns(spark, sf_dir),
+    )
 
 
 def _configs(spark: SparkSession, sf_dir: str, config: str) -> DataFrame:
-    return _blocks(spark, sf_dir).select(
-        "pair_id", F.explode(F.array(F.lit("prev"), F.lit("curr"))).alias("side"), F.lit(config).alias("config")
-    )
+    return _blocks(spark, sf_dir).select("pair_id", "side", F.lit(config).alias("config"))
 
 
 def split_sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -133,116 +106,85 @@ def split_sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def risk_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = attach_rules(risk_cells(spark, sf_dir), risk_rules(spark, sf_dir))
-    layouts = parse_layouts(_configs(spark, sf_dir, RISK_CONFIG), "risk")
+    cells = attach_rules(risk_cells(spark, sf_dir), cut_lineage(risk_rules(spark, sf_dir)))
+    layouts = cut_lineage(parse_layouts(_configs(spark, sf_dir, RISK_CONFIG), "risk"))
     return extract_risk(cells, layouts, section_specs(layouts))
 
 
 def general_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sheet with label (B), text (C), three answer columns (D, E, F) and explanation (G) per turn."""
-    out = []
-    label = F.concat(F.col("role"), F.lit("."), F.col("turn").cast("string"))
-    for side in ("prev", "curr"):
-        new = side == "curr"
-        limit = 310 if new else 300
-        word = F.when(F.col("role") == "user", F.lit("LONG" if new else "long")).otherwise(F.lit("long"))
-        out.append(_cells(turns(spark, sf_dir, side), side, GENERAL_SHEET, {
-            "B": label, "C": F.col("text"),
-            "D": F.substring_index("text", " ", 1), "E": F.length("text"),
-            "F": F.when(F.length("text") > limit, word),
-            "G": F.when(F.col("role") != "system", F.concat(F.lit("See "), F.col("role"))),
-        }))
-        out.append(_cells(_blocks(spark, sf_dir).withColumn("row_num", F.lit(1)), side, GENERAL_SHEET, {"C": F.lit(" Dialogue ")}))
-    cells = out[0]
-    for part in out[1:]:
-        cells = cells.unionByName(part)
-    return cells
+    body = _cells(spark, GENERAL_SHEET, turns(spark, sf_dir), {
+        "B": "role || '.' || turn",
+        "C": "text",
+        "D": "substring_index(text, ' ', 1)",
+        "E": "length(text)",
+        "F": "IF(length(text) > IF(side = 'curr', 310, 300), IF(side = 'curr' AND role = 'user', 'LONG', 'long'), NULL)",
+        "G": "IF(role <> 'system', 'See ' || role, NULL)",
+    })
+    head = _blocks(spark, sf_dir).selectExpr("pair_id", "side", "1 row_num")
+    return body.unionByName(_cells(spark, GENERAL_SHEET, head, {"C": "' Dialogue '"}))
 
 
 def general_questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    layouts = parse_layouts(_configs(spark, sf_dir, GENERAL_CONFIG), "general")
+    layouts = cut_lineage(parse_layouts(_configs(spark, sf_dir, GENERAL_CONFIG), "general"))
     return extract_general(general_cells(spark, sf_dir), layouts, span_specs(layouts))
 
 
 # ---------------------------------------------------------------- documents
 
 
-def document_lines(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document as sheet rows: row 1 chapter, rows 2, 12, 22, ... section headers."""
-    docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("string").alias("pair_id"), "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line")
-    )
-    rows = docs.withColumn("row_num", F.col("pos") + 1)
-    if side == "prev":
-        return rows
-    kept = rows.filter(~F.length("line").between(30, SHORT)).withColumn("line", reword(F.col("line")))
-    added = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("string").alias("pair_id"), "lang", "source",
-        F.size(F.split("text", "\n")).alias("pos"),
-        F.concat(F.lit("Reviewed "), F.col("lang"), F.lit(" "), F.col("source")).alias("line"),
+    return spark.sql(
+        f"""SELECT pair_id, side, lang, source, pos + 1 row_num, IF(side = 'prev' OR pos = size(lines), line, {reword("line")}) line
+        FROM (
+          SELECT CAST(doc_id AS STRING) pair_id, lang, source, split(text, '\n') lines FROM {{d}}
+        ) LATERAL VIEW explode(array('prev', 'curr')) s AS side
+        LATERAL VIEW posexplode(IF(side = 'prev', lines, array_append(lines, 'Reviewed ' || lang || ' ' || source))) l AS pos, line
+        WHERE side = 'prev' OR pos = size(lines) OR length(line) NOT BETWEEN 30 AND {SHORT}""",
+        d=table(spark, sf_dir, "documents"),
     )
-    return kept.unionByName(added.withColumn("row_num", F.col("pos") + 1))
 
 
 def control_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = []
-    for side in ("prev", "curr"):
-        lines = document_lines(spark, sf_dir, side)
-        row = F.col("row_num")
-        number = row + F.when(F.col("source") == "src7", 1).otherwise(0) if side == "curr" else row
-        text = F.when(
-            (row >= 3) & ((row - 2) % 10 != 0),
-            F.concat(F.floor((row - 2) / 10 + 1).cast("string"), F.lit("."), number.cast("string"), F.lit(") "), F.col("line")),
-        ).otherwise(F.col("line"))
-        parts.append(_cells(lines, side, CONTROL_SHEET, {"C": text, "D": F.lit("")}))
-    return parts[0].unionByName(parts[1])
+    return _cells(spark, CONTROL_SHEET, document_lines(spark, sf_dir), {
+        "C": """IF(row_num >= 3 AND (row_num - 2) % 10 <> 0,
+                ((row_num - 2) DIV 10 + 1) || '.' || (row_num + IF(side = 'curr' AND source = 'src7', 1, 0)) || ') ' || line, line)""",
+        "D": "''",
+    })
 
 
 def control_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: a list for rows 1-8 before a length limit for all rows, and one highlight."""
-    docs = table(spark, sf_dir, "documents")
-    parts = []
-    for side in ("prev", "curr"):
-        where = [F.col("doc_id").cast("string").alias("pair_id"), F.lit(side).alias("side"), F.lit(CONTROL_SHEET).alias("sheet")]
-        lines = F.size(F.split("text", "\n"))
-        items = '"Yes,No"' if side == "prev" else '"No, Yes"'
-        specs = [
-            ("dv", 0, F.lit(1), F.lit(8), "List", "Between", F.lit(items), F.lit("")),
-            ("dv", 1, F.lit(1), lines, "TextLength", "LessThan", F.lit("500") if side == "prev" else F.length("lang").cast("string"), F.lit("")),
-            ("cf", 0, F.lit(2), lines, "CellIs", "Equal", F.col("lang"), F.lit(None).cast("string")),
-        ]
-        for kind, rule_ord, r1, r2, type_, op, v1, v2 in specs:
-            parts.append(docs.select(
-                *where, F.lit(kind).alias("kind"), F.lit(rule_ord).alias("rule_ord"), F.lit(0).alias("range_ord"),
-                r1.alias("r1"), F.lit(4).alias("c1"), r2.alias("r2"), F.lit(4).alias("c2"),
-                F.lit(type_).alias("type"), F.lit(op).alias("op"), v1.alias("v1"), v2.alias("v2"),
-            ))
-    rules = parts[0]
-    for part in parts[1:]:
-        rules = rules.unionByName(part)
-    return rules
+    return spark.sql(
+        f"""SELECT CAST(doc_id AS STRING) pair_id, side, '{CONTROL_SHEET}' sheet, w.kind, w.rule_ord, 0 range_ord, w.r1, 4 c1, w.r2, 4 c2, w.type, w.op, w.v1, w.v2
+        FROM {{d}} LATERAL VIEW explode(array('prev', 'curr')) s AS side LATERAL VIEW inline(array(
+          named_struct('kind', 'dv', 'rule_ord', 0, 'r1', 1, 'r2', 8, 'type', 'List', 'op', 'Between',
+            'v1', IF(side = 'prev', '"Yes,No"', '"No, Yes"'), 'v2', ''),
+          named_struct('kind', 'dv', 'rule_ord', 1, 'r1', 1, 'r2', size(split(text, '\n')), 'type', 'TextLength', 'op', 'LessThan',
+            'v1', IF(side = 'prev', '500', CAST(length(lang) AS STRING)), 'v2', ''),
+          named_struct('kind', 'cf', 'rule_ord', 0, 'r1', 2, 'r2', size(split(text, '\n')), 'type', 'CellIs', 'op', 'Equal', 'v1', lang, 'v2', NULL)
+        )) w AS kind, rule_ord, r1, r2, type, op, v1, v2""",
+        d=table(spark, sf_dir, "documents"),
+    )
 
 
 def control_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A layout per document and side, as JSON, with a section every ten rows."""
-    docs = table(spark, sf_dir, "documents")
-    parts = []
-    for side, extra in (("prev", 0), ("curr", 1)):
-        rows = F.size(F.split("text", "\n")) + F.lit(extra)
-        heads = F.filter(F.sequence(F.lit(2), F.greatest(rows, F.lit(2)), F.lit(10)), lambda h: h < rows)
-
-        def spec(h: Column) -> Column:
-            last = F.least(h + 9, rows)
-            return F.concat(h.cast("string"), F.lit(":"), (h + 1).cast("string"), F.lit("-"), last.cast("string"))
-
-        config = F.to_json(F.struct(F.array(F.lit(1)).alias("chapterRows"), F.transform(heads, spec).alias("SectionRows")))
-        parts.append(docs.select(F.col("doc_id").cast("string").alias("pair_id"), F.lit(side).alias("side"), config.alias("config")))
-    return parts[0].unionByName(parts[1])
+    return spark.sql(
+        """SELECT pair_id, side, to_json(named_struct('chapterRows', array(1), 'SectionRows', transform(
+            filter(sequence(2, greatest(n, 2), 10), h -> h < n), h -> h || ':' || (h + 1) || '-' || least(h + 9, n)))) config
+        FROM (
+          SELECT CAST(doc_id AS STRING) pair_id, side, size(split(text, '\n')) + IF(side = 'curr', 1, 0) n
+          FROM {d} LATERAL VIEW explode(array('prev', 'curr')) s AS side
+        )""",
+        d=table(spark, sf_dir, "documents"),
+    )
 
 
 def control_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = attach_rules(control_cells(spark, sf_dir), control_rules(spark, sf_dir))
-    layouts = parse_layouts(control_configs(spark, sf_dir), "control")
+    cells = attach_rules(control_cells(spark, sf_dir), cut_lineage(control_rules(spark, sf_dir)))
+    layouts = cut_lineage(parse_layouts(control_configs(spark, sf_dir), "control"))
     return extract_control(cells, layouts, section_specs(layouts))
 
 
@@ -250,32 +192,16 @@ def control_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_cells(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    """Cells keyed by address within a brand: name (C), type (D), price (AA); rules on D."""
-    part = table(spark, sf_dir, "part")
-    new = side == "curr"
-    if new:
-        part = part.filter("p_size <> 50")
-    name = F.concat(F.lit(" "), F.col("p_name"), F.lit("\t")) if new else F.col("p_name")
-    name = F.when(F.col("p_type") == "PROMO", F.upper(name)).otherwise(name)
-    kind = F.when((F.col("p_size") < 5) & F.lit(new), F.lit("SMALL")).otherwise(F.col("p_type"))
-    wide = F.array(
-        F.struct(F.lit("C").alias("col"), name.alias("text")),
-        F.struct(F.lit("D").alias("col"), kind.alias("text")),
-        F.struct(F.lit("aa" if new else "AA").alias("col"), F.col("p_retailprice").cast("int").cast("string").alias("text")),
-    )
-    upper = F.col("p_size") + F.when((F.col("p_size") > 40) & F.lit(new), 1).otherwise(0)
-    dv = F.when(
-        F.col("w.col") == "D",
-        F.struct(F.lit("WholeNumber").alias("type"), F.lit("Between").alias("op"), F.lit("1").alias("f1"), upper.cast("string").alias("f2")),
-    )
-    cf = F.when(
-        (F.col("w.col") == "C") & (F.col("p_size") > 25),
-        F.struct(F.lit("CellIs").alias("type"), F.lit("Equal").alias("op"),
-                 F.when((F.col("p_size") == 30) & F.lit(new), F.lit("new")).otherwise(F.lit("old")).alias("v1"),
-                 F.lit(None).cast("string").alias("v2")),
-    )
-    return part.select("p_brand", "p_partkey", "p_size", F.explode(wide).alias("w")).select(
-        F.col("p_brand").alias("pair_id"),
-        F.concat(F.upper("w.col"), F.col("p_partkey").cast("string")).alias("address"),
-        F.col("w.text").alias("text"), dv.alias("dv"), cf.alias("cf"),
+    """Cells keyed by address within a brand: name (C), type (D), price (AA); rules on C and D."""
+    new = "true" if side == "curr" else "false"
+    return spark.sql(
+        f"""SELECT p_brand pair_id, upper(col) || p_partkey address, w.text,
+          IF(w.col = 'D', named_struct('type', 'WholeNumber', 'op', 'Between', 'f1', '1', 'f2', CAST(p_size + IF({new} AND p_size > 40, 1, 0) AS STRING)), NULL) dv,
+          IF(w.col = 'C' AND p_size > 25, named_struct('type', 'CellIs', 'op', 'Equal', 'v1', IF({new} AND p_size = 30, 'new', 'old'), 'v2', CAST(NULL AS STRING)), NULL) cf
+        FROM {{p}} LATERAL VIEW inline(array(
+          named_struct('col', 'C', 'text', IF(p_type = 'PROMO', upper(p_name), p_name)),
+          named_struct('col', 'D', 'text', IF({new} AND p_size < 5, 'SMALL', p_type)),
+          named_struct('col', IF({new}, 'aa', 'AA'), 'text', CAST(CAST(p_retailprice AS INT) AS STRING))
+        )) w AS col, text WHERE NOT ({new} AND p_size = 50)""",
+        p=table(spark, sf_dir, "part").withColumn("p_name", F.expr(f"IF({new}, ' ' || p_name || '\t', p_name)")),
     )
