@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from revdiff.operators import diff, extract, layout, ordering, report, scan, spa
 from revdiff.operators.align import align
 from revdiff.plans import corpus
 from revdiff.plans.corpus import split_sides, table
-from revdiff.sources.session import cut_lineage
+from revdiff.sources.session import cut_lineage, scratch_dir
+from revdiff.sources.sinks import write_tables as write_sheets
+from revdiff.sources.workbook import parse_workbooks, workbook_files
 
 RULE = ("dv_type", "dv_op", "dv_f1", "dv_f2", "cf_type", "cf_op", "cf_v1", "cf_v2")
 
@@ -454,6 +458,20 @@ def report_payload(spark: SparkSession, sf: str) -> DataFrame:
     return report.report_payload(cut_lineage(_risk_diff(spark, sf)))
 
 
+def write_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Summary and diff written as sheets of text, and read back."""
+    d = cut_lineage(_risk_diff(spark, sf).drop("prev", "curr"))
+    path = f"{scratch_dir(spark).rstrip('/')}/sheets-{uuid.uuid4().hex}"
+    write_sheets({"summary": report.diff_summary(d), "questions": d.select("pair_id", "status", "n_ord", "o_ord")}, path)
+    back = spark.read.parquet(path)
+    return back.select("sheet", F.array_join("header", "|").alias("header"), F.array_join("values", "|").alias("row"))
+
+
+def ingest_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation packed as two workbooks, and all workbooks read back into cells."""
+    return parse_workbooks(workbook_files(corpus.risk_cells(spark, sf)))[0]
+
+
 # ---------------------------------------------------------------- cell diff
 
 
@@ -531,7 +549,7 @@ QUERIES = {
         pair_scores, adjusted_scores, match_one_to_one, second_best, added_rows, removed_rows,
         question_diff, document_question_diff, diff_summary, document_diff_summary,
         similarity_band, ambiguous_matches, change_badges, bucket_ordinal, sheet_order, sheet_order_breaks,
-        search_rows, word_diff, word_diff_counts, report_payload,
+        search_rows, word_diff, word_diff_counts, report_payload, write_tables, ingest_cells,
         cell_diff_value, cell_diff_full, cell_diff_summary,
         answer_cell_diff, explanation_cell_diff, cells_changed_flag, general_question_diff,
     )

@@ -441,6 +441,16 @@ FROM d WHERE n_ord IS NOT NULL AND o_ord IS NOT NULL""",
     "sheet_order_breaks": f"""{SHEET}, w AS (SELECT *, row_number() OVER k AS position, lag(section) OVER k AS above FROM v WINDOW k AS (PARTITION BY "view", pair_id ORDER BY row_num, rk, ord))
 SELECT "view", pair_id, row_num, position, false AS chapter_break, position = 1 OR section IS DISTINCT FROM above AS section_break FROM w""",
     "search_rows": "SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'anvil brand#1')",
+    "write_tables": f"""{RISK_DIFF}, s AS (
+  SELECT pair_id, count(*) FILTER (status = 'added') a, count(*) FILTER (status = 'removed') r, count(*) FILTER (status = 'changed') c,
+    count(*) FILTER (status = 'unchanged') u, count(*) FILTER (status <> 'added') n FROM d GROUP BY pair_id)
+SELECT 'summary' AS sheet, 'pair_id|added|removed|changed|unchanged|compared' AS header, pair_id || '|' || a || '|' || r || '|' || c || '|' || u || '|' || n AS "row" FROM s
+UNION ALL SELECT 'questions', 'pair_id|status|n_ord|o_ord', pair_id || '|' || status || '|' || coalesce(n_ord::VARCHAR, '') || '|' || coalesce(o_ord::VARCHAR, '') FROM d""",
+    "ingest_cells": f"""WITH {RISK}, x AS (
+  SELECT r.pair_id, r.side, r.row_num, c.col, c.col_idx, c.val FROM r
+  CROSS JOIN LATERAL (VALUES ('B', 2, r.number), ('C', 3, r.text), ('D', 4, CASE WHEN r.row_num < 12 THEN '' END), ('E', 5, CASE WHEN r.row_num < 12 THEN r.explanation END)) c(col, col_idx, val)
+  UNION ALL SELECT conv_id::VARCHAR, s.side, 1, 'C', 3, 'Conversation' FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES ('prev'), ('curr')) s(side))
+SELECT pair_id, side, 'Risk Level Questions' AS sheet, row_num, col, col_idx, val AS text FROM x WHERE val IS NOT NULL""",
     "cell_diff_value": _cell_report(False),
     "cell_diff_full": _cell_report(True),
     "cell_diff_summary": f"""WITH x AS ({_cell_report(True)}) SELECT pair_id, status, count(*) AS cells FROM x GROUP BY pair_id, status""",
