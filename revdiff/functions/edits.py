@@ -34,14 +34,12 @@ def edit_distances(packed: list[str], probes: list[str]) -> np.ndarray:
         up, down = inside, 0  # +1 / -1 steps between neighbouring rows of the current column
         for ch in probe:
             equal = where_letter.get(ch, 0)
-            flat = ((((equal & up) + up) ^ up) | equal | down) & inside
-            rise = down | (inside ^ (flat | up))
-            fall = flat & up
-            rise = ((rise << 1) | first) & inside
-            up = ((fall << 1) & inside) | (inside ^ (flat | rise))
+            flat = (((equal & up) + up) ^ up) | equal | down
+            rise = ((down | (inside ^ (flat | up))) << 1) | first  # a spare bit can only spill into first
+            up = (((flat & up) << 1) | (inside ^ (flat | rise))) & inside
             down = rise & flat
         steps = np.zeros(len(letters) + 1, dtype=np.int64)
-        for sign, value in ((1, up), (-1, down)):
+        for sign, value in ((1, up), (-1, down & inside)):
             raw = np.frombuffer(value.to_bytes(width, "little"), dtype=np.uint8)
             steps[1:] += sign * np.unpackbits(raw, count=len(letters), bitorder="little").astype(np.int64)
         total = np.cumsum(steps)

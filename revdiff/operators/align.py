@@ -33,6 +33,7 @@ MATCH_THRESHOLD = 0.5
 
 MAX_ROWS = 1024
 MAX_CHARS = 1_000_000
+MAX_CORE = 4096
 TILE = 128
 
 ALIGNMENT = (
@@ -194,6 +195,7 @@ def align(
     curr: DataFrame,
     max_rows: int = MAX_ROWS,
     max_chars: int = MAX_CHARS,
+    max_core: int = MAX_CORE,
     tile: int = TILE,
 ) -> DataFrame:
     """Align ``curr`` with ``prev``; both need ``pair_id, ord, text, section, number``.
@@ -203,17 +205,16 @@ def align(
     side null). ``similarity`` and ``second_best`` are without bonuses. ``settled`` is
     false only where ``_align_large`` could not prove the optimum.
 
-    The records are written to the shared scratch folder once, by an eager job: block
-    sizes and blocks are both taken from there.
+    The inputs are read twice, first by an eager job that counts block sizes, so pass
+    stored tables rather than long plans.
     """
-    records = cut_lineage(_records(prev, curr))
+    records = _records(prev, curr)
     large = cut_lineage(_large_blocks(records, max_rows, max_chars))
     if large.isEmpty():
         return _align_small(records)
     small = _align_small(records.join(large, "pair_id", "left_anti"))
-    return small.unionByName(
-        _align_large(records.join(large, "pair_id", "left_semi"), max_rows, max_chars, tile)
-    )
+    big = cut_lineage(records.join(large, "pair_id", "left_semi"))
+    return small.unionByName(_align_large(big, max_core, max_chars, tile))
 
 
 # ---------------------------------------------------------------- large blocks
@@ -296,7 +297,7 @@ def top_two(classes: DataFrame, tile: int) -> DataFrame:
     )
 
 
-def _align_large(records: DataFrame, max_rows: int, max_chars: int, tile: int) -> DataFrame:
+def _align_large(records: DataFrame, max_core: int, max_chars: int, tile: int) -> DataFrame:
     """Exact alignment of blocks too large for one task, by rounds of safe decisions.
 
     With classes A (current) and B (previous) that are each other's best, score w, and
@@ -304,7 +305,8 @@ def _align_large(records: DataFrame, max_rows: int, max_chars: int, tile: int) -
     members, because swapping any other use of them gains ``w - a - b`` or more. Each
     round fixes all such pairs and scores what is left again. A block is done when one
     side is used up, when no remaining score reaches the threshold (nothing left could be
-    accepted), or when what remains fits one task and is solved there. A block that a
+    accepted), or when what remains has at most ``max_core`` records per side and is solved
+    in one task. A block that a
     round leaves unchanged and too large is returned unmatched with ``settled = false``.
     """
     keys = ["pair_id", "is_new", "cid"]
@@ -354,7 +356,7 @@ def _align_large(records: DataFrame, max_rows: int, max_chars: int, tile: int) -
             F.greatest(chars(True), chars(False)).alias("chars"),
         ).filter("n > 0 AND o > 0")
         progress = fixed.groupBy("pair_id").agg(F.count(F.lit(1)).alias("moved"))
-        fits = (F.greatest("n", "o") <= max_rows) & (F.col("chars") <= max_chars)
+        fits = (F.greatest("n", "o") <= max_core) & (F.col("chars") <= max_chars)
         state = cut_lineage(
             sizes.join(progress, "pair_id", "left").select(
                 "pair_id", F.when(fits, "core").when(F.col("moved") > 0, "again").otherwise("open").alias("next")

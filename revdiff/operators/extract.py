@@ -63,12 +63,16 @@ def extract_control(cells: DataFrame, layouts: DataFrame, sections: DataFrame) -
         .withColumn("chapter_row", F.array_max(F.filter("chapter_rows", lambda c: c <= F.col("row_num"))))
         .drop("chapter_rows", "section_rows")
     )
-    found = covering_join(points, good, KEY, "row_num", "first_row", "last_row", "inner")
-    placed = found.groupBy(*points.columns).agg(F.min_by("section_row", "sec_ord").alias("section_row"))
+    # sections and headers are found by row number; question texts move once, in the last join
+    found = covering_join(points.select(*KEY, "row_num", "chapter_row"), good, KEY, "row_num", "first_row", "last_row", "inner")
+    first = F.min(F.col("sec_ord").cast("bigint") * _ROWS + F.col("section_row"))
+    placed = found.groupBy(*KEY, "row_num", "chapter_row").agg((first % _ROWS).cast("int").alias("section_row"))
     heads = rows.filter(header)
+    named = placed.join(_headers(heads, "chapter_row", "chapter"), [*KEY, "chapter_row"], "left").join(
+        _headers(heads, "section_row", "section"), [*KEY, "section_row"], "left"
+    )
     return (
-        placed.join(_headers(heads, "chapter_row", "chapter"), [*KEY, "chapter_row"], "left")
-        .join(_headers(heads, "section_row", "section"), [*KEY, "section_row"], "left")
+        points.drop("chapter_row").join(named, [*KEY, "row_num"])
         .select(
             *KEY,
             F.col("row_num").cast("bigint").alias("ord"),
@@ -98,8 +102,10 @@ def extract_risk(cells: DataFrame, layouts: DataFrame, sections: DataFrame) -> D
     )
     rows = cut_lineage(rows)  # read again for the header texts
     points = rows.filter(~is_blank(F.col("text")))
-    placed = covering_join(points, good, KEY, "row_num", "first_row", "last_row", "inner")
-    return placed.join(_headers(rows, "section_row", "section"), [*KEY, "section_row"], "left").select(
+    # sections and headers are found by row number; question texts move once, in the last join
+    placed = covering_join(points.select(*KEY, "row_num"), good, KEY, "row_num", "first_row", "last_row", "inner")
+    named = placed.join(_headers(rows, "section_row", "section"), [*KEY, "section_row"], "left")
+    return points.join(named, [*KEY, "row_num"]).select(
         *KEY,
         (F.col("sec_ord").cast("bigint") * _ROWS + F.col("row_num")).alias("ord"),
         F.coalesce("section", F.lit("")).alias("section"),

@@ -15,6 +15,7 @@ from revdiff.operators.spans import covering_join
 SHEET = ["pair_id", "side", "sheet"]
 CELL = [*SHEET, "row_num", "col_idx"]
 
+_RANGES = 1 << 31
 # Validation types whose operator has no meaning.
 DV_WITHOUT_OPERATOR = ["List", "Custom", "AnyValue"]
 
@@ -58,18 +59,20 @@ def attach_rules(cells: DataFrame, rules: DataFrame) -> DataFrame:
     ``rules(pair_id, side, sheet, kind, rule_ord, range_ord, r1, c1, r2, c2, type, op, v1, v2)``;
     first means lowest (rule_ord, range_ord).
     """
+    # only addresses and ranks take part in the range join; text moves once, in the join back
+    rank = (F.col("rule_ord").cast("bigint") * _RANGES + F.col("range_ord")).alias("rank")
     inside = F.col("a.col_idx").between(F.col("s.c1"), F.col("s.c2"))
-    covered = covering_join(cells, rules, SHEET, "row_num", "r1", "r2", "left", inside)
-    rank = [F.col("rule_ord"), F.col("range_ord")]
-    op = F.when(F.col("type").isin(DV_WITHOUT_OPERATOR), F.lit(None)).otherwise(F.col("op"))
-    dv = F.struct(*rank, "type", op.alias("op"), F.col("v1").alias("f1"), F.nullif("v2", F.lit("")).alias("f2"))
-    cf = F.struct(*rank, "type", "op", "v1", "v2")
-    rest = [c for c in cells.columns if c not in CELL]
-    out = covered.groupBy(*CELL).agg(
-        *[F.any_value(c).alias(c) for c in rest],
-        F.min(F.when(F.col("kind") == "dv", dv)).alias("dv"),
-        F.min(F.when(F.col("kind") == "cf", cf)).alias("cf"),
-    )
-    return out.withColumns(
-        {k: F.col(k).dropFields("rule_ord", "range_ord") for k in ("dv", "cf")}
+    where = rules.select(*SHEET, "kind", rank, "r1", "c1", "r2", "c2")
+    covered = covering_join(cells.select(*CELL), where, SHEET, "row_num", "r1", "r2", "inner", inside)
+    first = covered.groupBy(*CELL).agg(
+        *[F.min(F.when(F.col("kind") == kind, F.col("rank"))).alias(f"{kind}_rank") for kind in ("dv", "cf")]
     )
+    op = F.when(F.col("type").isin(DV_WITHOUT_OPERATOR), F.lit(None)).otherwise(F.col("op"))
+    struct = {
+        "dv": F.struct("type", op.alias("op"), F.col("v1").alias("f1"), F.nullif("v2", F.lit("")).alias("f2")),
+        "cf": F.struct("type", "op", "v1", "v2"),
+    }
+    for kind, rule in struct.items():
+        named = rules.filter(F.col("kind") == kind).select(*SHEET, rank.alias(f"{kind}_rank"), rule.alias(kind))
+        first = first.join(named.dropDuplicates([*SHEET, f"{kind}_rank"]), [*SHEET, f"{kind}_rank"], "left")
+    return cells.join(first.select(*CELL, "dv", "cf"), CELL, "left")
