@@ -119,7 +119,7 @@ def span_specs(layouts: DataFrame) -> DataFrame:
     spanned = F.col("token").contains("(")
     shape = F.col("token").rlike(r"^[^()]+\([^)]+\)$") | ~spanned
     start = F.substring_index("token", "(", 1)
-    span = F.when(spanned, F.regexp_extract("token", r"\(([^)]*)\)$", 1)).otherwise("1")
+    span = F.when(spanned, F.regexp_extract("token", r"\(([^)]*)\)$", 1)).when(F.col("token").isNotNull(), "1")
     parsed = entries.select(
         *KEY, "sec_ord", "spec", "section_row", "q_ord", "token", "_shape",
         shape.alias("_token_shape"),
