@@ -101,7 +101,7 @@ def removed_rows(prev: DataFrame, alignment: DataFrame) -> DataFrame:
 
 
 def _paired(prev: DataFrame, curr: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Full outer pairing by key in one shuffle; more than one cell per key and side raises."""
+    """Full outer pairing by key in one shuffle; ``_n`` is the most cells a side has for the key."""
 
     def side(df: DataFrame, is_new: bool) -> DataFrame:
         return df.select(*keys, F.lit(is_new).alias("_new"), F.struct("text", "dv", "cf").alias("_cell"))
@@ -109,11 +109,9 @@ def _paired(prev: DataFrame, curr: DataFrame, keys: Sequence[str]) -> DataFrame:
     n = lambda flag: F.count(F.when(F.col("_new") == flag, 1))
     pick = lambda flag: F.max(F.when(F.col("_new") == flag, F.col("_cell")))
     both = side(prev, False).unionByName(side(curr, True))
-    grouped = both.groupBy(*keys).agg(
+    return both.groupBy(*keys).agg(
         pick(False).alias("prev"), pick(True).alias("curr"), F.greatest(n(False), n(True)).alias("_n")
     )
-    checked = F.when(F.col("_n") > 1, F.raise_error(F.lit("duplicate cell key")).cast("boolean")).otherwise(F.lit(True))
-    return grouped.filter(checked).drop("_n")
 
 
 def diff_cells(
@@ -122,7 +120,8 @@ def diff_cells(
     """Cell-by-cell diff over the union of keys; a missing cell counts as an empty one.
 
     ``scope='value'`` compares text only, ``'full'`` also the rules. Text is compared with
-    case, trimmed if ``trim``.
+    case, trimmed if ``trim``. A key that a side holds more than once gets status ``error``
+    instead of stopping the job.
     """
     if scope not in ("value", "full"):
         raise ValueError(f"scope must be 'value' or 'full', not {scope!r}")
@@ -137,20 +136,22 @@ def diff_cells(
         }
     )
     changed = F.col("text_changed") | F.col("dv_changed") | F.col("cf_changed")
-    return out.withColumn("status", F.when(changed, "changed").otherwise("unchanged"))
+    status = F.when(F.col("_n") > 1, "error").when(changed, "changed").otherwise("unchanged")
+    return out.withColumn("status", status).drop("_n")
 
 
 def question_cell_changes(prev_cells: DataFrame, curr_cells: DataFrame, alignment: DataFrame, kind: str) -> DataFrame:
     """Changed cells inside matched questions: key (row offset, column), or row offset for explanations.
 
-    A cell on one side only always counts as a change.
+    A cell on one side only always counts as a change. ``status`` is ``error`` for a key that a
+    question holds twice.
     """
     matches = alignment.filter("n_ord IS NOT NULL AND o_ord IS NOT NULL").select("pair_id", "n_ord", "o_ord")
     o = prev_cells.filter(F.col("kind") == kind).withColumnRenamed("ord", "o_ord").join(matches, ["pair_id", "o_ord"])
     n = curr_cells.filter(F.col("kind") == kind).withColumnRenamed("ord", "n_ord").join(matches, ["pair_id", "n_ord"])
     keys = ["pair_id", "n_ord", "o_ord", "row_offset"] + (["col"] if kind == "answer" else [])
     diff = diff_cells(o, n, keys, "full", trim=False)
-    return diff.filter((F.col("status") == "changed") | F.col("prev").isNull() | F.col("curr").isNull()).drop("status")
+    return diff.filter((F.col("status") != "unchanged") | F.col("prev").isNull() | F.col("curr").isNull())
 
 
 def cells_changed_flags(answer_changes: DataFrame, explanation_changes: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """From cells to questions, driven by layout tables.
 
-``ord`` is the question order of a side: unique, ascending, not necessarily dense.
+``ord`` is the question order of a side: unique, ascending, not necessarily dense. Pairs
+whose layout has a fault yield no questions; ``layout_errors`` lists them.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revdiff.functions.text import extract_number, is_blank, strip_number_prefix, trim_ws
+from revdiff.operators.layout import sound_specs
 from revdiff.operators.scan import nonblank_rows
 from revdiff.operators.spans import covering_join
 from revdiff.sources.session import cut_lineage
@@ -43,7 +45,7 @@ def _headers(rows: DataFrame, row: str, out: str) -> DataFrame:
 
 def extract_control(cells: DataFrame, layouts: DataFrame, sections: DataFrame) -> DataFrame:
     """Rows inside a section interval, not header rows, with text; first section in order wins."""
-    good = sections.filter("error IS NULL").select(*KEY, "sec_ord", "section_row", "first_row", "last_row")
+    good = cut_lineage(sound_specs(layouts, sections).select(*KEY, "sec_ord", "section_row", "first_row", "last_row"))
     section_rows = good.groupBy(*KEY).agg(F.collect_set("section_row").alias("section_rows"))
     rows = (
         _sheet_cells(cells, layouts.join(section_rows, KEY))
@@ -88,7 +90,7 @@ def extract_control(cells: DataFrame, layouts: DataFrame, sections: DataFrame) -
 
 def extract_risk(cells: DataFrame, layouts: DataFrame, sections: DataFrame) -> DataFrame:
     """Every row of every section with text, once per section that covers it."""
-    good = sections.filter("error IS NULL").select(*KEY, "sec_ord", "section_row", "first_row", "last_row")
+    good = cut_lineage(sound_specs(layouts, sections).select(*KEY, "sec_ord", "section_row", "first_row", "last_row"))
     rows = (
         _sheet_cells(cells, layouts)
         .groupBy(*KEY, "row_num")
@@ -135,7 +137,7 @@ def extract_general(cells: DataFrame, layouts: DataFrame, spans: DataFrame) -> t
         .withColumns({c: trim_ws(F.coalesce(c, F.lit(""))) for c in ("text", "label")})
     )
     question = [*KEY, "sec_ord", "q_ord", "section_row", "first_row"]
-    spanned = span_rows(spans)
+    spanned = cut_lineage(span_rows(sound_specs(layouts, spans, cross=True)))
     at_zero = F.max(F.when(F.col("row_offset") == 0, F.col("text")))
     labels = F.array_sort(F.collect_list(F.struct("row_offset", F.coalesce("label", F.lit("")).alias("label"))))
     ordv = (F.col("sec_ord").cast("bigint") * _ROWS + F.col("first_row")).alias("ord")

@@ -155,8 +155,21 @@ def section_violations(spans: DataFrame) -> DataFrame:
 
 
 def layout_errors(layouts: DataFrame, specs: DataFrame, cross: bool = False) -> DataFrame:
-    """Quarantine table ``pair_id, side, error``; pairs in it are left out of extraction."""
+    """Quarantine table ``pair_id, side, error`` of bad configs, bad entries and, if ``cross``, section faults."""
     out = layouts.filter("error IS NOT NULL").select(*KEY, "error").unionByName(
         specs.filter("error IS NOT NULL").select(*KEY, "error")
     )
     return out.unionByName(section_violations(specs).select(*KEY, "error")) if cross else out
+
+
+def missing_sheets(layouts: DataFrame, cells: DataFrame) -> DataFrame:
+    """Quarantine table ``pair_id, side, error`` of pairs whose laid-out sheet has no cells."""
+    seen = cells.select(*KEY, "sheet").distinct()
+    gone = layouts.join(seen, [*KEY, "sheet"], "left_anti")
+    return gone.select(*KEY, F.concat(F.lit("no sheet "), "sheet").alias("error"))
+
+
+def sound_specs(layouts: DataFrame, specs: DataFrame, cross: bool = False) -> DataFrame:
+    """``specs`` without the pairs that have a fault on either side: one bad entry fails its pair, not the job."""
+    bad = layout_errors(layouts, specs, cross).select("pair_id").distinct()
+    return specs.join(bad, "pair_id", "left_anti")

@@ -150,3 +150,18 @@ def test_covering_join_against_all_pairs(spark):
     s = spark.createDataFrame(spans, "k string, id int, lo int, hi int")
     got = {(x["k"], x["at"], x["id"]) for x in covering_join(p, s, ["k"], "at", "lo", "hi", "inner").collect()}
     assert got == {(k, at, i) for k, at in points for k2, i, lo, hi in spans if k == k2 and lo <= at <= hi}
+
+
+def test_faulty_pairs_are_kept_apart(spark):
+    """A bad entry on one side takes its pair out of extraction and leaves others alone."""
+    config = '{"sheetName": "S", "sectionRows": ["1:2-2"]}'
+    raw = spark.createDataFrame(
+        [("good", "prev", config), ("bad", "prev", config), ("bad", "curr", '{"sheetName": "S", "sectionRows": ["1:2-2", "x"]}'), ("gone", "prev", config)],
+        "pair_id string, side string, config string",
+    )
+    lay = layout.parse_layouts(raw, "risk")
+    specs = layout.section_specs(lay)
+    both = cells(spark, [(2, "C", "q")], pair="good").unionByName(cells(spark, [(2, "C", "q")], pair="bad"))
+    assert [r["pair_id"] for r in extract_risk(both, lay, specs).collect()] == ["good"]
+    assert [(r["pair_id"], r["side"]) for r in layout.layout_errors(lay, specs).collect()] == [("bad", "curr")]
+    assert sorted((r["pair_id"], r["side"]) for r in layout.missing_sheets(lay, both).collect()) == [("bad", "curr"), ("gone", "prev")]
