@@ -10,7 +10,7 @@ are never shuffled: tasks receive records and return one row per record.
 * Blocks up to ``max_rows`` records and ``max_chars`` characters per side are solved
   in one task each.
 * Larger blocks are scored in tiles of bounded size that spread over the cluster;
-  tiles return the two best partners of each record only. See ``_align_large``.
+  tiles return the two best partners of each record only. See ``align_large``.
 """
 
 from __future__ import annotations
@@ -19,12 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revdiff.functions.edits import similarity_matrix
 from revdiff.functions.text import normalize_text
-from revdiff.operators.ordering import ordinal
 from revdiff.sources.session import cut_lineage, task_slots
 
 SECTION_BONUS = 0.10
@@ -64,7 +63,7 @@ def _large_blocks(records: DataFrame, max_rows: int, max_chars: int) -> DataFram
     return per_side.filter((F.col("n") > max_rows) | (F.col("chars") > max_chars)).select("pair_id").distinct()
 
 
-def _scores(new: list[dict], old: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+def scores(new: list[dict], old: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     base = similarity_matrix([r["txt"] for r in new], [r["txt"] for r in old])
     bonus = np.zeros_like(base)
     for field, worth in (("section", SECTION_BONUS), ("number", NUMBER_BONUS)):
@@ -142,7 +141,7 @@ def _solve_block(new: list[dict], old: list[dict]) -> list[tuple]:
     old.sort(key=lambda r: r["ord"])
     out, used = [], set()
     if new and old:
-        base, adj = _scores(new, old)
+        base, adj = scores(new, old)
         for i, j in enumerate(best_assignment(adj)):
             if j >= 0 and adj[i, j] >= MATCH_THRESHOLD:
                 others = np.delete(base[i], j)
@@ -186,7 +185,7 @@ def _as_blocks(records: DataFrame) -> DataFrame:
     )
 
 
-def _align_small(records: DataFrame) -> DataFrame:
+def align_small(records: DataFrame) -> DataFrame:
     return _as_blocks(records).mapInArrow(_solve_batches, ALIGNMENT)
 
 
@@ -203,7 +202,7 @@ def align(
     ``ord`` is the record order and unique per side of a block. The result has one row
     per match (``n_ord`` and ``o_ord`` set) and one per unmatched record (the other
     side null). ``similarity`` and ``second_best`` are without bonuses. ``settled`` is
-    false only where ``_align_large`` could not prove the optimum.
+    false only where ``align_large`` could not prove the optimum.
 
     The inputs are read twice, first by an eager job that counts block sizes, so pass
     stored tables rather than long plans.
@@ -211,241 +210,9 @@ def align(
     records = _records(prev, curr)
     large = cut_lineage(_large_blocks(records, max_rows, max_chars))
     if large.isEmpty():
-        return _align_small(records)
-    small = _align_small(records.join(large, "pair_id", "left_anti"))
+        return align_small(records)
+    small = align_small(records.join(large, "pair_id", "left_anti"))
     big = cut_lineage(records.join(large, "pair_id", "left_semi"))
-    return small.unionByName(_align_large(big, max_core, max_chars, tile))
+    from revdiff.operators.align_large import align_large
 
-
-# ---------------------------------------------------------------- large blocks
-
-
-_CLASS = "struct(cid, txt, section, number, cnt)"
-_TOP = "pair_id string, is_new boolean, cid bigint, kind string, score double, partner bigint, partner_cnt bigint"
-
-
-def _classes(records: DataFrame) -> DataFrame:
-    """Collapse copies: records of a side that score alike, named by their first ``ord``."""
-    return records.groupBy("pair_id", "is_new", "txt", "section", "number").agg(
-        F.min("ord").alias("cid"), F.count(F.lit(1)).alias("cnt")
-    )
-
-
-def _tiles(classes: DataFrame, is_new: bool, tile: int, name: str) -> DataFrame:
-    """Arrays of at most ``tile`` classes; ``cid`` is unique, so a range of it bounds the array."""
-    return (
-        classes.filter(F.col("is_new") == is_new)
-        .groupBy("pair_id", F.floor(F.col("cid") / F.lit(tile)).alias(f"{name}_tile"))
-        .agg(F.collect_list(F.expr(_CLASS)).alias(name))
-    )
-
-
-def _tile_tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The two best partners of every class of a tile pair, by plain and by adjusted score."""
-    names = ["pair_id", "is_new", "cid", "kind", "score", "partner", "partner_cnt"]
-    types = [pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
-    schema = pa.schema(list(zip(names, types)))
-    for batch in batches:
-        for at in range(batch.num_rows):
-            unit = batch.slice(at, 1).to_pylist()[0]
-            base, adj = _scores(unit["new"], unit["old"])
-            rows = []
-            views = (("base", True, base), ("adj", True, adj), ("adj", False, adj.T))
-            for kind, is_new, scores in views:
-                mine, theirs = (unit["new"], unit["old"]) if is_new else (unit["old"], unit["new"])
-                # ties go to the partner that comes first
-                by_cid = np.argsort([r["cid"] for r in theirs], kind="stable")
-                order = by_cid[np.argsort(-scores[:, by_cid], axis=1, kind="stable")[:, :2]]
-                for i, cols in enumerate(order):
-                    for j in cols:
-                        rows.append((unit["pair_id"], is_new, mine[i]["cid"], kind, float(scores[i, j]),
-                                     theirs[j]["cid"], theirs[j]["cnt"]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], schema=schema)
-
-
-def top_two(classes: DataFrame, tile: int) -> DataFrame:
-    """Best and second-best partner class of every class, over its whole block.
-
-    Work units are tile pairs of equal bounded size, spread by (block, tile, tile), so a
-    hot block is split evenly. Each unit returns two rows per class.
-    """
-    new, old = _tiles(classes, True, tile, "new"), _tiles(classes, False, tile, "old")
-    old_ids = old.groupBy("pair_id").agg(F.collect_set("old_tile").alias("old_tiles"))
-    units = (
-        new.join(old_ids, "pair_id")
-        .withColumn("old_tile", F.explode("old_tiles"))
-        .drop("old_tiles")
-        .join(old, ["pair_id", "old_tile"])
-        .repartition(task_slots(classes.sparkSession), "pair_id", "old_tile", "new_tile")
-        .select("pair_id", "new", "old")
-    )
-    tops = units.mapInArrow(_tile_tops, _TOP)
-    best_first = Window.partitionBy("pair_id", "is_new", "cid", "kind").orderBy(F.desc("score"), "partner")
-    ranked = tops.withColumn("rn", F.row_number().over(best_first)).filter("rn <= 2")
-
-    def pick(kind: str, rn: int, col: str, out: str):
-        return F.max(F.when((F.col("kind") == kind) & (F.col("rn") == rn), F.col(col))).alias(out)
-
-    return ranked.groupBy("pair_id", "is_new", "cid").agg(
-        pick("adj", 1, "score", "best"),
-        pick("adj", 1, "partner", "partner"),
-        pick("adj", 2, "score", "second"),
-        pick("base", 1, "score", "base_best"),
-        pick("base", 1, "partner", "base_partner"),
-        pick("base", 1, "partner_cnt", "base_partner_cnt"),
-        pick("base", 2, "score", "base_second"),
-    )
-
-
-def _align_large(records: DataFrame, max_core: int, max_chars: int, tile: int) -> DataFrame:
-    """Exact alignment of blocks too large for one task, by rounds of safe decisions.
-
-    With classes A (current) and B (previous) that are each other's best, score w, and
-    next-best scores a and b: if ``w > a + b`` every optimum pairs min(|A|, |B|) of their
-    members, because swapping any other use of them gains ``w - a - b`` or more. Each
-    round fixes all such pairs and scores what is left again. A block is done when one
-    side is used up, when no remaining score reaches the threshold (nothing left could be
-    accepted), or when what remains has at most ``max_core`` records per side and is solved
-    in one task. A block that a
-    round leaves unchanged and too large is returned unmatched with ``settled = false``.
-    """
-    keys = ["pair_id", "is_new", "cid"]
-    live = cut_lineage(_classes(records).withColumn("used", F.lit(0).cast("bigint")))
-    first_tops = tops = cut_lineage(top_two(live, tile))
-    fixed_parts: list[DataFrame] = []
-    cores: list[DataFrame] = []
-    open_parts: list[DataFrame] = []
-    while True:
-        state = live.join(tops, keys, "left")
-        new = state.filter("is_new").select(
-            "pair_id", "cid", "partner", "best", F.coalesce("second", F.lit(0.0)).alias("n_second"),
-            F.col("cnt").alias("n_cnt"), F.col("used").alias("n_used"),
-        )
-        old = state.filter("NOT is_new").select(
-            "pair_id", F.col("cid").alias("o_cid"), F.col("partner").alias("o_partner"),
-            F.coalesce("second", F.lit(0.0)).alias("o_second"),
-            F.col("cnt").alias("o_cnt"), F.col("used").alias("o_used"),
-        )
-        fixed = cut_lineage(
-            new.join(
-                old,
-                (new["pair_id"] == old["pair_id"]) & (new["partner"] == old["o_cid"]) & (new["cid"] == old["o_partner"]),
-            )
-            .where(F.col("best") > F.col("n_second") + F.col("o_second"))
-            .select(
-                new["pair_id"], "cid", "o_cid", "n_used", "o_used", F.col("best").alias("adj"),
-                F.least("n_cnt", "o_cnt").alias("take"),
-            )
-        )
-        fixed_parts.append(fixed)
-        taken = fixed.select("pair_id", F.lit(True).alias("is_new"), "cid", "take").unionByName(
-            fixed.select("pair_id", F.lit(False).alias("is_new"), F.col("o_cid").alias("cid"), "take")
-        )
-        take = F.coalesce("take", F.lit(0))
-        live = cut_lineage(
-            live.join(taken, keys, "left")
-            .select(*keys, "txt", "section", "number", (F.col("cnt") - take).alias("cnt"), (F.col("used") + take).alias("used"))
-            .filter("cnt > 0")
-        )
-        size = lambda flag: F.sum(F.when(F.col("is_new") == flag, F.col("cnt")).otherwise(0))
-        chars = lambda flag: F.sum(
-            F.when(F.col("is_new") == flag, F.col("cnt") * F.length("txt")).otherwise(0)
-        )
-        sizes = live.groupBy("pair_id").agg(
-            size(True).alias("n"), size(False).alias("o"),
-            F.greatest(chars(True), chars(False)).alias("chars"),
-        ).filter("n > 0 AND o > 0")
-        progress = fixed.groupBy("pair_id").agg(F.count(F.lit(1)).alias("moved"))
-        fits = (F.greatest("n", "o") <= max_core) & (F.col("chars") <= max_chars)
-        state = cut_lineage(
-            sizes.join(progress, "pair_id", "left").select(
-                "pair_id", F.when(fits, "core").when(F.col("moved") > 0, "again").otherwise("open").alias("next")
-            )
-        )
-        cores.append(live.join(state.filter("next = 'core'"), "pair_id", "left_semi"))
-        again = live.join(state.filter("next IN ('again', 'open')"), "pair_id", "left_semi")
-        if state.filter("next IN ('again', 'open')").isEmpty():
-            break
-        tops = cut_lineage(top_two(again, tile))
-        reach = tops.groupBy("pair_id").agg(F.max("best").alias("top")).filter(F.col("top") >= MATCH_THRESHOLD)
-        again = again.join(reach, "pair_id", "left_semi")
-        open_parts.append(again.join(state.filter("next = 'open'"), "pair_id", "left_semi"))
-        live = cut_lineage(again.join(state.filter("next = 'again'"), "pair_id", "left_semi"))
-        if live.isEmpty():
-            break
-    return _assemble(records, first_tops, fixed_parts, cores, open_parts)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _assemble(records, first_tops, fixed_parts, cores, open_parts) -> DataFrame:
-    """From decisions on classes back to rows of records."""
-    classes = _classes(records).drop("cnt")
-    same = (
-        (records["pair_id"] == classes["pair_id"]) & (records["is_new"] == classes["is_new"])
-        & (records["txt"] == classes["txt"]) & records["section"].eqNullSafe(classes["section"])
-        & records["number"].eqNullSafe(classes["number"])
-    )
-    members = ordinal(records.join(classes, same).select(records["*"], "cid"), ["pair_id", "is_new", "cid"], "ord", "k")
-    members = cut_lineage(members)
-
-    fixed = _union(fixed_parts)
-    n_side = members.filter("is_new").join(fixed, ["pair_id", "cid"]).where("k > n_used AND k <= n_used + take")
-    n_side = n_side.select("pair_id", "cid", "o_cid", "o_used", F.col("ord").alias("n_ord"), "adj", (F.col("k") - F.col("n_used")).alias("at"))
-    o_side = members.filter("NOT is_new").select("pair_id", F.col("cid").alias("o_cid"), F.col("ord").alias("o_ord"), F.col("k").alias("o_k"))
-    n_side = n_side.withColumn("o_k", F.col("o_used") + F.col("at"))
-    by_class = n_side.join(o_side, ["pair_id", "o_cid", "o_k"]).select("pair_id", "n_ord", "o_ord", "adj")
-
-    core_classes = _union(cores).select("pair_id", "is_new", "cid", "used")
-    core_records = members.join(core_classes, ["pair_id", "is_new", "cid"]).where("k > used")
-    core = _align_small(core_records.select(*records.columns)).where("n_ord IS NOT NULL AND o_ord IS NOT NULL")
-    matched = by_class.unionByName(core.select("pair_id", "n_ord", "o_ord", "adj"))
-    matched = cut_lineage(matched.where(F.col("adj") >= MATCH_THRESHOLD))
-
-    n_cls = members.filter("is_new").select("pair_id", F.col("ord").alias("n_ord"), "cid", "txt", "section", "number")
-    o_cls = members.filter("NOT is_new").select(
-        "pair_id", F.col("ord").alias("o_ord"), F.col("cid").alias("o_cid"), F.col("txt").alias("o_txt")
-    )
-    tops = first_tops.filter("is_new").select("pair_id", "cid", "base_best", "base_partner", "base_partner_cnt", "base_second")
-    longer = F.greatest(F.length("txt"), F.length("o_txt"))
-    pairs = (
-        matched.join(n_cls, ["pair_id", "n_ord"]).join(o_cls, ["pair_id", "o_ord"]).join(tops, ["pair_id", "cid"], "left")
-        .select(
-            "pair_id", "n_ord", "o_ord",
-            F.when(F.col("txt") == F.col("o_txt"), F.lit(1.0))
-            .when(F.length("txt") * F.length("o_txt") == 0, F.lit(0.0))
-            .otherwise(F.lit(1.0) - F.levenshtein("txt", "o_txt").cast("double") / longer).alias("similarity"),
-            "adj",
-            F.when(
-                (F.col("base_partner") == F.col("o_cid")) & (F.col("base_partner_cnt") < 2), F.col("base_second")
-            ).otherwise(F.col("base_best")).alias("second_best"),
-            F.lit(True).alias("settled"),
-        )
-    )
-    blank = F.lit(None).cast("double")
-    rest = members.select("pair_id", "is_new", "ord", "cid")
-    unsettled = (
-        _union(open_parts).select("pair_id", "is_new", "cid", F.lit(False).alias("s"))
-        if open_parts
-        else rest.limit(0).select("pair_id", "is_new", "cid", F.lit(False).alias("s"))
-    )
-    rest = rest.join(unsettled, ["pair_id", "is_new", "cid"], "left").withColumn("settled", F.coalesce("s", F.lit(True)))
-
-    def unmatched(is_new: bool, mine: str, other: str) -> DataFrame:
-        left = rest.filter(F.col("is_new") == is_new).withColumnRenamed("ord", mine)
-        return left.join(matched, ["pair_id", mine], "left_anti").select(
-            "pair_id", mine, F.lit(None).cast("bigint").alias(other),
-            blank.alias("similarity"), blank.alias("adj"), blank.alias("second_best"), "settled",
-        )
-
-    columns = ["pair_id", "n_ord", "o_ord", "similarity", "adj", "second_best", "settled"]
-    return _union([
-        pairs.select(columns),
-        unmatched(True, "n_ord", "o_ord").select(columns),
-        unmatched(False, "o_ord", "n_ord").select(columns),
-    ])
+    return small.unionByName(align_large(big, max_core, max_chars, tile))
