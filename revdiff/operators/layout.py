@@ -39,7 +39,8 @@ def read_layouts(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def parse_layouts(raw: DataFrame, kind: str) -> DataFrame:
     """``raw(pair_id, side, config)`` to one row per layout; property names ignore case."""
-    fields = F.from_json("config", "map<string,string>")
+    raw = raw.select(*KEY, F.from_json("config", "map<string,string>").alias("fields"))  # parse once
+    fields = F.col("fields")
     defaults = DEFAULTS[kind]
 
     def value(name: str) -> Column:

@@ -26,6 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts. Fewer files than tasks would leave the per-row work to few
+    tasks, so the rows are spread then; a table of many files is read as it is."""
+    df = table(spark, sf_dir, name)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks) if len(df.inputFiles()) < tasks else df
+
+
 def reword(c: str) -> str:
     for old, new in REWORDED:
         c = f"replace({c}, '{old}', '{new}')"
@@ -51,7 +59,7 @@ def turns(spark: SparkSession, sf_dir: str, side: str | None = None) -> DataFram
         f"""SELECT CAST(conv_id AS STRING) pair_id, side, CAST(turn + 2 AS INT) row_num, CAST(turn AS INT) turn, role,
           CASE WHEN side = 'prev' THEN text WHEN role = 'system' THEN reverse(text) ELSE {reword("text")} END text
         FROM {{c}} LATERAL VIEW explode(array('prev', 'curr')) s AS side WHERE side = 'prev' OR length(text) >= {SHORT}""",
-        c=table(spark, sf_dir, "conversations"),
+        c=text_table(spark, sf_dir, "conversations"),
     )
     return both if side is None else both.filter(F.col("side") == side).drop("side")
 
@@ -142,7 +150,7 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         ) LATERAL VIEW explode(array('prev', 'curr')) s AS side
         LATERAL VIEW posexplode(IF(side = 'prev', lines, array_append(lines, 'Reviewed ' || lang || ' ' || source))) l AS pos, line
         WHERE side = 'prev' OR pos = size(lines) OR length(line) NOT BETWEEN 30 AND {SHORT}""",
-        d=table(spark, sf_dir, "documents"),
+        d=text_table(spark, sf_dir, "documents"),
     )
 
 
@@ -165,7 +173,7 @@ def control_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
             'v1', IF(side = 'prev', '500', CAST(length(lang) AS STRING)), 'v2', ''),
           named_struct('kind', 'cf', 'rule_ord', 0, 'r1', 2, 'r2', size(split(text, '\n')), 'type', 'CellIs', 'op', 'Equal', 'v1', lang, 'v2', NULL)
         )) w AS kind, rule_ord, r1, r2, type, op, v1, v2""",
-        d=table(spark, sf_dir, "documents"),
+        d=text_table(spark, sf_dir, "documents"),
     )
 
 
@@ -178,7 +186,7 @@ def control_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
           SELECT CAST(doc_id AS STRING) pair_id, side, size(split(text, '\n')) + IF(side = 'curr', 1, 0) n
           FROM {d} LATERAL VIEW explode(array('prev', 'curr')) s AS side
         )""",
-        d=table(spark, sf_dir, "documents"),
+        d=text_table(spark, sf_dir, "documents"),
     )
 
 
