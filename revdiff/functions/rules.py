@@ -40,7 +40,7 @@ CF_OPERATOR_WORDS = {
 }
 NO_RULE = "—"
 
-_SERIAL_EPOCH_MILLIS = -2209161600000  # 1899-12-30T00:00:00Z
+_DAY = 86_400_000  # milliseconds
 
 
 def _words(table: dict[str, str], key: Column) -> Column:
@@ -91,20 +91,21 @@ def cf_changed(old: Column, new: Column) -> Column:
 
 
 def serial_date(raw: Column, kind: Column) -> Column:
-    """Render a day-count serial as date, date and time, or time of day.
+    """Render a day-count serial as date, date and time, or time of day; no time zone is involved.
 
-    Rounded to milliseconds first: 45458.3958333333 is 09:30:00, not 09:29:59.
-    Text that is no number passes through, null gives ''.
+    Rounded to milliseconds first: 45458.3958333333 is 09:30:00, not 09:29:59. Below zero
+    the fraction still counts forward: -1.25 is 06:00 on the day before day zero. Text that
+    is no number, or no day in years 100 to 9999, passes through; null gives ''.
     """
-    serial = raw.try_cast("double")
-    ts = F.timestamp_millis(F.round(serial * 86400000).cast("bigint") + F.lit(_SERIAL_EPOCH_MILLIS))
-    time = F.date_format(ts, "HH:mm:ss")
-    day = F.date_format(ts, "yyyy-MM-dd")
-    shown = (
-        F.when(_is(kind, "Time"), time)
-        .when(ts == F.date_trunc("day", ts), day)
-        .otherwise(F.concat_ws(" ", day, time))
-    )
+    number = raw.try_cast("double")
+    serial = F.when((number > -657435) & (number < 2958466), number)
+    signed = F.round(serial * _DAY).cast("bigint")
+    millis = F.when(signed < 0, signed - (signed % _DAY) * 2).otherwise(signed)
+    days = F.floor(millis / F.lit(_DAY))
+    seconds = F.floor((millis - days * _DAY) / 1000)
+    clock = F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60)
+    day = F.date_add(F.lit("1899-12-30").cast("date"), days.cast("int")).cast("string")
+    shown = F.when(_is(kind, "Time"), clock).when(millis == days * _DAY, day).otherwise(F.concat_ws(" ", day, clock))
     dated = _is(kind, "Date") | _is(kind, "Time")
     return F.coalesce(F.when(dated & serial.isNotNull(), shown), raw, F.lit(""))
 

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def task_slots(spark: SparkSession) -> int:
-    """Partition count for stages whose work is compute, not bytes."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Partition count for stages whose work is compute, not bytes: four per core, so that
+    uneven partitions even out, and no fewer than a shuffle has."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(shuffle, min(4 * shuffle, 4 * spark.sparkContext.defaultParallelism))
 
 
 def scratch_dir(spark: SparkSession) -> str:

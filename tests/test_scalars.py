@@ -71,6 +71,8 @@ def test_cf_changed(spark, old, new, want):
     (("Time", "GreaterThan", "0.5"), "Time, greater than, 12:00:00"),
     (("Date", "EqualTo", "45458.3958333333"), "Date, equal to, 2024-06-15 09:30:00"),
     (("Date", "GreaterThan", "not-a-number"), "Date, greater than, not-a-number"),
+    (("Date", "LessThan", "-1.25"), "Date, less than, 1899-12-29 06:00:00"), (("Date", "LessThan", "9e9"), "Date, less than, 9e9"),
+    (("Time", "Between", "0.999999999", "0"), "Time, between, 00:00:00 and 00:00:00"),
     (("WholeNumber", "NotBetween", "1", "10"), "Whole number, not between, 1 and 10"),
     (("wholenumber", "EQUALTO", "1"), "Whole number, equal to, 1"),
     (("AnyValue",), "—"), ((None,), "—"), (("List",), "List"), (("List", None, '"A, B,,C"'), "List: A | B | C"),
