@@ -66,7 +66,7 @@ def extract_control(cells: DataFrame, layouts: DataFrame, sections: DataFrame) -
         .drop("chapter_rows", "section_rows")
     )
     # sections and headers are found by row number; question texts move once, in the last join
-    found = covering_join(points.select(*KEY, "row_num", "chapter_row"), good, KEY, "row_num", "first_row", "last_row", "inner")
+    found = covering_join(points.select(*KEY, "row_num", "chapter_row"), good, KEY, "row_num", "first_row", "last_row")
     first = F.min(F.col("sec_ord").cast("bigint") * _ROWS + F.col("section_row"))
     placed = found.groupBy(*KEY, "row_num", "chapter_row").agg((first % _ROWS).cast("int").alias("section_row"))
     heads = rows.filter(header)
@@ -105,7 +105,7 @@ def extract_risk(cells: DataFrame, layouts: DataFrame, sections: DataFrame) -> D
     rows = cut_lineage(rows)  # read again for the header texts
     points = rows.filter(~is_blank(F.col("text")))
     # sections and headers are found by row number; question texts move once, in the last join
-    placed = covering_join(points.select(*KEY, "row_num"), good, KEY, "row_num", "first_row", "last_row", "inner")
+    placed = covering_join(points.select(*KEY, "row_num"), good, KEY, "row_num", "first_row", "last_row")
     named = placed.join(_headers(rows, "section_row", "section"), [*KEY, "section_row"], "left")
     return points.join(named, [*KEY, "row_num"]).select(
         *KEY,

@@ -151,6 +151,55 @@ def word_diff(pairs: DataFrame, keys: list[str], old: str, new: str) -> DataFram
     )
 
 
+# ---------------------------------------------------------------- nested cells
+
+
+def _sorted_entries(order: list[str], entry: Column, when: Column, out: str) -> Column:
+    """Aggregate: the entries where ``when`` holds, as an array in ``order``."""
+    listed = F.array_sort(F.collect_list(F.when(when, F.struct(*order, entry.alias("entry")))))
+    return F.transform(listed, lambda x: x["entry"]).alias(out)
+
+
+def nest_cells(questions: DataFrame, cells: DataFrame) -> DataFrame:
+    """Adds ``answer_cells`` and ``explanation_cells`` to questions, by row offset, then layout column order.
+
+    A question holds at most its span times the layout's columns, so the arrays are small.
+    """
+    keys = ["pair_id", "side", "ord"]
+    rules = [dv_display(F.col("dv")).alias("dvDisplay"), cf_display(F.col("cf")).alias("cfDisplay")]
+    place = F.col("row_offset").alias("rowOffset")
+    order = ["row_offset", "col_ord"]
+    lists = cells.groupBy(*keys).agg(
+        _sorted_entries(order, F.struct(place, F.col("col").alias("column"), "text", *rules), F.col("kind") == "answer", "answer_cells"),
+        _sorted_entries(order, F.struct(place, "text", *rules), F.col("kind") == "explanation", "explanation_cells"),
+    )
+    return _with_lists(questions, lists, keys, ["answer_cells", "explanation_cells"])
+
+
+def nest_changes(diff: DataFrame, answer_changes: DataFrame, explanation_changes: DataFrame) -> DataFrame:
+    """Adds ``answer_cell_changes`` and ``explanation_cell_changes`` to a question diff, by offset, then column name."""
+    keys = ["pair_id", "n_ord", "o_ord"]
+    for changes, out, order in (
+        (answer_changes, "answer_cell_changes", ["row_offset", "col"]),
+        (explanation_changes, "explanation_cell_changes", ["row_offset"]),
+    ):
+        fields = [F.col("row_offset").alias("rowOffset")]
+        if "col" in order:
+            fields.append(F.col("col").alias("column"))
+        fields += [F.col("prev.text").alias("oldText"), F.col("curr.text").alias("newText")]
+        for rule, show in (("dv", dv_display), ("cf", cf_display)):
+            fields += [show(F.col(f"{side}.{rule}")).alias(f"{name}{rule.capitalize()}Display") for side, name in (("prev", "old"), ("curr", "new"))]
+        fields += [F.col(f"{f}_changed").alias(f"{f}Changed") for f in ("text", "dv", "cf")]
+        lists = changes.groupBy(*keys).agg(_sorted_entries(order, F.struct(*fields), F.lit(True), out))
+        diff = _with_lists(diff, lists, keys, [out])
+    return diff
+
+
+def _with_lists(df: DataFrame, lists: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    joined = df.join(lists, keys, "left")
+    return joined.withColumns({n: F.coalesce(n, F.array().cast(lists.schema[n].dataType)) for n in names})
+
+
 # ---------------------------------------------------------------- payload
 
 
@@ -204,8 +253,9 @@ def _entry(diff: DataFrame) -> Column:
         if extra in diff.columns:
             words = extra.split("_")
             cols.append(F.when(changed, F.col(extra)).alias(words[0] + "".join(w.capitalize() for w in words[1:])))
-    if "row_labels" in fields:
-        cols.append(F.when(single, one.getField("row_labels")).alias("rowNumberLabels"))
+    for name, label in (("row_labels", "rowNumberLabels"), ("answer_cells", "answerCells"), ("explanation_cells", "explanationCells")):
+        if name in fields:
+            cols.append(F.when(single, one.getField(name)).alias(label))
     return F.struct(*cols)
 
 

@@ -63,7 +63,7 @@ def attach_rules(cells: DataFrame, rules: DataFrame) -> DataFrame:
     rank = (F.col("rule_ord").cast("bigint") * _RANGES + F.col("range_ord")).alias("rank")
     inside = F.col("a.col_idx").between(F.col("s.c1"), F.col("s.c2"))
     where = rules.select(*SHEET, "kind", rank, "r1", "c1", "r2", "c2")
-    covered = covering_join(cells.select(*CELL), where, SHEET, "row_num", "r1", "r2", "inner", inside)
+    covered = covering_join(cells.select(*CELL), where, SHEET, "row_num", "r1", "r2", inside)
     first = covered.groupBy(*CELL).agg(
         *[F.min(F.when(F.col("kind") == kind, F.col("rank"))).alias(f"{kind}_rank") for kind in ("dv", "cf")]
     )

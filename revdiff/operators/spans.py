@@ -19,7 +19,6 @@ def covering_join(
     at: str,
     lo: str,
     hi: str,
-    how: str = "left",
     extra: Column | None = None,
 ) -> DataFrame:
     """Join each point to every span of its key with ``lo <= at <= hi``.
@@ -27,9 +26,8 @@ def covering_join(
     A span of length up to 2**k lies in at most two bins of width 2**k, so spans are
     filed under (k, bin) and points look up one bin for each k that occurs under their
     key. The join is on (key, k, bin): a hot key spreads over its bins, and a point
-    meets few spans that do not cover it. ``extra`` is one more join condition.
-
-    Points without a span appear with nulls for ``how='left'``, once per k of the key.
+    meets few spans that do not cover it. ``extra`` is one more join condition, over aliases
+    ``a`` (points) and ``s`` (spans). Points without a span drop out.
     """
     names = [c for c in spans.columns if c not in keys]
     level = F.ceil(F.log2(F.col(hi) - F.col(lo) + F.lit(1))).cast("int")
@@ -41,10 +39,9 @@ def covering_join(
         .drop("_w")
     )
     levels = filed.groupBy(*keys).agg(F.collect_set("_k").alias("_ks"))
-    explode = F.explode_outer if how == "left" else F.explode
     asked = (
-        points.join(levels, list(keys), how)
-        .withColumn("_k", explode("_ks"))
+        points.join(levels, list(keys))
+        .withColumn("_k", F.explode("_ks"))
         .withColumn("_b", F.floor(F.col(at) / _width(F.col("_k"))))
         .drop("_ks")
     )
@@ -55,4 +52,4 @@ def covering_join(
     if extra is not None:
         cond = cond & extra
     kept = [F.col(f"a.{c}") for c in points.columns] + [F.col(f"s.{c}") for c in names]
-    return a.join(s, cond, how).select(*kept)
+    return a.join(s, cond).select(*kept)

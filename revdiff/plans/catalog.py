@@ -294,7 +294,7 @@ def interval_first(spark: SparkSession, sf: str) -> DataFrame:
     points = table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("key"), F.col("l_quantity").cast("int").alias("at")
     ).groupBy("key", "at").agg(F.count(F.lit(1)).alias("items"))
-    found = spans.covering_join(points, bands, ["key"], "at", "lo", "hi", "inner")
+    found = spans.covering_join(points, bands, ["key"], "at", "lo", "hi")
     return found.groupBy("key", "at", "items").agg(F.min("band").alias("band"))
 
 
@@ -499,8 +499,10 @@ def cell_diff_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _cell_diff(spark, sf, "full").groupBy("pair_id", "status").agg(F.count(F.lit(1)).alias("cells"))
 
 
-def _general(spark: SparkSession, sf: str):
+def _general(spark: SparkSession, sf: str, nested: bool = False):
     questions, cells = (cut_lineage(t) for t in corpus.general_questions(spark, sf))
+    if nested:
+        questions = cut_lineage(report.nest_cells(questions, cells))
     prev, curr = split_sides(questions)
     alignment = cut_lineage(align(prev, curr))
     changes = {k: diff.question_cell_changes(*split_sides(cells), alignment, k) for k in ("answer", "explanation")}
@@ -538,6 +540,15 @@ def general_question_diff(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def general_report_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """Report entries with their nested cells and cell changes."""
+    prev, curr, alignment, changes = _general(spark, sf, nested=True)
+    changes = {k: cut_lineage(c) for k, c in changes.items()}
+    flags = diff.cells_changed_flags(changes["answer"], changes["explanation"])
+    d = diff.diff_records(prev, curr, alignment, diff.GENERAL_FLAGS, flags)
+    return report.report_payload(cut_lineage(report.nest_changes(d, changes["answer"], changes["explanation"])))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -552,5 +563,6 @@ QUERIES = {
         search_rows, word_diff, word_diff_counts, report_payload, write_tables, ingest_cells,
         cell_diff_value, cell_diff_full, cell_diff_summary,
         answer_cell_diff, explanation_cell_diff, cells_changed_flag, general_question_diff,
+        general_report_payload,
     )
 }

@@ -148,7 +148,7 @@ def test_covering_join_against_all_pairs(spark):
     spans = [(r.choice("ab"), i, lo, lo + r.choice([0, 1, 7, 200, 2500])) for i, lo in enumerate(r.sample(range(1, 2500), 50))]
     p = spark.createDataFrame(points, "k string, at int")
     s = spark.createDataFrame(spans, "k string, id int, lo int, hi int")
-    got = {(x["k"], x["at"], x["id"]) for x in covering_join(p, s, ["k"], "at", "lo", "hi", "inner").collect()}
+    got = {(x["k"], x["at"], x["id"]) for x in covering_join(p, s, ["k"], "at", "lo", "hi").collect()}
     assert got == {(k, at, i) for k, at in points for k2, i, lo, hi in spans if k == k2 and lo <= at <= hi}
 
 

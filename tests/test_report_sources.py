@@ -105,6 +105,29 @@ def test_report_payload(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 4
 
 
+def test_general_payload_nests_cells(spark):
+    schema = f"pair_id string, side string, ord bigint, kind string, row_offset int, col string, col_ord int, text string, dv {RULE_DV}, cf {RULE_CF}"
+    rows = []
+    for side, texts in (("prev", ["x", "y", "gone"]), ("curr", ["x", "z", None])):
+        places = [(1, "D", 1), (0, "F", 3), (0, "E", 2)]
+        rows += [("p", side, 1, "answer", o, c, k, t, None, None) for (o, c, k), t in zip(places, texts) if t]
+        rows.append(("p", side, 1, "explanation", 0, "G", 0, "why", None, None))
+    cells = spark.createDataFrame(rows, schema)
+    base = spark.createDataFrame([("p", s, 1, "S", "1", "text", 5, ["1", ""]) for s in ("prev", "curr")],
+                                 "pair_id string, side string, ord bigint, section string, number string, text string, row_num int, row_labels array<string>")
+    nested = cut_lineage(report.nest_cells(base, cells))
+    sides = [nested.filter(F.col("side") == s) for s in ("prev", "curr")]
+    assert [(c["rowOffset"], c["column"]) for c in sides[0].first()["answer_cells"]] == [(0, "E"), (0, "F"), (1, "D")]
+    alignment = align(*sides)
+    changes = [diff.question_cell_changes(*[cells.filter(F.col("side") == s) for s in ("prev", "curr")], alignment, k) for k in ("answer", "explanation")]
+    d = diff.diff_records(*sides, alignment, diff.GENERAL_FLAGS, diff.cells_changed_flags(*changes))
+    entry = json.loads(report.report_payload(cut_lineage(report.nest_changes(d, *changes))).first()["payload"])[0]
+    assert [(c["rowOffset"], c["column"], c.get("oldText"), c.get("newText")) for c in entry["answerCellChanges"]] == [
+        (0, "E", "gone", None), (0, "F", "y", "z"),
+    ]
+    assert entry["explanationCellChanges"] == [] and entry["answerCellsChanged"] and not entry["explanationCellsChanged"]
+
+
 def test_payload_parts_keep_order(spark):
     curr = question(spark, [("p", i, f"{i}" * 3) for i in range(1, 24)])
     prev = question(spark, [])
