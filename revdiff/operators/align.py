@@ -156,16 +156,26 @@ def _solve_block(new: list[dict], old: list[dict]) -> list[tuple]:
     return out
 
 
+_FIELDS = [("pair_id", pa.string()), ("n_ord", pa.int64()), ("o_ord", pa.int64()), ("similarity", pa.float64()),
+           ("adj", pa.float64()), ("second_best", pa.float64()), ("settled", pa.bool_())]
+_OUT_ROWS = 10_000
+
+
 def _solve_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fields = [("pair_id", pa.string()), ("n_ord", pa.int64()), ("o_ord", pa.int64()), ("similarity", pa.float64()),
-              ("adj", pa.float64()), ("second_best", pa.float64()), ("settled", pa.bool_())]
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, type=t) for c, (_, t) in zip(zip(*rows), _FIELDS)]
+        return pa.RecordBatch.from_arrays(columns, schema=pa.schema(_FIELDS))
+
+    rows: list[tuple] = []
     for batch in batches:
         for at in range(batch.num_rows):
             block = batch.slice(at, 1).to_pylist()[0]
-            rows = [(block["pair_id"], *r, True) for r in _solve_block(block["new"], block["old"])]
-            if rows:
-                columns = [pa.array(c, type=t) for c, (_, t) in zip(zip(*rows), fields)]
-                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
+            rows.extend((block["pair_id"], *r, True) for r in _solve_block(block["new"], block["old"]))
+            if len(rows) >= _OUT_ROWS:
+                yield packed(rows)
+                rows = []
+    if rows:
+        yield packed(rows)
 
 
 def _as_blocks(records: DataFrame) -> DataFrame:
