@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import functions as F
 
-from revdiff.llm import packing, quality, token_counts
-from revdiff.llm import oracle
+from revdiff.llm import near_dup, oracle, packing, quality, token_counts
 from revdiff.llm.common import read
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +14,10 @@ def op1_token_counts(spark, sf_dir):
     return token_counts.token_counts(read(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op8_near_duplicates(spark, sf_dir):
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents")).drop("h1", "h2")
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
@@ -24,5 +26,5 @@ def op4_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_packing, op8_near_duplicates, op10_quality_rules)}
 SQL = dict(oracle.SQL)

@@ -74,7 +74,7 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         place = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
         byte = data[a + np.repeat(start[first:last] - a, lengths) + place].astype(np.int64)
         value = _TABLE[byte + (place % _PLACES) * 256]
-        if far := lengths.max() > _PLACES:
+        if lengths.max() > _PLACES:
             far = place >= _PLACES
             value[far] = mix(value[far] + (place[far] // _PLACES).astype(np.uint64))
         out[first:last] = mix(np.add.reduceat(value, ends - lengths) + lengths.astype(np.uint64))
