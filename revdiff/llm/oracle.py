@@ -42,4 +42,32 @@ judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words base_fa
 SELECT *, NOT base_failed AND n_words - common_words >= 50 AND n_words - common_words >= 0.5 * n_words kept FROM judged
 """
 
-SQL = {"op10_quality_rules": QUALITY}
+MIX = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT size,
+    ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT ticket
+  FROM documents
+),
+s AS (SELECT source, sum(size)::BIGINT words, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 weight FROM d GROUP BY source),
+o AS (
+  SELECT *, sum(words) OVER ()::BIGINT total, sum(weight) OVER ()::BIGINT weights,
+    coalesce(sum(3 * words) OVER before, 0)::BIGINT stopped, coalesce(sum(weight) OVER before, 0)::BIGINT stopped_weight
+  FROM s WINDOW before AS (ORDER BY 3 * words / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+cut AS (
+  SELECT stopped, stopped_weight FROM o WHERE 3 * words * (weights - stopped_weight) > (total - stopped) * weight ORDER BY stopped LIMIT 1
+),
+t AS (
+  SELECT o.source, words, CASE
+    WHEN (SELECT count(*) FROM cut) = 0 OR o.stopped < cut.stopped THEN (3 * words)::DOUBLE
+    ELSE ((total - cut.stopped) * weight)::DOUBLE / (weights - cut.stopped_weight)::DOUBLE END target
+  FROM o LEFT JOIN cut ON true
+),
+f AS (SELECT *, floor(target + 0.5)::BIGINT flow FROM t),
+c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ticket, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT start FROM d)
+SELECT doc_id, size, words source_size, target,
+  CASE WHEN words = 0 THEN 0 ELSE flow // words * size + greatest(0, least(flow % words - start, size)) END::BIGINT taken
+FROM c JOIN f ON c.source IS NOT DISTINCT FROM f.source
+"""
+
+SQL = {"op2_source_mix": MIX, "op10_quality_rules": QUALITY}
