@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from revdiff.llm import mixing, near_dup, oracle, packing, quality, token_counts
+from revdiff.llm import mixing, near_dup, oracle, packing, pii, quality, token_counts
 from revdiff.llm.common import read
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,10 @@ def op2_source_mix(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents")).drop("sources")
 
 
+def op3_personal_data(spark, sf_dir):
+    return pii.digest(pii.find(read(spark, sf_dir, "documents")))
+
+
 def op8_near_duplicates(spark, sf_dir):
     return near_dup.near_duplicates(read(spark, sf_dir, "documents")).drop("h1", "h2")
 
@@ -30,5 +34,5 @@ def op4_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op4_packing, op8_near_duplicates, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_personal_data, op4_packing, op8_near_duplicates, op10_quality_rules)}
 SQL = dict(oracle.SQL)
