@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from revdiff.llm import licenses
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 QUALITY = rf"""
@@ -70,4 +72,4 @@ SELECT doc_id, size, words source_size, target,
 FROM c JOIN f ON c.source IS NOT DISTINCT FROM f.source
 """
 
-SQL = {"op2_source_mix": MIX, "op10_quality_rules": QUALITY}
+SQL = {"op9_license_scan": licenses.scan_sql("documents"), "op2_source_mix": MIX, "op10_quality_rules": QUALITY}
