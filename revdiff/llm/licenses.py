@@ -86,7 +86,7 @@ HINT = "licen[cs]e|permission|redistribut|copyright|spdx|software|warrant|in no
 # or both lines are in capitals.
 # Comment marks at the start of lines go first; \x1e marks the ends.
 CUTS = [
-    (r"\r\n?", "\n"), (r"([sS][pP][dD][xX]-[A-Za-z]+-[A-Za-z]+):", r"\1"), (r"(^|\n)[ \t]*(?://+|/\*+|\*+/|\*+|#+|--|<!--)[ \t]*", r"\1"), (r"\n[ \t]*\n\s*", "\x1e"), (r"\s+(https?://)", "\x1e\\1"),
+    (r"\r\n?", "\n"), (r"([sS][pP][dD][xX]-[A-Za-z]+-[A-Za-z]+):[ \t]*([A-Za-z0-9.+-]+)", "\\1 \\2\x1e"), (r"(^|\n)[ \t]*(?://+|/\*+|\*+/|\*+|#+|--|<!--)[ \t]*", r"\1"), (r"\n[ \t]*\n\s*", "\x1e"), (r"\s+(https?://)", "\x1e\\1"),
     (r"([A-Z,;])[ \t]*\n[ \t]*([A-Z][A-Z])", r"\1 \2"), (r"(;)[ \t]*\n", "\\1\x1e"), (r"([.!?:])\s+", "\\1\x1e"), (r"\n([ \t]*[^a-z(\"\s])", "\x1e\\1"),
 ]
 # Of a lower-case sentence: keep letters, digits and marks inside names; drop articles and "version"; one word for each way of licensing.
