@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revdiff.llm import licenses
+from revdiff.llm import chat, licenses
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -72,4 +72,26 @@ SELECT doc_id, size, words source_size, target,
 FROM c JOIN f ON c.source IS NOT DISTINCT FROM f.source
 """
 
-SQL = {"op9_license_scan": licenses.scan_sql("documents"), "op2_source_mix": MIX, "op10_quality_rules": QUALITY}
+def _chat() -> str:
+    def escaped(c):
+        out = f"replace({c}, chr(92), chr(92) || chr(92))"
+        for x in chat.CONTROL:
+            out = f"replace({out}, '{x}', '{x[0]}' || chr(92) || '{x[1:]}')"
+        return out
+
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') role, coalesce(text, '') text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+),
+g AS (
+  SELECT conv_id, count(*) n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) turns,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = '{chat.TRAINED}'), '') loss,
+    sum(length({escaped("role")}) + length({escaped("text")}) + {len("<||>") + 1 + len(chat.END)})::BIGINT formatted_chars
+  FROM c GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) turns_sha256, length(loss) loss_chars, sha256(loss) loss_sha256, formatted_chars FROM g
+"""
+
+
+SQL = {"op6_chat_trees": _chat(), "op9_license_scan": licenses.scan_sql("documents"), "op2_source_mix": MIX, "op10_quality_rules": QUALITY}

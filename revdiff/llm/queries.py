@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from revdiff.llm import langid, licenses, mixing, near_dup, oracle, packing, pii, quality, token_counts
+from revdiff.llm import chat, langid, licenses, mixing, near_dup, oracle, packing, pii, quality, token_counts
 from revdiff.llm.common import read
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,13 @@ def op5_language_id(spark, sf_dir):
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op6_chat_trees(spark, sf_dir):
+    marked = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+    convs = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    nodes, ends = chat.format_conversations(convs.union(spark.createDataFrame(marked, convs.schema)))
+    return ends.join(chat.read_back(nodes), ["sequence_id", "start"]).drop("sequence_id", "start")
+
+
 def op8_near_duplicates(spark, sf_dir):
     return near_dup.near_duplicates(read(spark, sf_dir, "documents")).drop("h1", "h2")
 
@@ -42,5 +49,5 @@ def op4_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_personal_data, op4_packing, op5_language_id, op8_near_duplicates, op9_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_personal_data, op4_packing, op5_language_id, op6_chat_trees, op8_near_duplicates, op9_license_scan, op10_quality_rules)}
 SQL = dict(oracle.SQL)
