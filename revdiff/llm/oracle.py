@@ -94,4 +94,18 @@ SELECT conv_id, n_turns, sha256(turns) turns_sha256, length(loss) loss_chars, sh
 """
 
 
-SQL = {"op6_chat_trees": _chat(), "op9_license_scan": licenses.scan_sql("documents"), "op2_source_mix": MIX, "op10_quality_rules": QUALITY}
+TOP_K = """
+WITH v AS (
+  SELECT vec_id id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)) v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id
+),
+s AS (
+  SELECT q.id query_id, c.id vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0)))::BIGINT score
+  FROM v q, v c WHERE q.id % 50 = 0 AND c.id <> q.id
+)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER rank FROM s) WHERE rank <= 5
+"""
+
+SQL = {"op7_top_k": TOP_K, "op6_chat_trees": _chat(), "op9_license_scan": licenses.scan_sql("documents"), "op2_source_mix": MIX, "op10_quality_rules": QUALITY}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from revdiff.llm import chat, langid, licenses, mixing, near_dup, oracle, packing, pii, quality, token_counts
+from revdiff.llm import chat, langid, licenses, mixing, near_dup, oracle, packing, pii, quality, search, token_counts
 from revdiff.llm.common import read
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -33,6 +33,10 @@ def op6_chat_trees(spark, sf_dir):
     return ends.join(chat.read_back(nodes), ["sequence_id", "start"]).drop("sequence_id", "start")
 
 
+def op7_top_k(spark, sf_dir):
+    return search.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op8_near_duplicates(spark, sf_dir):
     return near_dup.near_duplicates(read(spark, sf_dir, "documents")).drop("h1", "h2")
 
@@ -49,5 +53,5 @@ def op4_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_personal_data, op4_packing, op5_language_id, op6_chat_trees, op8_near_duplicates, op9_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_personal_data, op4_packing, op5_language_id, op6_chat_trees, op7_top_k, op8_near_duplicates, op9_license_scan, op10_quality_rules)}
 SQL = dict(oracle.SQL)
