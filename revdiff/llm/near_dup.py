@@ -31,7 +31,7 @@ from revdiff.llm.graph import components
 
 SHINGLE = 5
 BANDS, ROWS = 32, 5  # a pair at 0.8 shares no band with probability 3e-6
-#: A bucket of more rows is split by a second shared band before its pairs are listed.
+#: A bucket of more rows is cut finer by a second shared band before its pairs are listed.
 BUCKET = 16
 #: Fingerprint tables of so many rows are sent to every task; longer ones are joined by shuffle.
 SMALL = 200_000
@@ -123,7 +123,7 @@ def band_hashes(marks: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.n
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, batch_bytes: int = 1 << 20) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, batch_bytes: int = 1 << 19) -> DataFrame:
     """``id, h1, h2, key, bands`` of every row; ``h1, h2`` find its text again, ``key`` is its word sequence's."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).selectExpr("id", "text", "xxhash64(text) h1", "hash(text) h2")
     schema = T.StructType([
@@ -144,8 +144,8 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, batch_bytes: int =
     return rows.mapInArrow(sign, schema)
 
 
-def _shingle_rows(rows: DataFrame, batch_bytes: int = 1 << 20) -> DataFrame:
-    """``key, elements, weights`` (as bytes, ordered by element) of ``rows(key, text)``."""
+def _shingle_rows(rows: DataFrame, batch_bytes: int = 1 << 19) -> DataFrame:
+    """``key, elements, weights`` (as bytes, ordered by element) and ``mass`` of ``rows(key, text)``."""
 
     def cut(batches):
         for batch in byte_slices(batches, 1, batch_bytes):
@@ -155,9 +155,10 @@ def _shingle_rows(rows: DataFrame, batch_bytes: int = 1 << 20) -> DataFrame:
             element, weight = s.hash.astype("<u8"), s.weight.astype("<u4")
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([element[a:b].tobytes() for a, b in at], pa.binary()), pa.array([weight[a:b].tobytes() for a, b in at], pa.binary()),
-            ], names=["key", "elements", "weights"])
+                pa.array([int(weight[a:b].sum()) for a, b in at], pa.int64()),
+            ], names=["key", "elements", "weights", "mass"])
 
-    return rows.mapInArrow(cut, "key binary, elements binary, weights binary")
+    return rows.mapInArrow(cut, "key binary, elements binary, weights binary, mass long")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -167,90 +168,151 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / (a[1].sum(dtype=np.int64) + b[1].sum(dtype=np.int64) - both)
 
 
-def _verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose similarity reaches the threshold."""
-    of_b = pairs.join(shingles.toDF("b", "eb", "wb"), "b")
-    joined = of_b.join(shingles.toDF("a", "ea", "wa"), "a").select("a", "b", "ea", "wa", "eb", "wb")
+def _compared(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, similar`` of ``pairs(a, b)``, and what ``b`` has beside ``a``: ``rest``, ``rest_weights``."""
+    of_b = pairs.join(shingles.select(F.col("key").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb")), "b")
+    of_a = shingles.select(F.col("key").alias("a"), F.col("elements").alias("ea"), F.col("weights").alias("wa"))
+    joined = of_b.join(of_a, "a").select("a", "b", "ea", "wa", "eb", "wb")
+    names = ["a", "b", "similar", "rest", "rest_weights"]
 
     def compare(batches):
         last, left = None, None  # a join leaves equal ``a`` together
         for batch in batches:
-            kept = []
-            ids, others = batch.column(0), batch.column(1)
+            similar, rest, weights = [], [], []
             for n in range(batch.num_rows):
                 ea, wa, eb, wb = (batch.column(c)[n].as_buffer() for c in range(2, 6))
-                if ids[n] != last:
-                    last, left = ids[n], (np.frombuffer(ea, "<u8"), np.frombuffer(wa, "<u4"))
-                if similarity(left, (np.frombuffer(eb, "<u8"), np.frombuffer(wb, "<u4"))) >= threshold:
-                    kept.append(n)
-            at = pa.array(kept, pa.int32())
-            yield pa.RecordBatch.from_arrays([ids.take(at), others.take(at)], names=["a", "b"])
+                if batch.column(0)[n] != last:
+                    last, left = batch.column(0)[n], (np.frombuffer(ea, "<u8"), np.frombuffer(wa, "<u4"))
+                right = np.frombuffer(eb, "<u8"), np.frombuffer(wb, "<u4")
+                similar.append(bool(similarity(left, right) >= threshold))
+                own = ~np.isin(right[0], left[0], assume_unique=True)
+                rest.append(right[0][own].view("<i8"))
+                weights.append(right[1][own].astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(similar, pa.bool_()), pa.array(rest, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.int64()))],
+                names=names,
+            )
+
+    return joined.mapInArrow(compare, "a binary, b binary, similar boolean, rest array<long>, rest_weights array<long>")
+
 
-    return joined.mapInArrow(compare, "a binary, b binary")
+def _unshared(checked: DataFrame, keys: DataFrame, shingles: DataFrame) -> DataFrame:
+    """``key, alone``: the weight of those shingles of each node in ``keys`` that no other node there can have.
+
+    A node's shingles are those of the leader that it was compared with, and its rest. So a shingle
+    of a rest that is in no other rest and in no leader is its node's alone; only rests and leaders
+    are counted, not all nodes."""
+    least = F.min_by(F.struct("a", "rest", "rest_weights"), F.size("rest")).alias("m")
+    own = cut_lineage(checked.join(keys.select(F.col("key").alias("b")), "b").groupBy("b").agg(least).select("b", "m.*"))
+
+    def elements(batches):
+        for batch in batches:
+            for e in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(e.as_buffer(), "<i8"))], names=["x"])
 
+    leaders = own.select(F.col("a").alias("key")).distinct().join(shingles.select("key", "elements"), "key").select("elements")
+    rests = own.select("b", F.inline(F.arrays_zip("rest", "rest_weights")).alias("x", "w"))
+    every = rests.select("x", "b", "w").union(leaders.mapInArrow(elements, "x long").select("x", F.lit(None).cast("binary"), F.lit(0).cast("long")))
+    single = every.groupBy("x").agg(F.count("*").alias("n"), F.min("b").alias("key"), F.min("w").alias("w")).filter("n = 1 AND key IS NOT NULL")
+    return single.groupBy("key").agg(F.sum("w").alias("alone"))
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of ``members(bucket, key, comp, bands)`` that share a bucket and differ in component.
 
-    A bucket with more than ``BUCKET`` rows of several components is cut finer by another band
-    that its rows share: a pair at the threshold shares about ten bands. After two cuts what is
-    left is listed whatever its size, so no bucket is dropped."""
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows ``(bucket, key, comp, mass, shared, ...)`` that can still link two components.
+
+    With a similarity of 4/5, two nodes share at least 4/9 of their masses' sum; none shares more
+    than its ``shared`` mass, and none has less mass than the bucket's smallest."""
+    lowest = rows.groupBy("bucket").agg(F.min("mass").alias("lowest"))
+    able = rows.join(lowest, "bucket").filter("9 * shared >= 4 * (mass + lowest)").drop("lowest")
+    open_ = able.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
+    return able.join(open_, "bucket")
+
+
+def _cross_pairs(rows: DataFrame, bands: DataFrame) -> DataFrame:
+    """Pairs of ``rows`` that share a bucket, differ in component and may reach the threshold.
+
+    A bucket of more than ``BUCKET`` rows is cut finer by another band that its rows share: a
+    pair at the threshold shares about ten bands. After two cuts what is left is listed whatever
+    its size, so no bucket is dropped."""
     out = None
     for cuts in (0, 1, 2):
-        stats = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        open_ = stats.filter("lo <> hi").select("bucket", "n")
-        small = open_.filter(F.col("n") <= BUCKET) if cuts < 2 else open_
-        rows = members.join(small.select("bucket"), "bucket").select("bucket", "key", "comp")
-        x, y = rows.alias("x"), rows.alias("y")
-        pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")))
-        pairs = pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
+        small = sizes.filter(F.col("n") <= BUCKET) if cuts < 2 else sizes
+        own = rows.join(small.select("bucket"), "bucket")
+        x, y = own.alias("x"), own.alias("y")
+        apart = (F.col("x.key") < F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
+        enough = 9 * F.least("x.shared", "y.shared") >= 4 * (F.col("x.mass") + F.col("y.mass"))
+        pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & apart & enough).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
         out = pairs if out is None else out.union(pairs)
-        if cuts < 2:
-            big = members.join(open_.filter(F.col("n") > BUCKET).select("bucket"), "bucket")
-            finer = big.withColumn("band", F.explode("bands")).withColumn("finer", F.xxhash64("bucket", "band"))
-            members = cut_lineage(finer.select(F.col("finer").alias("bucket"), "key", "comp", "bands"))
-            if members.isEmpty():
-                break
+        big = rows.join(sizes.filter(F.col("n") > BUCKET).select("bucket"), "bucket")
+        if cuts == 2 or big.isEmpty():
+            break
+        finer = big.join(bands, "key").withColumn("band", F.explode("bands")).withColumn("bucket", F.xxhash64("bucket", "band"))
+        rows = cut_lineage(_open(finer.select("bucket", "key", "comp", "mass", "shared")))
     return out.distinct()
 
 
+def _links(members: DataFrame, shingles: DataFrame, bands: DataFrame, threshold: float) -> DataFrame:
+    """Links ``(a, b)`` that connect what the whole graph of similar pairs connects.
+
+    In each bucket the most central node leads: the one whose buckets hold most rows, as a rule
+    the text that others were made from. All others are compared with it, then with a second
+    leader where components are left. Nodes whose unshared shingles rule out any further link
+    leave; pairs of what remains are compared one by one."""
+    checked, label, rows = None, None, members.withColumn("comp", F.col("key")).withColumn("shared", F.col("mass"))
+    for turn in (1, 2):
+        first = F.max(F.struct("central", "key", "comp")).alias("top")
+        leaders = rows.groupBy("bucket").agg(first).select("bucket", F.col("top.key").alias("leader"), F.col("top.comp").alias("led"))
+        met = rows.join(leaders, "bucket").filter("key <> leader")
+        pairs = met.filter("comp <> led").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+        if checked is not None:
+            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        done = cut_lineage(_compared(pairs, shingles, threshold))
+        checked = done if checked is None else checked.union(done)
+        label = components(checked.filter("similar"))
+        now = met.drop("leader", "led", "comp").join(label, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "key")).drop("node")
+        rows = cut_lineage(_open(now))
+        if rows.isEmpty():
+            return checked.filter("similar").select("a", "b")
+        if turn == 1:
+            alone = _unshared(checked, rows.select("key").distinct(), shingles)
+            rows = cut_lineage(_open(rows.join(alone, "key", "left").withColumn("shared", F.col("mass") - F.coalesce("alone", F.lit(0))).drop("alone")))
+    last = _cross_pairs(rows.select("bucket", "key", "comp", "mass", "shared"), bands).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    return checked.union(cut_lineage(_compared(last, shingles, threshold))).filter("similar").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, class_id, kept, h1, h2``: one row per row of ``docs``.
 
     ``class_id`` is the smallest id among all documents that are linked, directly or through
-    others, by a similarity of ``threshold`` or more; one row of each class is kept. ``h1, h2``
-    are hashes of the row's text.
+    others, by a similarity of ``threshold`` (0.8 or more) or above; one row of each class is
+    kept. ``h1, h2`` are hashes of the row's text.
 
-    Equal word sequences become one node first. Nodes that share a band are candidates: each node
-    is compared with the smallest node of its buckets, exactly; then all pairs in a bucket that
-    are still in different components are. So a large group of near copies costs one comparison
-    a member, and no link between different texts is left out but by chance of the bands.
+    Equal word sequences become one node first. Nodes that share a band are candidates; see
+    ``_links`` for how they are compared, exactly, without listing the pairs of a large group.
 
     A text without words (null, empty, blank) is a class of its own. Rows with a null id take
     part; a class id is null only if all its ids are. Of repeated rows one is kept. An empty
     table gives no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
+    if threshold < 0.8:
+        raise ValueError("bands and bounds are made for similarities of 0.8 or more")
     prints = cut_lineage(fingerprints(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     keeper = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "h1", "h2")).alias("keeper")
     nodes = cut_lineage(prints.filter("key IS NOT NULL").groupBy("key").agg(keeper, F.first("bands").alias("bands")))
     buckets = nodes.select("key", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("key").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = cut_lineage(buckets.join(shared, "bucket"))
-    needed = cut_lineage(members.select("key").distinct().join(nodes.select("key", "keeper"), "key").select("key", "keeper.id", "keeper.h1", "keeper.h2"))
+    crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    crowded = cut_lineage(buckets.join(crowded, "bucket"))
+    central = crowded.groupBy("key").agg(F.sum("n").alias("central"))
+    needed = cut_lineage(central.join(nodes.select("key", "keeper"), "key").select("key", "keeper.id", "keeper.h1", "keeper.h2", "central"))
     near = F.broadcast(needed) if needed.count() <= SMALL else needed
     texts = docs.select(docs[id_col].alias("own_id"), docs[text_col].alias("text")).selectExpr("own_id", "text", "xxhash64(text) t1", "hash(text) t2")
     texts = texts.join(near, (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")) & F.col("own_id").eqNullSafe(F.col("id")))
     shingles = cut_lineage(_shingle_rows(texts.select("key", "text").dropDuplicates(["key"])))
+    sized = needed.select("key", "central").join(shingles.select("key", "mass"), "key")
+    members = cut_lineage(crowded.select("bucket", "key").join(sized, "key"))
+    label = components(_links(members, shingles, nodes.select("key", "bands"), threshold))
 
-    first = members.filter("key <> leader").groupBy(F.col("key").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
-    links = cut_lineage(_verified(first, shingles, threshold))
-    label = components(links)
-    known = nodes.join(needed.select("key"), "key").join(label, F.col("key") == F.col("node"), "left").select("key", "bands", F.coalesce("comp", "key").alias("comp"))
-    rest = _cross_pairs(members.select("bucket", "key").join(known, "key"))
-    more = cut_lineage(_verified(rest.join(first, ["a", "b"], "left_anti"), shingles, threshold))
-    if not more.isEmpty():
-        label = components(links.union(more))
     comp = nodes.select("key", "keeper").join(label, F.col("key") == F.col("node"), "left").select("key", "keeper", F.coalesce("comp", "key").alias("comp"))
     comp = cut_lineage(comp)
     best = comp.groupBy("comp").agg(F.min("keeper").alias("best"))
