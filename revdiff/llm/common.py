@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from revdiff.sources.session import cut_lineage
 
-__all__ = ["byte_slices", "cut_lineage", "read", "text_bytes"]
+__all__ = ["byte_slices", "cut_lineage", "read", "text_bytes", "unused"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,3 +34,14 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: int, size: int) -> It
             stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

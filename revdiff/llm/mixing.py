@@ -9,7 +9,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revdiff.llm.common import cut_lineage
+from revdiff.llm.common import cut_lineage, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
@@ -174,12 +174,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The mix itself, with the columns of ``docs``: each document as often as the mix uses it
     whole, and the document at which a quota ends once more with its first words only.
     Rows of equal id and text are one document here."""
+    key, of, size, taken, part = unused(docs, "_key", "_of", "_size", "_taken", "_part")
     same = F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col], docs[text_col].isNull()).alias("hash"))
-    unique = docs.withColumn("_key", same).dropDuplicates(["_key"])
-    amounts = mix(unique, id_col="_key", text_col=text_col, **options).filter("taken > 0").select(F.col("_key").alias("_of"), "size", "taken")
-    amounts = amounts.toDF("_of", "_size", "_taken")
-    rows = unique.join(amounts, F.col("_key").eqNullSafe(F.col("_of")))
-    parts = F.expr("concat(array_repeat(0L, int(_taken div _size)), filter(array(_taken % _size), x -> x > 0))")
+    unique = docs.withColumn(key, same).dropDuplicates([key])
+    amounts = mix(unique, id_col=key, text_col=text_col, **options).filter("taken > 0").select(F.col(key).alias(of), F.col("size").alias(size), F.col("taken").alias(taken))
+    rows = unique.join(amounts, F.col(key).eqNullSafe(F.col(of)))
+    parts = F.expr(f"concat(array_repeat(0L, int({taken} div {size})), filter(array({taken} % {size}), x -> x > 0))")
     lead = F.regexp_extract_all(text_col, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    first = F.array_join(F.slice(lead, 1, F.col("_part").cast("int")), "")
-    return rows.withColumn("_part", F.explode(parts)).withColumn(text_col, F.when(F.col("_part") > 0, first).otherwise(F.col(text_col))).select(*docs.columns)
+    first = F.array_join(F.slice(lead, 1, F.col(part).cast("int")), "")
+    return rows.withColumn(part, F.explode(parts)).withColumn(text_col, F.when(F.col(part) > 0, first).otherwise(F.col(text_col))).select(*docs.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revdiff.llm import words
-from revdiff.llm.common import byte_slices, cut_lineage
+from revdiff.llm.common import byte_slices, cut_lineage, unused
 from revdiff.llm.graph import components
 
 SHINGLE = 5
@@ -326,7 +326,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``near_duplicates`` keeps: one of each class.
     Rows of equal id and text count as one row."""
-    kept = near_duplicates(docs, threshold, id_col, text_col).filter("kept").select(F.col(id_col).alias("_id"), F.col("h1").alias("_k1"), F.col("h2").alias("_k2"))
-    rows = docs.withColumn("_h1", F.xxhash64(docs[text_col])).withColumn("_h2", F.hash(docs[text_col]))
-    same = (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")) & rows[id_col].eqNullSafe(F.col("_id"))
-    return rows.join(kept.distinct(), same).dropDuplicates(["_h1", "_h2", "_id"]).select(*docs.columns)
+    h1, h2, k1, k2, own = unused(docs, "_h1", "_h2", "_k1", "_k2", "_id")
+    kept = near_duplicates(docs, threshold, id_col, text_col).filter("kept").select(F.col(id_col).alias(own), F.col("h1").alias(k1), F.col("h2").alias(k2))
+    rows = docs.withColumn(h1, F.xxhash64(docs[text_col])).withColumn(h2, F.hash(docs[text_col]))
+    same = (F.col(h1) == F.col(k1)) & (F.col(h2) == F.col(k2)) & rows[id_col].eqNullSafe(F.col(own))
+    return rows.join(kept.distinct(), same).dropDuplicates([h1, h2, own]).select(*docs.columns)

@@ -202,10 +202,11 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, model: Model | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with every accepted span replaced by its kind in brackets; overlapping spans become one."""
     model = model or fit(docs, text_col=text_col)
-    rows = docs.withColumn("_text", docs[text_col]).withColumn("_found", candidates())
-    clean = F.expr(f"""CASE WHEN size(filter(_found, c -> {_accepted(model)})) = 0 THEN _text ELSE aggregate(
-        filter(_found, c -> {_accepted(model)}), named_struct('at', 0, 'out', '', 'text', _text),
+    rows = docs.select(F.struct(*[docs[c].alias(f"c{n}") for n, c in enumerate(docs.columns)]).alias("row"), docs[text_col].alias("_text"))
+    rows = rows.withColumn("_found", candidates()).withColumn("_taken", F.expr(f"filter(_found, c -> {_accepted(model)})"))
+    clean = F.expr("""CASE WHEN size(_taken) = 0 THEN _text ELSE aggregate(
+        _taken, named_struct('at', 0, 'out', '', 'text', _text),
         (acc, c) -> named_struct('at', greatest(acc.at, c.stop), 'out',
           IF(c.start >= acc.at, concat(acc.out, substr(acc.text, acc.at + 1, c.start - acc.at), '[', upper(c.kind), ']'), acc.out), 'text', acc.text),
         acc -> concat(acc.out, substr(acc.text, acc.at + 1))) END""")
-    return rows.withColumn(text_col, clean).select(*docs.columns)
+    return rows.select(*(clean.alias(c) if c == text_col else F.col(f"row.c{n}").alias(c) for n, c in enumerate(docs.columns)))
