@@ -83,10 +83,11 @@ RULES = [
 #: Every known sentence has one of these, so texts without them are not cut into sentences.
 HINT = "licen[cs]e|permission|redistribut|copyright|spdx|software|warrant|in no event|all rights|source code form|neither the name"
 # A sentence ends at punctuation before white space, at an empty line, and at a line end unless the next line goes on in lower case
-# or both lines are in capitals.
+# or both lines are in capitals, or the line ends in a word that ends no sentence.
 # Comment marks at the start of lines go first; \x1e marks the ends.
 CUTS = [
     (r"\r\n?", "\n"), (r"([sS][pP][dD][xX]-[A-Za-z]+-[A-Za-z]+):[ \t]*([A-Za-z0-9.+-]+)", "\\1 \\2\x1e"), (r"(^|\n)[ \t]*(?://+|/\*+|\*+/|\*+|#+|--|<!--)[ \t]*", r"\1"), (r"\n[ \t]*\n\s*", "\x1e"), (r"\s+(https?://)", "\x1e\\1"),
+    (r"(?i)\b(the|an?|of|or|and|to|in|this|that|by|for|with)[ \t]*\n[ \t]*", r"\1 "),
     (r"([A-Z,;])[ \t]*\n[ \t]*([A-Z][A-Z])", r"\1 \2"), (r"(;)[ \t]*\n", "\\1\x1e"), (r"([.!?:])\s+", "\\1\x1e"), (r"\n([ \t]*[^a-z(\"\s])", "\x1e\\1"),
 ]
 # Of a lower-case sentence: keep letters, digits and marks inside names; drop articles and "version"; one word for each way of licensing.
