@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revdiff.functions.address import col_letters
 from revdiff.functions.rules import cf_changed, dv_changed
 from revdiff.functions.text import normalize_text, trim_ws
+from revdiff.operators.scan import CELL, attach_rules, range_errors, range_grid
 
 FLAGS = [
     "text_changed", "number_changed", "dv_changed", "cf_changed",
@@ -104,7 +106,8 @@ def _paired(prev: DataFrame, curr: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Full outer pairing by key in one shuffle; ``_n`` is the most cells a side has for the key."""
 
     def side(df: DataFrame, is_new: bool) -> DataFrame:
-        return df.select(*keys, F.lit(is_new).alias("_new"), F.struct("text", "dv", "cf").alias("_cell"))
+        named = [F.upper(k).alias(k) if k == "address" else F.col(k) for k in keys]  # addresses ignore case
+        return df.select(*named, F.lit(is_new).alias("_new"), F.struct("text", "dv", "cf").alias("_cell"))
 
     n = lambda flag: F.count(F.when(F.col("_new") == flag, 1))
     pick = lambda flag: F.max(F.when(F.col("_new") == flag, F.col("_cell")))
@@ -140,6 +143,19 @@ def diff_cells(
     return out.withColumn("status", status).drop("_n")
 
 
+def cell_range_diff(args: DataFrame, cells: DataFrame, rules: DataFrame, scope: str = "full") -> DataFrame:
+    """Diff of all addresses that ``args(pair_id, side, sheet, ranges)`` names, in address order.
+
+    Blank addresses and those that only a rule covers are compared, too. ``cells`` and ``rules``
+    hold both sides. A pair with a bad range on either side has no rows; ``range_errors`` says why.
+    """
+    bad = range_errors(args).select("pair_id").distinct()
+    grid = attach_rules(range_grid(args.join(bad, "pair_id", "left_anti"), cells.select(*CELL, "text")), rules)
+    address = F.concat(col_letters(F.col("col_idx")), F.col("row_num").cast("string"))
+    sides = [grid.filter(F.col("side") == s).withColumn("address", address) for s in ("prev", "curr")]
+    return diff_cells(*sides, ["pair_id", "sheet", "address", "row_num", "col_idx"], scope).orderBy("pair_id", "sheet", "row_num", "col_idx")
+
+
 def question_cell_changes(prev_cells: DataFrame, curr_cells: DataFrame, alignment: DataFrame, kind: str) -> DataFrame:
     """Changed cells inside matched questions: key (row offset, column), or row offset for explanations.
 

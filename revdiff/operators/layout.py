@@ -27,19 +27,26 @@ KEY = ["pair_id", "side"]
 
 
 def read_layouts(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Layout files, one JSON object per file, named ``<pair_id>.<side>.json``."""
+    """Layout files, one JSON object per file, named ``<pair_id>.<side>.json``. A file with another
+    name is a pair of its own, under its whole name, with an error."""
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    parts = r"^(.+)\.(prev|curr)\.json$"
+    known = name.rlike(parts)
     raw = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(name, r"^(.*)\.(prev|curr)\.json$", 1).alias("pair_id"),
-        F.regexp_extract(name, r"^(.*)\.(prev|curr)\.json$", 2).alias("side"),
-        F.col("value").alias("config"),
+        F.when(known, F.regexp_extract(name, parts, 1)).otherwise(name).alias("pair_id"),
+        F.when(known, F.regexp_extract(name, parts, 2)).otherwise("").alias("side"),
+        F.col("value").alias("config"), F.when(~known, F.lit("file name is not <pair>.<prev|curr>.json")).alias("fault"),
     )
     return parse_layouts(raw, kind)
 
 
 def parse_layouts(raw: DataFrame, kind: str) -> DataFrame:
-    """``raw(pair_id, side, config)`` to one row per layout; property names ignore case."""
-    raw = raw.select(*KEY, F.from_json("config", "map<string,string>").alias("fields"))  # parse once
+    """``raw(pair_id, side, config[, fault])`` to one row per layout; property names ignore case.
+
+    An absent or null field takes its default. One that is there but is no list of the right kind
+    is an error, as is a config that is no JSON object."""
+    fault = F.col("fault") if "fault" in raw.columns else F.lit(None).cast("string")
+    raw = raw.select(*KEY, F.from_json("config", "map<string,string>").alias("fields"), fault.alias("fault"))  # parse once
     fields = F.col("fields")
     defaults = DEFAULTS[kind]
 
@@ -51,6 +58,12 @@ def parse_layouts(raw: DataFrame, kind: str) -> DataFrame:
         found = F.coalesce(value(name), F.lit(defaults.get(name)).cast("string"))
         return found if name == "sheetName" else F.upper(found)
 
+    def wrong(name: str, kind: str, what: str) -> Column:
+        items = F.from_json(value(name), f"array<{kind}>")
+        bad = value(name).isNotNull() & (items.isNull() | F.exists(items, lambda x: x.isNull()))
+        return F.when(bad, F.lit(f"{name} is not a list of {what}"))
+
+    faults = [("answerColumns", "string", "texts"), ("chapterRows", "int", "whole numbers"), ("sectionRows", "string", "texts")]
     answers = F.transform(
         F.coalesce(
             F.from_json(value("answerColumns"), "array<string>"),
@@ -68,7 +81,9 @@ def parse_layouts(raw: DataFrame, kind: str) -> DataFrame:
         answers.alias("answer_cols"),
         F.coalesce(F.from_json(value("chapterRows"), "array<int>"), F.array().cast("array<int>")).alias("chapter_rows"),
         F.coalesce(F.from_json(value("sectionRows"), "array<string>"), F.array().cast("array<string>")).alias("specs"),
-        F.when(fields.isNull(), F.lit("config is not a JSON object")).alias("error"),
+        F.coalesce(
+            F.col("fault"), F.when(fields.isNull(), F.lit("config is not a JSON object")), *(wrong(*x) for x in faults)
+        ).alias("error"),
     )
 
 

@@ -29,15 +29,22 @@ def nonblank_rows(cells: DataFrame) -> DataFrame:
 
 
 def split_ranges(args: DataFrame, ranges: str = "ranges") -> DataFrame:
-    """Adds ``good`` and ``bad`` token arrays; callers send rows with bad tokens to quarantine."""
+    """Adds ``good`` and ``bad`` token arrays."""
     return args.withColumn("_t", range_tokens(F.col(ranges))).select("*", "_t.good", "_t.bad").drop("_t")
 
 
+def range_errors(args: DataFrame) -> DataFrame:
+    """``pair_id, side, sheet, error`` of every entry with bad tokens, all of them listed; such an entry has no grid."""
+    bad = split_ranges(args).filter(F.size("bad") > 0)
+    return bad.select(*SHEET, F.concat(F.lit("bad ranges: "), F.array_join("bad", "; ")).alias("error"))
+
+
 def range_grid(args: DataFrame, cells: DataFrame) -> DataFrame:
-    """Every address of ``args(pair_id, side, sheet, ranges)``, blank ones included, each once."""
+    """Every address of ``args(pair_id, side, sheet, ranges)``, blank ones included, each once.
+    Entries with a bad token are left out; ``range_errors`` lists them."""
     a, b = F.split("token", ":")[0], F.element_at(F.split("token", ":"), -1)
     corners = (
-        split_ranges(args)
+        split_ranges(args).filter(F.size("bad") == 0)
         .select(*SHEET, F.explode("good").alias("token"))
         .select(
             *SHEET,

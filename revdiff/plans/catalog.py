@@ -171,12 +171,25 @@ def nonblank_rows(spark: SparkSession, sf: str) -> DataFrame:
     return scan.nonblank_rows(_event_cells(spark, sf)).select("pair_id", "row_num", "col", "text")
 
 
+def _range_args(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranges per customer; some nations name rows or columns that no sheet has."""
+    n = F.col("c_nationkey")
+    more = F.when(n % 5 == 0, ";bad range; A0:A2").when(n % 5 == 1, ";ZZZ3; B99999999999").otherwise("")
+    ranges = F.concat(F.lit("A1:C"), (n + 2).cast("string"), F.lit("; D3:b2 ;Z9"), more)
+    return table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("pair_id"), F.lit("prev").alias("side"), F.lit("S").alias("sheet"), ranges.alias("ranges")
+    )
+
+
+def range_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return scan.range_errors(_range_args(spark, sf)).select("pair_id", "error")
+
+
 def range_grid(spark: SparkSession, sf: str) -> DataFrame:
     """A grid per customer; only two of its cells are filled."""
     c = table(spark, sf, "customer")
     who = [F.col("c_custkey").cast("string").alias("pair_id"), F.lit("prev").alias("side"), F.lit("S").alias("sheet")]
-    ranges = F.concat(F.lit("A1:C"), (F.col("c_nationkey") + 2).cast("string"), F.lit("; D3:b2 ;Z9;bad range"))
-    args = c.select(*who, ranges.alias("ranges"))
+    args = _range_args(spark, sf)
     two = F.array(
         F.struct(F.lit(1).alias("row_num"), F.lit(1).alias("col_idx"), F.col("c_name").alias("text")),
         F.struct(F.lit(9).alias("row_num"), F.lit(26).alias("col_idx"), F.col("c_mktsegment").alias("text")),
@@ -217,6 +230,19 @@ def layout_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def layout_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Layouts of customers, some with fields of the wrong kind and some with faulty entries."""
+    c, n = table(spark, sf, "customer"), F.col("c_nationkey")
+    config = (
+        F.when(n % 6 == 0, '{"sectionRows": "1:2-3"}').when(n % 6 == 1, '{"SectionRows": ["1:2-3"], "chapterRows": ["x"]}').when(n % 6 == 2, "[1]")
+        .when(n % 6 == 3, F.concat(F.lit('{"sectionRows": ["'), n.cast("string"), F.lit(':2-9"]}'))).when(n % 6 == 4, '{"sectionRows": null}')
+        .otherwise('{"sectionRows": ["1:2-3", "4:5"]}')
+    )
+    raw = c.select(F.col("c_custkey").cast("string").alias("pair_id"), F.lit("curr").alias("side"), config.alias("config"))
+    layouts = layout.parse_layouts(raw, "control")
+    return layout.layout_errors(layouts, layout.section_specs(layouts))
+
+
 def _specs(df: DataFrame, key: str, spec) -> DataFrame:
     """Layout rows with one list of spec entries each."""
     return df.select(F.col(key).cast("string").alias("pair_id"), F.lit("prev").alias("side"), spec.alias("specs"))
@@ -472,9 +498,38 @@ def ingest_cells(spark: SparkSession, sf: str) -> DataFrame:
     return parse_workbooks(workbook_files(corpus.risk_cells(spark, sf)))[0]
 
 
+def ingest_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that are no workbook, or whose name says no pair and side."""
+    files = workbook_files(corpus.risk_cells(spark, sf).filter("side = 'prev'"))
+    number = F.regexp_extract("path", "^[0-9]+", 0).cast("long")
+    path = F.when(number % 7 == 0, F.concat(number.cast("string"), F.lit(".xlsx"))).otherwise(F.col("path"))
+    content = F.when(number % 5 == 0, F.substring("content", 1, 40)).otherwise(F.col("content"))
+    errors = parse_workbooks(files.select(path.alias("path"), content.alias("content")))[2]
+    return errors.select("path", F.substring_index("error", ":", 1).alias("error"))
+
+
 # ---------------------------------------------------------------- cell diff
 
 
+def cell_range_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranges of a sheet per customer on both sides: filled, blank and rule-only addresses."""
+    sides = F.explode(F.array(F.lit("prev"), F.lit("curr"))).alias("side")
+    args = _range_args(spark, sf).drop("side").select("pair_id", sides, "sheet", "ranges")
+    who = [F.col("c_custkey").cast("string").alias("pair_id"), sides, F.lit("S").alias("sheet")]
+    c = table(spark, sf, "customer").select(*who, "c_name", "c_mktsegment", "c_nationkey", "c_acctbal")
+    new = F.col("side") == "curr"
+    cells = c.select("pair_id", "side", "sheet", F.explode(F.array(
+        F.struct(F.lit(1).alias("row_num"), F.lit(1).alias("col_idx"), F.when(new, F.concat(F.lit(" "), "c_name")).otherwise(F.col("c_name")).alias("text")),
+        F.struct(F.lit(9).alias("row_num"), F.lit(26).alias("col_idx"), F.when(new & (F.col("c_nationkey") > 12), F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("text")),
+    )).alias("w")).select("pair_id", "side", "sheet", "w.row_num", "w.col_idx", "w.text")
+    rules = c.select(
+        "pair_id", "side", "sheet", F.lit("dv").alias("kind"), F.lit(0).alias("rule_ord"), F.lit(0).alias("range_ord"), F.lit(2).alias("r1"), F.lit(2).alias("c1"),
+        F.lit(3).alias("r2"), F.lit(3).alias("c2"), F.lit("WholeNumber").alias("type"), F.lit("Between").alias("op"), F.lit("1").alias("v1"),
+        F.when(new & (F.col("c_acctbal") > 5000), "10").otherwise("9").alias("v2"),
+    )
+    return diff.cell_range_diff(args, cells, rules).select("pair_id", "address", "row_num", "col_idx", "status", "text_changed", "dv_changed", "cf_changed")
+
+
 def _cell_diff(spark: SparkSession, sf: str, scope: str) -> DataFrame:
     out = diff.diff_cells(
         corpus.part_cells(spark, sf, "prev"), corpus.part_cells(spark, sf, "curr"), ["pair_id", "address"], scope
@@ -554,14 +609,14 @@ QUERIES = {
     for f in (
         normalize_text, text_similarity, number_prefix, dv_changed, cf_changed, dv_display, cf_display, serial_date,
         range_tokens, distinct_addresses, address_order, base_name, escape_html,
-        nonblank_rows, range_grid, attach_rules, layout_scan, section_specs, span_specs, section_violations,
+        nonblank_rows, range_grid, range_errors, attach_rules, layout_scan, layout_errors, section_specs, span_specs, section_violations,
         span_expand, asof_header, interval_first,
         extract_control, extract_risk, extract_general, row_labels,
         pair_scores, adjusted_scores, match_one_to_one, second_best, added_rows, removed_rows,
         question_diff, document_question_diff, diff_summary, document_diff_summary,
         similarity_band, ambiguous_matches, change_badges, bucket_ordinal, sheet_order, sheet_order_breaks,
-        search_rows, word_diff, word_diff_counts, report_payload, write_tables, ingest_cells,
-        cell_diff_value, cell_diff_full, cell_diff_summary,
+        search_rows, word_diff, word_diff_counts, report_payload, write_tables, ingest_cells, ingest_errors,
+        cell_diff_value, cell_diff_full, cell_diff_summary, cell_range_diff,
         answer_cell_diff, explanation_cell_diff, cells_changed_flag, general_question_diff,
         general_report_payload,
     )

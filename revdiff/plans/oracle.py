@@ -374,7 +374,8 @@ SELECT o_orderkey, CASE WHEN pr = '5-LOW' THEN 'soon'
   WHEN st = 'F' THEN CASE WHEN pr = '1-URGENT' THEN '18:00:00' ELSE '00:00:00' END
   WHEN st = 'O' THEN strftime(d, '%Y-%m-%d') || CASE WHEN pr = '1-URGENT' THEN ' 18:00:00' ELSE '' END
   ELSE n || CASE WHEN pr = '1-URGENT' THEN '.75' ELSE '' END END AS shown FROM s""",
-    "range_tokens": "SELECT c_custkey, 'B2:F' || c_custkey || '|h' || c_custkey AS good, c_mktsegment || '|A1:' AS bad FROM customer",
+    "range_tokens": """SELECT c_custkey, CASE WHEN c_custkey > 0 THEN 'B2:F' || c_custkey || '|h' || c_custkey ELSE '' END AS good,
+  CASE WHEN c_custkey > 0 THEN '' ELSE 'B2:F' || c_custkey || '|h' || c_custkey || '|' END || c_mktsegment || '|A1:' AS bad FROM customer""",
     "distinct_addresses": f"WITH {ADDRESSES} SELECT p_brand, address FROM da",
     "address_order": f"""WITH {ADDRESSES}, s AS (SELECT *, regexp_extract(address, '^[A-Z]+') col, regexp_extract(address, '[0-9]+')::INT row_num FROM da)
 SELECT p_brand, address, row_num, col, CASE WHEN length(col) = 1 THEN ascii(col) - 64 ELSE 26 * (ascii(col) - 64) + ascii(col[2]) - 64 END::INT AS col_idx FROM s""",
@@ -382,7 +383,28 @@ SELECT p_brand, address, row_num, col, CASE WHEN length(col) = 1 THEN ascii(col)
     "escape_html": "SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages",
     "nonblank_rows": """WITH e AS (SELECT user_id::VARCHAR pair_id, event_id::INT row_num, CASE WHEN value < 20 THEN ' ' ELSE event_type END a, CASE WHEN value < 40 THEN '' ELSE props END b FROM events)
 SELECT pair_id, row_num, 'A' AS col, a AS text FROM e WHERE trim(a) <> '' OR trim(b) <> '' UNION ALL SELECT pair_id, row_num, 'B', b FROM e WHERE trim(a) <> '' OR trim(b) <> ''""",
-    "range_grid": """WITH c AS (SELECT c_custkey::VARCHAR pair_id, c_nationkey + 2 n, c_name, c_mktsegment FROM customer),
+    "range_errors": """SELECT c_custkey::VARCHAR pair_id, 'bad ranges: ' || CASE c_nationkey % 5 WHEN 0 THEN 'bad range; A0:A2' ELSE 'ZZZ3; B99999999999' END AS error
+FROM customer WHERE c_nationkey % 5 < 2""",
+    "layout_errors": """SELECT c_custkey::VARCHAR pair_id, 'curr' side, CASE c_nationkey % 6 WHEN 0 THEN 'sectionRows is not a list of texts'
+  WHEN 1 THEN 'chapterRows is not a list of whole numbers' WHEN 2 THEN 'config is not a JSON object'
+  WHEN 3 THEN CASE WHEN c_nationkey >= 2 THEN 'first row not below section row' END WHEN 5 THEN 'format' END AS error
+FROM customer WHERE c_nationkey % 6 <> 4""",
+    "ingest_errors": """SELECT CASE WHEN conv_id % 7 = 0 THEN conv_id || '.xlsx' ELSE conv_id || '.prev.xlsx' END path,
+  CASE WHEN conv_id % 7 = 0 THEN 'ValueError' ELSE 'BadZipFile' END error
+FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 7 = 0 OR conv_id % 5 = 0""",
+    "cell_range_diff": """WITH c AS (SELECT c_custkey::VARCHAR pair_id, c_nationkey n, c_acctbal b, c_mktsegment FROM customer WHERE c_nationkey % 5 >= 2),
+g AS (
+  SELECT pair_id, unnest(generate_series(1, n + 2)) r, x.k FROM c, (VALUES (1), (2), (3)) x(k)
+  UNION SELECT pair_id, y.r, x.k FROM c, (VALUES (2), (3)) y(r), (VALUES (2), (3), (4)) x(k)
+  UNION SELECT pair_id, 9, 26 FROM c
+),
+d AS (
+  SELECT g.*, r = 9 AND k = 26 AND n > 12 AND lower(c_mktsegment) <> c_mktsegment text_changed, r IN (2, 3) AND k IN (2, 3) AND b > 5000 dv_changed
+  FROM g JOIN c USING (pair_id)
+)
+SELECT pair_id, chr(64 + k::INT) || r address, r::INT row_num, k::INT col_idx, CASE WHEN text_changed OR dv_changed THEN 'changed' ELSE 'unchanged' END status,
+  text_changed, dv_changed, false cf_changed FROM d""",
+    "range_grid": """WITH c AS (SELECT c_custkey::VARCHAR pair_id, c_nationkey + 2 n, c_name, c_mktsegment FROM customer WHERE c_nationkey % 5 >= 2),
 g AS (
   SELECT pair_id, unnest(generate_series(1, n)) row_num, x.col_idx FROM c, (VALUES (1), (2), (3)) x(col_idx)
   UNION SELECT pair_id, y.row_num, x.col_idx FROM c, (VALUES (2), (3)) y(row_num), (VALUES (2), (3), (4)) x(col_idx)

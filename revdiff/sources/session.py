@@ -15,20 +15,10 @@ def task_slots(spark: SparkSession) -> int:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting (tests, one machine) gets a folder of its
-    own; on a cluster the setting is required.
-    """
+    """The shared folder named in ``spark.checkpoint.dir``; if that is unset, one in the
+    warehouse, which driver and executors share as well."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    import tempfile
-
-    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="revdiff-"))
-    return spark.conf.get("spark.checkpoint.dir")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/revdiff-stages"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -43,8 +43,8 @@ CF_OPERATORS = {
     "between": "Between", "notBetween": "NotBetween", "containsText": "Contains", "notContains": "NotContains",
     "beginsWith": "StartsWith", "endsWith": "EndsWith",
 }
-_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _LAST_ROW, _LAST_COL = 1 << 20, 1 << 14
 
 _ROWS = (
@@ -53,6 +53,7 @@ _ROWS = (
 )
 _SCHEMA = pa.schema([(name, pa.int32() if kind == "int" else pa.string()) for name, kind in (c.split() for c in _ROWS.split(", "))])
 _BATCH = 20_000
+_NAME = re.compile(r".+\.(prev|curr)\.xlsx", re.S)
 
 
 def _index(letters: str) -> int:
@@ -62,6 +63,14 @@ def _index(letters: str) -> int:
     return n
 
 
+def _letters(index: int) -> str:
+    out = ""
+    while index:
+        index, digit = divmod(index - 1, 26)
+        out = chr(65 + digit) + out
+    return out
+
+
 def _ranges(refs: str) -> Iterator[tuple[int, int, int, int]]:
     """``"A1:B2 D4 C:C 3:5"`` as (r1, c1, r2, c2); whole columns and rows are open-ended."""
     for ref in refs.split():
@@ -74,40 +83,51 @@ def _plain(node: ElementTree.Element | None) -> str:
     """Text of a rich-text node, phonetic hints left out."""
     if node is None:
         return ""
-    runs = [node.find(_MAIN + "t"), *[r.find(_MAIN + "t") for r in node.findall(_MAIN + "r")]]
+    runs = [node.find("{*}t"), *[r.find("{*}t") for r in node.findall("{*}r")]]
     return "".join(t.text or "" for t in runs if t is not None)
 
 
 def _cell_text(cell: ElementTree.Element, strings: list[str]) -> str:
-    kind, value = cell.get("t", "n"), cell.findtext(_MAIN + "v") or ""
+    kind, value = cell.get("t", "n"), cell.findtext("{*}v") or ""
     if kind == "s":
         return strings[int(value)]
     if kind == "inlineStr":
-        return _plain(cell.find(_MAIN + "is"))
+        return _plain(cell.find("{*}is"))
     if kind == "b":
         return "TRUE" if value == "1" else "FALSE"
     return value
 
 
 def _sheet_rows(stream, sheet: str, strings: list[str]) -> Iterator[dict]:
-    dv_ord = cf_ord = 0
-    for _, node in ElementTree.iterparse(stream, events=("end",)):
-        tag = node.tag.removeprefix(_MAIN)
+    """Cells and rules of a sheet. A row or cell without ``r`` follows the one before it."""
+    dv_ord = cf_ord = row = col = 0
+    data = None
+    for event, node in ElementTree.iterparse(stream, events=("start", "end")):
+        tag = node.tag.rpartition("}")[2]  # either namespace of the format
+        if event == "start":
+            if tag == "sheetData":
+                data = node
+            elif tag == "row":
+                row, col = int(node.get("r", row + 1)), 0
+            continue
         if tag == "c":
-            letters, row = re.fullmatch(r"([A-Za-z]+)(\d+)", node.get("r")).groups()
-            yield {"what": "cell", "sheet": sheet, "row_num": int(row), "col": letters.upper(),
-                   "col_idx": _index(letters), "text": _cell_text(node, strings)}
-        elif tag == "row":
-            node.clear()
+            if node.get("r"):
+                letters, at = re.fullmatch(r"([A-Za-z]+)(\d+)", node.get("r")).groups()
+                row, col = int(at), _index(letters)
+            else:
+                col += 1
+            yield {"what": "cell", "sheet": sheet, "row_num": row, "col": _letters(col), "col_idx": col, "text": _cell_text(node, strings)}
+        elif tag == "row" and data is not None:
+            data.clear()  # finished rows would stay with their parent
         elif tag == "dataValidation":
             rule = {"kind": "dv", "rule_ord": dv_ord, "type": DV_TYPES.get(node.get("type", "none")),
                     "op": DV_OPERATORS[node.get("operator", "between")],
-                    "v1": node.findtext(_MAIN + "formula1") or "", "v2": node.findtext(_MAIN + "formula2")}
+                    "v1": node.findtext("{*}formula1") or "", "v2": node.findtext("{*}formula2")}
             dv_ord += 1
             yield from _rule_rows(sheet, node.get("sqref", ""), rule)
         elif tag == "conditionalFormatting":
-            for child in node.findall(_MAIN + "cfRule"):
-                values = [f.text or "" for f in child.findall(_MAIN + "formula")] + [None, None]
+            for child in node.findall("{*}cfRule"):
+                values = [f.text or "" for f in child.findall("{*}formula")] + [None, None]
                 kind = child.get("type", "")
                 rule = {"kind": "cf", "rule_ord": cf_ord, "type": CF_TYPES.get(kind, kind),
                         "op": CF_OPERATORS.get(child.get("operator", "equal")), "v1": values[0], "v2": values[1]}
@@ -125,13 +145,16 @@ def _workbook_rows(content: bytes) -> Iterator[dict]:
         strings: list[str] = []
         if "xl/sharedStrings.xml" in book.namelist():
             for _, node in ElementTree.iterparse(book.open("xl/sharedStrings.xml")):
-                if node.tag == _MAIN + "si":
+                if node.tag.rpartition("}")[2] == "si":
                     strings.append(_plain(node))
                     node.clear()
         links = ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
         target = {r.get("Id"): r.get("Target") for r in links}
-        for entry in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(_MAIN + "sheet"):
-            part = target[entry.get(_REL)]
+        sheets = list(ElementTree.fromstring(book.read("xl/workbook.xml")).findall(".//{*}sheet"))
+        if not sheets:
+            raise ValueError("the workbook has no sheet")
+        for entry in sheets:
+            part = target[next(v for k, v in entry.items() if k.endswith("}id"))]
             part = part.lstrip("/") if part.startswith("/") else "xl/" + part
             with book.open(part) as stream:
                 yield from _sheet_rows(stream, entry.get("name"), strings)
@@ -142,6 +165,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, content in zip(batch.column("path"), batch.column("content")):
             path, rows = path.as_py(), []
             try:
+                if not _NAME.fullmatch(path.rpartition("/")[2]):
+                    raise ValueError("file name is not <pair>.<prev|curr>.xlsx")
                 for row in _workbook_rows(content.as_py()):
                     rows.append({"path": path, **row})
                     if len(rows) >= _BATCH:
@@ -160,7 +185,7 @@ def parse_workbooks(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     spread = files.select("path", "content").repartition(task_slots(files.sparkSession))
     name = F.element_at(F.split("path", "/"), -1)
-    parts = r"^(.*)\.(prev|curr)\.xlsx$"
+    parts = r"^(.+)\.(prev|curr)\.xlsx$"
     rows = cut_lineage(
         spread.mapInArrow(_parse, _ROWS).select(
             F.regexp_extract(name, parts, 1).alias("pair_id"), F.regexp_extract(name, parts, 2).alias("side"), "*"
@@ -217,8 +242,6 @@ def workbook_files(cells: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("row_num", "xml"))).alias("rows")
     ).select("pair_id", "side", "sheet", F.array_join(F.transform("rows", lambda r: r["xml"]), "").alias("xml"))
 
-    space, rel = _MAIN.strip("{}"), _REL[1 : _REL.index("}")]
-
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -230,9 +253,9 @@ def workbook_files(cells: DataFrame) -> DataFrame:
                     title = one["sheet"].replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;")
                     book.writestr(
                         "xl/workbook.xml",
-                        f'<workbook xmlns="{space}" xmlns:r="{rel}"><sheets><sheet name="{title}" sheetId="1" r:id="r1"/></sheets></workbook>',
+                        f'<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets><sheet name="{title}" sheetId="1" r:id="r1"/></sheets></workbook>',
                     )
-                    book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{space}"><sheetData>{one["xml"]}</sheetData></worksheet>')
+                    book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_MAIN}"><sheetData>{one["xml"]}</sheetData></worksheet>')
                 out.append({"path": f"{one['pair_id']}.{one['side']}.xlsx", "content": buffer.getvalue()})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
 
