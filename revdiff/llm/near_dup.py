@@ -35,6 +35,8 @@ BANDS, ROWS = 32, 5  # a pair at 0.8 shares no band with probability 3e-6
 BUCKET = 16
 #: Fingerprint tables of so many rows are sent to every task; longer ones are joined by shuffle.
 SMALL = 200_000
+#: Up to so many rows of open buckets are paired at once.
+PAIRED = 100_000
 _UNIT = 2.0**-53
 
 
@@ -201,7 +203,7 @@ def _unshared(checked: DataFrame, keys: DataFrame, shingles: DataFrame) -> DataF
 
     A node's shingles are those of the leader that it was compared with, and its rest. So a shingle
     of a rest that is in no other rest and in no leader is its node's alone; only rests and leaders
-    are counted, not all nodes."""
+    (with nodes that were compared with none) are counted, not all nodes."""
     least = F.min_by(F.struct("a", "rest", "rest_weights"), F.size("rest")).alias("m")
     own = cut_lineage(checked.join(keys.select(F.col("key").alias("b")), "b").groupBy("b").agg(least).select("b", "m.*"))
 
@@ -210,7 +212,8 @@ def _unshared(checked: DataFrame, keys: DataFrame, shingles: DataFrame) -> DataF
             for e in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(e.as_buffer(), "<i8"))], names=["x"])
 
-    leaders = own.select(F.col("a").alias("key")).distinct().join(shingles.select("key", "elements"), "key").select("elements")
+    first = keys.join(own.select(F.col("b").alias("key")), "key", "left_anti")
+    leaders = own.select(F.col("a").alias("key")).union(first).distinct().join(shingles.select("key", "elements"), "key").select("elements")
     rests = own.select("b", F.inline(F.arrays_zip("rest", "rest_weights")).alias("x", "w"))
     every = rests.select("x", "b", "w").union(leaders.mapInArrow(elements, "x long").select("x", F.lit(None).cast("binary"), F.lit(0).cast("long")))
     single = every.groupBy("x").agg(F.count("*").alias("n"), F.min("b").alias("key"), F.min("w").alias("w")).filter("n = 1 AND key IS NOT NULL")
@@ -252,33 +255,47 @@ def _cross_pairs(rows: DataFrame, bands: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def _links(members: DataFrame, shingles: DataFrame, bands: DataFrame, threshold: float) -> DataFrame:
-    """Links ``(a, b)`` that connect what the whole graph of similar pairs connects.
+def _leaders(rows: DataFrame) -> DataFrame:
+    """``bucket, leader, led, top``: the most central node of each bucket, its component and how central it is."""
+    first = F.max(F.struct("central", "key", "comp")).alias("m")
+    return rows.groupBy("bucket").agg(first).select("bucket", F.col("m.key").alias("leader"), F.col("m.comp").alias("led"), F.col("m.central").alias("top"))
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    known = rows.drop("comp").join(label, F.col("key") == F.col("node"), "left")
+    return known.withColumn("comp", F.coalesce("comp", "key")).drop("node")
+
+
+def _components(members: DataFrame, shingles: DataFrame, bands: DataFrame, threshold: float) -> DataFrame:
+    """``node, comp``: the components of the whole graph of similar pairs; nodes without links may be missing.
 
     In each bucket the most central node leads: the one whose buckets hold most rows, as a rule
-    the text that others were made from. All others are compared with it, then with a second
-    leader where components are left. Nodes whose unshared shingles rule out any further link
-    leave; pairs of what remains are compared one by one."""
-    checked, label, rows = None, None, members.withColumn("comp", F.col("key")).withColumn("shared", F.col("mass"))
-    for turn in (1, 2):
-        first = F.max(F.struct("central", "key", "comp")).alias("top")
-        leaders = rows.groupBy("bucket").agg(first).select("bucket", F.col("top.key").alias("leader"), F.col("top.comp").alias("led"))
-        met = rows.join(leaders, "bucket").filter("key <> leader")
+    the text that others were made from. Each node is compared with the most central of its
+    leaders. Nodes whose unshared shingles rule out any further link leave, and buckets of one
+    component. If many rows are left, the others of a bucket are compared with its leader. The
+    pairs that remain are compared one by one."""
+    rows = members.withColumn("comp", F.col("key")).withColumn("shared", F.col("mass"))
+    met = rows.select("bucket", "key").join(_leaders(rows), "bucket").filter("key <> leader")
+    pairs = met.groupBy(F.col("key").alias("b")).agg(F.max(F.struct("top", "leader")).alias("m")).select(F.col("m.leader").alias("a"), "b")
+    checked = cut_lineage(_compared(pairs, shingles, threshold))
+    label = components(checked.filter("similar"))
+    rows = cut_lineage(_open(_labelled(rows, label)))
+    if rows.isEmpty():
+        return label
+    alone = _unshared(checked, rows.select("key").distinct(), shingles)
+    rows = cut_lineage(_open(rows.join(alone, "key", "left").withColumn("shared", F.col("mass") - F.coalesce("alone", F.lit(0))).drop("alone")))
+    if rows.count() > PAIRED:
+        met = rows.join(_leaders(rows), "bucket").filter("key <> leader")
         pairs = met.filter("comp <> led").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        done = cut_lineage(_compared(pairs, shingles, threshold))
-        checked = done if checked is None else checked.union(done)
+        more = _compared(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), shingles, threshold)
+        checked = checked.union(cut_lineage(more))
         label = components(checked.filter("similar"))
-        now = met.drop("leader", "led", "comp").join(label, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "key")).drop("node")
-        rows = cut_lineage(_open(now))
-        if rows.isEmpty():
-            return checked.filter("similar").select("a", "b")
-        if turn == 1:
-            alone = _unshared(checked, rows.select("key").distinct(), shingles)
-            rows = cut_lineage(_open(rows.join(alone, "key", "left").withColumn("shared", F.col("mass") - F.coalesce("alone", F.lit(0))).drop("alone")))
+        rows = cut_lineage(_open(_labelled(met.drop("leader", "led", "top"), label)))
+    if rows.isEmpty():
+        return label
     last = _cross_pairs(rows.select("bucket", "key", "comp", "mass", "shared"), bands).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    return checked.union(cut_lineage(_compared(last, shingles, threshold))).filter("similar").select("a", "b")
+    more = cut_lineage(_compared(last, shingles, threshold).filter("similar").select("a", "b"))
+    return label if more.isEmpty() else components(checked.filter("similar").select("a", "b").union(more))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,7 +306,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     kept. ``h1, h2`` are hashes of the row's text.
 
     Equal word sequences become one node first. Nodes that share a band are candidates; see
-    ``_links`` for how they are compared, exactly, without listing the pairs of a large group.
+    ``_components`` for how they are compared, exactly, without listing the pairs of a large group.
 
     A text without words (null, empty, blank) is a class of its own. Rows with a null id take
     part; a class id is null only if all its ids are. Of repeated rows one is kept. An empty
@@ -311,7 +328,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     shingles = cut_lineage(_shingle_rows(texts.select("key", "text").dropDuplicates(["key"])))
     sized = needed.select("key", "central").join(shingles.select("key", "mass"), "key")
     members = cut_lineage(crowded.select("bucket", "key").join(sized, "key"))
-    label = components(_links(members, shingles, nodes.select("key", "bands"), threshold))
+    label = _components(members, shingles, nodes.select("key", "bands"), threshold)
 
     comp = nodes.select("key", "keeper").join(label, F.col("key") == F.col("node"), "left").select("key", "keeper", F.coalesce("comp", "key").alias("comp"))
     comp = cut_lineage(comp)
