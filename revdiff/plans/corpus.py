@@ -18,8 +18,10 @@ from revdiff.sources.session import cut_lineage
 REWORDED = [(" the ", " this "), (" la ", " sa "), (" die ", " jene "), (" de ", " del ")]
 SHORT = 60
 RISK_SHEET, GENERAL_SHEET, CONTROL_SHEET = "Risk Level Questions", "General Data", "Control Level Questions"
-RISK_CONFIG = '{"sectionRows": ["1:2-5", "5:6-12"]}'
-GENERAL_CONFIG = '{"sectionRows": ["1:2(2), 4(2), 6(2), 8(2)"]}'
+# Layouts follow the turns: the closing row comes after the last one, and not before row 12.
+RISK_CONFIG = """'{"sectionRows": ["1:2-5", "5:6-' || closing || '"]}'"""
+GENERAL_CONFIG = """'{"sectionRows": ["1:' || array_join(transform(sequence(2, greatest(8, closing - 2), 2), r -> r || '(2)'), ', ') || '"]}'"""
+SECTION_LINES = 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,9 +67,9 @@ def turns(spark: SparkSession, sf_dir: str, side: str | None = None) -> DataFram
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation on both sides, with its number of turns."""
+    """Every conversation on both sides, with its number of turns and the row of its closing remarks."""
     return spark.sql(
-        """SELECT CAST(conv_id AS STRING) pair_id, side, count(*) turns FROM {c} LATERAL VIEW explode(array('prev', 'curr')) s AS side
+        """SELECT CAST(conv_id AS STRING) pair_id, side, count(*) turns, CAST(greatest(12, max(turn) + 3) AS INT) closing FROM {c} LATERAL VIEW explode(array('prev', 'curr')) s AS side
         GROUP BY conv_id, side""",
         c=table(spark, sf_dir, "conversations"),
     )
@@ -84,7 +86,7 @@ def risk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
     blocks = spark.sql(
         """SELECT pair_id, side, row_num, CASE row_num WHEN 1 THEN 'Conversation' ELSE 'Closing remarks after ' || turns || ' turns.' END text
-        FROM {b} LATERAL VIEW explode(IF(side = 'prev', array(1), array(1, 12))) r AS row_num""",
+        FROM {b} LATERAL VIEW explode(IF(side = 'prev', array(1), array(1, closing))) r AS row_num""",
         b=_blocks(spark, sf_dir),
     )
     return body.unionByName(_cells(spark, RISK_SHEET, blocks, {"C": "text"}))
@@ -106,7 +108,7 @@ def risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _configs(spark: SparkSession, sf_dir: str, config: str) -> DataFrame:
-    return _blocks(spark, sf_dir).select("pair_id", "side", F.lit(config).alias("config"))
+    return _blocks(spark, sf_dir).select("pair_id", "side", F.expr(config).alias("config"))
 
 
 def split_sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -142,9 +144,10 @@ def general_questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every document as sheet rows: row 1 chapter, rows 2, 12, 22, ... section headers."""
+    """Every line of every document as a sheet row. Header rows are added: the chapter in row 1, and
+    before each ten lines a section header (rows 2, 13, 24, ...)."""
     return spark.sql(
-        f"""SELECT pair_id, side, lang, source, pos + 1 row_num, IF(side = 'prev' OR pos = size(lines), line, {reword("line")}) line
+        f"""SELECT pair_id, side, lang, source, pos, pos + pos DIV {SECTION_LINES} + 3 row_num, IF(side = 'prev' OR pos = size(lines), line, {reword("line")}) line
         FROM (
           SELECT CAST(doc_id AS STRING) pair_id, lang, source, split(text, '\n') lines FROM {{d}}
         ) LATERAL VIEW explode(array('prev', 'curr')) s AS side
@@ -155,38 +158,49 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def control_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(spark, CONTROL_SHEET, document_lines(spark, sf_dir), {
-        "C": """IF(row_num >= 3 AND (row_num - 2) % 10 <> 0,
-                ((row_num - 2) DIV 10 + 1) || '.' || (row_num + IF(side = 'curr' AND source = 'src7', 1, 0)) || ') ' || line, line)""",
-        "D": "''",
+    lines = _cells(spark, CONTROL_SHEET, document_lines(spark, sf_dir), {
+        "C": f"(pos DIV {SECTION_LINES} + 1) || '.' || (row_num + IF(side = 'curr' AND source = 'src7', 1, 0)) || ') ' || line", "D": "''",
     })
+    heads = spark.sql(
+        f"""SELECT pair_id, side, h.row_num, IF(h.row_num = 1, 'Document in ' || lang || ' from ' || source, 'Part ' || ((h.row_num - 2) DIV {SECTION_LINES + 1} + 1)) text
+        FROM {{s}} LATERAL VIEW explode(array_prepend(sequence(2, last_row, {SECTION_LINES + 1}), 1)) h AS row_num""",
+        s=_document_sizes(spark, sf_dir),
+    )
+    return lines.unionByName(_cells(spark, CONTROL_SHEET, heads, {"C": "text"}))
+
+
+def _document_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document on both sides, with the row of its last line; the current side has a line more."""
+    return spark.sql(
+        f"""SELECT pair_id, side, lang, source, n - 1 + (n - 1) DIV {SECTION_LINES} + 3 last_row FROM (
+          SELECT CAST(doc_id AS STRING) pair_id, side, lang, source, size(split(text, '\n')) + IF(side = 'curr', 1, 0) n
+          FROM {{d}} LATERAL VIEW explode(array('prev', 'curr')) s AS side
+        )""",
+        d=text_table(spark, sf_dir, "documents"),
+    )
 
 
 def control_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: a list for rows 1-8 before a length limit for all rows, and one highlight."""
     return spark.sql(
-        f"""SELECT CAST(doc_id AS STRING) pair_id, side, '{CONTROL_SHEET}' sheet, w.kind, w.rule_ord, 0 range_ord, w.r1, 4 c1, w.r2, 4 c2, w.type, w.op, w.v1, w.v2
-        FROM {{d}} LATERAL VIEW explode(array('prev', 'curr')) s AS side LATERAL VIEW inline(array(
+        f"""SELECT pair_id, side, '{CONTROL_SHEET}' sheet, w.kind, w.rule_ord, 0 range_ord, w.r1, 4 c1, w.r2, 4 c2, w.type, w.op, w.v1, w.v2
+        FROM {{s}} LATERAL VIEW inline(array(
           named_struct('kind', 'dv', 'rule_ord', 0, 'r1', 1, 'r2', 8, 'type', 'List', 'op', 'Between',
             'v1', IF(side = 'prev', '"Yes,No"', '"No, Yes"'), 'v2', ''),
-          named_struct('kind', 'dv', 'rule_ord', 1, 'r1', 1, 'r2', size(split(text, '\n')), 'type', 'TextLength', 'op', 'LessThan',
+          named_struct('kind', 'dv', 'rule_ord', 1, 'r1', 1, 'r2', last_row, 'type', 'TextLength', 'op', 'LessThan',
             'v1', IF(side = 'prev', '500', CAST(length(lang) AS STRING)), 'v2', ''),
-          named_struct('kind', 'cf', 'rule_ord', 0, 'r1', 2, 'r2', size(split(text, '\n')), 'type', 'CellIs', 'op', 'Equal', 'v1', lang, 'v2', NULL)
+          named_struct('kind', 'cf', 'rule_ord', 0, 'r1', 2, 'r2', last_row, 'type', 'CellIs', 'op', 'Equal', 'v1', lang, 'v2', NULL)
         )) w AS kind, rule_ord, r1, r2, type, op, v1, v2""",
-        d=text_table(spark, sf_dir, "documents"),
+        s=_document_sizes(spark, sf_dir),
     )
 
 
 def control_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A layout per document and side, as JSON, with a section every ten rows."""
+    """A layout per document and side, as JSON, with a section for every ten lines."""
     return spark.sql(
-        """SELECT pair_id, side, to_json(named_struct('chapterRows', array(1), 'SectionRows', transform(
-            filter(sequence(2, greatest(n, 2), 10), h -> h < n), h -> h || ':' || (h + 1) || '-' || least(h + 9, n)))) config
-        FROM (
-          SELECT CAST(doc_id AS STRING) pair_id, side, size(split(text, '\n')) + IF(side = 'curr', 1, 0) n
-          FROM {d} LATERAL VIEW explode(array('prev', 'curr')) s AS side
-        )""",
-        d=text_table(spark, sf_dir, "documents"),
+        f"""SELECT pair_id, side, to_json(named_struct('chapterRows', array(1), 'SectionRows', transform(
+            sequence(2, last_row, {SECTION_LINES + 1}), h -> h || ':' || (h + 1) || '-' || least(h + {SECTION_LINES}, last_row)))) config FROM {{s}}""",
+        s=_document_sizes(spark, sf_dir),
     )
 
 

@@ -55,7 +55,7 @@ r AS (
     NULL::VARCHAR cf_v2
   FROM t
   UNION ALL
-  SELECT conv_id::VARCHAR, 'curr', 12, 'Closing remarks after ' || count(*) || ' turns.', NULL, '', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+  SELECT conv_id::VARCHAR, 'curr', greatest(12, max(turn) + 3)::INT, 'Closing remarks after ' || count(*) || ' turns.', NULL, '', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
   FROM conversations GROUP BY conv_id
 ),
 q AS (
@@ -79,7 +79,7 @@ q AS (
   SELECT a.pair_id, a.side, a.row_num::BIGINT ord, 'Dialogue' section, a.label AS number, trim(a.text) AS text,
          a.row_num, a.label || '|' || coalesce(b.label, '') labels
   FROM r a LEFT JOIN r b ON b.pair_id = a.pair_id AND b.side = a.side AND b.row_num = a.row_num + 1
-  WHERE a.row_num IN (2, 4, 6, 8) AND regexp_matches(a.text, '\\S')
+  WHERE a.row_num % 2 = 0 AND regexp_matches(a.text, '\\S')
 ),
 qc AS (
   SELECT q.pair_id, q.side, q.ord, q.section, q.number, c.kind, (r.row_num - q.row_num)::INT row_offset, c.col, c.col_ord, c.cell_text
@@ -223,52 +223,44 @@ def _serial(raw: str, kind: str) -> str:
 DOC_ROWS = f"""
 dl AS (SELECT doc_id::VARCHAR pair_id, lang, source, string_split(text, chr(10)) ls FROM documents),
 dr AS (
-  SELECT pair_id, 'prev' side, lang, source, len(ls) total, unnest(ls) line, generate_subscripts(ls, 1)::INT row_num FROM dl
+  SELECT pair_id, 'prev' side, lang, source, len(ls) total, unnest(ls) line, generate_subscripts(ls, 1)::INT - 1 pos FROM dl
 ),
 dx AS (
   SELECT * FROM dr
   UNION ALL
-  SELECT pair_id, 'curr', lang, source, total + 1, {_reword('line')}, row_num FROM dr WHERE length(line) NOT BETWEEN 30 AND 60
+  SELECT pair_id, 'curr', lang, source, total + 1, {_reword('line')}, pos FROM dr WHERE length(line) NOT BETWEEN 30 AND 60
   UNION ALL
-  SELECT pair_id, 'curr', lang, source, len(ls) + 1, 'Reviewed ' || lang || ' ' || source, (len(ls) + 1)::INT FROM dl
+  SELECT pair_id, 'curr', lang, source, len(ls) + 1, 'Reviewed ' || lang || ' ' || source, len(ls)::INT FROM dl
 ),
 dc AS (
-  SELECT *, CASE WHEN row_num >= 3 AND (row_num - 2) % 10 <> 0
-    THEN ((row_num - 2) // 10 + 1) || '.' || (row_num + CASE WHEN side = 'curr' AND source = 'src7' THEN 1 ELSE 0 END) || ') ' || line
-    ELSE line END txt
-  FROM dx
+  SELECT *, (pos // 10 + 1) || '.' || (row_num + CASE WHEN side = 'curr' AND source = 'src7' THEN 1 ELSE 0 END) || ') ' || line txt
+  FROM (SELECT *, pos + pos // 10 + 3 row_num, total - 1 + (total - 1) // 10 + 3 last_row FROM dx)
 )"""
 
 EXTRACT_CONTROL = rf"""WITH {DOC_ROWS},
 cq AS (
-  SELECT dc.*, (row_num - 3) // 10 * 10 + 2 section_row FROM dc
-  WHERE row_num >= 3 AND (row_num - 2) % 10 <> 0 AND regexp_matches(txt, '\S')
-),
-heads AS (SELECT pair_id, side, row_num, txt FROM dc WHERE regexp_matches(txt, '\S')),
-sizes AS (SELECT pair_id, max(CASE WHEN side = 'prev' THEN total END) lines FROM dx GROUP BY pair_id)
-SELECT cq.pair_id, cq.side, cq.row_num::BIGINT ord, coalesce(h.txt, '') AS section, coalesce(c.txt, '') AS chapter,
+  SELECT dc.* FROM dc WHERE regexp_matches(txt, '\S')
+)
+SELECT cq.pair_id, cq.side, cq.row_num::BIGINT ord, 'Part ' || (pos // 10 + 1) AS section, 'Document in ' || lang || ' from ' || source AS chapter,
   nullif(regexp_extract(trim(cq.txt), '^(\d+\.\d+)\)?\s*', 1), '') AS number,
   trim(regexp_replace(trim(cq.txt), '^\d+\.\d+\)?\s*', '')) AS text, cq.txt original_text, cq.row_num,
-  CASE WHEN cq.row_num <= 8 THEN 'List' WHEN cq.row_num <= z.rows THEN 'TextLength' END dv_type,
-  CASE WHEN cq.row_num <= 8 THEN NULL WHEN cq.row_num <= z.rows THEN 'LessThan' END dv_op,
+  CASE WHEN cq.row_num <= 8 THEN 'List' ELSE 'TextLength' END dv_type,
+  CASE WHEN cq.row_num <= 8 THEN NULL ELSE 'LessThan' END dv_op,
   CASE WHEN cq.row_num <= 8 THEN CASE cq.side WHEN 'prev' THEN '"Yes,No"' ELSE '"No, Yes"' END
-       WHEN cq.row_num <= z.rows THEN CASE cq.side WHEN 'prev' THEN '500' ELSE length(cq.lang)::VARCHAR END END dv_f1,
+       ELSE CASE cq.side WHEN 'prev' THEN '500' ELSE length(cq.lang)::VARCHAR END END dv_f1,
   NULL::VARCHAR dv_f2,
-  CASE WHEN cq.row_num <= z.rows THEN 'CellIs' END cf_type, CASE WHEN cq.row_num <= z.rows THEN 'Equal' END cf_op,
-  CASE WHEN cq.row_num <= z.rows THEN cq.lang END cf_v1, NULL::VARCHAR cf_v2
-FROM cq JOIN (SELECT pair_id, lines AS rows FROM sizes) z ON z.pair_id = cq.pair_id
-LEFT JOIN heads h ON h.pair_id = cq.pair_id AND h.side = cq.side AND h.row_num = cq.section_row
-LEFT JOIN heads c ON c.pair_id = cq.pair_id AND c.side = cq.side AND c.row_num = 1
+  'CellIs' cf_type, 'Equal' cf_op, cq.lang cf_v1, NULL::VARCHAR cf_v2
+FROM cq
 """
 
 LAYOUT_SCAN = """
 WITH d AS (
-  SELECT doc_id::VARCHAR pair_id, s.side, len(string_split(text, chr(10))) + s.extra AS total
-  FROM documents, (VALUES ('prev', 0), ('curr', 1)) s(side, extra)
+  SELECT pair_id, side, n - 1 + (n - 1) // 10 + 3 AS last FROM (
+    SELECT doc_id::VARCHAR pair_id, s.side, len(string_split(text, chr(10))) + s.extra AS n
+    FROM documents, (VALUES ('prev', 0), ('curr', 1)) s(side, extra))
 )
 SELECT pair_id, side, 'Control Level Questions' sheet, 'C' text_col, 'D' input_col, '1' chapter_rows,
-  array_to_string(list_transform(list_filter(generate_series(2, greatest(total, 2), 10), lambda h: h < total),
-    lambda h: h || ':' || (h + 1) || '-' || least(h + 9, total)), '|') specs
+  array_to_string(list_transform(generate_series(2, last, 11), lambda h: h || ':' || (h + 1) || '-' || least(h + 10, last)), '|') specs
 FROM d"""
 
 SECTION_SPECS = r"""
