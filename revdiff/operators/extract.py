@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from revdiff.functions.text import extract_number, is_blank, strip_number_prefix, trim_ws
 from revdiff.operators.layout import sound_specs
+from revdiff.operators.ordering import asof_last
 from revdiff.operators.scan import nonblank_rows
 from revdiff.operators.spans import covering_join
 from revdiff.sources.session import cut_lineage
@@ -46,35 +47,26 @@ def _headers(rows: DataFrame, row: str, out: str) -> DataFrame:
 def extract_control(cells: DataFrame, layouts: DataFrame, sections: DataFrame) -> DataFrame:
     """Rows inside a section interval, not header rows, with text; first section in order wins."""
     good = cut_lineage(sound_specs(layouts, sections).select(*KEY, "sec_ord", "section_row", "first_row", "last_row"))
-    section_rows = good.groupBy(*KEY).agg(F.collect_set("section_row").alias("section_rows"))
-    rows = (
-        _sheet_cells(cells, layouts.join(section_rows, KEY))
-        .groupBy(*KEY, "row_num")
-        .agg(
-            _in("text_col", "text").alias("text"),
-            _in("input_col", "dv").alias("dv"),
-            _in("input_col", "cf").alias("cf"),
-            F.any_value("chapter_rows").alias("chapter_rows"),
-            F.any_value("section_rows").alias("section_rows"),
-        )
+    own = layouts.join(good.select(*KEY).distinct(), KEY)
+    rows = _sheet_cells(cells, own.drop("chapter_rows", "answer_cols")).groupBy(*KEY, "row_num").agg(
+        _in("text_col", "text").alias("text"), _in("input_col", "dv").alias("dv"), _in("input_col", "cf").alias("cf")
     )
     rows = cut_lineage(rows)  # read again for the header texts
-    header = F.array_contains("chapter_rows", F.col("row_num")) | F.array_contains("section_rows", F.col("row_num"))
-    points = (
-        rows.filter(~header & ~is_blank(F.col("text")))
-        .withColumn("chapter_row", F.array_max(F.filter("chapter_rows", lambda c: c <= F.col("row_num"))))
-        .drop("chapter_rows", "section_rows")
-    )
+    chapters = own.select(*KEY, F.explode("chapter_rows").alias("row_num")).distinct()
+    headers = chapters.union(good.select(*KEY, "section_row")).distinct()
+    points = rows.filter(~is_blank(F.col("text"))).join(headers, [*KEY, "row_num"], "left_anti")
     # sections and headers are found by row number; question texts move once, in the last join
-    found = covering_join(points.select(*KEY, "row_num", "chapter_row"), good, KEY, "row_num", "first_row", "last_row")
+    marked = points.select(*KEY, "row_num", F.lit(False).alias("mark")).union(chapters.select("*", F.lit(True)))
+    at = asof_last(marked, KEY, "row_num", F.col("mark"), F.col("row_num"), "chapter_row").filter("NOT mark").drop("mark")
+    found = covering_join(at, good, KEY, "row_num", "first_row", "last_row")
     first = F.min(F.col("sec_ord").cast("bigint") * _ROWS + F.col("section_row"))
     placed = found.groupBy(*KEY, "row_num", "chapter_row").agg((first % _ROWS).cast("int").alias("section_row"))
-    heads = rows.filter(header)
+    heads = rows.select(*KEY, "row_num", "text").join(headers, [*KEY, "row_num"])
     named = placed.join(_headers(heads, "chapter_row", "chapter"), [*KEY, "chapter_row"], "left").join(
         _headers(heads, "section_row", "section"), [*KEY, "section_row"], "left"
     )
     return (
-        points.drop("chapter_row").join(named, [*KEY, "row_num"])
+        points.join(named, [*KEY, "row_num"])
         .select(
             *KEY,
             F.col("row_num").cast("bigint").alias("ord"),

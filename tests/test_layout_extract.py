@@ -3,8 +3,9 @@ from pyspark.sql import functions as F
 
 from revdiff.functions import col_index
 from revdiff.operators import layout
+from revdiff.operators.diff import cell_range_diff
 from revdiff.operators.extract import extract_control, extract_general, extract_risk, span_rows
-from revdiff.operators.scan import attach_rules, nonblank_rows, range_grid
+from revdiff.operators.scan import attach_rules, nonblank_rows, range_errors, range_grid
 from revdiff.operators.spans import covering_join
 
 CELLS = "pair_id string, side string, sheet string, row_num int, col string, text string"
@@ -114,10 +115,49 @@ def test_extract_general(spark):
     assert span_rows(layout.span_specs(lay)).count() == 8
 
 
+BAD_RANGES = [
+    ("q", "prev", "S", "A1;bad one; A0:A2"), ("r", "prev", "S", "ZZZ3"), ("s", "prev", "S", "A99999999999"), ("t", "prev", "S", "XFE1;A1048577;XFD1048576"),
+]
+
+
+def test_bad_ranges_are_all_listed(spark):
+    args = spark.createDataFrame([("p", "prev", "S", "XFD1048576"), *BAD_RANGES], "pair_id string, side string, sheet string, ranges string")
+    assert {r.pair_id: r.error for r in range_errors(args).collect()} == {
+        "q": "bad ranges: bad one; A0:A2", "r": "bad ranges: ZZZ3", "s": "bad ranges: A99999999999", "t": "bad ranges: XFE1; A1048577",
+    }
+
+
+@pytest.mark.parametrize(
+    "config, error",
+    [
+        ('{"sectionRows":"1:2-3"}', "sectionRows is not a list of texts"), ('{"sectionRows":5}', "sectionRows is not a list of texts"),
+        ('{"chapterRows":["x"]}', "chapterRows is not a list of whole numbers"), ('{"answerColumns":"D"}', "answerColumns is not a list of texts"),
+        ('{"sectionRows":null}', None), ("{}", None), ("[]", "config is not a JSON object"),
+    ],
+)
+def test_fields_of_the_wrong_kind_are_errors(spark, config, error):
+    assert layouts(spark, "general", config).first().error == error
+
+
+def test_layout_files_need_a_pair_and_a_side(spark, tmp_path):
+    for name in ("a.prev.json", "notes.json"):
+        (tmp_path / name).write_text("{}")
+    got = {(r.pair_id, r.side): r.error for r in layout.read_layouts(spark, str(tmp_path), "risk").collect()}
+    assert got == {("a", "prev"): None, ("notes.json", ""): "file name is not <pair>.<prev|curr>.json"}
+
+
+def test_cell_range_diff(spark):
+    args = spark.createDataFrame([(p, s, "S", r) for p, r in (("p", "Z2:AA2;a1"), ("q", "A1;bad one")) for s in ("prev", "curr")], "pair_id string, side string, sheet string, ranges string")
+    both = spark.createDataFrame([("p", "prev", "S", 1, 1, "x"), ("p", "curr", "S", 1, 1, " x "), ("p", "curr", "S", 2, 26, "new")], "pair_id string, side string, sheet string, row_num int, col_idx int, text string")
+    rules = spark.createDataFrame([("p", "curr", "S", "cf", 0, 0, 2, 27, 2, 27, "CellIs", "Equal", "1", None)], RULES)
+    got = [(r.address, r.status, r.text_changed, r.cf_changed) for r in cell_range_diff(args, both, rules).collect()]
+    assert got == [("A1", "unchanged", False, False), ("Z2", "changed", True, False), ("AA2", "changed", False, True)]
+
+
 def test_nonblank_rows_and_grid(spark):
     df = cells(spark, [(1, "A", "x"), (1, "B", " "), (2, "A", " "), (2, "B", None)])
     assert nonblank_rows(df).count() == 2
-    args = spark.createDataFrame([("p", "prev", "S", "A1:A2; a1:B1;bad")], "pair_id string, side string, sheet string, ranges string")
+    args = spark.createDataFrame([("p", "prev", "S", "A1:A2; a1:B1"), *BAD_RANGES], "pair_id string, side string, sheet string, ranges string")
     got = range_grid(args, df).orderBy("row_num", "col_idx").collect()
     assert [(r["row_num"], r["col_idx"], r["text"]) for r in got] == [(1, 1, "x"), (1, 2, " "), (2, 1, " ")]
 

@@ -214,3 +214,25 @@ def test_ingest_workbooks(spark, tmp_path):
     assert (listed["dv", 1, 0]["op"], listed["dv", 1, 0]["v2"], listed["dv", 1, 1]["r1"]) == ("NotBetween", "9", 4)
     assert (listed["cf", 0, 0]["op"], listed["cf", 0, 1]["r2"], listed["cf", 0, 1]["c1"]) == ("EqualOrGreaterThan", 1 << 20, 3)
     assert [r["path"].split("/")[-1] for r in errors.collect()] == ["p1.curr.xlsx"]
+
+
+def test_other_workbooks(spark, tmp_path):
+    """The strict namespace, cells without places, odd names and workbooks without sheets."""
+    strict = "http://purl.oclc.org/ooxml/spreadsheetml/main"
+    sheet = '<sheetData><row><c t="str"><v>a</v></c><c r="D1"><v>1</v></c><c><v>2</v></c></row><row r="5"><c><v>3</v></c></row><row><c r="B6"><v>4</v></c></row></sheetData>'
+    made = workbook(sheet)
+    (tmp_path / "p.curr.xlsx").write_bytes(made)
+    for name, old, new in (("s.prev.xlsx", MAIN, strict), ("none.prev.xlsx", "<sheet ", "<other ")):
+        out = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(made)) as a, zipfile.ZipFile(out, "w") as b:
+            for part in a.namelist():
+                b.writestr(part, a.read(part).decode().replace(old, new) if name[0] == "s" or part == "xl/workbook.xml" else a.read(part))
+        (tmp_path / name).write_bytes(out.getvalue())
+    (tmp_path / "report.xlsx").write_bytes(made)
+    cells, _, errors = ingest_cells(spark, str(tmp_path))
+    want = [("A", 1, "a"), ("B", 6, "4"), ("A", 5, "3"), ("D", 1, "1"), ("E", 1, "2")]
+    got = [(r.pair_id, r.col, r.row_num, r.text) for r in cells.collect()]
+    assert sorted(got) == sorted((p, *w) for p in ("p", "s") for w in want)
+    assert sorted((r.path.rpartition("/")[2], r.error) for r in errors.collect()) == [
+        ("none.prev.xlsx", "ValueError: the workbook has no sheet"), ("report.xlsx", "ValueError: file name is not <pair>.<prev|curr>.xlsx"),
+    ]
