@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -10,13 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from revdiff.sources.session import cut_lineage
 
-__all__ = ["byte_slices", "cut_lineage", "read", "text_bytes", "unused"]
+__all__ = ["arrow_rows", "byte_slices", "cut_lineage", "read", "text_bytes", "unused"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows while stages with wide rows are written: the usual
+    10,000 would be hundreds of megabytes, in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
+
+
 def text_bytes(texts: pa.Array) -> np.ndarray:
     """UTF-8 length of every text; a null text is empty."""
     import pyarrow.compute as pc

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revdiff.llm import words
-from revdiff.llm.common import byte_slices, cut_lineage, unused
+from revdiff.llm.common import arrow_rows, byte_slices, cut_lineage, unused
 from revdiff.llm.graph import components
 
 SHINGLE = 5
@@ -35,8 +35,10 @@ BANDS, ROWS = 32, 5  # a pair at 0.8 shares no band with probability 3e-6
 BUCKET = 16
 #: Fingerprint tables of so many rows are sent to every task; longer ones are joined by shuffle.
 SMALL = 200_000
-#: Up to so many rows of open buckets are paired at once.
-PAIRED = 100_000
+#: Pairs in an Arrow batch: each brings the shingles of two texts.
+PAIR_ROWS = 256
+#: Texts in an Arrow batch.
+TEXT_ROWS = 1000
 _UNIT = 2.0**-53
 
 
@@ -255,10 +257,10 @@ def _cross_pairs(rows: DataFrame, bands: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def _leaders(rows: DataFrame) -> DataFrame:
-    """``bucket, leader, led, top``: the most central node of each bucket, its component and how central it is."""
-    first = F.max(F.struct("central", "key", "comp")).alias("m")
-    return rows.groupBy("bucket").agg(first).select("bucket", F.col("m.key").alias("leader"), F.col("m.comp").alias("led"), F.col("m.central").alias("top"))
+def _leaders(rows: DataFrame, by: str) -> DataFrame:
+    """``bucket, leader, led, top``: the node of each bucket that is largest ``by`` a column, and its component."""
+    first = F.max(F.struct(by, "key", "comp")).alias("m")
+    return rows.groupBy("bucket").agg(first).select("bucket", F.col("m.key").alias("leader"), F.col("m.comp").alias("led"), F.col(f"m.{by}").alias("top"))
 
 
 def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
@@ -272,29 +274,36 @@ def _components(members: DataFrame, shingles: DataFrame, bands: DataFrame, thres
     In each bucket the most central node leads: the one whose buckets hold most rows, as a rule
     the text that others were made from. Each node is compared with the most central of its
     leaders. Nodes whose unshared shingles rule out any further link leave, and buckets of one
-    component. If many rows are left, the others of a bucket are compared with its leader. The
-    pairs that remain are compared one by one."""
+    component. Then in each bucket the node with the least share of unshared shingles leads (the
+    text that others were made from has none), and all others are compared with it. The pairs
+    that remain are compared one by one."""
     rows = members.withColumn("comp", F.col("key")).withColumn("shared", F.col("mass"))
-    met = rows.select("bucket", "key").join(_leaders(rows), "bucket").filter("key <> leader")
+    met = rows.select("bucket", "key").join(_leaders(rows, "central"), "bucket").filter("key <> leader")
     pairs = met.groupBy(F.col("key").alias("b")).agg(F.max(F.struct("top", "leader")).alias("m")).select(F.col("m.leader").alias("a"), "b")
-    checked = cut_lineage(_compared(pairs, shingles, threshold))
+    spark = members.sparkSession
+    with arrow_rows(spark, PAIR_ROWS):
+        checked = cut_lineage(_compared(pairs, shingles, threshold))
     label = components(checked.filter("similar"))
     rows = cut_lineage(_open(_labelled(rows, label)))
     if rows.isEmpty():
         return label
     alone = _unshared(checked, rows.select("key").distinct(), shingles)
-    rows = cut_lineage(_open(rows.join(alone, "key", "left").withColumn("shared", F.col("mass") - F.coalesce("alone", F.lit(0))).drop("alone")))
-    if rows.count() > PAIRED:
-        met = rows.join(_leaders(rows), "bucket").filter("key <> leader")
-        pairs = met.filter("comp <> led").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-        more = _compared(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), shingles, threshold)
+    shared = F.col("mass") - F.coalesce("alone", F.lit(0))
+    rows = cut_lineage(_open(rows.join(alone, "key", "left").withColumn("shared", shared).withColumn("part", shared / F.col("mass")).drop("alone")))
+    if rows.isEmpty():
+        return label
+    met = rows.join(_leaders(rows, "part"), "bucket").filter("key <> leader")
+    pairs = met.filter("comp <> led").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+    more = _compared(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), shingles, threshold)
+    with arrow_rows(spark, PAIR_ROWS):
         checked = checked.union(cut_lineage(more))
-        label = components(checked.filter("similar"))
-        rows = cut_lineage(_open(_labelled(met.drop("leader", "led", "top"), label)))
+    label = components(checked.filter("similar"))
+    rows = cut_lineage(_open(_labelled(met.drop("leader", "led", "top"), label)))
     if rows.isEmpty():
         return label
     last = _cross_pairs(rows.select("bucket", "key", "comp", "mass", "shared"), bands).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = cut_lineage(_compared(last, shingles, threshold).filter("similar").select("a", "b"))
+    with arrow_rows(spark, PAIR_ROWS):
+        more = cut_lineage(_compared(last, shingles, threshold).filter("similar").select("a", "b"))
     return label if more.isEmpty() else components(checked.filter("similar").select("a", "b").union(more))
 
 
@@ -314,7 +323,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     """
     if threshold < 0.8:
         raise ValueError("bands and bounds are made for similarities of 0.8 or more")
-    prints = cut_lineage(fingerprints(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    spark = docs.sparkSession
+    with arrow_rows(spark, TEXT_ROWS):
+        prints = cut_lineage(fingerprints(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     keeper = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "h1", "h2")).alias("keeper")
     nodes = cut_lineage(prints.filter("key IS NOT NULL").groupBy("key").agg(keeper, F.first("bands").alias("bands")))
     buckets = nodes.select("key", F.explode("bands").alias("bucket"))
@@ -325,7 +336,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     near = F.broadcast(needed) if needed.count() <= SMALL else needed
     texts = docs.select(docs[id_col].alias("own_id"), docs[text_col].alias("text")).selectExpr("own_id", "text", "xxhash64(text) t1", "hash(text) t2")
     texts = texts.join(near, (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")) & F.col("own_id").eqNullSafe(F.col("id")))
-    shingles = cut_lineage(_shingle_rows(texts.select("key", "text").dropDuplicates(["key"])))
+    with arrow_rows(spark, TEXT_ROWS):
+        shingles = cut_lineage(_shingle_rows(texts.select("key", "text").dropDuplicates(["key"])))
     sized = needed.select("key", "central").join(shingles.select("key", "mass"), "key")
     members = cut_lineage(crowded.select("bucket", "key").join(sized, "key"))
     label = _components(members, shingles, nodes.select("key", "bands"), threshold)
