@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revdiff.operators.align import MATCH_THRESHOLD, align_small, scores
+from revdiff.operators.align import MATCH_THRESHOLD, _large_blocks, align_small, best_assignment, scores
 from revdiff.operators.ordering import ordinal
 from revdiff.sources.session import cut_lineage, task_slots
 
@@ -114,6 +114,52 @@ def _pairs_to_fix(live: DataFrame, tops: DataFrame) -> DataFrame:
     )
 
 
+def _score_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All scores of a tile pair, one row per current record."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            unit = batch.slice(at, 1).to_pylist()[0]
+            base, adj = scores(unit["new"], unit["old"])
+            ords = [r["ord"] for r in unit["old"]]
+            rows = [{"pair_id": unit["pair_id"], "ord": r["ord"], "ords": ords, "base": b.tolist(), "adj": a.tolist()} for r, b, a in zip(unit["new"], base, adj)]
+            yield pa.RecordBatch.from_pylist(rows, schema=_SCORED)
+
+
+def _solve_scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The optimal pairs of each block from its score matrix; equal choices go to the lowest previous record."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            block = batch.slice(at, 1).to_pylist()[0]
+            new = {o: i for i, o in enumerate(sorted({r["ord"] for r in block["rows"]}))}
+            old = {o: j for j, o in enumerate(sorted({o for r in block["rows"] for o in r["ords"]}))}
+            base, adj = np.zeros((len(new), len(old))), np.zeros((len(new), len(old)))
+            for r in block["rows"]:
+                columns = [old[o] for o in r["ords"]]
+                base[new[r["ord"]], columns], adj[new[r["ord"]], columns] = r["base"], r["adj"]
+            n_ords, o_ords = list(new), list(old)
+            rows = [{"pair_id": block["pair_id"], "n_ord": n_ords[i], "o_ord": o_ords[j], "similarity": base[i, j], "adj": adj[i, j]}
+                    for i, j in enumerate(best_assignment(adj)) if j >= 0]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(_TOP_PAIRS))
+
+
+def solve_cores(left: DataFrame, max_chars: int, tile: int = 8) -> DataFrame:
+    """Optimal pairs ``pair_id, n_ord, o_ord, similarity, adj`` of cores. A core of long texts is
+    scored in small tiles over the cluster, and only its scores meet in one task."""
+    heavy = _large_blocks(left, 1 << 62, max_chars)
+    light = align_small(left.join(heavy, "pair_id", "left_anti")).filter("n_ord IS NOT NULL AND o_ord IS NOT NULL")
+    rows = left.join(heavy, "pair_id").withColumn("tile", F.floor(F.col("ord") / tile))
+    side = lambda flag, name: rows.filter(F.col("is_new") == flag).groupBy("pair_id", F.col("tile").alias(f"{name}_tile")).agg(
+        F.collect_list(F.struct("ord", "txt", "section", "number")).alias(name)
+    )
+    units = side(True, "new").join(side(False, "old"), "pair_id").repartition(task_slots(left.sparkSession), "pair_id", "old_tile", "new_tile")
+    scored = units.select("pair_id", "new", "old").mapInArrow(_score_tiles, "pair_id string, ord bigint, ords array<bigint>, base array<double>, adj array<double>")
+    blocks = scored.groupBy("pair_id").agg(F.collect_list(F.struct("ord", "ords", "base", "adj")).alias("rows"))
+    columns = ["pair_id", "n_ord", "o_ord", "similarity", "adj"]
+    return light.select(columns).unionByName(
+        blocks.mapInArrow(_solve_scored, "pair_id string, n_ord bigint, o_ord bigint, similarity double, adj double")
+    )
+
+
 def _without(live: DataFrame, fixed: DataFrame) -> DataFrame:
     """Classes with the members that are not paired yet."""
     taken = fixed.select("pair_id", F.lit(True).alias("is_new"), "cid", "take").unionByName(
@@ -124,20 +170,22 @@ def _without(live: DataFrame, fixed: DataFrame) -> DataFrame:
     return left.drop("take").filter("cnt > 0")
 
 
-def _next_steps(live: DataFrame, fixed: DataFrame, max_core: int, max_chars: int) -> DataFrame:
-    """Per unfinished block: ``core`` if it fits one task, ``again`` after progress, else ``doubt``."""
-    members = lambda flag, weight: F.sum(F.when(F.col("is_new") == flag, F.col("cnt") * weight).otherwise(0))
+def _next_steps(live: DataFrame, fixed: DataFrame, max_core: int) -> DataFrame:
+    """Per unfinished block: ``core`` if its score matrix fits one task, ``again`` after progress, else ``doubt``."""
+    members = lambda flag: F.sum(F.when(F.col("is_new") == flag, F.col("cnt")).otherwise(0))
     sizes = live.groupBy("pair_id").agg(
-        members(True, F.lit(1)).alias("n"), members(False, F.lit(1)).alias("o"),
-        F.greatest(members(True, F.length("txt")), members(False, F.length("txt"))).alias("chars"),
-        F.bool_or("doubt").alias("doubt"),
+        members(True).alias("n"), members(False).alias("o"), F.bool_or("doubt").alias("doubt")
     ).filter("n > 0 AND o > 0")
     moved = fixed.groupBy("pair_id").agg(F.lit(True).alias("moved"))
-    fits = (F.greatest("n", "o") <= max_core) & (F.col("chars") <= max_chars)
-    step = F.when(fits, "core").when(F.col("moved") & ~F.col("doubt"), "again").otherwise("doubt")
+    step = F.when(F.greatest("n", "o") <= max_core, "core").when(F.col("moved") & ~F.col("doubt"), "again").otherwise("doubt")
     return sizes.join(moved, "pair_id", "left").select("pair_id", step.alias("step"))
 
 
+_SCORED = pa.schema([("pair_id", pa.string()), ("ord", pa.int64()), ("ords", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())),
+                     ("adj", pa.list_(pa.float64()))])
+_TOP_PAIRS = [("pair_id", pa.string()), ("n_ord", pa.int64()), ("o_ord", pa.int64()), ("similarity", pa.float64()), ("adj", pa.float64())]
+
+
 def align_large(records: DataFrame, max_core: int, max_chars: int, tile: int) -> DataFrame:
     """Align large blocks by rounds of safe decisions; ``records`` is a stored table.
 
@@ -146,7 +194,8 @@ def align_large(records: DataFrame, max_core: int, max_chars: int, tile: int) ->
     members: swapping any other use of them gains at least ``w - a - b``. Each round fixes
     all such pairs and scores what is left again. A block is done when one side is used up,
     when no remaining score reaches the threshold, so that nothing left could be accepted, or
-    when at most ``max_core`` records per side remain, which one task solves exactly.
+    when at most ``max_core`` records per side remain, whose score matrix one task solves exactly,
+    however long the texts are (``max_chars`` only says which cores are scored in tiles).
 
     A block that a round leaves unchanged and too large is in doubt: from there on, classes
     that are each other's best are paired, best first. Its remaining records, matched or not,
@@ -161,7 +210,7 @@ def align_large(records: DataFrame, max_core: int, max_chars: int, tile: int) ->
         fixed = cut_lineage(_pairs_to_fix(live, tops))
         fixes.append(fixed)
         live = cut_lineage(_without(live, fixed))
-        steps = cut_lineage(_next_steps(live, fixed, max_core, max_chars))
+        steps = cut_lineage(_next_steps(live, fixed, max_core))
         cores.append(live.join(steps.filter("step = 'core'"), "pair_id", "left_semi"))
         if steps.filter("step <> 'core'").isEmpty():
             break
@@ -172,7 +221,7 @@ def align_large(records: DataFrame, max_core: int, max_chars: int, tile: int) ->
         live = cut_lineage(rest.join(reach, "pair_id", "left_semi"))
         if live.isEmpty():
             break
-    return _to_records(records, first_tops, fixes, cores, doubts)
+    return _to_records(records, first_tops, fixes, cores, doubts, max_chars)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -180,7 +229,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _to_records(
-    records: DataFrame, first_tops: DataFrame, fixes: list[DataFrame], cores: list[DataFrame], doubts: list[DataFrame]
+    records: DataFrame, first_tops: DataFrame, fixes: list[DataFrame], cores: list[DataFrame], doubts: list[DataFrame], max_chars: int
 ) -> DataFrame:
     """From decisions on classes back to records: the k-th free member of A pairs with the k-th of B."""
     named = classes(records).drop("cnt")
@@ -206,7 +255,7 @@ def _to_records(
         .select("pair_id", "n_ord", "o_ord", "similarity", "adj")
     )
     left = members.join(_union(cores).select(*CLASS_KEY, "used"), CLASS_KEY).filter("k > used").select(*records.columns)
-    by_core = align_small(left).filter("n_ord IS NOT NULL AND o_ord IS NOT NULL").select("pair_id", "n_ord", "o_ord", "similarity", "adj")
+    by_core = solve_cores(cut_lineage(left), max_chars)
     matched = cut_lineage(by_class.unionByName(by_core).filter(F.col("adj") >= MATCH_THRESHOLD))
 
     tops = first_tops.filter("is_new").select("pair_id", "cid", "base_best", "base_partner", "base_partner_cnt", "base_second")

@@ -173,6 +173,19 @@ def test_large_path_hot_copies(spark):
     assert copies["second_best"].eq(1.0).all()
 
 
+def test_long_texts_are_solved_like_short_ones(spark):
+    """Scores 0.9 and 0.8 over 0.8 and 0.5: the optimum is crossed, whatever the bound on characters."""
+    prev, curr = question(spark, [("p", 1, "abcdefghij"), ("p", 2, "YYcdefghiX")]), question(spark, [("p", 1, "abcdefghiX"), ("p", 2, "abcdefZZij")])
+    for bounds in ({}, {"max_chars": 5}, {"max_rows": 1}):
+        rows = align(prev, curr, **bounds).collect()
+        assert {(r.n_ord, r.o_ord, round(r.adj, 6)) for r in rows} == {(1, 2, 0.8), (2, 1, 0.8)} and all(r.settled for r in rows)
+    old, new = _corpus(9, 4, 12, WORDS)
+    prev, curr = question(spark, old), question(spark, new)
+    pairs = lambda **bounds: sorted((r.pair_id, str(r.n_ord), str(r.o_ord)) for r in align(prev, curr, **bounds).collect())
+    total = lambda **bounds: round(sum(r.adj or 0 for r in align(prev, curr, **bounds).collect()), 9)
+    assert total() == total(max_chars=50) and len(pairs()) == len(pairs(max_chars=50))
+
+
 def test_unproven_block_is_matched_and_marked(spark):
     """A contested core over the bound is paired best first, returned whole and marked."""
     old = [("p", i, f"item number {i:03d}") for i in range(12)]
