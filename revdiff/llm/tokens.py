@@ -124,7 +124,7 @@ class _WordEncoder(_JsonEncoder):
     a marked token, which tells them apart again. Other words are encoded one by one."""
 
     #: Python's split() takes these for white space, the tokenizer doesn't.
-    ODD = re.compile("[\x1c-\x1f]")
+    ODD = "\x1c\x1d\x1e\x1f"
 
     def __init__(self, path: str, lengths: bool):
         super().__init__(path, lengths)
@@ -153,7 +153,7 @@ class _WordEncoder(_JsonEncoder):
         return self.many(texts)
 
     def many(self, parts):
-        split = [x.split() if not self.ODD.search(x) else re.split("[ \t\n]+", x.strip(" \t\n")) for x in parts]
+        split = [re.split("[ \t\n]+", x.strip(" \t\n")) if any(c in x for c in self.ODD) else x.split() for x in parts]
         new = set(itertools.chain.from_iterable(split)).difference(self.words)
         if new:
             if len(self.words) + len(new) > WORDS:

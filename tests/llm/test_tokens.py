@@ -34,6 +34,15 @@ def test_words_alone_give_the_ids_of_the_text(text):
     assert tokens.encoder(WORD, True)([text]) == [len(ids(text))]
 
 
+def test_tables_start_anew(monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS", 20)
+    encode = tokens._WordEncoder(WORD, False)
+    for n in range(60):
+        text = " ".join(f"{'abcdefghijklmnop'[n % 16]}word{'xyz'[k % 3] * (k % 7)}{'.' * (k % 2)} The é{n}" for k in range(n % 9))
+        assert np.frombuffer(encode([text])[0], "<u4").tolist() == ids(text)
+        assert len(encode.words) <= 40 and len(encode.cores) <= 40
+
+
 @pytest.mark.parametrize("path", [WORD, PIECE, BYTES])
 def test_parts_give_the_ids_of_the_text(path, monkeypatch):
     monkeypatch.setattr(tokens, "PART_CHARS", 40)
