@@ -32,7 +32,7 @@ from revdiff.llm.graph import components
 SHINGLE = 5
 BANDS, ROWS = 32, 5  # a pair at 0.8 shares no band with probability 3e-6
 #: A bucket of more rows is cut finer by a second shared band before its pairs are listed.
-BUCKET = 16
+BUCKET = 128
 #: Fingerprint tables of so many rows are sent to every task; longer ones are joined by shuffle.
 SMALL = 200_000
 #: Pairs in an Arrow batch: each brings the shingles of two texts.
@@ -237,9 +237,10 @@ def _cross_pairs(rows: DataFrame, bands: DataFrame) -> DataFrame:
     """Pairs of ``rows`` that share a bucket, differ in component and may reach the threshold.
 
     A bucket of more than ``BUCKET`` rows is cut finer by another band that its rows share: a
-    pair at the threshold shares about ten bands. After two cuts what is left is listed whatever
+    pair at the threshold shares about ten bands; bands are taken in ascending order, so that a set of
+    them is one bucket. After two cuts what is left is listed whatever
     its size, so no bucket is dropped."""
-    out = None
+    out, rows = None, rows.withColumn("last", F.col("bucket"))
     for cuts in (0, 1, 2):
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
         small = sizes.filter(F.col("n") <= BUCKET) if cuts < 2 else sizes
@@ -252,8 +253,9 @@ def _cross_pairs(rows: DataFrame, bands: DataFrame) -> DataFrame:
         big = rows.join(sizes.filter(F.col("n") > BUCKET).select("bucket"), "bucket")
         if cuts == 2 or big.isEmpty():
             break
-        finer = big.join(bands, "key").withColumn("band", F.explode("bands")).withColumn("bucket", F.xxhash64("bucket", "band"))
-        rows = cut_lineage(_open(finer.select("bucket", "key", "comp", "mass", "shared")))
+        finer = big.join(bands, "key").withColumn("band", F.explode("bands")).filter("band > last")
+        finer = finer.select(F.xxhash64("bucket", "band").alias("bucket"), F.col("band").alias("last"), "key", "comp", "mass", "shared")
+        rows = cut_lineage(_open(finer))
     return out.distinct()
 
 
