@@ -5,8 +5,10 @@ comparing conversations pairwise. The nodes of a tree are laid out depth first i
 each once, with position ids that count along its own path and the intervals of the sequence that
 hold its ancestors: together with the node itself these are what its tokens may attend to.
 
-A tree of many conversations (a common first turn) is cut into sequences of about ``LEAVES``
-different conversations; each has the shared turns once.
+A tree of many conversations (a common first turn) is cut along its prefixes: a turn that at most
+``LEAVES`` different conversations pass keeps all of them in one sequence and is there once. Such
+subtrees fill sequences in depth-first order, so a turn that n > ``LEAVES`` conversations pass is in
+at most n / ``LEAVES`` + 1 of them, and a sequence has fewer than 2 * ``LEAVES`` conversations.
 
 Units are code points. A turn is written ``<|role|>\\n`` + text + ``<|end|>\\n``; a backslash in
 role or text is doubled, and one is put inside every control string, which undoes exactly.
@@ -18,12 +20,14 @@ import hashlib
 import itertools
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revdiff.llm.common import cut_lineage
+from revdiff.sources.session import task_slots
 
 #: Control strings of this and other common templates.
 CONTROL = ("<|", "|>", "</s>", "<s>", "[/INST]", "[INST]", "<<SYS>>", "<</SYS>>")
@@ -78,6 +82,40 @@ def _groups(batches):
     return itertools.groupby(rows, key=lambda r: r[0])
 
 
+def _sequences(large: DataFrame, path: DataFrame, leaves: int) -> DataFrame:
+    """``rep, part`` for conversations ``large(rep, r1, r2)`` of trees of more than ``leaves`` of them.
+
+    A unit is a turn that at most ``leaves`` conversations pass below one that more pass, or a
+    conversation that ends above. Units are put in depth-first order by their paths, in ranges over
+    the cluster, and a tree's running number of conversations tells the sequence.
+    """
+    node = ["pos", "k1", "k2"]
+    own = cut_lineage(path.join(large.select("rep"), F.col("conv").eqNullSafe(F.col("rep"))).select("rep", *node))
+    hot = own.groupBy(*node).agg(F.count("*").alias("n")).filter(F.col("n") > leaves).select(*node, F.lit(1).alias("hot"))
+    # more conversations pass a turn than any turn below it, so the hot turns of a path come first
+    each = own.join(hot, node, "left").groupBy("rep").agg(F.count("hot").cast("int").alias("cut"), F.sort_array(F.collect_list(F.struct(*node))).alias("nodes"))
+    each = cut_lineage(each.select("rep", F.slice("nodes", F.lit(1), F.col("cut") + 1).alias("unit")))
+    units = cut_lineage(each.groupBy("unit").agg(F.count("*").alias("n")))
+    first, last = F.element_at("unit", 1), F.element_at("unit", -1)
+    ranges = units.repartitionByRange(task_slots(path.sparkSession), "unit").sortWithinPartitions("unit")
+    ranges = ranges.select(F.spark_partition_id().alias("range"), "n", *(last[c].alias(c) for c in node), first["k1"].alias("r1"), first["k2"].alias("r2"))
+
+    def count_up(batches):
+        before = 0
+        for batch in batches:
+            upto = before + np.cumsum(batch.column(1).to_numpy())
+            yield batch.append_column("upto", pa.array(upto, pa.int64()))
+            before = int(upto[-1]) if len(upto) else before
+
+    placed = cut_lineage(ranges.mapInArrow(count_up, "range int, n long, pos int, k1 long, k2 long, r1 long, r2 long, upto long"))
+    earlier = placed.groupBy("range").agg(F.sum("n").alias("own"))  # a row for each range
+    earlier = earlier.select("range", (F.sum("own").over(Window.partitionBy(F.lit(0)).orderBy("range")) - F.col("own")).alias("earlier"))
+    placed = placed.join(F.broadcast(earlier), "range").withColumn("start", F.col("earlier") + F.col("upto") - F.col("n"))
+    trees = placed.groupBy("r1", "r2").agg(F.min("start").alias("tree"))
+    parts = placed.join(trees, ["r1", "r2"]).select(*node, F.expr(f"(start - tree) div {leaves}").alias("part"))
+    return each.select("rep", *(last[c].alias(c) for c in node)).join(parts, node).select("rep", "part")
+
+
 def format_conversations(convs: DataFrame, leaves: int = LEAVES, conv_col: str = "conv_id") -> tuple[DataFrame, DataFrame]:
     """``(nodes, ends)`` for ``convs(conv_col, turn, role, text)``.
 
@@ -108,9 +146,14 @@ def format_conversations(convs: DataFrame, leaves: int = LEAVES, conv_col: str =
     )
     each = cut_lineage(each.select("conv", "n_turns", "end.pos", "end.k1", "end.k2", F.col("root.k1").alias("r1"), F.col("root.k2").alias("r2")))
     distinct = each.groupBy("pos", "k1", "k2").agg(F.min("conv").alias("rep"), F.first("r1").alias("r1"), F.first("r2").alias("r2"))
-    trees = distinct.groupBy("r1", "r2").agg(F.ceil(F.count("*") / leaves).cast("long").alias("parts"))
-    sequence = F.xxhash64("r1", "r2", F.expr("pmod(xxhash64(pos, k1, k2), parts)"))
-    leaf = cut_lineage(distinct.join(trees, ["r1", "r2"]).select("rep", "pos", "k1", "k2", sequence.alias("sequence_id")))
+    trees = distinct.groupBy("r1", "r2").agg(F.count("*").alias("ends"))
+    distinct = cut_lineage(distinct.join(trees, ["r1", "r2"]))
+    leaf = distinct.filter(F.col("ends") <= leaves).withColumn("part", F.lit(0).cast("long"))
+    large = distinct.filter(F.col("ends") > leaves)
+    if not large.isEmpty():
+        parts = _sequences(large, path, leaves).withColumnRenamed("rep", "of")
+        leaf = leaf.unionByName(large.join(parts, F.col("rep").eqNullSafe(F.col("of"))).drop("of"))
+    leaf = cut_lineage(leaf.select("rep", "pos", "k1", "k2", F.xxhash64("r1", "r2", "part").alias("sequence_id")))
     rows = path.join(leaf.select("sequence_id", "rep"), conv.eqNullSafe(F.col("rep")))
     rows = rows.select("sequence_id", "rep", "pos", "k1", "k2", F.length(segment).cast("long").alias("n"))
     schema = T.StructType([

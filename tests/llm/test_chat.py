@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -50,3 +51,22 @@ def test_shared_turns_are_laid_out_once_with_positions_and_ancestors(spark):
     whole = "".join(r.segment for r in tree)
     assert sorted(whole[r.loss_start : r.loss_end] for r in tree) == ["", "", "hello", "no"]
     assert {r.conv_id: r.start for r in ends.collect() if r.conv_id in (1, 2, 3)}[3] == tree[1].start
+
+
+def test_a_large_tree_is_cut_along_its_prefixes(spark):
+    talks = [["sys", f"q{i % 30}", *(f"t{k}" for k in range(8)), f"end {i}"] for i in range(600)]  # 20 conversations share ten turns
+    talks += [["sys", "hot", f"only {i}"] for i in range(100)] + [["sys"], ["sys", "hot"], ["sys", "hot"]]
+    talks += [["sys", "long", *(f"x{k}" for k in range(n))] for n in range(150)]  # an end at every turn
+    talks += [["other", f"end {i}"] for i in range(32)]
+    rows = [(i, k, "user", "/".join(talk[: k + 1])) for i, talk in enumerate(talks) for k in range(len(talk))]  # a text tells its path
+    nodes, ends = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    passing = Counter("/".join(p[: k + 1]) for p in set(map(tuple, talks)) for k in range(len(p)))
+    found = nodes.select("sequence_id", "start", "segment", "is_end").collect()
+    times = Counter(r.segment.removeprefix("<|user|>\n").removesuffix(chat.END) for r in found)
+    assert set(times) == set(passing)
+    for path, n in passing.items():
+        assert times[path] == 1 if n <= chat.LEAVES else times[path] <= n / chat.LEAVES + 1, path
+    assert max(Counter(r.sequence_id for r in found if r.is_end).values()) < 2 * chat.LEAVES
+    text = {(r.sequence_id, r.start): r.segment for r in found}
+    got = {r.conv_id: text[r.sequence_id, r.start] for r in ends.collect()}
+    assert got == {i: f"<|user|>\n{'/'.join(talk)}{chat.END}" for i, talk in enumerate(talks)}
