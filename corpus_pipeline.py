@@ -1,7 +1,7 @@
 """From raw documents to packed sequences: the training-data operators in a row.
 
 Each stage takes what its predecessor kept (written as Parquet and read again) and returns the
-columns of documents; the last one returns the packed pieces.
+columns of documents; the last one returns the packed pieces with their token ids.
 """
 
 from __future__ import annotations
@@ -37,8 +37,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of 4096 tokens."""
-    return packing.pack(docs, WORD_BPE)
+    """Pieces of all documents with their token ids and places in sequences of 4096 tokens;
+    ``packing.sequences`` makes the padded sequences of them."""
+    return packing.pack(docs, WORD_BPE, keep_ids=True)
 
 
 STAGES = [

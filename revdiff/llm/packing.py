@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revdiff.llm.common import byte_slices, cut_lineage
+from revdiff.llm.common import byte_slices, cut_lineage, unused
 from revdiff.llm.tokens import encoder
 
 
@@ -177,8 +177,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, k
     null. Ties (pieces of one length) go by a hash of the id, then the id. An empty table gives
     no rows. Other columns are not read.
     """
-    cut = cut_lineage(pieces(docs, tokenizer, end_id, window, keep_ids, id_col=id_col, text_col=text_col))
-    return place(cut, window, id_col)
+    cut = pieces(docs, tokenizer, end_id, window, keep_ids, id_col=id_col, text_col=text_col)
+    if not keep_ids:
+        return place(cut_lineage(cut), window, id_col)
+    (piece,) = unused(cut, "_piece")
+    cut = cut_lineage(cut.withColumn(piece, F.monotonically_increasing_id()))
+    placed = place(cut.drop("ids"), window, id_col).join(cut.select(piece, "ids"), piece)  # ids move once, and not through the ranking
+    return placed.select(id_col, "start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame, window: int = 4096, pad_id: int = 0) -> DataFrame:

@@ -1,9 +1,12 @@
 """Registered queries against their SQL, and the pipeline's stages, on the smallest tables."""
 
+import zlib
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from revdiff.llm import near_dup, queries
@@ -40,3 +43,18 @@ def test_pipeline(spark, tmp_path):
             assert near_dup.near_duplicates(docs).filter("NOT kept").count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(DATA))
     assert packed.selectExpr("sum(length) n").first().n == packed.filter("start = 0").selectExpr("sum(doc_tokens) n").first().n
+
+
+def test_pipeline_ends_in_token_ids(spark):
+    docs = spark.read.parquet(str(DATA / "documents.parquet")).limit(20)
+    docs = docs.union(docs)  # a document may come several times
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(DATA)).collect()
+    by = {}
+    for r in packed:
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        by.setdefault(r.doc_id, []).extend(r.ids)
+    tokens = Tokenizer.from_file(queries.WORD_BPE)
+    for r in docs.distinct().collect():
+        assert sorted(by[r.doc_id]) == sorted(2 * [*tokens.encode(r.text or "", add_special_tokens=False).ids, 2])
+    places = [(r.sequence_id, r.offset) for r in packed]
+    assert len(set(places)) == len(places)
