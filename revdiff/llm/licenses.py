@@ -27,6 +27,10 @@ NAMES = {
     "CC-BY-ND-4.0": ["cc by-nd 4.0", "creative commons attribution-noderivatives 4.0 international license", "cc-by-nd-4.0"],
     "CC-BY-NC-SA-4.0": ["cc by-nc-sa 4.0", "creative commons attribution-noncommercial-sharealike 4.0 international license", "cc-by-nc-sa-4.0"],
 }
+#: The current SPDX identifiers of the GNU licences, known to the Spark scan only.
+SPDX_NAMES = {f"{x}-only": [f"{x}-only".lower()] for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")} | {
+    f"{x}-or-later": [f"{x}-or-later".lower(), f"{x}+".lower()] for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+}
 #: Sentences of licence texts and notices, by identifier.
 SENTENCES = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
@@ -90,6 +94,11 @@ CUTS = [
     (r"(?i)\b(the|an?|of|or|and|to|in|this|that|by|for|with)[ \t]*\n[ \t]*", r"\1 "),
     (r"([A-Z,;])[ \t]*\n[ \t]*([A-Z][A-Z])", r"\1 \2"), (r"(;)[ \t]*\n", "\\1\x1e"), (r"([.!?:])\s+", "\\1\x1e"), (r"\n([ \t]*[^a-z(\"\s])", "\x1e\\1"),
 ]
+# Every identifier of an SPDX expression becomes a sentence, in the Spark scan only: \\G goes on where the one before ended.
+EXPRESSION = (
+    r"(?:[sS][pP][dD][xX]-[lL][iI][cC][eE][nN][sS][eE]-[iI][dD][eE][nN][tT][iI][fF][iI][eE][rR]:|\G(?<=[ \t)])(?:AND|OR|WITH)(?=[ \t(]))[ \t(]*([A-Za-z0-9.+-]+)[ \t)]*",
+    "SPDX-License-Identifier \\1\x1e",
+)
 # Of a lower-case sentence: keep letters, digits and marks inside names; drop articles and "version"; one word for each way of licensing.
 NORMAL = [
     (r"[^a-z0-9.+/-]+", " "), (r"[.]+( |$)", r"\1"), (r"(^| )[.+/-]+( |$)", " "), (r"\blicence", "license"), (r"\b(?:the|an?|version) ", ""),
@@ -110,7 +119,7 @@ def normal(sentence: str) -> str:
     return out
 
 
-def known_sentences() -> dict[str, str]:
+def known_sentences(names: dict[str, list[str]] = NAMES) -> dict[str, str]:
     """Identifier of every known normalised sentence."""
     import re
 
@@ -120,7 +129,7 @@ def known_sentences() -> dict[str, str]:
             text = re.sub(pattern, new, text)
         parts = [normal(x) for x in text.split("\x1e") if normal(x)]
         out[max(parts, key=len)] = key  # one that has ends inside is known by its longest part
-    for name, forms in NAMES.items():
+    for name, forms in names.items():
         for form in forms:
             out[normal(f"licensed under {form}")] = f"ref-{name}"
             out[normal(f"SPDX-License-Identifier: {form}")] = f"ref-{name}"
@@ -139,8 +148,10 @@ def _replaced(value: str, steps: list[tuple[str, str]], duck: bool) -> str:
 def _steps(duck: bool, text_col: str) -> tuple[str, str, dict[str, str]]:
     """SQL for Spark or DuckDB: the marks of a text's known sentences (``ids``), the marks joined
     and rewritten by the rules (``m``), and the results from both."""
-    sentence, cut = _replaced("lower(s)", NORMAL, duck), _replaced(f"coalesce({text_col}, '')", CUTS, duck)
-    pairs = known_sentences().items()
+    names, cuts = (NAMES, CUTS) if duck else (NAMES | SPDX_NAMES, [EXPRESSION, *CUTS])
+    rules = RULES if duck else [*RULES, *((name, [f"ref-{name}"]) for name in SPDX_NAMES)]
+    sentence, cut = _replaced("lower(s)", NORMAL, duck), _replaced(f"coalesce({text_col}, '')", cuts, duck)
+    pairs = known_sentences(names).items()
     if duck:
         hint, split = f"regexp_matches(lower({text_col}), '{HINT}')", f"string_split({cut}, chr(30))"
         lookup = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in pairs) + "}[s]"
@@ -160,7 +171,7 @@ def _steps(duck: bool, text_col: str) -> tuple[str, str, dict[str, str]]:
     marks = keep.format(each.format(each.format(split, sentence), mark), "s <> ''")
     ids = f"CASE WHEN {hint} THEN {marks} ELSE {none} END"
     matched = join.format("ids")
-    for name, sequence in RULES:
+    for name, sequence in rules:
         matched = f"replace({matched}, '{''.join(f'|{x}|' for x in sequence)}', '{{{name}}}')"
     seen, unknown = keep.format("ids", "s <> '|unknown|'"), keep.format("ids", "s = '|unknown|'")
     return ids, matched, {
@@ -170,7 +181,7 @@ def _steps(duck: bool, text_col: str) -> tuple[str, str, dict[str, str]]:
 
 
 def scan_sql(table: str, id_col: str = "doc_id", text_col: str = "text") -> str:
-    """The scan in DuckDB SQL."""
+    """The scan in DuckDB SQL; of an SPDX expression it reads the first identifier, and not ``SPDX_NAMES``."""
     ids, matched, results = _steps(True, text_col)
     listed = ", ".join(f"{v} {k}" for k, v in results.items())
     return f"SELECT {id_col}, {listed} FROM (SELECT *, {matched} m FROM (SELECT {id_col}, {ids} ids FROM {table}) a) b"
@@ -181,6 +192,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     ``sentence_ids``: known licence sentences in order; ``licenses``: what the ordered rules
     recognise in them, in order, each once; ``n_unknown``: other sentences that speak of a license.
+    Each identifier of an SPDX expression (AND, OR, WITH, brackets; on one line) is a sentence.
     A null or empty text has none. Repeated rows, null ids: row by row. An empty table gives no
     rows. Other columns are not read. One scan, no shuffle, no Python.
     """

@@ -45,3 +45,16 @@ def test_odd_rows(spark):
     got = licenses.scan(docs).collect()
     assert len(got) == len(cases.ODD) and all((r.n_sentences, r.licenses, r.n_unknown) == (0, "", 0) for r in got)
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_every_identifier_of_an_spdx_expression(spark):
+    texts = {
+        1: ("// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;", "MIT,Apache-2.0", 0),
+        2: ("# spdx-license-identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) AND (LGPL-2.1-only OR BSD-3-Clause)", "GPL-2.0-or-later,LGPL-2.1-only,BSD-3-Clause", 1),
+        3: ("/* SPDX-License-Identifier: GPL-2.0+ */\n", "GPL-2.0-or-later", 0),
+        4: ("SPDX-License-Identifier: ISC\nOR this\nOR MIT", "ISC", 0),
+        5: ("OR MIT AND then some. SPDX-License-Identifier:AGPL-3.0-only", "AGPL-3.0-only", 0),
+        6: ("SPDX-License-Identifier: ((MIT AND Foo-1.0)OR(MPL-2.0))", "MIT,MPL-2.0", 1),
+    }
+    got = {r.doc_id: (r.licenses, r.n_unknown) for r in licenses.scan(cases.documents(spark, [(i, t) for i, (t, *_) in texts.items()])).collect()}
+    assert got == {i: (a, n) for i, (_, a, n) in texts.items()}
