@@ -108,4 +108,31 @@ SELECT query_id, rank, vec_id, score
 FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER rank FROM s) WHERE rank <= 5
 """
 
-SQL = {"op7_top_k": TOP_K, "op6_chat_trees": _chat(), "op9_license_scan": licenses.scan_sql("documents"), "op2_source_mix": MIX, "op10_quality_rules": QUALITY}
+EXACT = """
+SELECT doc_id, max(doc_id) OVER w keep_id, count(*) OVER w group_size, row_number() OVER (w ORDER BY doc_id DESC NULLS LAST) = 1 kept, sha256(norm) text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') norm FROM documents)
+WINDOW w AS (PARTITION BY norm)
+"""
+
+SEARCH = r"""
+WITH d AS (
+  SELECT row_number() OVER () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') ts FROM documents
+),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term FROM benchmark
+),
+c AS (SELECT count(*) FILTER (WHERE len(ts) > 0) n_docs, sum(len(ts))::BIGINT terms FROM d),
+m AS (SELECT r, doc_id, 50 + (50 * len(ts) * n_docs) // terms m FROM d, c WHERE len(ts) > 0),
+tf AS (SELECT r, term, count(*) tf FROM (SELECT r, unnest(ts) term FROM d) SEMI JOIN i USING (term) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT w FROM (SELECT term, count(*) df FROM tf GROUP BY term), c),
+s AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT score
+  FROM tf JOIN w USING (term) JOIN m USING (r) JOIN i USING (term) GROUP BY item_id, r, doc_id
+)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER rank FROM s WHERE score > 0) WHERE rank <= 50
+"""
+
+SQL = {"op11_exact_dedup": EXACT, "op12_bag_search": SEARCH, "op7_top_k": TOP_K, "op6_chat_trees": _chat(), "op9_license_scan": licenses.scan_sql("documents"), "op2_source_mix": MIX, "op10_quality_rules": QUALITY}
