@@ -7,10 +7,15 @@ alignment is the one-to-one assignment of largest total score over the *whole* s
 matrix; assignments below the threshold are dropped afterwards. Scores themselves
 are never shuffled: tasks receive records and return one row per record.
 
+One rule holds for blocks of all sizes. Scores count in whole units of 2**-40, so totals are exact.
+Records of a side with equal text, section and number form a class, numbered by first record.
+Of assignments of equal total the one with the smallest sum of ``tie_cost`` over its pairs is
+taken: partners at the nearest places. Copies pair up in order, the first ones first.
+
 * Blocks up to ``max_rows`` records and ``max_chars`` characters per side are solved
   in one task each.
 * Larger blocks are scored in tiles of bounded size that spread over the cluster;
-  tiles return the two best partners of each record only. See ``align_large``.
+  tiles return a few partners of each class only. See ``align_large``.
 """
 
 from __future__ import annotations
@@ -32,12 +37,11 @@ MATCH_THRESHOLD = 0.5
 
 MAX_ROWS = 1024
 MAX_CHARS = 1_000_000
-MAX_CORE = 4096
 TILE = 128
+#: Units of a score of 1.
+UNIT = 1 << 40
 
-ALIGNMENT = (
-    "pair_id string, n_ord bigint, o_ord bigint, similarity double, adj double, second_best double, settled boolean"
-)
+ALIGNMENT = "pair_id string, n_ord bigint, o_ord bigint, similarity double, adj double, second_best double"
 _RECORD = "struct(ord, txt, section, number)"
 
 
@@ -74,90 +78,121 @@ def scores(new: list[dict], old: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return base, np.where(bonus > 0, np.minimum(1.0, base + bonus), base)
 
 
-def _row_best(weights: np.ndarray) -> np.ndarray | None:
-    """Best column of every row, if each is unique in its row and no two rows share one.
+def tie_cost(new: np.ndarray, old: np.ndarray, size: int) -> np.ndarray:
+    """What pairs of class places cost among equal totals: the squared distance of the places, then
+    ten hashed bits. ``size`` is the number of records of the block's longer side; beyond 2**17 places
+    are scaled down, so that all costs of an assignment stay below 2**61."""
+    bits = min(17, (51 - size.bit_length()) // 2)
+    if size > 1 << bits:
+        new, old = ((x << bits) // size for x in (new, old))
+    mixed = (new.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (old.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return ((new - old) ** 2 << 10) + ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(54)).astype(np.int64)
 
-    Such an assignment reaches the sum of row maxima, so it is the only optimum.
-    """
-    best = weights.argmax(axis=1)
-    top = weights[np.arange(len(weights)), best]
-    if len(np.unique(best)) < len(best) or ((weights == top[:, None]).sum(axis=1) > 1).any():
-        return None
-    return best
 
+def _cheapest(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Column of each row of a square matrix of whole numbers, so that the sum is smallest, and the
+    prices of rows and columns that prove it: they add up to no more than any cell, and to the chosen ones.
 
-def best_assignment(weights: np.ndarray) -> np.ndarray:
+    Rows take their cheapest column where it is free. Each other row looks for the shortest
+    path to a free column over the cells' excess cost (Jonker and Volgenant 1987); distances
+    are from the row, and prices are settled once, when the path is found.
+    """
+    size = len(cost)
+    row_price, col_price = cost.min(axis=1), np.zeros(size, np.int64)
+    col_of, row_of = np.full(size, -1), np.full(size, -1)
+    wanted, at = np.unique(cost.argmin(axis=1), return_index=True)
+    col_of[at], row_of[wanted] = wanted, at
+    for row in np.flatnonzero(col_of < 0):
+        far = cost[row] - row_price[row] - col_price
+        via = np.full(size, row)
+        seen = np.zeros(size, bool)
+        while True:
+            col = int(np.where(seen, np.iinfo(np.int64).max, far).argmin())
+            if row_of[col] < 0:
+                break
+            seen[col] = True
+            step = far[col] + cost[row_of[col]] - row_price[row_of[col]] - col_price
+            nearer = ~seen & (step < far)
+            far[nearer], via[nearer] = step[nearer], row_of[col]
+        gain = far[col] - far[seen]
+        row_price[row_of[seen]] += gain
+        col_price[seen] -= gain
+        row_price[row] += far[col]
+        while True:
+            owner = via[col]
+            row_of[col], col_of[owner], col = owner, col, col_of[owner]
+            if owner == row:
+                break
+    return col_of, row_price, col_price
+
+
+def best_assignment(weights: np.ndarray, new: np.ndarray | None = None, old: np.ndarray | None = None) -> np.ndarray:
     """Column per row that maximises the total weight, -1 for rows left over.
 
-    Shortest augmenting paths with potentials (Jonker and Volgenant 1987) on the matrix
-    padded to a square with zeros; equal choices go to the lowest column.
+    ``weights`` are in whole units; ``new`` and ``old`` are the class places of rows and columns
+    (default: each its own). Where a row could have a partner of another class at the same
+    total, the assignment is made again among such cells, by ``tie_cost``.
     """
     m, n = weights.shape
     if m == 0 or n == 0:
         return np.full(m, -1)
-    certain = _row_best(weights) if m <= n else _row_best(weights.T)
-    if certain is not None:
-        if m <= n:
-            return certain
-        out = np.full(m, -1)
-        out[certain] = np.arange(n)
-        return out
-
+    new, old = (np.arange(k) if x is None else x for k, x in ((m, new), (n, old)))
     size = max(m, n)
-    cost = np.zeros((size, size))
+    cost = np.zeros((size, size), np.int64)
     cost[:m, :n] = -weights
-    row_pot, col_pot = np.zeros(size), np.zeros(size)
-    owner = np.full(size, -1)
-    for start in range(size):
-        reach = np.full(size, np.inf)
-        came_from = np.full(size, -1)
-        closed = np.zeros(size, dtype=bool)
-        row, col = start, -1
-        while row >= 0:
-            slack = cost[row] - row_pot[row] - col_pot
-            nearer = ~closed & (slack < reach)
-            reach[nearer] = slack[nearer]
-            came_from[nearer] = col
-            col = int(np.where(closed, np.inf, reach).argmin())
-            step = reach[col]
-            row_pot[start] += step
-            row_pot[owner[closed]] += step
-            col_pot[closed] -= step
-            reach[~closed] -= step
-            closed[col] = True
-            row = owner[col]
-        while col >= 0:
-            before = came_from[col]
-            owner[col] = owner[before] if before >= 0 else start
-            col = before
-    out = np.full(size, -1)
-    out[owner] = np.arange(size)
-    return np.where(out[:m] < n, out[:m], -1)
+    col, row_price, col_price = _cheapest(cost)
+    optimal = cost == row_price[:, None] + col_price[None, :]
+    place = np.full(size, -1)
+    place[:n] = old
+    if (np.where(optimal[:m], place, size).min(axis=1) != np.where(optimal[:m], place, -2).max(axis=1)).any():
+        again = np.zeros((size, size), np.int64)
+        again[:m, :n] = np.where(weights, tie_cost(new[:, None], old[None, :], size), 0)  # a pair of no worth is none
+        col, _, _ = _cheapest(np.where(optimal, again, 1 << 56))
+    return np.where(col[:m] < n, col[:m], -1)
+
+
+def _classes(side: list[dict]) -> np.ndarray:
+    """The class place of each record; ``side`` is in order."""
+    seen: dict = {}
+    return np.array([seen.setdefault((r["txt"], r["section"], r["number"]), len(seen)) for r in side], np.int64)
+
+
+def _in_order(taken: np.ndarray, of: np.ndarray, partner: np.ndarray) -> np.ndarray:
+    """Pairs ``taken`` by class, dealt to the first records of class ``of``, by the partner's class."""
+    members = {k: iter(np.flatnonzero(of == k)) for k in np.unique(taken)}
+    out = np.empty(len(taken), np.int64)
+    for at in np.lexsort((partner, taken)):
+        out[at] = next(members[taken[at]])
+    return out
 
 
 def _solve_block(new: list[dict], old: list[dict]) -> list[tuple]:
     """Rows ``(n_ord, o_ord, similarity, adj, second_best)`` of one block, unmatched records included."""
     new.sort(key=lambda r: r["ord"])
     old.sort(key=lambda r: r["ord"])
-    out, used = [], set()
+    out, used_new, used_old = [], set(), set()
     if new and old:
         base, adj = scores(new, old)
-        for i, j in enumerate(best_assignment(adj)):
-            if j >= 0 and adj[i, j] >= MATCH_THRESHOLD:
-                others = np.delete(base[i], j)
-                second = float(others.max()) if len(others) else None
-                out.append((new[i]["ord"], old[j]["ord"], float(base[i, j]), float(adj[i, j]), second))
-                used.add(j)
-            else:
-                out.append((new[i]["ord"], None, None, None, None))
-    else:
-        out.extend((r["ord"], None, None, None, None) for r in new)
-    out.extend((None, r["ord"], None, None, None) for j, r in enumerate(old) if j not in used)
+        a, b = _classes(new), _classes(old)
+        col = best_assignment(np.rint(adj * UNIT).astype(np.int64), a, b)
+        row = np.flatnonzero(col >= 0)
+        row = row[adj[row, col[row]] >= MATCH_THRESHOLD]
+        x, y = a[row], b[col[row]]
+        by = np.lexsort((y, x))
+        x, y = x[by], y[by]
+        for i, j in zip(_in_order(x, a, y), _in_order(y, b, x), strict=True):
+            others = np.delete(base[i], j)
+            second = float(others.max()) if len(others) else None
+            out.append((new[i]["ord"], old[j]["ord"], float(base[i, j]), float(adj[i, j]), second))
+            used_new.add(i)
+            used_old.add(j)
+    out.extend((r["ord"], None, None, None, None) for i, r in enumerate(new) if i not in used_new)
+    out.extend((None, r["ord"], None, None, None) for j, r in enumerate(old) if j not in used_old)
     return out
 
 
 _FIELDS = [("pair_id", pa.string()), ("n_ord", pa.int64()), ("o_ord", pa.int64()), ("similarity", pa.float64()),
-           ("adj", pa.float64()), ("second_best", pa.float64()), ("settled", pa.bool_())]
+           ("adj", pa.float64()), ("second_best", pa.float64())]
 _OUT_ROWS = 10_000
 
 
@@ -170,7 +205,7 @@ def _solve_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for at in range(batch.num_rows):
             block = batch.slice(at, 1).to_pylist()[0]
-            rows.extend((block["pair_id"], *r, True) for r in _solve_block(block["new"], block["old"]))
+            rows.extend((block["pair_id"], *r) for r in _solve_block(block["new"], block["old"]))
             if len(rows) >= _OUT_ROWS:
                 yield packed(rows)
                 rows = []
@@ -204,15 +239,14 @@ def align(
     curr: DataFrame,
     max_rows: int = MAX_ROWS,
     max_chars: int = MAX_CHARS,
-    max_core: int = MAX_CORE,
     tile: int = TILE,
 ) -> DataFrame:
     """Align ``curr`` with ``prev``; both need ``pair_id, ord, text, section, number``.
 
     ``ord`` is the record order and unique per side of a block. The result has one row
     per match (``n_ord`` and ``o_ord`` set) and one per unmatched record (the other
-    side null). ``similarity`` and ``second_best`` are without bonuses. ``settled`` is
-    false only where ``align_large`` could not prove the optimum.
+    side null). ``similarity`` and ``second_best`` are without bonuses. The bounds choose the
+    way, not the result: both ways give the same pairs.
 
     The inputs are read twice, first by an eager job that counts block sizes, so pass
     stored tables rather than long plans.
@@ -225,4 +259,4 @@ def align(
     big = cut_lineage(records.join(large, "pair_id", "left_semi"))
     from revdiff.operators.align_large import align_large
 
-    return small.unionByName(align_large(big, max_core, max_chars, tile))
+    return small.unionByName(align_large(big, tile))

@@ -62,6 +62,15 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: str, out: str, bin_size:
     return rows.withColumn(out, n.cast("bigint")).drop("_bin", "_c")
 
 
+def running_sum(
+    df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, bin_size: float = BIN
+) -> DataFrame:
+    """Sum of ``value`` over the rows of the key before each row in ``order`` (unique per key)."""
+    rows = _carry(df.withColumn("_v", value), keys, order, bin_size, {"_c": (F.sum("_v"), F.sum)})
+    before = F.coalesce(F.sum("_v").over(_before(_in_bin(keys, order))), F.lit(0))
+    return rows.withColumn(out, F.coalesce(F.col("_c"), F.lit(0)) + before).drop("_bin", "_v", "_c")
+
+
 def headings(
     df: DataFrame, keys: Sequence[str], order: str, section: Column, chapter: Column, bin_size: float = BIN
 ) -> DataFrame:

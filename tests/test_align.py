@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -5,7 +6,8 @@ import pytest
 from helpers import best_total, levenshtein, question, similarity
 
 from revdiff.functions.edits import edit_distances, similarity_matrix
-from revdiff.operators.align import align, best_assignment
+from revdiff.operators.align import UNIT, align, best_assignment, tie_cost
+from revdiff.operators.align_large import best_flow
 from revdiff.operators.diff import CONTROL_FLAGS, added_rows, diff_records, removed_rows
 
 
@@ -22,6 +24,10 @@ def test_similarity_matrix_empty_texts():
     assert similarity_matrix(["", "ab"], ["", "ab"]).tolist() == [[1.0, 0.0], [0.0, 1.0]]
 
 
+def units(weights):
+    return np.rint(np.array(weights) * UNIT).astype(np.int64)
+
+
 @pytest.mark.parametrize("weights,want", [
     ([[0.9, 0.8], [0.7, 0.1]], [1, 0]),
     ([[0.1, 0.9, 0.5], [0.8, 0.2, 0.4]], [1, 0]),
@@ -29,24 +35,57 @@ def test_similarity_matrix_empty_texts():
     ([[0.90, 0.60], [0.75, 0.49]], [0, 1]),
 ])
 def test_best_assignment_known(weights, want):
-    assert best_assignment(np.array(weights)).tolist() == want
+    assert best_assignment(units(weights)).tolist() == want
 
 
 def test_best_assignment_leaves_one_row_over():
-    w = np.array([[0.9, 0.1], [0.2, 0.8], [0.3, 0.3]])
-    got = best_assignment(w)
+    got = best_assignment(units([[0.9, 0.1], [0.2, 0.8], [0.3, 0.3]]))
     assert got.tolist() == [0, 1, -1]
 
 
+def _optima(w):
+    """All assignments of largest total, with their tie costs; w in whole units."""
+    m, n = len(w), len(w[0])
+    found = []
+    for cols in itertools.permutations([*range(n), *[-1] * m], m):
+        if len({c for c in cols if c >= 0}) == sum(c >= 0 for c in cols):
+            total = sum(w[i][c] for i, c in enumerate(cols) if c >= 0)
+            tie = sum(int(tie_cost(np.array([i]), np.array([c]), max(m, n))[0]) for i, c in enumerate(cols) if c >= 0 and w[i][c])
+            found.append((-total, tie, [c if c >= 0 and w[i][c] else -1 for i, c in enumerate(cols)]))
+    return min(found)
+
+
 def test_best_assignment_brute_force():
     r = random.Random(2)
+    for _ in range(150):
+        m, n = r.randint(1, 4), r.randint(1, 4)
+        w = [[r.choice([0.25, 0.5, 0.75, r.random()]) for _ in range(n)] for _ in range(m)]
+        whole = units(w).tolist()
+        got = best_assignment(np.array(whole)).tolist()
+        assert got == _optima(whole)[2]
+
+
+def test_flow_brute_force():
+    """The sparse solver gives the assignment of the dense one, and proves it by prices."""
+    r = random.Random(4)
     for _ in range(400):
-        m, n = r.randint(1, 6), r.randint(1, 6)
-        w = [[r.choice([0.0, 0.25, 0.5, r.random()]) for _ in range(n)] for _ in range(m)]
-        got = best_assignment(np.array(w))
-        taken = [j for j in got if j >= 0]
-        assert len(taken) == len(set(taken)) == min(m, n)
-        assert sum(w[i][j] for i, j in enumerate(got) if j >= 0) == pytest.approx(best_total(w))
+        m, n = r.randint(1, 7), r.randint(1, 7)
+        w = units([[r.choice([0.0, 0.25, 0.5, 0.75, r.random()]) for _ in range(n)] for _ in range(m)])
+        supply, room = (np.array([r.choice([1, 1, 1, 2, 5]) for _ in range(k)]) for k in (m, n))
+        size = int(max(supply.sum(), room.sum()))
+        tie = tie_cost(np.arange(m)[:, None], np.arange(n)[None, :], size)
+        edges = {i: [(j, (int(w[i, j]) << 61) - int(tie[i, j])) for j in range(n) if r.random() < 0.95 or w[i, j] > 0.6 * UNIT] for i in range(m)}
+        flow, row_price, col_price = best_flow(supply, room, edges)
+        worth = {(i, j): x for i, own in edges.items() for j, x in own}
+        assert all(row_price[i] + col_price[j] >= x for (i, j), x in worth.items()) and min(row_price + col_price) >= 0
+        assert sum(worth[e] * x for e, x in flow.items()) == sum(p * int(k) for p, k in zip(row_price + col_price, [*supply, *room], strict=True))
+        a, b = np.repeat(np.arange(m), supply), np.repeat(np.arange(n), room)
+        if all(len(edges[i]) == n for i in range(m)):
+            got = {}
+            for i, c in enumerate(best_assignment(w[a][:, b], a, b)):
+                if c >= 0 and w[a[i], b[c]] > 0:
+                    got[a[i], b[c]] = got.get((a[i], b[c]), 0) + 1
+            assert got == {e: x for e, x in flow.items()}
 
 
 def _statuses(spark, old, new):
@@ -145,55 +184,50 @@ def test_blocks_against_brute_force(spark):
             assert r["second_best"] == (pytest.approx(max(others)) if others else None)
 
 
-def test_large_path_agrees_with_small_path(spark):
-    """Tiles, safe pairs, copies and the core give the totals of the one-task solution."""
+def _rows(alignment):
+    return sorted(((r.pair_id, str(r.n_ord), str(r.o_ord), *(x if x is None else round(x, 9) for x in (r.similarity, r.adj, r.second_best))) for r in alignment.collect()), key=str)
+
+
+def test_large_path_gives_the_pairs_of_the_small_path(spark):
     old, new = _corpus(6, 5, 30, WORDS)
     prev, curr = question(spark, old).cache(), question(spark, new).cache()
-    small = align(prev, curr).toPandas()
-    large = align(prev, curr, max_rows=8, max_core=64, tile=7).toPandas()
-    assert large["settled"].all() and len(small) == len(large)
-    total = lambda d: d.groupby("pair_id")["adj"].sum().round(9).to_dict()
-    assert total(small) == total(large)
-    both = small.merge(large, on=["pair_id", "n_ord", "o_ord"]).dropna(subset=["adj_x"])
-    assert len(both) > 0 and np.allclose(both["similarity_x"], both["similarity_y"])
-    assert np.allclose(both["second_best_x"].fillna(-1), both["second_best_y"].fillna(-1))
-
-
-def test_large_path_hot_copies(spark):
-    """One text holds a third of all records on both sides; every copy is paired once."""
+    assert _rows(align(prev, curr, max_rows=8, tile=3)) == _rows(align(prev, curr))
+
+
+def test_hot_copies(spark):
+    """One text holds a third of all records on both sides; every copy is paired once, in order."""
     r = random.Random(8)
     other = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(40)) for _ in range(80)]
     old = [("p", i, "the same boilerplate line on every page") for i in range(40)] + [("p", 100 + i, t) for i, t in enumerate(other)]
     new = [("p", i, "the same boilerplate line on every page") for i in range(37)] + [("p", 100 + i, t) for i, t in enumerate(other)]
-    rows = align(question(spark, old), question(spark, new), max_rows=20, max_core=30, tile=16).toPandas()
+    rows = align(question(spark, old), question(spark, new), max_rows=20, tile=4).toPandas()
     matched = rows.dropna(subset=["adj"])
-    assert len(matched) == 117 and matched["adj"].eq(1.0).all() and rows["settled"].all()
-    assert rows["n_ord"].isna().sum() == 3
-    copies = matched[matched["n_ord"] < 100]
-    assert copies["second_best"].eq(1.0).all()
-
-
-def test_long_texts_are_solved_like_short_ones(spark):
-    """Scores 0.9 and 0.8 over 0.8 and 0.5: the optimum is crossed, whatever the bound on characters."""
-    prev, curr = question(spark, [("p", 1, "abcdefghij"), ("p", 2, "YYcdefghiX")]), question(spark, [("p", 1, "abcdefghiX"), ("p", 2, "abcdefZZij")])
-    for bounds in ({}, {"max_chars": 5}, {"max_rows": 1}):
-        rows = align(prev, curr, **bounds).collect()
-        assert {(r.n_ord, r.o_ord, round(r.adj, 6)) for r in rows} == {(1, 2, 0.8), (2, 1, 0.8)} and all(r.settled for r in rows)
-    old, new = _corpus(9, 4, 12, WORDS)
+    assert len(matched) == 117 and matched["adj"].eq(1.0).all() and rows["n_ord"].isna().sum() == 3
+    assert (matched["n_ord"] == matched["o_ord"]).all()
+    assert matched[matched["n_ord"] < 100]["second_best"].eq(1.0).all()
+
+
+CROSSED = (
+    [("p", 1, "abcdefghij"), ("p", 2, "YYcdefghiX")], [("p", 1, "abcdefghiX"), ("p", 2, "abcdefZZij")],
+)
+
+
+@pytest.mark.parametrize("bounds", [{}, {"max_chars": 5}, {"max_rows": 1}, {"max_rows": 1, "tile": 1}])
+def test_one_optimum_at_every_bound(spark, bounds):
+    """Scores 0.9 and 0.8 over 0.8 and 0.5: the optimum is crossed."""
+    rows = align(question(spark, CROSSED[0]), question(spark, CROSSED[1]), **bounds).collect()
+    assert {(r.n_ord, r.o_ord, round(r.adj, 6)) for r in rows} == {(1, 2, 0.8), (2, 1, 0.8)}
+
+
+def test_contested_blocks(spark):
+    """Records that all resemble each other: ties everywhere, and more candidates than a task returns at first."""
+    old = [("p", i, f"item number {i:03d}") for i in range(40)] + [("q", i, "same text") for i in range(9)]
+    new = [("p", i, f"item numbers {i + 3:03d}") for i in range(39)] + [("q", i, "same text") for i in range(9)]
+    new += [("r", i, f"{'ab' * i}") for i in range(5)]
     prev, curr = question(spark, old), question(spark, new)
-    pairs = lambda **bounds: sorted((r.pair_id, str(r.n_ord), str(r.o_ord)) for r in align(prev, curr, **bounds).collect())
-    total = lambda **bounds: round(sum(r.adj or 0 for r in align(prev, curr, **bounds).collect()), 9)
-    assert total() == total(max_chars=50) and len(pairs()) == len(pairs(max_chars=50))
-
-
-def test_unproven_block_is_matched_and_marked(spark):
-    """A contested core over the bound is paired best first, returned whole and marked."""
-    old = [("p", i, f"item number {i:03d}") for i in range(12)]
-    new = [("p", i, f"item numbers {i:03d}") for i in range(11)]
-    rows = align(question(spark, old), question(spark, new), max_rows=4, max_core=4, tile=4).toPandas()
-    assert len(rows.dropna(subset=["n_ord"])) == 11 and len(rows.dropna(subset=["o_ord"])) == 12
-    assert rows["n_ord"].dropna().is_unique and rows["o_ord"].dropna().is_unique
-    assert len(rows.dropna(subset=["adj"])) == 11 and not rows["settled"].all()
+    small = _rows(align(prev, curr))
+    assert _rows(align(prev, curr, max_rows=4, tile=2)) == small
+    assert {(r[1], r[2]) for r in small if r[0] == "q"} == {(str(i), str(i)) for i in range(9)}
 
 
 def test_empty_sides_and_anti_joins(spark):
