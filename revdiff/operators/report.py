@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revdiff.functions.address import col_index
 from revdiff.functions.display import change_badges
 from revdiff.functions.rules import cf_display, dv_display
-from revdiff.operators.ordering import BIN, headings, ordinal
+from revdiff.operators.ordering import BIN, headings, ordinal, running_sum
 
 _TIES = 1 << 20  # more than the records that can share a sheet row
 STATUSES = ["added", "removed", "changed", "unchanged"]
@@ -97,32 +99,59 @@ def search_rows(table: DataFrame, columns: list[str], query: str) -> DataFrame:
 # ---------------------------------------------------------------- word diff
 
 
+#: Bits of step tables, and best rows kept at a time, of one pair of texts.
+STEP_BITS, KEPT_ROWS = 1 << 28, 64
+
+
+def _next_best(best: np.ndarray, word: int, new: np.ndarray) -> np.ndarray:
+    """Longest common subsequences of one more old word with every beginning of the new text."""
+    taken = np.where(new == word, best[:-1] + 1, best[1:])
+    return np.concatenate(([0], np.maximum.accumulate(taken))).astype(np.int32)
+
+
 def _word_ops(old: list[str], new: list[str]) -> tuple[list[str], list[str]]:
     """Operation per old word (eq/del) and per new word (eq/add) along a longest common subsequence.
 
-    Walked from the end; where dropping an old or a new word is equally good, the new word
-    is reported as added. The table is kept as one bit per cell.
+    From the end, equal words are kept; otherwise the new word counts as added if that costs
+    nothing, else the old word as dropped. The way back needs a bit per pair of words, but only
+    for the old words it is passing: the best rows at the start of up to ``KEPT_ROWS`` stretches
+    of old words are kept, and the stretches are gone through from the last to the first, each
+    cut again until its bits fit. So memory grows with the new text, not with both.
     """
     ids: dict[str, int] = {}
     a = np.array([ids.setdefault(t, len(ids)) for t in old], dtype=np.int64)
     b = np.array([ids.setdefault(t, len(ids)) for t in new], dtype=np.int64)
-    best = np.zeros(len(b) + 1, dtype=np.int32)
-    add_bits = []
-    for word in a:
-        options = np.where(b == word, best[:-1] + 1, best[1:])
-        row = np.concatenate(([0], np.maximum.accumulate(options))) if len(b) else best
-        add_bits.append(np.packbits(row[:-1] >= best[1:]))
-        best = row.astype(np.int32)
     old_ops, new_ops = ["del"] * len(a), ["add"] * len(b)
-    i, j = len(a), len(b)
-    while i and j:
-        if a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
-            old_ops[i] = new_ops[j] = "eq"
-        elif add_bits[i - 1][(j - 1) >> 3] >> (7 - ((j - 1) & 7)) & 1:
-            j -= 1
-        else:
-            i -= 1
+
+    def back(first: int, last: int, best: np.ndarray, left: int) -> int:
+        """Through old words ``last`` to ``first`` with ``left`` new words to go; ``best`` is the row before them."""
+        if not left:
+            return 0
+        best, own = best[: left + 1], b[:left]
+        rows = last - first
+        if rows * left > STEP_BITS and rows > 1:
+            size = -(-rows // min(KEPT_ROWS, rows))
+            starts, kept = range(first, last, size), []
+            for i in range(first, last):
+                if (i - first) % size == 0:
+                    kept.append(best)
+                best = _next_best(best, a[i], own)
+            for start, row in zip(reversed(starts), reversed(kept), strict=True):
+                left = back(start, min(start + size, last), row, left)
+            return left
+        halts = []  # bits of the new words at which an old word is kept or dropped
+        for i in range(first, last):
+            row = _next_best(best, a[i], own)
+            halts.append(np.packbits((own == a[i]) | (row[:-1] < best[1:]), bitorder="little").tobytes())
+            best = row
+        for i in range(last - 1, first - 1, -1):
+            left = (int.from_bytes(halts[i - first], "little") & (1 << left) - 1).bit_length()
+            if left and a[i] == b[left - 1]:
+                left -= 1
+                old_ops[i] = new_ops[left] = "eq"
+        return left
+
+    back(0, len(a), np.zeros(len(b) + 1, np.int32), len(b))
     return old_ops, new_ops
 
 
@@ -203,76 +232,124 @@ def _with_lists(df: DataFrame, lists: DataFrame, keys: list[str], names: list[st
 # ---------------------------------------------------------------- payload
 
 
-PART = 1000
+#: Bytes of entries in a part of a report, about; one entry is never cut.
+PART_BYTES = 1 << 20
+
+
+def _camel(name: str) -> str:
+    first, *rest = name.split("_")
+    return first + "".join(w.capitalize() for w in rest)
+
+
+def _shown(side: str, fields: list[str]) -> list[Column]:
+    """What a report shows of a record by itself."""
+    one = F.col(side)
+    out = [one.getField("text").alias("questionText")]
+    out += [F.col(f"_{rule}_{side}").alias(f"{rule}Display") for rule in ("dv", "cf") if rule in fields]
+    for name, label in (("row_labels", "rowNumberLabels"), ("answer_cells", "answerCells"), ("explanation_cells", "explanationCells")):
+        if name in fields:
+            out.append(one.getField(name).alias(label))
+    return out
 
 
 def _entry(diff: DataFrame) -> Column:
-    """One report entry as a camelCase struct; fields that a status lacks are null and left out of the JSON."""
+    """One report entry as JSON, with the fields of its status; fields without a value are null."""
     fields = diff.schema["curr"].dataType.names
-    status = F.col("status")
-    one = F.when(status == "removed", F.col("prev")).otherwise(F.col("curr"))
-    place = F.when(status.isin("removed", "changed"), F.col("prev")).otherwise(F.col("curr"))
-    changed, matched = status == "changed", status.isin("changed", "unchanged")
-    single = ~changed
-    cols = []
-    if "chapter" in fields:
-        cols.append(place.getField("chapter").alias("chapter"))
-    cols += [
-        place.getField("section").alias("section"),
-        F.when(single, one.getField("number")).alias("questionNumber"),
-        F.when(single, one.getField("text")).alias("questionText"),
-        F.when(~matched, one.getField("row_num")).alias("rowNumber"),
-        F.when(matched, F.col("prev.row_num")).alias("previousRowNumber"),
-        F.when(matched, F.col("curr.row_num")).alias("currentRowNumber"),
-        F.when(changed, F.col("prev.number")).alias("previousNumber"),
-        F.when(changed, F.col("curr.number")).alias("currentNumber"),
-        F.when(changed, F.col("prev.text")).alias("oldText"),
-        F.when(changed, F.col("curr.text")).alias("newText"),
-        F.when(changed, F.col("similarity")).when(matched, F.lit(1.0)).alias("similarityScore"),
-        F.when(matched, F.col("second_best")).alias("secondBestSimilarity"),
+    prev, curr, status = F.col("prev"), F.col("curr"), F.col("status")
+
+    def head(place: Column) -> list[Column]:
+        return [place.getField(c).alias(c) for c in ("chapter", "section") if c in fields]
+
+    def single(side: str) -> list[Column]:
+        one = F.col(side)
+        return [one.getField("number").alias("questionNumber"), *head(one), one.getField("row_num").alias("rowNumber"), *_shown(side, fields)]
+
+    rows = [prev.getField("row_num").alias("previousRowNumber"), curr.getField("row_num").alias("currentRowNumber")]
+    changed = [
+        *head(prev), *rows, prev.getField("number").alias("previousNumber"), curr.getField("number").alias("currentNumber"),
+        prev.getField("text").alias("oldText"), curr.getField("text").alias("newText"),
+        F.col("similarity").alias("similarityScore"), F.col("second_best").alias("secondBestSimilarity"),
     ]
-    for rule, show in (("dv", dv_display), ("cf", cf_display)):
+    for rule in ("dv", "cf"):
         if rule in fields:
-            name = rule.capitalize()
-            cols += [
-                F.when(single, show(one.getField(rule))).alias(f"{rule}Display"),
-                F.when(changed, show(F.col(f"prev.{rule}"))).alias(f"old{name}Display"),
-                F.when(changed, show(F.col(f"curr.{rule}"))).alias(f"new{name}Display"),
-            ]
-    for flag in ("text", "number", "dv", "cf", "explanation", "answer_cells", "explanation_cells"):
-        words = flag.split("_")
-        camel = words[0] + "".join(w.capitalize() for w in words[1:]) + "Changed"
-        cols.append(F.when(changed, F.col(f"{flag}_changed")).alias(camel))
-    if "explanation" in fields:
-        expl = changed & F.col("explanation_changed")
-        cols += [
-            F.when(expl, F.col("prev.explanation")).alias("oldExplanation"),
-            F.when(expl, F.col("curr.explanation")).alias("newExplanation"),
-        ]
-    for extra in ("answer_cell_changes", "explanation_cell_changes"):
-        if extra in diff.columns:
-            words = extra.split("_")
-            cols.append(F.when(changed, F.col(extra)).alias(words[0] + "".join(w.capitalize() for w in words[1:])))
-    for name, label in (("row_labels", "rowNumberLabels"), ("answer_cells", "answerCells"), ("explanation_cells", "explanationCells")):
-        if name in fields:
-            cols.append(F.when(single, one.getField(name)).alias(label))
-    return F.struct(*cols)
+            changed += [F.col(f"_{rule}_{side}").alias(f"{age}{rule.capitalize()}Display") for side, age in (("prev", "old"), ("curr", "new"))]
+    nested = "answer_cells" in fields
+    flags = ("text", "number", "answer_cells", "explanation_cells") if nested else ("text", "number", "dv", "cf")
+    changed += [F.col(f"{flag}_changed").alias(_camel(f"{flag}_changed")) for flag in flags]
+    if nested:
+        changed += [F.col(c).alias(_camel(c)) for c in ("answer_cell_changes", "explanation_cell_changes") if c in diff.columns]
+    else:
+        told = [side.getField("explanation") if "explanation" in fields else F.lit(None).cast("string") for side in (prev, curr)]
+        changed += [told[0].alias("oldExplanation"), told[1].alias("newExplanation"), F.coalesce("explanation_changed", F.lit(False)).alias("explanationChanged")]
+    unchanged = [
+        *head(curr), *rows, curr.getField("number").alias("questionNumber"), *_shown("curr", fields),
+        F.lit(1.0).alias("similarityScore"), F.col("second_best").alias("secondBestSimilarity"),
+    ]
+    json = lambda cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    return (
+        F.when(status == "changed", json(changed)).when(status == "unchanged", json(unchanged))
+        .when(status == "removed", json(single("prev"))).otherwise(json(single("curr")))
+    )
+
+
+def report_entries(diff: DataFrame) -> DataFrame:
+    """``pair_id, status, position, entry``: the report entries of a question diff, as JSON objects."""
+    rules = [(rule, show) for rule, show in (("dv", dv_display), ("cf", cf_display)) if rule in diff.schema["curr"].dataType.names]
+    shown = {f"_{rule}_{side}": show(F.col(f"{side}.{rule}")) for rule, show in rules for side in ("prev", "curr")}
+    made = (diff.withColumns(shown) if shown else diff).withColumn("entry", _entry(diff)).select("pair_id", "status", "n_ord", "o_ord", "entry")
+    return bucket_ordinal(made).select("pair_id", "status", "position", "entry")
+
 
+def cell_entries(diff: DataFrame, scope: str = "full") -> DataFrame:
+    """``pair_id, status, position, entry`` of a cell diff, as JSON objects, by row, then column."""
+    report = cell_report(diff, scope).withColumn("_o", F.col("row_num").cast("bigint") * (1 << 14) + col_index(F.col("col")))
+    both = [F.col("address"), F.col("col").alias("column"), F.col("row_num").alias("row")]
+    changed = [*both, F.col("old_value").alias("file1Value"), F.col("new_value").alias("file2Value"), F.col("text_changed").alias("textChanged")]
+    for rule in ("dv", "cf"):
+        changed += [F.col(f"{age}_{rule}").alias(f"{file}{rule.capitalize()}Display") for age, file in (("old", "file1"), ("new", "file2"))]
+        changed.append(F.col(f"{rule}_changed").alias(f"{rule}Changed"))
+    unchanged = [*both, F.col("new_value").alias("value"), F.col("new_dv").alias("dvDisplay"), F.col("new_cf").alias("cfDisplay")]
+    json = lambda cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    made = report.select("pair_id", "status", "_o", F.when(F.col("status") == "unchanged", json(unchanged)).otherwise(json(changed)).alias("entry"))
+    return ordinal(made, ["pair_id", "status"], "_o", "position", BIN << 14).drop("_o")
 
-def report_payload(diff: DataFrame, part: int = PART) -> DataFrame:
-    """Report entries as JSON arrays: one row per block, status and part of ``part`` entries.
 
-    Parts keep a hot block from becoming one giant row; concatenated in ``part`` order they
-    are the bucket in its order.
+def report_parts(entries: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """``pair_id, status, part, entries, payload``: entries in order, joined by commas, in parts of about
+    ``part_bytes`` bytes. Parts are cut by the bytes before them, so a block of long texts has many."""
+    size = F.octet_length("entry") + F.lit(1)
+    cut = running_sum(entries, ["pair_id", "status"], "position", size, "before").withColumn("part", F.floor(F.col("before") / part_bytes))
+    grouped = cut.groupBy("pair_id", "status", "part").agg(F.array_sort(F.collect_list(F.struct("position", "entry"))).alias("e"))
+    return grouped.select("pair_id", "status", "part", F.size("e").alias("entries"), F.array_join(F.transform("e", lambda x: x["entry"]), ",").alias("payload"))
+
+
+def report_payload(diff: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Report entries as JSON arrays, one row per block, status and part (see ``report_parts``)."""
+    parts = report_parts(report_entries(diff), part_bytes)
+    return parts.withColumn("payload", F.concat(F.lit("["), "payload", F.lit("]")))
+
+
+def document_lines(blocks: DataFrame, entries: DataFrame, buckets: list[str], part_bytes: int = PART_BYTES) -> DataFrame:
+    """``pair_id, seq, line``: the lines of one JSON document per row of ``blocks``, for ``write_documents``.
+
+    The other columns of ``blocks`` come first in the document, under their names; then each bucket
+    with its entries, an empty one as an empty array. Lines follow ``seq``: bucket, part, end.
     """
-    placed = bucket_ordinal(diff.withColumn("entry", _entry(diff)).select("pair_id", "status", "n_ord", "o_ord", "entry"))
-    grouped = placed.groupBy("pair_id", "status", F.floor((F.col("position") - 1) / part).alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("position", F.to_json("entry").alias("json")))).alias("e")
-    )
-    body = F.array_join(F.transform("e", lambda x: x["json"]), ",")
-    return grouped.select(
-        "pair_id", "status", "part", F.size("e").alias("entries"), F.concat(F.lit("["), body, F.lit("]")).alias("payload")
+    named = F.to_json(F.struct(*[c for c in blocks.columns if c != "pair_id"]), {"ignoreNullFields": "false"})
+    head = named.substr(F.lit(1), F.length(named) - 1)  # without the closing brace
+    seq = lambda k, part, place: F.struct(F.lit(k).alias("bucket"), part.cast("bigint").alias("part"), F.lit(place).alias("place")).alias("seq")
+    zero = F.lit(0)
+    lines = [blocks.select("pair_id", seq(-1, zero, 0), head.alias("line"))]
+    for k, bucket in enumerate(buckets):
+        lines.append(blocks.select("pair_id", seq(k, F.lit(-1), 0), F.lit(f',"{bucket}":[').alias("line")))
+        lines.append(blocks.select("pair_id", seq(k, F.lit(1 << 62), 0), F.lit("]").alias("line")))
+    lines.append(blocks.select("pair_id", seq(len(buckets), zero, 0), F.lit("}").alias("line")))
+    index = F.array_position(F.array(*map(F.lit, buckets)), F.col("status")).cast("int") - 1
+    body = report_parts(entries, part_bytes).select(
+        "pair_id", F.struct(index.alias("bucket"), F.col("part"), F.lit(0).alias("place")).alias("seq"),
+        F.concat(F.when(F.col("part") > F.min("part").over(Window.partitionBy("pair_id", "status")), ",").otherwise(""), "payload").alias("line"),
     )
+    return reduce(DataFrame.unionByName, [*lines, body])
 
 
 def cell_report(diff: DataFrame, scope: str = "full") -> DataFrame:

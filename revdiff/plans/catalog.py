@@ -13,6 +13,7 @@ from revdiff.operators.align import align
 from revdiff.plans import corpus
 from revdiff.plans.corpus import split_sides, table
 from revdiff.sources.session import cut_lineage, scratch_dir
+from revdiff.sources.sinks import write_documents
 from revdiff.sources.sinks import write_tables as write_sheets
 from revdiff.sources.workbook import parse_workbooks, workbook_files
 
@@ -411,6 +412,30 @@ def question_diff(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def question_diff_tiled(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with every block taken for a large one: scored in tiles, matched and proved by prices."""
+    prev, curr = split_sides(cut_lineage(corpus.risk_questions(spark, sf)))
+    d = diff.diff_records(prev, curr, align(prev, curr, max_rows=1), diff.RISK_FLAGS)
+    return d.select("pair_id", "status", "n_ord", "o_ord", "similarity", "second_best")
+
+
+def _control_places(spark: SparkSession, sf: str) -> DataFrame:
+    prev, curr = split_sides(cut_lineage(corpus.control_questions(spark, sf)))
+    return diff.diff_records(prev, curr, corpus.row_alignment(prev, curr), diff.CONTROL_FLAGS)
+
+
+def control_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """What changed in every line of every document, against the line at its place."""
+    return _control_places(spark, sf).select("pair_id", "n_ord", "o_ord", "status", "text_changed", "number_changed", "dv_changed", "cf_changed")
+
+
+def control_sheet_breaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chapter and section breaks of the sheets of all documents, both views."""
+    d = cut_lineage(_control_places(spark, sf).drop("similarity"))
+    views = [report.sheet_breaks(report.sheet_order(d, side)).withColumn("view", F.lit(side)) for side in ("current", "previous")]
+    return views[0].unionByName(views[1]).select("view", "pair_id", "row_num", "position", "chapter_break", "section_break")
+
+
 def document_question_diff(spark: SparkSession, sf: str) -> DataFrame:
     """The control-level chain over every line of every document."""
     return _control_diff(spark, sf).select(
@@ -457,7 +482,8 @@ def _sheet(spark: SparkSession, sf: str, make) -> DataFrame:
 
 
 def sheet_order(spark: SparkSession, sf: str) -> DataFrame:
-    return _sheet(spark, sf, lambda t: t.select("pair_id", "status", "row_num", "section", "number", "text")).orderBy("pair_id", "view", "row_num")
+    rows = _sheet(spark, sf, lambda t: t.drop("chapter")).orderBy("pair_id", "view", "row_num", "status_rank", "ord")
+    return rows.drop("status_rank", "ord")
 
 
 def sheet_order_breaks(spark: SparkSession, sf: str) -> DataFrame:
@@ -484,6 +510,56 @@ def report_payload(spark: SparkSession, sf: str) -> DataFrame:
     return report.report_payload(cut_lineage(_risk_diff(spark, sf)))
 
 
+_ENTRY = """questionNumber string, section string, rowNumber int, previousRowNumber int, currentRowNumber int, previousNumber string, currentNumber string,
+  questionText string, oldText string, newText string, similarityScore double, secondBestSimilarity double, textChanged boolean, numberChanged boolean,
+  dvChanged boolean, cfChanged boolean, oldExplanation string, newExplanation string, explanationChanged boolean"""
+
+
+def report_document(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of every conversation as one JSON document, written, read back and taken apart; an
+    empty bucket gives a row without an entry."""
+    d = cut_lineage(_risk_diff(spark, sf))
+    blocks = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("pair_id")).distinct().select(
+        "pair_id", F.lit("Risk level questions").alias("title"), F.concat("pair_id", F.lit(".prev.xlsx")).alias("previousWorkbookPath"),
+        F.concat("pair_id", F.lit(".curr.xlsx")).alias("currentWorkbookPath"), F.lit("2025-01-31T08:00:00+00:00").alias("generatedAt"),
+    )
+    path = f"{scratch_dir(spark).rstrip('/')}/documents-{uuid.uuid4().hex}"
+    write_documents(report.document_lines(blocks, report.report_entries(d), report.STATUSES), path)
+    schema = "title string, previousWorkbookPath string, currentWorkbookPath string, generatedAt string, " + ", ".join(f"{s} array<struct<{_ENTRY}>>" for s in report.STATUSES)
+    read = spark.read.text(path, wholetext=True).select(F.col("pair_id").cast("string").alias("pair_id"), F.from_json("value", schema).alias("d"))
+    buckets = F.explode(F.array(*[F.struct(F.lit(s).alias("status"), F.col(f"d.{s}").alias("e")) for s in report.STATUSES]))
+    rows = read.select("pair_id", "d.title", F.col("d.previousWorkbookPath").alias("previous_path"), F.col("d.currentWorkbookPath").alias("current_path"),
+                       F.col("d.generatedAt").alias("generated_at"), buckets.alias("b"))
+    rows = rows.select(*rows.columns[:-1], "b.status", F.posexplode_outer("b.e").alias("at", "x"))
+    named = {
+        "question_number": "questionNumber", "section": "section", "row_number": "rowNumber", "previous_row": "previousRowNumber", "current_row": "currentRowNumber",
+        "previous_number": "previousNumber", "current_number": "currentNumber", "question_text": "questionText", "old_text": "oldText", "new_text": "newText",
+        "similarity": "similarityScore", "second_best": "secondBestSimilarity", "text_changed": "textChanged", "number_changed": "numberChanged", "dv_changed": "dvChanged",
+        "cf_changed": "cfChanged", "old_explanation": "oldExplanation", "new_explanation": "newExplanation", "explanation_changed": "explanationChanged",
+    }
+    return rows.select(*rows.columns[:-2], (F.col("at") + 1).cast("long").alias("position"), *[F.col(f"x.{v}").alias(k) for k, v in named.items()])
+
+
+def cell_report_document(spark: SparkSession, sf: str) -> DataFrame:
+    """The cell report of every brand as one JSON document, written and read back: its entries per bucket."""
+    d = cut_lineage(_cell_diff(spark, sf, "full"))
+    blocks = d.select("pair_id").distinct().select(
+        "pair_id", F.lit("Cell ranges").alias("title"), F.lit("old.xlsx").alias("file1Path"), F.lit("new.xlsx").alias("file2Path"), F.lit("Parts").alias("sheet1Name"),
+        F.lit("Parts").alias("sheet2Name"), F.lit(True).alias("includeValidationFormatting"), F.lit("2025-01-31T08:00:00+00:00").alias("generatedAt"),
+    )
+    path = f"{scratch_dir(spark).rstrip('/')}/documents-{uuid.uuid4().hex}"
+    write_documents(report.document_lines(blocks, report.cell_entries(d), ["changed", "unchanged"]), path)
+    cell = "address string, `column` string, `row` int, file1Value string, file2Value string, value string, file1DvDisplay string, file2DvDisplay string, dvDisplay string, dvChanged boolean"
+    read = spark.read.text(path, wholetext=True).select("pair_id", F.from_json("value", f"changed array<struct<{cell}>>, unchanged array<struct<{cell}>>").alias("d"))
+    buckets = F.explode(F.array(*[F.struct(F.lit(s).alias("status"), F.col(f"d.{s}").alias("e")) for s in ("changed", "unchanged")]))
+    rows = read.select("pair_id", buckets.alias("b")).select("pair_id", "b.status", F.posexplode("b.e").alias("at", "x"))
+    return rows.select(
+        "pair_id", "status", (F.col("at") + 1).cast("long").alias("position"), "x.address", F.col("x.column").alias("col"), F.col("x.row").alias("row_num"),
+        F.col("x.file1Value").alias("old_value"), F.coalesce("x.file2Value", "x.value").alias("new_value"),
+        F.col("x.file1DvDisplay").alias("old_dv"), F.coalesce("x.file2DvDisplay", "x.dvDisplay").alias("new_dv"), F.col("x.dvChanged").alias("dv_changed"),
+    )
+
+
 def write_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Summary and diff written as sheets of text, and read back."""
     d = cut_lineage(_risk_diff(spark, sf).drop("prev", "curr"))
@@ -575,8 +651,10 @@ def answer_cell_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 def explanation_cell_diff(spark: SparkSession, sf: str) -> DataFrame:
     changes = _general(spark, sf)[3]["explanation"]
+    old, new = F.col("prev.text"), F.col("curr.text")
     return changes.select(
-        "pair_id", "n_ord", "o_ord", "row_offset", F.col("prev.text").alias("old_text"), F.col("curr.text").alias("new_text"), "text_changed"
+        "pair_id", "n_ord", "o_ord", fn.cell_label(F.lit("G"), F.col("row_offset")).alias("cell"),
+        old.alias("old_text"), new.alias("new_text"), "text_changed", fn.cell_marker(old, new).alias("marker"),
     )
 
 
@@ -613,9 +691,9 @@ QUERIES = {
         span_expand, asof_header, interval_first,
         extract_control, extract_risk, extract_general, row_labels,
         pair_scores, adjusted_scores, match_one_to_one, second_best, added_rows, removed_rows,
-        question_diff, document_question_diff, diff_summary, document_diff_summary,
+        question_diff, question_diff_tiled, document_question_diff, control_flags, control_sheet_breaks, diff_summary, document_diff_summary,
         similarity_band, ambiguous_matches, change_badges, bucket_ordinal, sheet_order, sheet_order_breaks,
-        search_rows, word_diff, word_diff_counts, report_payload, write_tables, ingest_cells, ingest_errors,
+        search_rows, word_diff, word_diff_counts, report_payload, report_document, cell_report_document, write_tables, ingest_cells, ingest_errors,
         cell_diff_value, cell_diff_full, cell_diff_summary, cell_range_diff,
         answer_cell_diff, explanation_cell_diff, cells_changed_flag, general_question_diff,
         general_report_payload,

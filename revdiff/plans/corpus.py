@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revdiff.functions.text import normalize_text, text_similarity
 from revdiff.operators.extract import extract_control, extract_general, extract_risk
 from revdiff.operators.layout import parse_layouts, section_specs, span_specs
 from revdiff.operators.scan import attach_rules
@@ -122,11 +123,12 @@ def risk_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def general_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sheet with label (B), text (C), three answer columns (D, E, F) and explanation (G) per turn."""
+    """Sheet with label (B), text (C), three answer columns (D, E, F) and explanation (G) per turn; the whole
+    text is an answer as well, so that turns between the questions are compared in full."""
     body = _cells(spark, GENERAL_SHEET, turns(spark, sf_dir), {
         "B": "role || '.' || turn",
         "C": "text",
-        "D": "substring_index(text, ' ', 1)",
+        "D": "text",
         "E": "length(text)",
         "F": "IF(length(text) > IF(side = 'curr', 310, 300), IF(side = 'curr' AND role = 'user', 'LONG', 'long'), NULL)",
         "G": "IF(role <> 'system', 'See ' || role, NULL)",
@@ -180,6 +182,16 @@ def _document_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def row_alignment(prev: DataFrame, curr: DataFrame) -> DataFrame:
+    """An alignment by place: records of equal ``ord`` match, the others stay alone."""
+    key = ["pair_id", "ord"]
+    both = prev.select(*key, F.col("text").alias("old")).join(curr.select(*key, F.col("text").alias("new")), key, "full")
+    n, o = F.when(F.col("new").isNotNull(), F.col("ord")), F.when(F.col("old").isNotNull(), F.col("ord"))
+    same = F.when(normalize_text(F.col("old")) == normalize_text(F.col("new")), F.lit(1.0)).otherwise(text_similarity(F.col("old"), F.col("new")))
+    score = F.when(F.col("new").isNotNull() & F.col("old").isNotNull(), same)
+    return both.select("pair_id", n.alias("n_ord"), o.alias("o_ord"), score.alias("similarity"), F.lit(None).cast("double").alias("second_best"))
+
+
 def control_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: a list for rows 1-8 before a length limit for all rows, and one highlight."""
     return spark.sql(

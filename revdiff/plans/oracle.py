@@ -69,7 +69,7 @@ q AS (
 
 GENERAL = f"""{TURNS},
 r AS (
-  SELECT pair_id, side, row_num, text, role || '.' || turn AS label, split_part(text, ' ', 1) AS d, length(text)::VARCHAR AS e,
+  SELECT pair_id, side, row_num, text, role || '.' || turn AS label, text AS d, length(text)::VARCHAR AS e,
     CASE WHEN length(text) > CASE side WHEN 'curr' THEN 310 ELSE 300 END
          THEN CASE WHEN side = 'curr' AND role = 'user' THEN 'LONG' ELSE 'long' END END AS f,
     CASE WHEN role <> 'system' THEN 'See ' || role END AS g
@@ -146,7 +146,7 @@ def _cf_changed(o: str, n: str) -> str:
 
 RISK_DIFF = f"""WITH {RISK}, {_align(9)},
 f AS (
-  SELECT al.*, n.section n_section, o.section o_section, n.number n_number, o.number o_number, n.text n_text, o.text o_text,
+  SELECT al.*, n.section n_section, o.section o_section, n.number n_number, o.number o_number, n.text n_text, o.text o_text, n.explanation n_expl, o.explanation o_expl,
     n.row_num n_row, o.row_num o_row,
     CASE WHEN al.n_ord IS NOT NULL AND al.o_ord IS NOT NULL THEN al.similarity < 1 END text_changed,
     CASE WHEN al.n_ord IS NOT NULL AND al.o_ord IS NOT NULL THEN n.number IS DISTINCT FROM o.number END number_changed,
@@ -342,7 +342,84 @@ ch AS (
 ),
 fl AS (SELECT pair_id, n_ord, o_ord, bool_or(kind = 'answer') answer_cells_changed, bool_or(kind = 'explanation') explanation_cells_changed FROM ch GROUP BY ALL)"""
 
+# Both sides of the control sheet by place. Chapter and section of a record are those of its row.
+CONTROL_PLACES = f"""WITH e AS ({EXTRACT_CONTROL}),
+f AS (
+  SELECT coalesce(n.pair_id, o.pair_id) pair_id, n.ord n_ord, o.ord o_ord, n.row_num n_row, o.row_num o_row, n.section n_section, o.section o_section,
+    n.chapter n_chapter, o.chapter o_chapter, n.ord IS NOT NULL AND o.ord IS NOT NULL matched,
+    {_norm('n.text')} <> {_norm('o.text')} text_changed, n.number IS DISTINCT FROM o.number number_changed,
+    {_dv_changed('o.dv', 'n.dv')} dv_changed, {_cf_changed('o.cf', 'n.cf')} cf_changed
+  FROM (SELECT * FROM e WHERE side = 'curr') n FULL JOIN (SELECT * FROM e WHERE side = 'prev') o ON n.pair_id = o.pair_id AND n.ord = o.ord
+),
+d AS (
+  SELECT pair_id, n_ord, o_ord, n_row, o_row, n_section, o_section, n_chapter, o_chapter, CASE WHEN matched THEN text_changed END text_changed,
+    CASE WHEN matched THEN number_changed END number_changed, CASE WHEN matched THEN dv_changed END dv_changed, CASE WHEN matched THEN cf_changed END cf_changed,
+    CASE WHEN o_ord IS NULL THEN 'added' WHEN n_ord IS NULL THEN 'removed' WHEN text_changed OR number_changed OR dv_changed OR cf_changed THEN 'changed' ELSE 'unchanged' END status
+  FROM f
+)"""
+
+CONTROL_BREAKS = f"""{CONTROL_PLACES},
+v AS (
+  SELECT 'current' AS "view", pair_id, n_row row_num, n_section section, n_chapter chapter FROM d WHERE status <> 'removed'
+  UNION ALL SELECT 'previous', pair_id, o_row, o_section, o_chapter FROM d WHERE status <> 'added'
+),
+w AS (
+  SELECT *, row_number() OVER k AS position, lag(section) OVER k AS above,
+    last_value(nullif(chapter, '') IGNORE NULLS) OVER (PARTITION BY "view", pair_id ORDER BY row_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
+  FROM v WINDOW k AS (PARTITION BY "view", pair_id ORDER BY row_num)
+),
+c AS (SELECT *, chapter <> '' AND chapter IS DISTINCT FROM earlier AS chapter_break FROM w)
+SELECT "view", pair_id, row_num, position, chapter_break, chapter_break OR position = 1 OR section IS DISTINCT FROM above AS section_break FROM c"""
+
+# Word counts need no walk: what a longest common subsequence leaves over is dropped or added.
+WORD_COUNTS = rf"""{RISK_DIFF},
+p AS (
+  SELECT pair_id, n_ord, list_filter(string_split_regex(o_text, '\s+'), lambda x: x <> '') a, list_filter(string_split_regex(n_text, '\s+'), lambda x: x <> '') b
+  FROM d WHERE status = 'changed'
+),
+lcs AS (
+  WITH RECURSIVE r AS (
+    SELECT pair_id, n_ord, 0 i, list_transform(range(len(b) + 1), lambda x: 0::BIGINT) best FROM p
+    UNION ALL
+    SELECT pair_id, n_ord, i + 1, list_prepend(0::BIGINT, list_transform(range(1, len(taken) + 1), lambda j: list_max(taken[1:j]))) FROM (
+      SELECT r.pair_id, r.n_ord, i, list_transform(range(1, len(b) + 1), lambda j: CASE WHEN b[j] = a[i + 1] THEN best[j] + 1 ELSE best[j + 1] END) taken
+      FROM r JOIN p ON p.pair_id = r.pair_id AND p.n_ord = r.n_ord WHERE i < len(a)
+    )
+  )
+  SELECT p.pair_id, p.n_ord, len(a) old_words, len(b) new_words, best[len(b) + 1] same FROM p JOIN r ON r.pair_id = p.pair_id AND r.n_ord = p.n_ord AND r.i = len(p.a)
+)
+SELECT pair_id, n_ord, c.side, c.op, c.words FROM lcs CROSS JOIN LATERAL (VALUES ('old', 'eq', same), ('new', 'eq', same), ('old', 'del', old_words - same), ('new', 'add', new_words - same)) c(side, op, words)
+WHERE c.words > 0"""
+
+DOCUMENT = f"""{RISK_DIFF},
+e AS (
+  SELECT pair_id, status, row_number() OVER (PARTITION BY pair_id, status ORDER BY coalesce(n_ord, o_ord)) AS position,
+    CASE status WHEN 'removed' THEN o_number WHEN 'changed' THEN NULL ELSE n_number END question_number,
+    CASE WHEN status IN ('removed', 'changed') THEN o_section ELSE n_section END section,
+    CASE status WHEN 'removed' THEN o_row WHEN 'added' THEN n_row END row_number,
+    CASE WHEN status IN ('changed', 'unchanged') THEN o_row END previous_row, CASE WHEN status IN ('changed', 'unchanged') THEN n_row END current_row,
+    CASE status WHEN 'changed' THEN o_number END previous_number, CASE status WHEN 'changed' THEN n_number END current_number,
+    CASE status WHEN 'removed' THEN o_text WHEN 'changed' THEN NULL ELSE n_text END question_text,
+    CASE status WHEN 'changed' THEN o_text END old_text, CASE status WHEN 'changed' THEN n_text END new_text,
+    CASE status WHEN 'changed' THEN similarity WHEN 'unchanged' THEN 1.0 END similarity,
+    CASE WHEN status IN ('changed', 'unchanged') THEN second_best END second_best,
+    CASE status WHEN 'changed' THEN text_changed END text_changed, CASE status WHEN 'changed' THEN number_changed END number_changed,
+    CASE status WHEN 'changed' THEN dv_changed END dv_changed, CASE status WHEN 'changed' THEN cf_changed END cf_changed,
+    CASE status WHEN 'changed' THEN o_expl END old_explanation, CASE status WHEN 'changed' THEN n_expl END new_explanation,
+    CASE status WHEN 'changed' THEN explanation_changed END explanation_changed
+  FROM d
+)
+SELECT b.*, e.* EXCLUDE (pair_id, status) FROM (
+  SELECT DISTINCT conv_id::VARCHAR pair_id, 'Risk level questions' title, conv_id || '.prev.xlsx' previous_path, conv_id || '.curr.xlsx' current_path,
+    '2025-01-31T08:00:00+00:00' generated_at, unnest(['added', 'removed', 'changed', 'unchanged']) status FROM conversations
+) b LEFT JOIN e ON e.pair_id = b.pair_id AND e.status = b.status"""
+
 SQL = {
+    "question_diff_tiled": f"""{RISK_DIFF} SELECT pair_id, status, n_ord, o_ord, similarity, second_best FROM d""",
+    "control_flags": f"{CONTROL_PLACES} SELECT pair_id, n_ord, o_ord, status, text_changed, number_changed, dv_changed, cf_changed FROM d",
+    "control_sheet_breaks": CONTROL_BREAKS,
+    "word_diff_counts": WORD_COUNTS,
+    "report_document": DOCUMENT,
     "normalize_text": r"SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS norm FROM documents",
     "text_similarity": f"""WITH {TURNS}, x AS (
   SELECT p.pair_id, p.turn, {_norm('p.text')} a, {_norm('c.text')} b FROM t p JOIN t c ON c.pair_id = p.pair_id AND c.turn = p.turn AND c.side = 'curr' WHERE p.side = 'prev')
@@ -465,12 +542,16 @@ UNION ALL SELECT 'questions', 'pair_id|status|n_ord|o_ord', pair_id || '|' || st
   CROSS JOIN LATERAL (VALUES ('B', 2, r.number), ('C', 3, r.text), ('D', 4, CASE WHEN r.row_num < 12 THEN '' END), ('E', 5, CASE WHEN r.row_num < 12 THEN r.explanation END)) c(col, col_idx, val)
   UNION ALL SELECT conv_id::VARCHAR, s.side, 1, 'C', 3, 'Conversation' FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES ('prev'), ('curr')) s(side))
 SELECT pair_id, side, 'Risk Level Questions' AS sheet, row_num, col, col_idx, val AS text FROM x WHERE val IS NOT NULL""",
+    "cell_report_document": f"""WITH x AS ({_cell_report(True)})
+SELECT pair_id, status, row_number() OVER (PARTITION BY pair_id, status ORDER BY row_num, length(col), col) AS position, address, col, row_num,
+  CASE WHEN status = 'changed' THEN old_value END old_value, new_value, CASE WHEN status = 'changed' THEN old_dv END old_dv, new_dv, CASE WHEN status = 'changed' THEN dv_changed END dv_changed FROM x""",
     "cell_diff_value": _cell_report(False),
     "cell_diff_full": _cell_report(True),
     "cell_diff_summary": f"""WITH x AS ({_cell_report(True)}) SELECT pair_id, status, count(*) AS cells FROM x GROUP BY pair_id, status""",
     "answer_cell_diff": f"""{GENERAL_DIFF} SELECT pair_id, n_ord, o_ord, col || '[' || row_offset || ']' AS cell, old_text, new_text, true AS text_changed,
   CASE WHEN old_text IS NULL THEN 'new' WHEN new_text IS NULL THEN 'gone' END AS marker FROM ch WHERE kind = 'answer'""",
-    "explanation_cell_diff": f"{GENERAL_DIFF} SELECT pair_id, n_ord, o_ord, row_offset, old_text, new_text, true AS text_changed FROM ch WHERE kind = 'explanation'",
+    "explanation_cell_diff": f"""{GENERAL_DIFF} SELECT pair_id, n_ord, o_ord, 'G[' || row_offset || ']' AS cell, old_text, new_text, true AS text_changed,
+  CASE WHEN old_text IS NULL THEN 'new' WHEN new_text IS NULL THEN 'gone' END AS marker FROM ch WHERE kind = 'explanation'""",
     "cells_changed_flag": f"{GENERAL_DIFF} SELECT * FROM fl",
     "general_question_diff": f"""{GENERAL_DIFF}, g AS (
   SELECT al.*, CASE WHEN al.n_ord IS NOT NULL AND al.o_ord IS NOT NULL THEN true END matched, n.number nn, o.number pn, fl.answer_cells_changed a, fl.explanation_cells_changed e

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def as_sheets(tables: dict[str, DataFrame]) -> DataFrame:
-    """Tables as rows of text: ``sheet, row_key, header, values``; null becomes ''."""
+    """Tables as rows of text: ``sheet, header, values``; null becomes ''."""
 
     def one(name: str, df: DataFrame) -> DataFrame:
         texts = F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns])
@@ -26,3 +26,13 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> None:
 def write_payload(payload: DataFrame, path: str) -> None:
     """Write report parts as JSON lines, one folder per status."""
     payload.write.mode("overwrite").partitionBy("status").json(path)
+
+
+def write_documents(lines: DataFrame, path: str) -> None:
+    """Write the lines of ``report.document_lines`` as one text file per block, ``pair_id=<id>``.
+
+    A block's lines go through one task, in order and one at a time, so a document may be larger than
+    memory. Files appear when the whole job commits; what was below ``path`` is replaced.
+    """
+    placed = lines.repartition("pair_id").sortWithinPartitions("pair_id", "seq")
+    placed.select("pair_id", "line").write.mode("overwrite").partitionBy("pair_id").text(path)

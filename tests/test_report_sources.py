@@ -1,16 +1,18 @@
 import io
+import itertools
 import json
 import random
+import tracemalloc
 import zipfile
-from functools import lru_cache
 
 from helpers import RULE_CF, RULE_DV, question
 from pyspark.sql import functions as F
 
+from revdiff.functions.address import address_col, address_row
 from revdiff.operators import diff, ordering, report
 from revdiff.operators.align import align
 from revdiff.sources.session import cut_lineage
-from revdiff.sources.sinks import write_payload, write_tables
+from revdiff.sources.sinks import write_documents, write_tables
 from revdiff.sources.workbook import ingest_cells
 
 
@@ -93,16 +95,50 @@ def test_report_tables(spark):
     assert found.count() == 0 and report.search_rows(report.sheet_order(d, "current"), ["text", "section"], " GAMMAS s1 ").count() == 1
 
 
-def test_report_payload(spark, tmp_path):
+def test_report_payload(spark):
     payload = report.report_payload(_diffed(spark))
     parts = {r["status"]: json.loads(r["payload"]) for r in payload.collect()}
-    assert parts["added"] == [{"chapter": "", "section": "S2", "questionText": "something else entirely 42", "rowNumber": 2, "dvDisplay": "—", "cfDisplay": "—"}]
+    assert parts["added"] == [
+        {"questionNumber": None, "chapter": "", "section": "S2", "rowNumber": 2, "questionText": "something else entirely 42", "dvDisplay": "—", "cfDisplay": "—"}
+    ]
     changed = parts["changed"][0]
     assert changed["oldText"] == "alpha beta gamma" and changed["newText"] == "alpha beta gammas" and changed["section"] == "S1"
     assert changed["textChanged"] is True and changed["dvChanged"] is False and "questionText" not in changed
+    assert changed["oldExplanation"] is None and changed["explanationChanged"] is False and changed["previousNumber"] is None
     assert parts["unchanged"][0]["similarityScore"] == 1.0 and parts["unchanged"][0]["previousRowNumber"] == 3
-    write_payload(payload, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 4
+
+
+def test_documents(spark, tmp_path):
+    """One document per block, whatever the size of its texts; empty buckets and null fields are there."""
+    long_ = "é\n" * 1_100_000
+    curr = question(spark, [("p", i, f"{i}" * 3) for i in range(1, 24)] + [("big/one", 1, long_), ("big/one", 2, "short")])
+    prev = question(spark, [("q", 1, "gone")])
+    d = cut_lineage(diff.diff_records(prev, curr, align(prev, curr), diff.RISK_FLAGS[:1]))
+    blocks = spark.createDataFrame([(p, None, 'say "hi"') for p in ("p", "q", "big/one", "nothing")], "pair_id string, previousWorkbookPath string, title string")
+    for part_bytes in (300, 1 << 20):
+        path = str(tmp_path / f"out{part_bytes}")
+        write_documents(report.document_lines(blocks, report.report_entries(d), report.STATUSES, part_bytes), path)
+        read = {r.pair_id: json.loads(r.value) for r in spark.read.text(path, wholetext=True).collect()}
+        assert set(read) == {"p", "q", "big/one", "nothing"}
+        assert read["nothing"] == {"previousWorkbookPath": None, "title": 'say "hi"', "added": [], "removed": [], "changed": [], "unchanged": []}
+        assert [e["rowNumber"] for e in read["p"]["added"]] == list(range(1, 24))
+        assert read["q"]["removed"][0]["questionText"] == "gone" and read["q"]["added"] == []
+        assert [e["questionText"] for e in read["big/one"]["added"]] == [long_, "short"]
+
+
+def test_cell_documents(spark, tmp_path):
+    cell = f"pair_id string, address string, text string, dv {RULE_DV}, cf {RULE_CF}"
+    prev = spark.createDataFrame([("p", "B2", "x", None, None), ("p", "AA1", "y", None, None), ("p", "C2", "z", None, None)], cell)
+    curr = spark.createDataFrame([("p", "B2", "x", None, None), ("p", "C2", None, None, None), ("p", "B1", "n", None, None)], cell)
+    d = diff.diff_cells(prev, curr, ["pair_id", "address"])
+    d = d.withColumns({"col": address_col(F.col("address")), "row_num": address_row(F.col("address"))})
+    blocks = spark.createDataFrame([("p", "t")], "pair_id string, title string")
+    write_documents(report.document_lines(blocks, report.cell_entries(d), ["changed", "unchanged"]), str(tmp_path / "cells"))
+    (row,) = spark.read.text(str(tmp_path / "cells"), wholetext=True).collect()
+    read = json.loads(row.value)
+    assert [c["address"] for c in read["changed"]] == ["B1", "AA1", "C2"]
+    assert read["changed"][0]["file1Value"] is None and read["changed"][0]["file2Value"] == "n" and read["changed"][0]["dvChanged"] is False
+    assert read["unchanged"] == [{"address": "B2", "column": "B", "row": 2, "value": "x", "dvDisplay": "—", "cfDisplay": "—"}]
 
 
 def test_general_payload_nests_cells(spark):
@@ -132,43 +168,74 @@ def test_payload_parts_keep_order(spark):
     curr = question(spark, [("p", i, f"{i}" * 3) for i in range(1, 24)])
     prev = question(spark, [])
     d = cut_lineage(diff.diff_records(prev, curr, align(prev, curr), diff.CONTROL_FLAGS))
-    parts = report.report_payload(d, part=10).orderBy("part").collect()
-    assert [r["entries"] for r in parts] == [10, 10, 3]
+    parts = report.report_payload(d, part_bytes=500).orderBy("part").collect()
+    assert len(parts) > 3 and all(r.entries > 1 for r in parts[:-1]) and max(len(r.payload) for r in parts) < 800
     assert [e["rowNumber"] for r in parts for e in json.loads(r["payload"])] == list(range(1, 24))
 
 
-def _walk(old, new):
-    """Reference walk over the full table: equal words first, then prefer an added word."""
-
-    @lru_cache(None)
-    def best(i, j):
-        if not i or not j:
-            return 0
-        return best(i - 1, j - 1) + 1 if old[i - 1] == new[j - 1] else max(best(i - 1, j), best(i, j - 1))
-
-    i, j, a, b = len(old), len(new), [], []
-    while i or j:
-        if i and j and old[i - 1] == new[j - 1]:
-            a.append("eq"), b.append("eq")
+def _common(a, b):
+    """Length of a longest common subsequence."""
+    line = [0] * (len(b) + 1)
+    for x in a:
+        line = list(itertools.accumulate([0, *(max(line[j + 1], line[j] + (x == y)) for j, y in enumerate(b))], max))
+    return line[-1]
+
+
+def check_ops(old, new, ops):
+    """The kept words are a longest common subsequence, and of all the one that the tie rule gives: each new
+    word added from the end on could not be kept, or the same length is reached without it."""
+    kept_old, kept_new = ([w for w, o in zip(ws, own) if o == "eq"] for ws, own in zip((old, new), ops))
+    assert kept_old == kept_new and len(kept_old) == _common(old, new)
+    assert set(ops[0]) <= {"eq", "del"} and set(ops[1]) <= {"eq", "add"}
+    i, j = len(old), len(new)
+    while i and j:
+        if old[i - 1] == new[j - 1]:
+            assert ops[0][i - 1] == ops[1][j - 1] == "eq"
             i, j = i - 1, j - 1
-        elif j and (not i or best(i, j - 1) >= best(i - 1, j)):
-            b.append("add")
+        elif ops[1][j - 1] == "add":
+            assert _common(old[:i], new[: j - 1]) == _common(old[:i], new[:j])
             j -= 1
         else:
-            a.append("del")
+            assert ops[0][i - 1] == "del" and _common(old[:i], new[: j - 1]) < _common(old[:i], new[:j])
             i -= 1
-    return a[::-1], b[::-1]
 
 
 def test_word_diff(spark):
     r = random.Random(9)
-    texts = [(str(i), " ".join(r.choice("abcD") for _ in range(r.randint(0, 20))), " ".join(r.choice("abcd") for _ in range(r.randint(0, 20)))) for i in range(80)]
+    texts = [(str(i), " ".join(r.choice("abcD") for _ in range(r.randint(0, 14))), " ".join(r.choice("abcd") for _ in range(r.randint(0, 14)))) for i in range(80)]
     rows = report.word_diff(spark.createDataFrame(texts, "k string, a string, b string"), ["k"], "a", "b").collect()
     for k, a, b in texts:
-        want = _walk(a.split(), b.split())
-        for side, ops, words in (("old", want[0], a.split()), ("new", want[1], b.split())):
+        ops = []
+        for side, words in (("old", a.split()), ("new", b.split())):
             mine = sorted((x["pos"], x["op"], x["word"]) for x in rows if x["k"] == k and x["side"] == side)
-            assert mine == [(i, o, w) for i, (o, w) in enumerate(zip(ops, words))]
+            assert [(i, w) for i, _, w in mine] == list(enumerate(words))
+            ops.append([o for _, o, _ in mine])
+        check_ops(a.split(), b.split(), ops)
+
+
+def test_word_diff_in_stretches(monkeypatch):
+    """However often the way back is cut, it is the same way."""
+    r = random.Random(10)
+    for _ in range(60):
+        a, b = ([r.choice("abcde") for _ in range(r.randint(0, 70))] for _ in range(2))
+        whole = report._word_ops(a, b)
+        for bits, rows in ((1, 2), (60, 3), (500, 64)):
+            monkeypatch.setattr(report, "STEP_BITS", bits)
+            monkeypatch.setattr(report, "KEPT_ROWS", rows)
+            assert report._word_ops(a, b) == whole
+        monkeypatch.undo()
+
+
+def test_word_diff_of_long_texts():
+    r = random.Random(11)
+    a = [r.choice("abcdefghij") + str(r.randrange(300)) for _ in range(12_000)]
+    b = [w for w in a if r.random() < 0.9] + a[:3000]
+    tracemalloc.start()
+    ops = report._word_ops(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    kept = [w for w, o in zip(a, ops[0]) if o == "eq"]
+    assert kept == [w for w, o in zip(b, ops[1]) if o == "eq"] and len(kept) >= len(b) - 3000 and peak < 60 << 20
 
 
 def test_write_tables(spark, tmp_path):
