@@ -30,13 +30,13 @@ from revdiff.llm.common import arrow_rows, byte_slices, cut_lineage, unused
 from revdiff.llm.graph import components
 
 SHINGLE = 5
-BANDS, ROWS = 32, 5  # a pair at 0.8 shares no band with probability 3e-6; see _cross_pairs for large buckets
-#: A bucket of more rows is cut finer by a second shared band before its pairs are listed.
-BUCKET = 128
+BANDS, ROWS = 32, 5  # a pair at 0.8 shares no band with probability 3e-6
 #: Fingerprint tables of so many rows are sent to every task; longer ones are joined by shuffle.
 SMALL = 200_000
-#: Pairs in an Arrow batch: each brings the shingles of two texts.
-PAIR_ROWS = 256
+#: Texts whose shingles are in an Arrow batch, and texts that one task compares with a leader in a row.
+PAIR_ROWS, FOLLOWERS = 64, 256
+#: Classes of mass for each factor of e.
+MASS_CLASSES = 16
 #: Texts in an Arrow batch.
 TEXT_ROWS = 1000
 _UNIT = 2.0**-53
@@ -173,39 +173,50 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _compared(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
-    """``a, b, similar`` of ``pairs(a, b)``, and what ``b`` has beside ``a``: ``rest``, ``rest_weights``."""
-    of_b = pairs.join(shingles.select(F.col("key").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb")), "b")
-    of_a = shingles.select(F.col("key").alias("a"), F.col("elements").alias("ea"), F.col("weights").alias("wa"))
-    joined = of_b.join(of_a, "a").select("a", "b", "ea", "wa", "eb", "wb")
+    """``a, b, similar`` of ``pairs(a, b)``, and what ``b`` has beside ``a``: ``rest``, ``rest_weights``.
+
+    The shingles of an ``a`` are sent once for each ``FOLLOWERS`` of its ``b``, which follow them one by
+    one: a hot ``a`` is spread over tasks, and a task holds the shingles of one ``a`` and one batch.
+    """
+    spark = pairs.sparkSession
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / FOLLOWERS).alias("shares"))
+    own = shingles.select("key", "elements", "weights")
+    heads = shares.join(own, shares.a == own.key).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(None).cast("binary").alias("b"), "elements", "weights")
+    rows = pairs.join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), "shares"))
+    rows = rows.join(own, rows.b == own.key).select("a", "share", "b", "elements", "weights")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    joined = heads.union(rows).repartition(tasks, "a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
     names = ["a", "b", "similar", "rest", "rest_weights"]
 
     def compare(batches):
-        last, left = None, None  # a join leaves equal ``a`` together
+        left = None
         for batch in batches:
-            similar, rest, weights = [], [], []
+            kept, similar, rest, weights = [], [], [], []
             for n in range(batch.num_rows):
-                ea, wa, eb, wb = (batch.column(c)[n].as_buffer() for c in range(2, 6))
-                if batch.column(0)[n] != last:
-                    last, left = batch.column(0)[n], (np.frombuffer(ea, "<u8"), np.frombuffer(wa, "<u4"))
-                right = np.frombuffer(eb, "<u8"), np.frombuffer(wb, "<u4")
-                similar.append(bool(similarity(left, right) >= threshold))
-                own = ~np.isin(right[0], left[0], assume_unique=True)
-                rest.append(right[0][own].view("<i8"))
-                weights.append(right[1][own].astype(np.int64))
+                # copies: a buffer lives no longer than its batch
+                one = np.frombuffer(batch.column(3)[n].as_buffer(), "<u8"), np.frombuffer(batch.column(4)[n].as_buffer(), "<u4")
+                if not batch.column(2)[n].is_valid:
+                    left = one[0].copy(), one[1].copy()
+                    continue
+                kept.append(n)
+                similar.append(bool(similarity(left, one) >= threshold))
+                beside = ~np.isin(one[0], left[0], assume_unique=True)
+                rest.append(one[0][beside].view("<i8"))
+                weights.append(one[1][beside].astype(np.int64))
+            pair = batch.select([0, 2]).take(pa.array(kept, pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(similar, pa.bool_()), pa.array(rest, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.int64()))],
-                names=names,
+                [*pair.columns, pa.array(similar, pa.bool_()), pa.array(rest, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.int64()))], names=names
             )
 
     return joined.mapInArrow(compare, "a binary, b binary, similar boolean, rest array<long>, rest_weights array<long>")
 
 
-def _unshared(checked: DataFrame, keys: DataFrame, shingles: DataFrame) -> DataFrame:
-    """``key, alone``: the weight of those shingles of each node in ``keys`` that no other node there can have.
+def _own_tokens(checked: DataFrame, keys: DataFrame, heads: DataFrame, shingles: DataFrame) -> DataFrame:
+    """``key, x, w, n``: the shingles of each node in ``keys`` that no node in ``heads`` has, and how
+    many nodes in ``keys`` have them.
 
-    A node's shingles are those of the leader that it was compared with, and its rest. So a shingle
-    of a rest that is in no other rest and in no leader is its node's alone; only rests and leaders
-    (with nodes that were compared with none) are counted, not all nodes."""
+    A node's shingles are those of the leader that it was compared with, and its rest. So with all
+    leaders (and nodes that were compared with none) among the heads, only rests and heads are looked through."""
     least = F.min_by(F.struct("a", "rest", "rest_weights"), F.size("rest")).alias("m")
     own = cut_lineage(checked.join(keys.select(F.col("key").alias("b")), "b").groupBy("b").agg(least).select("b", "m.*"))
 
@@ -215,11 +226,11 @@ def _unshared(checked: DataFrame, keys: DataFrame, shingles: DataFrame) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(e.as_buffer(), "<i8"))], names=["x"])
 
     first = keys.join(own.select(F.col("b").alias("key")), "key", "left_anti")
-    leaders = own.select(F.col("a").alias("key")).union(first).distinct().join(shingles.select("key", "elements"), "key").select("elements")
-    rests = own.select("b", F.inline(F.arrays_zip("rest", "rest_weights")).alias("x", "w"))
-    every = rests.select("x", "b", "w").union(leaders.mapInArrow(elements, "x long").select("x", F.lit(None).cast("binary"), F.lit(0).cast("long")))
-    single = every.groupBy("x").agg(F.count("*").alias("n"), F.min("b").alias("key"), F.min("w").alias("w")).filter("n = 1 AND key IS NOT NULL")
-    return single.groupBy("key").agg(F.sum("w").alias("alone"))
+    leaders = own.select(F.col("a").alias("key")).union(first).union(heads).distinct().join(shingles.select("key", "elements"), "key").select("elements")
+    rests = own.select(F.col("b").alias("key"), F.inline(F.arrays_zip("rest", "rest_weights")).alias("x", "w"))
+    every = rests.select("x", F.lit(1).alias("n"), F.lit(0).alias("h")).union(leaders.mapInArrow(elements, "x long").select("x", F.lit(0), F.lit(1)))
+    free = every.groupBy("x").agg(F.sum("n").alias("n"), F.max("h").alias("h")).filter("h = 0 AND n > 0").drop("h")
+    return cut_lineage(rests.join(free, "x"))
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -233,31 +244,52 @@ def _open(rows: DataFrame) -> DataFrame:
     return able.join(open_, "bucket")
 
 
-def _cross_pairs(rows: DataFrame, bands: DataFrame) -> DataFrame:
-    """Pairs of ``rows`` that share a bucket, differ in component and may reach the threshold.
-
-    A bucket of more than ``BUCKET`` rows is cut finer by another band that its rows share: a
-    pair at the threshold shares about ten bands; bands are taken in ascending order, so that a set of
-    them is one bucket. After two cuts what is left is listed whatever its size. A pair that shares
-    one band, or two, is not listed if the bucket of it, or of both together, is too large: at
-    similarity 0.8 up to 4.1e-4 of the pairs in such buckets, beside the 3e-6 that share no band."""
-    out, rows = None, rows.withColumn("last", F.col("bucket"))
-    for cuts in (0, 1, 2):
-        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
-        small = sizes.filter(F.col("n") <= BUCKET) if cuts < 2 else sizes
-        own = rows.join(small.select("bucket"), "bucket")
-        x, y = own.alias("x"), own.alias("y")
-        apart = (F.col("x.key") < F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
-        enough = 9 * F.least("x.shared", "y.shared") >= 4 * (F.col("x.mass") + F.col("y.mass"))
-        pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & apart & enough).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-        out = pairs if out is None else out.union(pairs)
-        big = rows.join(sizes.filter(F.col("n") > BUCKET).select("bucket"), "bucket")
-        if cuts == 2 or big.isEmpty():
-            break
-        finer = big.join(bands, "key").withColumn("band", F.explode("bands")).filter("band > last")
-        finer = finer.select(F.xxhash64("bucket", "band").alias("bucket"), F.col("band").alias("last"), "key", "comp", "mass", "shared")
-        rows = cut_lineage(_open(finer))
-    return out.distinct()
+def _prefixes(nodes: DataFrame, tokens: DataFrame, shingles: DataFrame) -> DataFrame:
+    """``key, comp, mass, token, cap``: the first shingles of each node, in an order common to all nodes.
+
+    First come shingles that no leader has, rare ones before others, then the leaders' by hash. If
+    a node's first shingle in common with another one has the mass P before it, they share its mass less P
+    at most, which bounds the other one's mass by ``cap`` for a similarity of 4/5; shingles behind
+    a fifth of the mass are first for none."""
+    listed = tokens.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "x", "w"))).alias("own"))
+    rows = nodes.select("key", "comp", "mass").join(listed, "key", "left").join(shingles.select("key", "elements", "weights"), "key")
+
+    def cut(batches):
+        for batch in batches:
+            for n in range(batch.num_rows):
+                own = batch.column(3)[n].values
+                x, w = (own.field(c).to_numpy().astype(t) for c, t in (("x", np.int64), ("w", np.int64))) if own is not None else (np.zeros(0, np.int64),) * 2
+                e, v = np.frombuffer(batch.column(4)[n].as_buffer(), "<i8"), np.frombuffer(batch.column(5)[n].as_buffer(), "<u4").astype(np.int64)
+                common = ~np.isin(e, x, assume_unique=True)
+                x, w = np.r_[x, e[common]], np.r_[w, v[common]]
+                before, mass = np.cumsum(w) - w, batch.column(2)[n].as_py()
+                first = 5 * before <= mass
+                x, before = x[first], before[first]
+                node = batch.select([0, 1, 2]).take(pa.array(np.full(len(x), n, np.int32)))
+                yield pa.RecordBatch.from_arrays([*node.columns, pa.array(x), pa.array((5 * mass - 9 * before) // 4)], names=["key", "comp", "mass", "token", "cap"])
+
+    return rows.select("key", "comp", "mass", "own", "elements", "weights").mapInArrow(cut, "key binary, comp binary, mass long, token long, cap long")
+
+
+def _cross_pairs(rows: DataFrame, tokens: DataFrame, shingles: DataFrame) -> DataFrame:
+    """All pairs of nodes in ``rows`` of different components that may reach the threshold.
+
+    In each bucket one component has most rows. A pair of a bucket that is in two components has a
+    node outside it, so it is enough to look for partners of those: nodes with a first shingle in common
+    (see ``_prefixes``) and a mass that allows the similarity. Masses are in the join's key, by
+    class, so a shingle that a whole group shares brings only partners of the right mass."""
+    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("most"))
+    asking = rows.join(most, "bucket").filter("comp <> most").select("key").distinct()
+    first = cut_lineage(_prefixes(rows.select("key", "comp", "mass").distinct(), tokens, shingles))
+    mass_class = lambda c: F.floor(F.log(c) * MASS_CLASSES)
+    lowest, highest = F.ceil(F.col("mass") * 4 / 5), F.least("cap", F.floor(F.col("mass") * 5 / 4))
+    asked = first.join(asking, "key").filter(lowest <= highest)
+    asked = asked.withColumn("kind", F.explode(F.sequence(mass_class(lowest), mass_class(highest)))).alias("p")
+    there = first.withColumn("kind", mass_class(F.col("mass"))).alias("q")
+    fits = (F.col("p.comp") != F.col("q.comp")) & (F.col("q.mass") <= F.col("p.cap")) & (F.col("p.mass") <= F.col("q.cap"))
+    pairs = asked.join(there, (F.col("p.token") == F.col("q.token")) & (F.col("p.kind") == F.col("q.kind")) & fits)
+    return pairs.select(F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b")).distinct()
 
 
 def _leaders(rows: DataFrame, by: str) -> DataFrame:
@@ -271,15 +303,15 @@ def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
     return known.withColumn("comp", F.coalesce("comp", "key")).drop("node")
 
 
-def _components(members: DataFrame, shingles: DataFrame, bands: DataFrame, threshold: float) -> DataFrame:
+def _components(members: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
     """``node, comp``: the components of the whole graph of similar pairs; nodes without links may be missing.
 
     In each bucket the most central node leads: the one whose buckets hold most rows, as a rule
     the text that others were made from. Each node is compared with the most central of its
     leaders. Nodes whose unshared shingles rule out any further link leave, and buckets of one
     component. Then in each bucket the node with the least share of unshared shingles leads (the
-    text that others were made from has none), and all others are compared with it. The pairs
-    that remain are compared one by one."""
+    text that others were made from has none), and all others are compared with it. What may
+    still link two components is found by rare shingles (``_cross_pairs``) and compared pair by pair."""
     rows = members.withColumn("comp", F.col("key")).withColumn("shared", F.col("mass"))
     met = rows.select("bucket", "key").join(_leaders(rows, "central"), "bucket").filter("key <> leader")
     pairs = met.groupBy(F.col("key").alias("b")).agg(F.max(F.struct("top", "leader")).alias("m")).select(F.col("m.leader").alias("a"), "b")
@@ -290,7 +322,8 @@ def _components(members: DataFrame, shingles: DataFrame, bands: DataFrame, thres
     rows = cut_lineage(_open(_labelled(rows, label)))
     if rows.isEmpty():
         return label
-    alone = _unshared(checked, rows.select("key").distinct(), shingles)
+    tokens = _own_tokens(checked, rows.select("key").distinct(), rows.select("key").limit(0), shingles)
+    alone = tokens.filter("n = 1").groupBy("key").agg(F.sum("w").alias("alone"))
     shared = F.col("mass") - F.coalesce("alone", F.lit(0))
     rows = cut_lineage(_open(rows.join(alone, "key", "left").withColumn("shared", shared).withColumn("part", shared / F.col("mass")).drop("alone")))
     if rows.isEmpty():
@@ -301,12 +334,14 @@ def _components(members: DataFrame, shingles: DataFrame, bands: DataFrame, thres
     with arrow_rows(spark, PAIR_ROWS):
         checked = checked.union(cut_lineage(more))
     label = components(checked.filter("similar"))
-    rows = cut_lineage(_open(_labelled(met.drop("leader", "led", "top"), label)))
+    rows = cut_lineage(_open(_labelled(rows.drop("part"), label)))
     if rows.isEmpty():
         return label
-    last = _cross_pairs(rows.select("bucket", "key", "comp", "mass", "shared"), bands).join(checked.select("a", "b"), ["a", "b"], "left_anti")
     with arrow_rows(spark, PAIR_ROWS):
-        more = cut_lineage(_compared(last, shingles, threshold).filter("similar").select("a", "b"))
+        tokens = _own_tokens(checked, rows.select("key").distinct(), met.select(F.col("leader").alias("key")).distinct(), shingles)
+        last = cut_lineage(_cross_pairs(rows, tokens, shingles))
+        flipped = checked.select("a", "b").union(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        more = cut_lineage(_compared(last.join(flipped, ["a", "b"], "left_anti"), shingles, threshold).filter("similar").select("a", "b"))
     return label if more.isEmpty() else components(checked.filter("similar").select("a", "b").union(more))
 
 
@@ -343,7 +378,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
         shingles = cut_lineage(_shingle_rows(texts.select("key", "text").dropDuplicates(["key"])))
     sized = needed.select("key", "central").join(shingles.select("key", "mass"), "key")
     members = cut_lineage(crowded.select("bucket", "key").join(sized, "key"))
-    label = _components(members, shingles, nodes.select("key", "bands"), threshold)
+    label = _components(members, shingles, threshold)
 
     comp = nodes.select("key", "keeper").join(label, F.col("key") == F.col("node"), "left").select("key", "keeper", F.coalesce("comp", "key").alias("comp"))
     comp = cut_lineage(comp)
