@@ -187,25 +187,37 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
 
     def predict(batches):
         for batch in byte_slices(batches, 2, 1 << 20):
-            texts = [x or "" for x in batch.column(2).to_pylist()]
-            found, scores = [], []
-            for text, at in zip(texts, slots(texts), strict=True):
-                if not model.languages or not has_letter(text):
-                    found.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                x = counts(at) * model.idf
-                p = _softmax((x @ model.weights).astype(float) / (np.sqrt(float(x @ x)) * model.temperature))
-                found.append(model.languages[int(p.argmax())])
-                scores.append(float(p.max()))
+            found, scores = judge(model, batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return rows.mapInArrow(predict, schema)
 
 
+def judge(model: Model, texts: list) -> tuple[list[str], list[float]]:
+    """The language of each text and its score."""
+    texts = [x or "" for x in texts]
+    found, scores = [], []
+    for text, at in zip(texts, slots(texts), strict=True):
+        if not model.languages or not has_letter(text):
+            found.append(UNDETERMINED)
+            scores.append(0.0)
+            continue
+        x = counts(at) * model.idf
+        p = _softmax((x @ model.weights).astype(float) / (np.sqrt(float(x @ x)) * model.temperature))
+        found.append(model.languages[int(p.argmax())])
+        scores.append(float(p.max()))
+    return found, scores
+
+
 def keep_identified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs``, with their columns, whose language is determined with at least ``min_score``."""
     model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
-    judged = identify(whole, model, id_col="row", text_col="text")
-    return judged.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select("row.*")
+
+    @F.arrow_udf("boolean")
+    def sure(texts: pa.Array) -> pa.Array:
+        out = []
+        for part in byte_slices([pa.RecordBatch.from_arrays([texts], names=["text"])], 0, 1 << 20):
+            out += [lang != UNDETERMINED and score >= min_score for lang, score in zip(*judge(model, part.column(0).to_pylist()), strict=True)]
+        return pa.array(out, pa.bool_())
+
+    return docs.filter(sure(docs[text_col]))  # only the text goes to Python, and one bit comes back

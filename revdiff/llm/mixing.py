@@ -171,15 +171,15 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: each document as often as the mix uses it
-    whole, and the document at which a quota ends once more with its first words only.
-    Rows of equal id and text are one document here."""
-    key, of, size, taken, part = unused(docs, "_key", "_of", "_size", "_taken", "_part")
+    """The mix itself, with the columns of ``docs``: each document as often as the mix uses it.
+
+    Documents stay whole. The one at which a quota ends is taken or left, whichever is nearer, so
+    each set of sources gives its quota to within half a document. A document without words is
+    in no mix. Rows of equal id and text are one document here."""
+    key, of, times = unused(docs, "_key", "_of", "_times")
     same = F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col], docs[text_col].isNull()).alias("hash"))
     unique = docs.withColumn(key, same).dropDuplicates([key])
-    amounts = mix(unique, id_col=key, text_col=text_col, **options).filter("taken > 0").select(F.col(key).alias(of), F.col("size").alias(size), F.col("taken").alias(taken))
+    amounts = mix(unique, id_col=key, text_col=text_col, **options).withColumn(times, F.expr("(2 * taken + size) div nullif(2 * size, 0)"))
+    amounts = amounts.filter(F.col(times) > 0).select(F.col(key).alias(of), times)
     rows = unique.join(amounts, F.col(key).eqNullSafe(F.col(of)))
-    parts = F.expr(f"concat(array_repeat(0L, int({taken} div {size})), filter(array({taken} % {size}), x -> x > 0))")
-    lead = F.regexp_extract_all(text_col, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    first = F.array_join(F.slice(lead, 1, F.col(part).cast("int")), "")
-    return rows.withColumn(part, F.explode(parts)).withColumn(text_col, F.when(F.col(part) > 0, first).otherwise(F.col(text_col))).select(*docs.columns)
+    return rows.withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int")))).select(*docs.columns)

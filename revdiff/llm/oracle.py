@@ -26,11 +26,7 @@ ln AS (
   FROM (SELECT r, doc_id, source, unnest(string_split(text, chr(10))) line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ),
 dup AS (SELECT r, sum(c - 1) n_dup_lines FROM (SELECT r, line, count(*) c FROM ln GROUP BY r, line) GROUP BY r),
-hosts AS (SELECT source, count(DISTINCT doc_id) docs FROM docs GROUP BY source),
-common AS (
-  SELECT source, norm FROM (SELECT source, norm, count(DISTINCT doc_id) n FROM ln GROUP BY source, norm) JOIN hosts USING (source)
-  WHERE n > 20 AND n > 0.05 * docs
-),
+common AS (SELECT source, norm FROM ln GROUP BY source, norm HAVING count(DISTINCT doc_id) > 10),
 removed AS (
   SELECT r, sum(len(regexp_extract_all(norm, '{WORD}'))) common_words FROM ln JOIN common USING (source, norm) GROUP BY r
 ),

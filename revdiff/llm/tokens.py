@@ -166,12 +166,18 @@ class _WordEncoder(_JsonEncoder):
 
     def learn(self, new: set[str]) -> None:
         single, whole, cores = [], [], {}
-        for word in new:
-            tail = word[-1:] if word[-1:] in self.tails else ""
-            core = word[: len(word) - len(tail)].lower()
-            if core.isalpha() and (core.isascii() or max(core) < "ƀ" and unicodedata.is_normalized("NFC", core)):
+        known, tails = self.cores, self.tails
+        words = list(new)
+        for word, core in zip(words, " ".join(words).lower().split(" "), strict=True):
+            tail = ""
+            if not core.isalpha():
+                tail, core = core[-1:], core[:-1]
+                if tail not in tails or not core.isalpha():
+                    single.append(word)
+                    continue
+            if core.isascii() or max(core) < "ƀ" and unicodedata.is_normalized("NFC", core):
                 whole.append((word, core, tail))
-                if core not in self.cores:
+                if core not in known:
                     cores[core] = None
             else:
                 single.append(word)

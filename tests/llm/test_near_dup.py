@@ -58,6 +58,22 @@ def test_families_of_near_copies(spark):
     assert {i for i, (_, kept) in got.items() if kept} == set(want.values())
 
 
+def test_hot_group(spark):
+    """Hundreds of near copies around one text, a third of them too far from it to be linked to it
+    directly, copies of those, and cut-off versions: no link is lost, and few pairs are compared."""
+    rng = random.Random(12)
+    rows = family(rng, 1, 400, words=100, most=0.09)
+    for i in range(60):  # near copies of copies
+        words = rows[rng.randrange(400)][1].split()
+        words[rng.randrange(100)] = f"y{i}"
+        rows.append((1000 + i, " ".join(words[: rng.choice((100, 100, 78, 82, 70))])))
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(cases.documents(spark, rows)).collect()}
+    want = dict(zip((i for i, _ in rows), classes(rows), strict=True))
+    assert len(set(want.values())) > 10
+    lost = sum(got[i] != c for i, c in want.items())
+    assert lost <= 1, lost  # a pair at 0.8 shares no band with probability 3e-6
+
+
 def test_odd_rows(spark):
     docs = cases.documents(spark, [r for r in cases.ODD if r[0] != 7])
     got = near_dup.near_duplicates(docs).collect()

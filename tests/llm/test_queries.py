@@ -11,6 +11,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from revdiff.llm import near_dup, queries
 
+from . import cases
+
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="test tables are not there")
 
@@ -58,3 +60,15 @@ def test_pipeline_ends_in_token_ids(spark):
         assert sorted(by[r.doc_id]) == sorted(2 * [*tokens.encode(r.text or "", add_special_tokens=False).ids, 2])
     places = [(r.sequence_id, r.offset) for r in packed]
     assert len(set(places)) == len(places)
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows and clashing columns go through; so does an empty table."""
+    docs = cases.documents(spark, [r for r in cases.ODD if r[0] != 7] + [(100 + i, f"{i} the quick brown fox and some more words of it {i}", "en", "a") for i in range(12)])
+    none, columns = docs.limit(0), docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, "").collect(), docs.schema)
+        assert docs.columns == columns and stage(spark, none, "").count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed) >= docs.count() > 5
+    assert corpus_pipeline.STAGES[-1][1](spark, none, "").count() == 0
