@@ -574,6 +574,19 @@ def ingest_cells(spark: SparkSession, sf: str) -> DataFrame:
     return parse_workbooks(workbook_files(corpus.risk_cells(spark, sf)))[0]
 
 
+def ingest_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The rules of the same workbooks, read back."""
+    return parse_workbooks(workbook_files(corpus.risk_cells(spark, sf), corpus.risk_rules(spark, sf)))[1]
+
+
+def ingested_question_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Workbooks to cells and rules, to questions, to their diff: the whole chain from files."""
+    cells, rules, _ = parse_workbooks(workbook_files(corpus.risk_cells(spark, sf), corpus.risk_rules(spark, sf)))
+    prev, curr = split_sides(cut_lineage(corpus.extracted_risk(spark, sf, cells, rules)))
+    d = diff.diff_records(prev, curr, align(prev, curr), diff.RISK_FLAGS)
+    return d.select("pair_id", "status", "n_ord", "o_ord", "similarity", "text_changed", "number_changed", "dv_changed", "cf_changed", "explanation_changed")
+
+
 def ingest_errors(spark: SparkSession, sf: str) -> DataFrame:
     """Files that are no workbook, or whose name says no pair and side."""
     files = workbook_files(corpus.risk_cells(spark, sf).filter("side = 'prev'"))
@@ -693,7 +706,7 @@ QUERIES = {
         pair_scores, adjusted_scores, match_one_to_one, second_best, added_rows, removed_rows,
         question_diff, question_diff_tiled, document_question_diff, control_flags, control_sheet_breaks, diff_summary, document_diff_summary,
         similarity_band, ambiguous_matches, change_badges, bucket_ordinal, sheet_order, sheet_order_breaks,
-        search_rows, word_diff, word_diff_counts, report_payload, report_document, cell_report_document, write_tables, ingest_cells, ingest_errors,
+        search_rows, word_diff, word_diff_counts, report_payload, report_document, cell_report_document, write_tables, ingest_cells, ingest_rules, ingested_question_diff, ingest_errors,
         cell_diff_value, cell_diff_full, cell_diff_summary, cell_range_diff,
         answer_cell_diff, explanation_cell_diff, cells_changed_flag, general_question_diff,
         general_report_payload,

@@ -117,7 +117,11 @@ def split_sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def risk_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = attach_rules(risk_cells(spark, sf_dir), cut_lineage(risk_rules(spark, sf_dir)))
+    return extracted_risk(spark, sf_dir, risk_cells(spark, sf_dir), risk_rules(spark, sf_dir))
+
+
+def extracted_risk(spark: SparkSession, sf_dir: str, cells: DataFrame, rules: DataFrame) -> DataFrame:
+    cells = attach_rules(cells, cut_lineage(rules))
     layouts = cut_lineage(parse_layouts(_configs(spark, sf_dir, RISK_CONFIG), "risk"))
     return extract_risk(cells, layouts, section_specs(layouts))
 

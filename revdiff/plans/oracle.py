@@ -545,6 +545,16 @@ SELECT pair_id, side, 'Risk Level Questions' AS sheet, row_num, col, col_idx, va
     "cell_report_document": f"""WITH x AS ({_cell_report(True)})
 SELECT pair_id, status, row_number() OVER (PARTITION BY pair_id, status ORDER BY row_num, length(col), col) AS position, address, col, row_num,
   CASE WHEN status = 'changed' THEN old_value END old_value, new_value, CASE WHEN status = 'changed' THEN old_dv END old_dv, new_dv, CASE WHEN status = 'changed' THEN dv_changed END dv_changed FROM x""",
+    "ingested_question_diff": f"""{RISK_DIFF} SELECT pair_id, status, n_ord, o_ord, similarity, text_changed, number_changed, dv_changed, cf_changed, explanation_changed FROM d""",
+    "ingest_rules": f"""WITH {TURNS}, r AS (
+  SELECT pair_id, side, 'dv' kind, turn, row_num, CASE role WHEN 'user' THEN 'List' ELSE 'WholeNumber' END "type", 'Between' op,
+    CASE WHEN role = 'assistant' THEN '1' WHEN side = 'prev' THEN '"Yes,No,' || turn || '"' ELSE '"' || turn || ', No,Yes"' END v1,
+    CASE role WHEN 'assistant' THEN length(text)::VARCHAR ELSE '' END v2 FROM t WHERE role IN ('user', 'assistant')
+  UNION ALL
+  SELECT pair_id, side, 'cf', turn, row_num, 'Expression', 'Equal', '=LEN(C' || row_num || ')>800', NULL FROM t WHERE role = 'assistant' AND length(text) > 800
+)
+SELECT pair_id, side, 'Risk Level Questions' AS sheet, kind, (row_number() OVER (PARTITION BY pair_id, side, kind ORDER BY turn) - 1)::INT AS rule_ord, 0 AS range_ord,
+  row_num r1, 4 AS c1, row_num r2, 4 AS c2, "type", op, v1, v2 FROM r""",
     "cell_diff_value": _cell_report(False),
     "cell_diff_full": _cell_report(True),
     "cell_diff_summary": f"""WITH x AS ({_cell_report(True)}) SELECT pair_id, status, count(*) AS cells FROM x GROUP BY pair_id, status""",

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revdiff.functions.address import col_letters
 from revdiff.sources.session import cut_lineage, task_slots
 
 # Names of rule types and operators in the file format, and in the tables.
@@ -221,11 +222,36 @@ _PARTS = {
 }
 
 
-def workbook_files(cells: DataFrame) -> DataFrame:
-    """One-sheet workbooks ``(path, content)`` from cells, one per (pair, side, sheet).
+def _escaped(c):
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(raw), F.lit(safe))
+    return c
+
+
+def _rule_xml(rules: DataFrame) -> DataFrame:
+    """``pair_id, side, sheet, rules``: the rules of each sheet in order, as the XML behind its cells."""
+    place = F.concat(col_letters(F.col("c1")), F.col("r1").cast("string"), F.lit(":"), col_letters(F.col("c2")), F.col("r2").cast("string"))
+    one = rules.groupBy("pair_id", "side", "sheet", "kind", "rule_ord", "type", "op", "v1", "v2").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range_ord", place.alias("ref")))), lambda r: r["ref"]), " ").alias("refs")
+    )
+    named = lambda words, c: F.create_map(*[F.lit(x) for pair in words.items() for x in reversed(pair)])[F.col(c)]
+    given = lambda tag, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"<{tag}>"), _escaped(F.col(c)), F.lit(f"</{tag}>"))).otherwise("")
+    kind = lambda types, ops: F.concat(F.lit('type="'), named(types, "type"), F.lit('"'), F.coalesce(F.concat(F.lit(' operator="'), named(ops, "op"), F.lit('"')), F.lit("")))
+    dv = F.concat(F.lit("<dataValidation "), kind(DV_TYPES, DV_OPERATORS), F.lit(' sqref="'), "refs", F.lit('">'), given("formula1", "v1"), given("formula2", "v2"), F.lit("</dataValidation>"))
+    cf = F.concat(
+        F.lit('<conditionalFormatting sqref="'), "refs", F.lit('"><cfRule '), kind(CF_TYPES, CF_OPERATORS), F.lit(">"), given("formula", "v1"), given("formula", "v2"),
+        F.lit("</cfRule></conditionalFormatting>"),
+    )
+    both = one.select("pair_id", "side", "sheet", "kind", "rule_ord", F.when(F.col("kind") == "dv", dv).otherwise(cf).alias("xml"))
+    listed = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("rule_ord", "xml")))), lambda r: r["xml"]), "")
+    return both.groupBy("pair_id", "side", "sheet").agg(F.concat(listed("cf"), F.lit("<dataValidations>"), listed("dv"), F.lit("</dataValidations>")).alias("rules"))
+
+
+def workbook_files(cells: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """One-sheet workbooks ``(path, content)`` from cells and their rules, one per (pair, side, sheet).
 
     The sheet XML is put together by Spark; a task only zips it. One workbook is one row, as
-    large as its file; sheets end at 2**20 rows.
+    large as its file; sheets end at 2**20 rows. Rules of sheets without cells are left out.
     """
     text = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     cell = F.concat(
@@ -240,7 +266,9 @@ def workbook_files(cells: DataFrame) -> DataFrame:
     )
     sheets = row.select("pair_id", "side", "sheet", "row_num", body.alias("xml")).groupBy("pair_id", "side", "sheet").agg(
         F.array_sort(F.collect_list(F.struct("row_num", "xml"))).alias("rows")
-    ).select("pair_id", "side", "sheet", F.array_join(F.transform("rows", lambda r: r["xml"]), "").alias("xml"))
+    ).select("pair_id", "side", "sheet", F.concat(F.lit("<sheetData>"), F.array_join(F.transform("rows", lambda r: r["xml"]), ""), F.lit("</sheetData>")).alias("xml"))
+    if rules is not None:
+        sheets = sheets.join(_rule_xml(rules), ["pair_id", "side", "sheet"], "left").withColumn("xml", F.concat("xml", F.coalesce("rules", F.lit("")))).drop("rules")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,7 +283,7 @@ def workbook_files(cells: DataFrame) -> DataFrame:
                         "xl/workbook.xml",
                         f'<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets><sheet name="{title}" sheetId="1" r:id="r1"/></sheets></workbook>',
                     )
-                    book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_MAIN}"><sheetData>{one["xml"]}</sheetData></worksheet>')
+                    book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_MAIN}">{one["xml"]}</worksheet>')
                 out.append({"path": f"{one['pair_id']}.{one['side']}.xlsx", "content": buffer.getvalue()})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
 
