@@ -11,13 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from revdiff.sources.session import cut_lineage
 
-__all__ = ["arrow_rows", "byte_slices", "cut_lineage", "read", "text_bytes", "unused"]
+__all__ = ["arrow_rows", "byte_slices", "cut_lineage", "read", "stored", "text_bytes", "unused"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``cut_lineage`` into at most two files for each core: many small files cost more than they hold."""
+    return cut_lineage(df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Arrow batches of at most ``rows`` rows while stages with wide rows are written: the usual

@@ -8,7 +8,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revdiff.llm.common import cut_lineage
+from revdiff.llm.common import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,13 +21,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.select("a", "b").dropna()
     both = pairs.union(pairs.select("b", "a"))
-    label = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    label = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
     for turn in itertools.count():
         low = both.join(label, both.b == label.node).groupBy(both.a.alias("node")).agg(F.min("comp").alias("m"))
-        label = cut_lineage(label.join(low, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp")))
+        label = stored(label.join(low, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp")))
         if turn > 1:  # only chains need more than two rounds; there labels jump
             next_ = label.select(F.col("node").alias("comp"), F.col("comp").alias("jump"))
-            label = cut_lineage(label.join(next_, "comp").select("node", "old", F.least("comp", "jump").alias("comp")))
+            label = stored(label.join(next_, "comp").select("node", "old", F.least("comp", "jump").alias("comp")))
         changed = label.filter("comp <> old").limit(1).count()
         label = label.drop("old")
         if not changed:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revdiff.llm import words
-from revdiff.llm.common import arrow_rows, byte_slices, cut_lineage, unused
+from revdiff.llm.common import arrow_rows, byte_slices, cut_lineage, stored, unused
 from revdiff.llm.graph import components
 
 SHINGLE = 5
@@ -218,7 +218,7 @@ def _own_tokens(checked: DataFrame, keys: DataFrame, heads: DataFrame, shingles:
     A node's shingles are those of the leader that it was compared with, and its rest. So with all
     leaders (and nodes that were compared with none) among the heads, only rests and heads are looked through."""
     least = F.min_by(F.struct("a", "rest", "rest_weights"), F.size("rest")).alias("m")
-    own = cut_lineage(checked.join(keys.select(F.col("key").alias("b")), "b").groupBy("b").agg(least).select("b", "m.*"))
+    own = stored(checked.join(keys.select(F.col("key").alias("b")), "b").groupBy("b").agg(least).select("b", "m.*"))
 
     def elements(batches):
         for batch in batches:
@@ -230,7 +230,7 @@ def _own_tokens(checked: DataFrame, keys: DataFrame, heads: DataFrame, shingles:
     rests = own.select(F.col("b").alias("key"), F.inline(F.arrays_zip("rest", "rest_weights")).alias("x", "w"))
     every = rests.select("x", F.lit(1).alias("n"), F.lit(0).alias("h")).union(leaders.mapInArrow(elements, "x long").select("x", F.lit(0), F.lit(1)))
     free = every.groupBy("x").agg(F.sum("n").alias("n"), F.max("h").alias("h")).filter("h = 0 AND n > 0").drop("h")
-    return cut_lineage(rests.join(free, "x"))
+    return stored(rests.join(free, "x"))
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -281,7 +281,7 @@ def _cross_pairs(rows: DataFrame, tokens: DataFrame, shingles: DataFrame) -> Dat
     sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     most = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("most"))
     asking = rows.join(most, "bucket").filter("comp <> most").select("key").distinct()
-    first = cut_lineage(_prefixes(rows.select("key", "comp", "mass").distinct(), tokens, shingles))
+    first = stored(_prefixes(rows.select("key", "comp", "mass").distinct(), tokens, shingles))
     mass_class = lambda c: F.floor(F.log(c) * MASS_CLASSES)
     lowest, highest = F.ceil(F.col("mass") * 4 / 5), F.least("cap", F.floor(F.col("mass") * 5 / 4))
     asked = first.join(asking, "key").filter(lowest <= highest)
@@ -298,9 +298,12 @@ def _leaders(rows: DataFrame, by: str) -> DataFrame:
     return rows.groupBy("bucket").agg(first).select("bucket", F.col("m.key").alias("leader"), F.col("m.comp").alias("led"), F.col(f"m.{by}").alias("top"))
 
 
-def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
-    known = rows.drop("comp").join(label, F.col("key") == F.col("node"), "left")
-    return known.withColumn("comp", F.coalesce("comp", "key")).drop("node")
+def _joined_up(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` where components that ``links(comp, up)`` connects go by the name of one of them, as far as
+    two steps up lead. What is connected may keep several names: they only save comparisons."""
+    up = links.groupBy("comp").agg(F.min("up").alias("up"))
+    top = up.alias("x").join(up.alias("y"), F.col("x.up") == F.col("y.comp"), "left").select("x.comp", F.coalesce("y.up", "x.up").alias("top"))
+    return rows.join(top, "comp", "left").withColumn("comp", F.coalesce("top", "comp")).drop("top")
 
 
 def _components(members: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
@@ -308,7 +311,7 @@ def _components(members: DataFrame, shingles: DataFrame, threshold: float) -> Da
 
     In each bucket the most central node leads: the one whose buckets hold most rows, as a rule
     the text that others were made from. Each node is compared with the most central of its
-    leaders. Nodes whose unshared shingles rule out any further link leave, and buckets of one
+    leaders, and linked ones go by one name. Nodes whose unshared shingles rule out any further link leave, and buckets of one
     component. Then in each bucket the node with the least share of unshared shingles leads (the
     text that others were made from has none), and all others are compared with it. What may
     still link two components is found by rare shingles (``_cross_pairs``) and compared pair by pair."""
@@ -317,32 +320,32 @@ def _components(members: DataFrame, shingles: DataFrame, threshold: float) -> Da
     pairs = met.groupBy(F.col("key").alias("b")).agg(F.max(F.struct("top", "leader")).alias("m")).select(F.col("m.leader").alias("a"), "b")
     spark = members.sparkSession
     with arrow_rows(spark, PAIR_ROWS):
-        checked = cut_lineage(_compared(pairs, shingles, threshold))
-    label = components(checked.filter("similar"))
-    rows = cut_lineage(_open(_labelled(rows, label)))
+        checked = stored(_compared(pairs, shingles, threshold))
+    links = checked.filter("similar").select("a", "b")
+    rows = stored(_open(_joined_up(rows, links.select(F.col("b").alias("comp"), F.col("a").alias("up")))))
     if rows.isEmpty():
-        return label
+        return components(links)
     tokens = _own_tokens(checked, rows.select("key").distinct(), rows.select("key").limit(0), shingles)
     alone = tokens.filter("n = 1").groupBy("key").agg(F.sum("w").alias("alone"))
     shared = F.col("mass") - F.coalesce("alone", F.lit(0))
-    rows = cut_lineage(_open(rows.join(alone, "key", "left").withColumn("shared", shared).withColumn("part", shared / F.col("mass")).drop("alone")))
+    rows = stored(_open(rows.join(alone, "key", "left").withColumn("shared", shared).withColumn("part", shared / F.col("mass")).drop("alone")))
     if rows.isEmpty():
-        return label
-    met = rows.join(_leaders(rows, "part"), "bucket").filter("key <> leader")
-    pairs = met.filter("comp <> led").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    more = _compared(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), shingles, threshold)
+        return components(links)
+    met = rows.join(_leaders(rows, "part"), "bucket").filter("key <> leader AND comp <> led").select(F.col("leader").alias("a"), F.col("key").alias("b"), "comp", "led").distinct()
+    met = stored(met.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
     with arrow_rows(spark, PAIR_ROWS):
-        checked = checked.union(cut_lineage(more))
-    label = components(checked.filter("similar"))
-    rows = cut_lineage(_open(_labelled(rows.drop("part"), label)))
+        more = stored(_compared(met.select("a", "b"), shingles, threshold))
+    checked, new = checked.union(more), more.filter("similar").select("a", "b")
+    links = links.union(new)
+    rows = stored(_open(_joined_up(rows.drop("part"), met.join(new, ["a", "b"]).select("comp", F.col("led").alias("up")))))
     if rows.isEmpty():
-        return label
+        return components(links)
     with arrow_rows(spark, PAIR_ROWS):
-        tokens = _own_tokens(checked, rows.select("key").distinct(), met.select(F.col("leader").alias("key")).distinct(), shingles)
-        last = cut_lineage(_cross_pairs(rows, tokens, shingles))
+        tokens = _own_tokens(checked, rows.select("key").distinct(), met.select(F.col("a").alias("key")).distinct(), shingles)
+        last = stored(_cross_pairs(rows, tokens, shingles))
         flipped = checked.select("a", "b").union(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        more = cut_lineage(_compared(last.join(flipped, ["a", "b"], "left_anti"), shingles, threshold).filter("similar").select("a", "b"))
-    return label if more.isEmpty() else components(checked.filter("similar").select("a", "b").union(more))
+        more = stored(_compared(last.join(flipped, ["a", "b"], "left_anti"), shingles, threshold).filter("similar").select("a", "b"))
+    return components(links.union(more))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -365,23 +368,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     with arrow_rows(spark, TEXT_ROWS):
         prints = cut_lineage(fingerprints(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     keeper = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "h1", "h2")).alias("keeper")
-    nodes = cut_lineage(prints.filter("key IS NOT NULL").groupBy("key").agg(keeper, F.first("bands").alias("bands")))
+    nodes = stored(prints.filter("key IS NOT NULL").groupBy("key").agg(keeper, F.first("bands").alias("bands")))
     buckets = nodes.select("key", F.explode("bands").alias("bucket"))
     crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    crowded = cut_lineage(buckets.join(crowded, "bucket"))
+    crowded = stored(buckets.join(crowded, "bucket"))
     central = crowded.groupBy("key").agg(F.sum("n").alias("central"))
-    needed = cut_lineage(central.join(nodes.select("key", "keeper"), "key").select("key", "keeper.id", "keeper.h1", "keeper.h2", "central"))
+    needed = stored(central.join(nodes.select("key", "keeper"), "key").select("key", "keeper.id", "keeper.h1", "keeper.h2", "central"))
     near = F.broadcast(needed) if needed.count() <= SMALL else needed
     texts = docs.select(docs[id_col].alias("own_id"), docs[text_col].alias("text")).selectExpr("own_id", "text", "xxhash64(text) t1", "hash(text) t2")
     texts = texts.join(near, (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")) & F.col("own_id").eqNullSafe(F.col("id")))
     with arrow_rows(spark, TEXT_ROWS):
         shingles = cut_lineage(_shingle_rows(texts.select("key", "text").dropDuplicates(["key"])))
     sized = needed.select("key", "central").join(shingles.select("key", "mass"), "key")
-    members = cut_lineage(crowded.select("bucket", "key").join(sized, "key"))
+    members = stored(crowded.select("bucket", "key").join(sized, "key"))
     label = _components(members, shingles, threshold)
 
     comp = nodes.select("key", "keeper").join(label, F.col("key") == F.col("node"), "left").select("key", "keeper", F.coalesce("comp", "key").alias("comp"))
-    comp = cut_lineage(comp)
+    comp = stored(comp)
     best = comp.groupBy("comp").agg(F.min("keeper").alias("best"))
     of_key = comp.select("key", "comp").join(best, "comp").select("key", F.col("best.id").alias("class_id"), F.col("best.row").alias("kept_row"), F.lit(True).alias("in_class"))
     return prints.join(of_key, "key", "left").select(
