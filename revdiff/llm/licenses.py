@@ -27,7 +27,7 @@ NAMES = {
     "CC-BY-ND-4.0": ["cc by-nd 4.0", "creative commons attribution-noderivatives 4.0 international license", "cc-by-nd-4.0"],
     "CC-BY-NC-SA-4.0": ["cc by-nc-sa 4.0", "creative commons attribution-noncommercial-sharealike 4.0 international license", "cc-by-nc-sa-4.0"],
 }
-#: The current SPDX identifiers of the GNU licences, known to the Spark scan only.
+#: The current SPDX identifiers of the GNU licences, each a licence of its own.
 SPDX_NAMES = {f"{x}-only": [f"{x}-only".lower()] for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")} | {
     f"{x}-or-later": [f"{x}-or-later".lower(), f"{x}+".lower()] for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
 }
@@ -84,8 +84,9 @@ RULES = [
     *((name, [f"ref-{name}"]) for name in NAMES),
     ("Proprietary", ["all-rights"]),
 ]
-#: Every known sentence has one of these, so texts without them are not cut into sentences.
-HINT = "licen[cs]e|permission|redistribut|copyright|spdx|software|warrant|in no event|all rights|source code form|neither the name"
+#: Texts without one of these are not cut into sentences: each known sentence has one. Normalising makes words of a
+#: text only where "under" stands ("licensed under"), and never joins two, so the text has it as well.
+HINT = "licen[cs]e|permission|redistribut|copyright|spdx|software|warrant|event|rights|source|neither|under"
 # A sentence ends at punctuation before white space, at an empty line, and at a line end unless the next line goes on in lower case
 # or both lines are in capitals, or the line ends in a word that ends no sentence.
 # Comment marks at the start of lines go first; \x1e marks the ends.
@@ -94,7 +95,15 @@ CUTS = [
     (r"(?i)\b(the|an?|of|or|and|to|in|this|that|by|for|with)[ \t]*\n[ \t]*", r"\1 "),
     (r"([A-Z,;])[ \t]*\n[ \t]*([A-Z][A-Z])", r"\1 \2"), (r"(;)[ \t]*\n", "\\1\x1e"), (r"([.!?:])\s+", "\\1\x1e"), (r"\n([ \t]*[^a-z(\"\s])", "\x1e\\1"),
 ]
-# Every identifier of an SPDX expression becomes a sentence, in the Spark scan only: \\G goes on where the one before ended.
+# Every identifier of an SPDX expression becomes a sentence. In Spark \\G goes on where the one before ended; DuckDB has no \\G,
+# so there \x1d marks that place, for up to ``CHAIN`` more identifiers.
+CHAIN = 16
+_SPDX = "[sS][pP][dD][xX]-[lL][iI][cC][eE][nN][sS][eE]-[iI][dD][eE][nN][tT][iI][fF][iI][eE][rR]:[ \\t(]*"
+_AFTER = "\\x1d(?:AND|OR|WITH)[ \\t(]+"
+DUCK_EXPRESSION = [
+    (before + "([A-Za-z0-9.+-]+)" + end, "SPDX-License-Identifier \\1\x1e" + mark)
+    for before in [_SPDX, *[_AFTER] * CHAIN] for end, mark in (("[ \\t)]+", "\x1d"), ("([^ \\t)A-Za-z0-9.+-]|$)", "\\2"))
+] + [("\\x1d", "")]
 EXPRESSION = (
     r"(?:[sS][pP][dD][xX]-[lL][iI][cC][eE][nN][sS][eE]-[iI][dD][eE][nN][tT][iI][fF][iI][eE][rR]:|\G(?<=[ \t)])(?:AND|OR|WITH)(?=[ \t(]))[ \t(]*([A-Za-z0-9.+-]+)[ \t)]*",
     "SPDX-License-Identifier \\1\x1e",
@@ -148,8 +157,8 @@ def _replaced(value: str, steps: list[tuple[str, str]], duck: bool) -> str:
 def _steps(duck: bool, text_col: str) -> tuple[str, str, dict[str, str]]:
     """SQL for Spark or DuckDB: the marks of a text's known sentences (``ids``), the marks joined
     and rewritten by the rules (``m``), and the results from both."""
-    names, cuts = (NAMES, CUTS) if duck else (NAMES | SPDX_NAMES, [EXPRESSION, *CUTS])
-    rules = RULES if duck else [*RULES, *((name, [f"ref-{name}"]) for name in SPDX_NAMES)]
+    names, cuts = NAMES | SPDX_NAMES, [*(DUCK_EXPRESSION if duck else [EXPRESSION]), *CUTS]
+    rules = [*RULES, *((name, [f"ref-{name}"]) for name in SPDX_NAMES)]
     sentence, cut = _replaced("lower(s)", NORMAL, duck), _replaced(f"coalesce({text_col}, '')", cuts, duck)
     pairs = known_sentences(names).items()
     if duck:
@@ -181,7 +190,7 @@ def _steps(duck: bool, text_col: str) -> tuple[str, str, dict[str, str]]:
 
 
 def scan_sql(table: str, id_col: str = "doc_id", text_col: str = "text") -> str:
-    """The scan in DuckDB SQL; of an SPDX expression it reads the first identifier, and not ``SPDX_NAMES``."""
+    """The scan in DuckDB SQL, for SPDX expressions of up to ``CHAIN`` + 1 identifiers."""
     ids, matched, results = _steps(True, text_col)
     listed = ", ".join(f"{v} {k}" for k, v in results.items())
     return f"SELECT {id_col}, {listed} FROM (SELECT *, {matched} m FROM (SELECT {id_col}, {ids} ids FROM {table}) a) b"

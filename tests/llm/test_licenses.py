@@ -16,7 +16,31 @@ def wrapped(text, mark="", width=60):
 
 
 def test_every_known_sentence_has_a_hint():
-    assert all(re.search(licenses.HINT, s) for s in licenses.known_sentences())
+    assert all(re.search(licenses.HINT, s) for s in licenses.known_sentences(licenses.NAMES | licenses.SPDX_NAMES))
+
+
+def test_ways_of_licensing_are_no_matter(spark):
+    texts = ["This text is released under CC BY 4.0.", "Published\nunder the GPL 3.", "Released under MIT.", "provided under  the CC0."]
+    got = licenses.scan(cases.documents(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == ["CC-BY-4.0", "GPL-3.0", "MIT", "CC0-1.0"]
+
+
+def test_sql_reads_the_same(spark):
+    import duckdb
+
+    texts = [
+        "// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;", "# spdx-license-identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) AND (LGPL-2.1-only OR BSD-3-Clause)",
+        "SPDX-License-Identifier: ISC\nOR this\nOR MIT", "OR MIT AND then some. SPDX-License-Identifier:AGPL-3.0-only", "SPDX-License-Identifier: ((MIT AND Foo-1.0)OR(MPL-2.0))",
+        "Provided under CC0. SPDX-License-Identifier: " + " OR ".join(["MIT", "ISC", "MPL-2.0"] * 5), "", None, licenses.SENTENCES["mit-grant"],
+    ]
+    rows = list(enumerate(texts))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.execute(licenses.scan_sql("documents") + " ORDER BY doc_id")
+    names = [d[0] for d in want.description]
+    got = licenses.scan(cases.documents(spark, rows)).select(*names).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want.fetchall()
 
 
 def test_notices(spark):
