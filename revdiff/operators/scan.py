@@ -52,25 +52,45 @@ def range_grid(args: DataFrame, cells: DataFrame) -> DataFrame:
             col_index(address_col(a)).alias("ca"), col_index(address_col(b)).alias("cb"),
         )
     )
+    rectangles = disjoint_rectangles(corners.selectExpr(*SHEET, "least(ra, rb) r1", "least(ca, cb) c1", "greatest(ra, rb) r2", "greatest(ca, cb) c2"))
     grid = (
-        corners.select(*SHEET, "ca", "cb", F.explode(F.sequence(F.least("ra", "rb"), F.greatest("ra", "rb"))).alias("row_num"))
-        .select(*SHEET, "row_num", F.explode(F.sequence(F.least("ca", "cb"), F.greatest("ca", "cb"))).alias("col_idx"))
-        .distinct()
+        rectangles.select(*SHEET, "c1", "c2", F.explode(F.sequence("r1", "r2")).alias("row_num"))
+        .select(*SHEET, "row_num", F.explode(F.sequence("c1", "c2")).alias("col_idx"))
     )
     return grid.join(cells, CELL, "left")
 
 
+def disjoint_rectangles(rectangles: DataFrame) -> DataFrame:
+    """Rectangles ``r1, c1, r2, c2`` that cover the same addresses of each sheet, each address once.
+
+    A sweep over the rows at which a rectangle begins or ends: in the bands between them the
+    column ranges of the rectangles that span the band are joined where they touch. So addresses
+    need not be made distinct afterwards. A sheet's rectangles meet in one row, its addresses never.
+    """
+    sheets = rectangles.groupBy(*SHEET).agg(F.collect_set(F.struct("r1", "c1", "r2", "c2")).alias("all"))
+    bands = sheets.withColumn("cuts", F.expr("array_sort(array_distinct(concat(transform(all, x -> x.r1), transform(all, x -> x.r2 + 1))))")).select(
+        *SHEET, "all", F.expr("explode(transform(slice(cuts, 2, size(cuts)), (hi, i) -> struct(cuts[i] AS r1, hi - 1 AS r2)))").alias("band")
+    )
+    spans = bands.select(*SHEET, "band", F.expr(
+        "array_sort(transform(filter(all, x -> x.r1 <= band.r1 AND x.r2 >= band.r2), x -> struct(x.c1, x.c2)))"
+    ).alias("spans"))
+    joined = spans.select(*SHEET, "band", F.expr("""explode(aggregate(spans, slice(spans, 1, 0), (done, x) -> IF(
+        size(done) > 0 AND element_at(done, -1).c2 >= x.c1 - 1,
+        concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).c1 AS c1, greatest(element_at(done, -1).c2, x.c2) AS c2))),
+        concat(done, array(x)))))""").alias("span"))
+    return joined.select(*SHEET, "band.r1", "span.c1", "band.r2", "span.c2")
+
+
 def attach_rules(cells: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds ``dv`` and ``cf``: for each cell the first rule of each kind that covers it.
 
     ``rules(pair_id, side, sheet, kind, rule_ord, range_ord, r1, c1, r2, c2, type, op, v1, v2)``;
     first means lowest (rule_ord, range_ord).
     """
-    # only addresses and ranks take part in the range join; text moves once, in the join back
+    # only addresses and ranks take part in the range join, on both axes at once; text moves once, in the join back
     rank = (F.col("rule_ord").cast("bigint") * _RANGES + F.col("range_ord")).alias("rank")
-    inside = F.col("a.col_idx").between(F.col("s.c1"), F.col("s.c2"))
     where = rules.select(*SHEET, "kind", rank, "r1", "c1", "r2", "c2")
-    covered = covering_join(cells.select(*CELL), where, SHEET, "row_num", "r1", "r2", inside)
+    covered = covering_join(cells.select(*CELL), where, SHEET, ["row_num", "col_idx"], ["r1", "c1"], ["r2", "c2"])
     first = covered.groupBy(*CELL).agg(
         *[F.min(F.when(F.col("kind") == kind, F.col("rank"))).alias(f"{kind}_rank") for kind in ("dv", "cf")]
     )

@@ -564,9 +564,10 @@ def write_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Summary and diff written as sheets of text, and read back."""
     d = cut_lineage(_risk_diff(spark, sf).drop("prev", "curr"))
     path = f"{scratch_dir(spark).rstrip('/')}/sheets-{uuid.uuid4().hex}"
-    write_sheets({"summary": report.diff_summary(d), "questions": d.select("pair_id", "status", "n_ord", "o_ord")}, path)
-    back = spark.read.parquet(path)
-    return back.select("sheet", F.array_join("header", "|").alias("header"), F.array_join("values", "|").alias("row"))
+    tables = {"summary": report.diff_summary(d), "questions": d.select("pair_id", "status", "n_ord", "o_ord")}
+    write_sheets(tables, {"summary": ["pair_id"], "questions": ["pair_id", "status", "n_ord", "o_ord"]}, path)
+    back = spark.read.parquet(path).orderBy("sheet", "row_key")
+    return back.select("sheet", "row_key", F.array_join("header", "|").alias("header"), F.array_join("values", "|").alias("row"))
 
 
 def ingest_cells(spark: SparkSession, sf: str) -> DataFrame:
@@ -662,6 +663,30 @@ def answer_cell_diff(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def nested_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The cell lists of every question, taken apart: their order and place."""
+    questions, cells = (cut_lineage(t) for t in corpus.general_questions(spark, sf))
+    nested = report.nest_cells(questions, cells)
+    key = ["pair_id", "side", "ord"]
+    answers = nested.select(*key, F.lit("answer").alias("kind"), F.posexplode("answer_cells").alias("at", "c"))
+    answers = answers.select(*key, "kind", "at", "c.rowOffset", F.col("c.column").alias("col"), F.col("c.text").alias("cell_text"))
+    told = nested.select(*key, F.lit("explanation").alias("kind"), F.posexplode("explanation_cells").alias("at", "c"))
+    told = told.select(*key, "kind", "at", "c.rowOffset", F.lit("G").alias("col"), F.col("c.text").alias("cell_text"))
+    return answers.unionByName(told).select(*key, "kind", (F.col("at") + 1).cast("long").alias("position"), F.col("rowOffset").alias("row_offset"), "col", "cell_text")
+
+
+def cell_change_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The changed answer cells of every matched question, in the order of its report entry."""
+    prev, curr, alignment, changes = _general(spark, sf)
+    changes = {k: cut_lineage(c) for k, c in changes.items()}
+    d = diff.diff_records(prev, curr, alignment, diff.GENERAL_FLAGS, diff.cells_changed_flags(changes["answer"], changes["explanation"]))
+    listed = report.nest_changes(d, changes["answer"], changes["explanation"]).select("pair_id", "n_ord", "o_ord", F.posexplode("answer_cell_changes").alias("at", "c"))
+    return listed.select(
+        "pair_id", "n_ord", "o_ord", (F.col("at") + 1).cast("long").alias("position"), F.col("c.rowOffset").alias("row_offset"), F.col("c.column").alias("col"),
+        F.col("c.oldText").alias("old_text"), F.col("c.newText").alias("new_text"), F.col("c.textChanged").alias("text_changed"),
+    )
+
+
 def explanation_cell_diff(spark: SparkSession, sf: str) -> DataFrame:
     changes = _general(spark, sf)[3]["explanation"]
     old, new = F.col("prev.text"), F.col("curr.text")
@@ -708,7 +733,7 @@ QUERIES = {
         similarity_band, ambiguous_matches, change_badges, bucket_ordinal, sheet_order, sheet_order_breaks,
         search_rows, word_diff, word_diff_counts, report_payload, report_document, cell_report_document, write_tables, ingest_cells, ingest_rules, ingested_question_diff, ingest_errors,
         cell_diff_value, cell_diff_full, cell_diff_summary, cell_range_diff,
-        answer_cell_diff, explanation_cell_diff, cells_changed_flag, general_question_diff,
+        answer_cell_diff, explanation_cell_diff, nested_cells, cell_change_order, cells_changed_flag, general_question_diff,
         general_report_payload,
     )
 }

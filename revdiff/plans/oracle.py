@@ -535,8 +535,8 @@ SELECT "view", pair_id, row_num, position, false AS chapter_break, position = 1
     "write_tables": f"""{RISK_DIFF}, s AS (
   SELECT pair_id, count(*) FILTER (status = 'added') a, count(*) FILTER (status = 'removed') r, count(*) FILTER (status = 'changed') c,
     count(*) FILTER (status = 'unchanged') u, count(*) FILTER (status <> 'added') n FROM d GROUP BY pair_id)
-SELECT 'summary' AS sheet, 'pair_id|added|removed|changed|unchanged|compared' AS header, pair_id || '|' || a || '|' || r || '|' || c || '|' || u || '|' || n AS "row" FROM s
-UNION ALL SELECT 'questions', 'pair_id|status|n_ord|o_ord', pair_id || '|' || status || '|' || coalesce(n_ord::VARCHAR, '') || '|' || coalesce(o_ord::VARCHAR, '') FROM d""",
+SELECT 'summary' AS sheet, row_number() OVER (ORDER BY pair_id) AS row_key, 'pair_id|added|removed|changed|unchanged|compared' AS header, pair_id || '|' || a || '|' || r || '|' || c || '|' || u || '|' || n AS "row" FROM s
+UNION ALL SELECT 'questions', row_number() OVER (ORDER BY pair_id, status, n_ord NULLS FIRST, o_ord NULLS FIRST), 'pair_id|status|n_ord|o_ord', pair_id || '|' || status || '|' || coalesce(n_ord::VARCHAR, '') || '|' || coalesce(o_ord::VARCHAR, '') FROM d""",
     "ingest_cells": f"""WITH {RISK}, x AS (
   SELECT r.pair_id, r.side, r.row_num, c.col, c.col_idx, c.val FROM r
   CROSS JOIN LATERAL (VALUES ('B', 2, r.number), ('C', 3, r.text), ('D', 4, CASE WHEN r.row_num < 12 THEN '' END), ('E', 5, CASE WHEN r.row_num < 12 THEN r.explanation END)) c(col, col_idx, val)
@@ -560,6 +560,10 @@ SELECT pair_id, side, 'Risk Level Questions' AS sheet, kind, (row_number() OVER
     "cell_diff_summary": f"""WITH x AS ({_cell_report(True)}) SELECT pair_id, status, count(*) AS cells FROM x GROUP BY pair_id, status""",
     "answer_cell_diff": f"""{GENERAL_DIFF} SELECT pair_id, n_ord, o_ord, col || '[' || row_offset || ']' AS cell, old_text, new_text, true AS text_changed,
   CASE WHEN old_text IS NULL THEN 'new' WHEN new_text IS NULL THEN 'gone' END AS marker FROM ch WHERE kind = 'answer'""",
+    "nested_cells": f"""WITH {GENERAL} SELECT pair_id, side, ord, kind,
+  row_number() OVER (PARTITION BY pair_id, side, ord, kind ORDER BY row_offset, col_ord) AS position, row_offset, col, cell_text FROM qc""",
+    "cell_change_order": f"""{GENERAL_DIFF} SELECT pair_id, n_ord, o_ord, row_number() OVER (PARTITION BY pair_id, n_ord, o_ord ORDER BY row_offset, col) AS position,
+  row_offset, col, old_text, new_text, true AS text_changed FROM ch WHERE kind = 'answer'""",
     "explanation_cell_diff": f"""{GENERAL_DIFF} SELECT pair_id, n_ord, o_ord, 'G[' || row_offset || ']' AS cell, old_text, new_text, true AS text_changed,
   CASE WHEN old_text IS NULL THEN 'new' WHEN new_text IS NULL THEN 'gone' END AS marker FROM ch WHERE kind = 'explanation'""",
     "cells_changed_flag": f"{GENERAL_DIFF} SELECT * FROM fl",

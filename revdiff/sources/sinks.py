@@ -2,25 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from revdiff.sources.session import cut_lineage
 
-def as_sheets(tables: dict[str, DataFrame]) -> DataFrame:
-    """Tables as rows of text: ``sheet, header, values``; null becomes ''."""
+
+def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Adds ``row_key``, the position from 1 in ``order`` (ties in any order).
+
+    Rows are sorted by ranges, and numbered in each range by its first position: only the numbers of
+    rows per range meet, one for each task.
+    """
+    rows = cut_lineage(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_range", F.shiftright("_id", 33))
+    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    key = F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1
+    return rows.join(F.broadcast(before), "_range").withColumn("row_key", key).drop("_id", "_range", "_before")
+
+
+def as_sheets(tables: dict[str, DataFrame], order: dict[str, Sequence[str]]) -> DataFrame:
+    """Tables as rows of text: ``sheet, row_key, header, values``; null becomes ''. ``order`` names the
+    columns that each table is sorted by."""
 
     def one(name: str, df: DataFrame) -> DataFrame:
         texts = F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns])
-        return df.select(F.lit(name).alias("sheet"), F.array(*map(F.lit, df.columns)).alias("header"), texts.alias("values"))
+        header = F.array(*map(F.lit, df.columns)).alias("header")
+        return numbered(df, order[name]).select(F.lit(name).alias("sheet"), "row_key", header, texts.alias("values"))
 
     return reduce(DataFrame.unionByName, [one(n, d) for n, d in tables.items()])
 
 
-def write_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """Write text tables below ``path``, one ``sheet=<name>`` folder each; what was there is replaced."""
-    as_sheets(tables).write.mode("overwrite").partitionBy("sheet").parquet(path)
+def write_tables(tables: dict[str, DataFrame], order: dict[str, Sequence[str]], path: str) -> None:
+    """Write text tables below ``path``, one ``sheet=<name>`` folder each; what was there is replaced.
+
+    A sheet's files follow each other in ``row_key``, and so do the rows in a file."""
+    rows = as_sheets(tables, order).repartitionByRange("sheet", "row_key").sortWithinPartitions("sheet", "row_key")
+    rows.write.mode("overwrite").partitionBy("sheet").parquet(path)
 
 
 def write_payload(payload: DataFrame, path: str) -> None:

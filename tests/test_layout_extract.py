@@ -5,7 +5,7 @@ from revdiff.functions import col_index
 from revdiff.operators import layout
 from revdiff.operators.diff import cell_range_diff
 from revdiff.operators.extract import extract_control, extract_general, extract_risk, span_rows
-from revdiff.operators.scan import attach_rules, nonblank_rows, range_errors, range_grid
+from revdiff.operators.scan import attach_rules, disjoint_rectangles, nonblank_rows, range_errors, range_grid
 from revdiff.operators.spans import covering_join
 
 CELLS = "pair_id string, side string, sheet string, row_num int, col string, text string"
@@ -192,6 +192,34 @@ def test_covering_join_against_all_pairs(spark):
     assert got == {(k, at, i) for k, at in points for k2, i, lo, hi in spans if k == k2 and lo <= at <= hi}
 
 
+def test_covering_join_on_two_axes(spark):
+    import random
+
+    r = random.Random(4)
+    points = [(k, r.randrange(1, 400), r.randrange(1, 60)) for k in "ab" for _ in range(150)]
+    spans = []
+    for i in range(60):
+        r1, c1 = r.choice([1, r.randrange(1, 400)]), r.randrange(1, 60)
+        spans.append((r.choice("ab"), i, r1, r1 + r.choice([0, 3, 50, 1 << 20]), c1, c1 + r.choice([0, 0, 2, 30])))
+    p, s = spark.createDataFrame(points, "k string, y int, x int"), spark.createDataFrame(spans, "k string, id int, r1 int, r2 int, c1 int, c2 int")
+    got = [(f.k, f.y, f.x, f.id) for f in covering_join(p, s, ["k"], ["y", "x"], ["r1", "c1"], ["r2", "c2"]).collect()]
+    assert sorted(got) == sorted((k, y, x, i) for k, y, x in points for k2, i, r1, r2, c1, c2 in spans if k == k2 and r1 <= y <= r2 and c1 <= x <= c2)
+
+
+def test_disjoint_rectangles(spark):
+    import random
+
+    r, rows = random.Random(5), []
+    for sheet in "abcdef":
+        for _ in range(r.randint(1, 9)):
+            r1, c1 = r.randrange(1, 12), r.randrange(1, 12)
+            rows.append(("p", "prev", sheet, r1, c1, r1 + r.choice([0, 1, 4]), c1 + r.choice([0, 1, 6])))
+    made = disjoint_rectangles(spark.createDataFrame(rows + rows[:2], "pair_id string, side string, sheet string, r1 int, c1 int, r2 int, c2 int")).collect()
+    inside = lambda x: [(x[2], y, z) for y in range(x[3], x[5] + 1) for z in range(x[4], x[6] + 1)]
+    got = [a for m in made for a in inside(m)]
+    assert len(got) == len(set(got)) and set(got) == {a for x in rows for a in inside(x)}
+
+
 def test_faulty_pairs_are_kept_apart(spark):
     """A bad entry on one side takes its pair out of extraction and leaves others alone."""
     config = '{"sheetName": "S", "sectionRows": ["1:2-2"]}'

@@ -240,11 +240,17 @@ def test_word_diff_of_long_texts():
 
 def test_write_tables(spark, tmp_path):
     path = str(tmp_path / "book")
+    many = spark.range(3000).withColumn("id", F.col("id") * 7 % 3000).repartition(7)
+    tables = {"one": many, "two": spark.createDataFrame([("x", None)], "a string, b string"), "none": spark.range(0)}
     for _ in range(2):
-        write_tables({"one": spark.range(3), "two": spark.createDataFrame([("x", None)], "a string, b string")}, path)
+        write_tables(tables, {"one": ["id"], "two": ["a"], "none": ["id"]}, path)
     back = spark.read.parquet(path)
-    assert back.filter("sheet = 'one'").count() == 3
-    assert back.filter("sheet = 'two'").first()["values"] == ["x", ""]
+    one = back.filter("sheet = 'one'").orderBy("row_key").collect()
+    assert [r.row_key for r in one] == list(range(1, 3001)) and [r["values"][0] for r in one] == [str(i) for i in range(3000)]
+    assert back.filter("sheet = 'two'").first()["values"] == ["x", ""] and back.filter("sheet = 'none'").count() == 0
+    for f in (tmp_path / "book" / "sheet=one").glob("part-*"):
+        keys = [r.row_key for r in spark.read.parquet(str(f)).collect()]
+        assert keys == list(range(keys[0], keys[0] + len(keys)))  # a file is a stretch of the sheet
 
 
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
