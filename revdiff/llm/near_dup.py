@@ -35,6 +35,8 @@ BANDS, ROWS = 32, 5  # a pair at 0.8 shares no band with probability 3e-6
 SMALL = 200_000
 #: Texts whose shingles are in an Arrow batch, and texts that one task compares with a leader in a row.
 PAIR_ROWS, FOLLOWERS = 64, 256
+#: Times that leaders are chosen by unshared shingles.
+ROUNDS = 3
 #: Classes of mass for each factor of e.
 MASS_CLASSES = 16
 #: Texts in an Arrow batch.
@@ -211,12 +213,12 @@ def _compared(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFr
     return joined.mapInArrow(compare, "a binary, b binary, similar boolean, rest array<long>, rest_weights array<long>")
 
 
-def _own_tokens(checked: DataFrame, keys: DataFrame, heads: DataFrame, shingles: DataFrame) -> DataFrame:
-    """``key, x, w, n``: the shingles of each node in ``keys`` that no node in ``heads`` has, and how
-    many nodes in ``keys`` have them.
+def _own_tokens(checked: DataFrame, keys: DataFrame, shingles: DataFrame) -> DataFrame:
+    """``key, x, w, n``: the shingles of each node in ``keys`` that no leader has, and how many nodes in
+    ``keys`` have them.
 
-    A node's shingles are those of the leader that it was compared with, and its rest. So with all
-    leaders (and nodes that were compared with none) among the heads, only rests and heads are looked through."""
+    A node's shingles are those of the leader that it was compared with, and its rest. So only rests
+    and leaders (with nodes that were compared with none) are looked through."""
     least = F.min_by(F.struct("a", "rest", "rest_weights"), F.size("rest")).alias("m")
     own = stored(checked.join(keys.select(F.col("key").alias("b")), "b").groupBy("b").agg(least).select("b", "m.*"))
 
@@ -226,7 +228,7 @@ def _own_tokens(checked: DataFrame, keys: DataFrame, heads: DataFrame, shingles:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(e.as_buffer(), "<i8"))], names=["x"])
 
     first = keys.join(own.select(F.col("b").alias("key")), "key", "left_anti")
-    leaders = own.select(F.col("a").alias("key")).union(first).union(heads).distinct().join(shingles.select("key", "elements"), "key").select("elements")
+    leaders = own.select(F.col("a").alias("key")).union(first).distinct().join(shingles.select("key", "elements"), "key").select("elements")
     rests = own.select(F.col("b").alias("key"), F.inline(F.arrays_zip("rest", "rest_weights")).alias("x", "w"))
     every = rests.select("x", F.lit(1).alias("n"), F.lit(0).alias("h")).union(leaders.mapInArrow(elements, "x long").select("x", F.lit(0), F.lit(1)))
     free = every.groupBy("x").agg(F.sum("n").alias("n"), F.max("h").alias("h")).filter("h = 0 AND n > 0").drop("h")
@@ -278,9 +280,7 @@ def _cross_pairs(rows: DataFrame, tokens: DataFrame, shingles: DataFrame) -> Dat
     node outside it, so it is enough to look for partners of those: nodes with a first shingle in common
     (see ``_prefixes``) and a mass that allows the similarity. Masses are in the join's key, by
     class, so a shingle that a whole group shares brings only partners of the right mass."""
-    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    most = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("most"))
-    asking = rows.join(most, "bucket").filter("comp <> most").select("key").distinct()
+    asking = _outside(rows).select("key").distinct()
     first = stored(_prefixes(rows.select("key", "comp", "mass").distinct(), tokens, shingles))
     mass_class = lambda c: F.floor(F.log(c) * MASS_CLASSES)
     lowest, highest = F.ceil(F.col("mass") * 4 / 5), F.least("cap", F.floor(F.col("mass") * 5 / 4))
@@ -306,6 +306,18 @@ def _joined_up(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(top, "comp", "left").withColumn("comp", F.coalesce("top", "comp")).drop("top")
 
 
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    known = rows.drop("comp").join(label, F.col("key") == F.col("node"), "left")
+    return known.withColumn("comp", F.coalesce("comp", "key")).drop("node")
+
+
+def _outside(rows: DataFrame) -> DataFrame:
+    """The rows of each bucket that are not in the component that has most of its rows."""
+    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("most"))
+    return rows.join(most, "bucket").filter("comp <> most").drop("most")
+
+
 def _components(members: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
     """``node, comp``: the components of the whole graph of similar pairs; nodes without links may be missing.
 
@@ -318,30 +330,34 @@ def _components(members: DataFrame, shingles: DataFrame, threshold: float) -> Da
     rows = members.withColumn("comp", F.col("key")).withColumn("shared", F.col("mass"))
     met = rows.select("bucket", "key").join(_leaders(rows, "central"), "bucket").filter("key <> leader")
     pairs = met.groupBy(F.col("key").alias("b")).agg(F.max(F.struct("top", "leader")).alias("m")).select(F.col("m.leader").alias("a"), "b")
+    up = pairs.select(F.col("b").alias("a"), F.col("a").alias("top"))  # a leader that has one hands its nodes on: few lead
+    pairs = pairs.join(up, "a", "left").select(F.coalesce("top", "a").alias("a"), "b")
     spark = members.sparkSession
     with arrow_rows(spark, PAIR_ROWS):
-        checked = stored(_compared(pairs, shingles, threshold))
+        checked = first = stored(_compared(pairs, shingles, threshold))
     links = checked.filter("similar").select("a", "b")
     rows = stored(_open(_joined_up(rows, links.select(F.col("b").alias("comp"), F.col("a").alias("up")))))
     if rows.isEmpty():
         return components(links)
-    tokens = _own_tokens(checked, rows.select("key").distinct(), rows.select("key").limit(0), shingles)
+    tokens = _own_tokens(first, rows.select("key").distinct(), shingles)
     alone = tokens.filter("n = 1").groupBy("key").agg(F.sum("w").alias("alone"))
     shared = F.col("mass") - F.coalesce("alone", F.lit(0))
     rows = stored(_open(rows.join(alone, "key", "left").withColumn("shared", shared).withColumn("part", shared / F.col("mass")).drop("alone")))
     if rows.isEmpty():
         return components(links)
-    met = rows.join(_leaders(rows, "part"), "bucket").filter("key <> leader AND comp <> led").select(F.col("leader").alias("a"), F.col("key").alias("b"), "comp", "led").distinct()
-    met = stored(met.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-    with arrow_rows(spark, PAIR_ROWS):
-        more = stored(_compared(met.select("a", "b"), shingles, threshold))
-    checked, new = checked.union(more), more.filter("similar").select("a", "b")
-    links = links.union(new)
-    rows = stored(_open(_joined_up(rows.drop("part"), met.join(new, ["a", "b"]).select("comp", F.col("led").alias("up")))))
-    if rows.isEmpty():
-        return components(links)
+    for turn in range(ROUNDS):
+        pool = rows if turn == 0 else _outside(rows)
+        met = pool.join(_leaders(pool, "part"), "bucket").filter("key <> leader AND comp <> led")
+        met = met.select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        with arrow_rows(spark, PAIR_ROWS):
+            more = stored(_compared(met, shingles, threshold))
+        checked, links = checked.union(more), links.union(more.filter("similar").select("a", "b"))
+        label = components(links)
+        rows = stored(_open(_labelled(rows, label)))
+        if rows.isEmpty():
+            return label
     with arrow_rows(spark, PAIR_ROWS):
-        tokens = _own_tokens(checked, rows.select("key").distinct(), met.select(F.col("a").alias("key")).distinct(), shingles)
+        tokens = _own_tokens(first, rows.select("key").distinct(), shingles)
         last = stored(_cross_pairs(rows, tokens, shingles))
         flipped = checked.select("a", "b").union(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
         more = stored(_compared(last.join(flipped, ["a", "b"], "left_anti"), shingles, threshold).filter("similar").select("a", "b"))
