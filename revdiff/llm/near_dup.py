@@ -36,9 +36,9 @@ SMALL = 200_000
 #: Texts whose shingles are in an Arrow batch, and texts that one task compares with a leader in a row.
 PAIR_ROWS, FOLLOWERS = 64, 256
 #: Times that leaders are chosen by unshared shingles.
-ROUNDS = 3
+ROUNDS = 1
 #: Classes of mass for each factor of e.
-MASS_CLASSES = 16
+MASS_CLASSES = 4
 #: Texts in an Arrow batch.
 TEXT_ROWS = 1000
 _UNIT = 2.0**-53
