@@ -35,7 +35,7 @@ BANDS, ROWS = 32, 5  # a pair at 0.8 shares no band with probability 3e-6
 SMALL = 200_000
 #: Texts whose shingles are in an Arrow batch, and texts that one task compares with a leader in a row.
 PAIR_ROWS, FOLLOWERS = 64, 256
-#: Times that leaders are chosen by unshared shingles.
+#: Times that leaders are chosen by unshared shingles; from the second on outside each bucket's main component.
 ROUNDS = 1
 #: Classes of mass for each factor of e.
 MASS_CLASSES = 4
@@ -323,8 +323,8 @@ def _components(members: DataFrame, shingles: DataFrame, threshold: float) -> Da
 
     In each bucket the most central node leads: the one whose buckets hold most rows, as a rule
     the text that others were made from. Each node is compared with the most central of its
-    leaders, and linked ones go by one name. Nodes whose unshared shingles rule out any further link leave, and buckets of one
-    component. Then in each bucket the node with the least share of unshared shingles leads (the
+    leaders, or with that one's own leader, and linked ones go by one name. Nodes whose unshared
+    shingles rule out any further link leave, and buckets of one component. Then in each bucket the node with the least share of unshared shingles leads (the
     text that others were made from has none), and all others are compared with it. What may
     still link two components is found by rare shingles (``_cross_pairs``) and compared pair by pair."""
     rows = members.withColumn("comp", F.col("key")).withColumn("shared", F.col("mass"))
