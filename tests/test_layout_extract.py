@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revdiff.functions import col_index
-from revdiff.operators import layout
+from revdiff.operators import extract, layout
 from revdiff.operators.diff import cell_range_diff
 from revdiff.operators.extract import extract_control, extract_general, extract_risk, span_rows
 from revdiff.operators.scan import attach_rules, disjoint_rectangles, nonblank_rows, range_errors, range_grid
@@ -233,3 +233,36 @@ def test_faulty_pairs_are_kept_apart(spark):
     assert [r["pair_id"] for r in extract_risk(both, lay, specs).collect()] == ["good"]
     assert [(r["pair_id"], r["side"]) for r in layout.layout_errors(lay, specs).collect()] == [("bad", "curr")]
     assert sorted((r["pair_id"], r["side"]) for r in layout.missing_sheets(lay, both).collect()) == [("bad", "curr"), ("gone", "prev")]
+
+
+def _plans(monkeypatch, module):
+    """The plans of everything that ``module`` stores, in order."""
+    seen, store = [], module.cut_lineage
+
+    def noted(df):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df)
+
+    monkeypatch.setattr(module, "cut_lineage", noted)
+    return seen
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_extraction_broadcasts_no_table_that_grows(spark, tmp_path, monkeypatch):
+    """Stored rules, layouts and sections have small files, however many rows; none goes through the driver."""
+    seen = _plans(monkeypatch, extract)
+    sheet = cells(spark, [(1, "C", "Head"), (2, "C", "Part"), (3, "C", "1.1) one"), (4, "C", "1.2) two")], sheet="Control Level Questions")
+    laid = layouts(spark, "control", '{"chapterRows": [1], "sectionRows": ["2:3-4"]}')
+    rules = spark.sql("SELECT 'p' pair_id, 'prev' side, 'Control Level Questions' sheet, 'dv' kind, 0 rule_ord, 0 range_ord, 1 r1, 3 c1, 9 r2, 3 c2, 'List' type, 'Between' op, 'a' v1, '' v2")
+    stored = []
+    for name, df in (("sheet", sheet), ("laid", laid), ("rules", rules)):
+        df.write.parquet(str(tmp_path / name))
+        stored.append(spark.read.parquet(str(tmp_path / name)))
+    sheet, laid, rules = stored
+    ruled = attach_rules(sheet, rules)
+    found = extract_control(ruled, laid, layout.section_specs(laid))
+    assert [(r.text, r.chapter, r.section) for r in found.orderBy("ord").collect()] == [("one", "Head", "Part"), ("two", "Head", "Part")]
+    assert len(seen) == 2 and not any("Broadcast" in p for p in [*seen, _plan(ruled), _plan(found)])
