@@ -110,3 +110,30 @@ def test_display_values(spark):
     assert one(spark, fn.base_name(F.lit(r"C:\x\y.xlsx"))) == "y.xlsx"
     assert one(spark, fn.escape_html(F.lit('<a b="1">&'))) == "&lt;a b=&quot;1&quot;&gt;&amp;"
     assert one(spark, fn.cell_label(F.lit("D"), F.lit(2))) == "D[2]"
+
+
+def test_text_similarity_of_long_texts(spark, monkeypatch):
+    """Long texts take another way to the same number; the built-in ``levenshtein`` never sees them."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from revdiff.functions import text
+
+    r = random.Random(4)
+    old = ["".join(r.choice("ab cdé語😀") for _ in range(r.choice([1, 40, 300, 900]))) for _ in range(40)]
+    new = [a if r.random() < 0.1 else a[: len(a) // 2] + "x" + a[len(a) // 2 + r.choice([0, 3]) :][:: r.choice([1, -1])] for a in old]
+    df = spark.createDataFrame([*zip(old, new), (None, "a" * 400), ("a" * 400, None), (None, None)], "a string, b string")
+    got = [x[0] for x in df.select(text.text_similarity(F.col("a"), F.col("b"))).collect()]
+    with monkeypatch.context() as m:
+        m.setattr(text, "LONG_CELLS", 1 << 40)
+        want = [x[0] for x in df.select(text.text_similarity(F.col("a"), F.col("b"))).collect()]
+    assert got == want
+    assert "pair_distance" in df.select(text.text_similarity(F.col("a"), F.col("b")))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distance_tasks_follow_the_work(spark):
+    from revdiff.sources.session import distance_tasks, task_slots
+
+    assert distance_tasks(spark.createDataFrame([("a",), (None,)], "text string")) == task_slots(spark)
+    assert distance_tasks(spark.range(300).selectExpr("repeat('a', 100000) text")) == 151
