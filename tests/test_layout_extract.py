@@ -266,3 +266,18 @@ def test_extraction_broadcasts_no_table_that_grows(spark, tmp_path, monkeypatch)
     found = extract_control(ruled, laid, layout.section_specs(laid))
     assert [(r.text, r.chapter, r.section) for r in found.orderBy("ord").collect()] == [("one", "Head", "Part"), ("two", "Head", "Part")]
     assert len(seen) == 2 and not any("Broadcast" in p for p in [*seen, _plan(ruled), _plan(found)])
+
+
+def test_row_alignment_and_diff_broadcast_nothing(spark, tmp_path):
+    from revdiff.operators import diff
+    from revdiff.plans.corpus import row_alignment
+
+    from helpers import question
+
+    sides = []
+    for name, rows in (("prev", [("p", 1, "one"), ("p", 2, "two")]), ("curr", [("p", 1, "One"), ("p", 3, "three")])):
+        question(spark, rows).write.parquet(str(tmp_path / name))
+        sides.append(spark.read.parquet(str(tmp_path / name)))
+    d = diff.diff_records(*sides, row_alignment(*sides), diff.CONTROL_FLAGS)
+    assert sorted(r.status for r in d.collect()) == ["added", "removed", "unchanged"]
+    assert "Broadcast" not in _plan(d) and "Broadcast" not in _plan(diff.added_rows(sides[1], row_alignment(*sides)))
