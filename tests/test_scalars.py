@@ -137,3 +137,11 @@ def test_distance_tasks_follow_the_work(spark):
 
     assert distance_tasks(spark.createDataFrame([("a",), (None,)], "text string")) == task_slots(spark)
     assert distance_tasks(spark.range(300).selectExpr("repeat('a', 100000) text")) == 151
+
+
+def test_revisions_are_compared_in_tasks_sized_by_work(spark):
+    """Bytes would put all turns into one task, whatever their edit distances cost."""
+    from revdiff.plans.catalog import text_similarity
+
+    plan = text_similarity(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "Broadcast" not in plan
