@@ -6,6 +6,7 @@ import pytest
 from helpers import best_total, levenshtein, question, similarity
 
 from revdiff.functions.edits import edit_distances, similarity_matrix
+from revdiff.operators import align_large
 from revdiff.operators.align import UNIT, align, best_assignment, tie_cost
 from revdiff.operators.align_large import best_flow
 from revdiff.operators.diff import CONTROL_FLAGS, added_rows, diff_records, removed_rows
@@ -194,6 +195,22 @@ def test_large_path_gives_the_pairs_of_the_small_path(spark):
     assert _rows(align(prev, curr, max_rows=8, tile=3)) == _rows(align(prev, curr))
 
 
+def test_blocks_proved_by_their_candidates_are_not_scored_again(spark, monkeypatch):
+    """All pairs of a block with a side of up to NEAR classes are candidates; only block ``b`` has others."""
+    old = [("a", i, f"{w} old") for i, w in enumerate(WORDS[:align_large.NEAR])] + [("b", i, f"{w} old") for i, w in enumerate(WORDS)]
+    new = [(b, i, f"{w} new") for b in "ab" for i, w in enumerate(WORDS)]
+    seen, found = [], align_large._violations
+
+    def noted(live, *rest):
+        seen.append({r.pair_id for r in live.select("pair_id").distinct().collect()})
+        return found(live, *rest)
+
+    monkeypatch.setattr(align_large, "_violations", noted)
+    prev, curr = question(spark, old), question(spark, new)
+    assert _rows(align(prev, curr, max_rows=1, tile=3)) == _rows(align(prev, curr))
+    assert seen[0] == {"b"}
+
+
 def test_hot_copies(spark):
     """One text holds a third of all records on both sides; every copy is paired once, in order."""
     r = random.Random(8)
