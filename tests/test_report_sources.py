@@ -226,6 +226,17 @@ def test_word_diff_in_stretches(monkeypatch):
         monkeypatch.undo()
 
 
+def test_word_diff_steps_are_bits():
+    """Each old word updates the best row of the whole new text at once: words kept rise by one at most."""
+    r = random.Random(12)
+    for _ in range(100):
+        a, b = ([r.choice("abcd") for _ in range(r.randint(0, 20))] for _ in range(2))
+        steps, marks = (1 << len(b)) - 1, report._marks(b, set(a))
+        for i, word in enumerate(a, 1):
+            steps = report._next_steps(steps, marks(word))
+            assert [(steps >> j) & 1 for j in range(len(b))] == [1 - (_common(a[:i], b[: j + 1]) - _common(a[:i], b[:j])) for j in range(len(b))]
+
+
 def test_word_diff_of_long_texts():
     r = random.Random(11)
     a = [r.choice("abcdefghij") + str(r.randrange(300)) for _ in range(12_000)]
