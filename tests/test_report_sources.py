@@ -12,7 +12,7 @@ from revdiff.functions.address import address_col, address_row
 from revdiff.operators import diff, ordering, report
 from revdiff.operators.align import align
 from revdiff.sources.session import cut_lineage
-from revdiff.sources.sinks import write_documents, write_tables
+from revdiff.sources.sinks import read_documents, write_documents, write_documents_together, write_tables
 from revdiff.sources.workbook import ingest_cells
 
 
@@ -126,6 +126,22 @@ def test_documents(spark, tmp_path):
         assert [e["questionText"] for e in read["big/one"]["added"]] == [long_, "short"]
 
 
+def test_small_documents_share_files(spark, tmp_path):
+    """Many small blocks make few files; a large one has a file of its own; all are read back whole."""
+    texts = {f"{i:03d}": f'text "{i}"\n\té' for i in range(60)} | {"007/x y": "long " * 400}
+    curr = question(spark, [(p, 1, t) for p, t in texts.items()])
+    d = cut_lineage(diff.diff_records(question(spark, []), curr, align(question(spark, []), curr), diff.RISK_FLAGS[:1]))
+    blocks = spark.createDataFrame([(p, f"of {p}") for p in [*texts, "nothing"]], "pair_id string, title string")
+    path = str(tmp_path / "out")
+    assert write_documents_together(report.document_lines(blocks, report.report_entries(d), report.STATUSES), path, 1500)
+    schema = "title string, added array<struct<questionText string>>, removed array<struct<questionText string>>"
+    read = {r.pair_id: r.document for r in read_documents(spark, path, schema, True).collect()}
+    assert set(read) == {*texts, "nothing"} and all(read[p].title == f"of {p}" and read[p].removed == [] for p in read)
+    assert {p: [e.questionText for e in read[p].added] for p in texts} == {p: [t] for p, t in texts.items()} and read["nothing"].added == []
+    files = [f for f in (tmp_path / "out").rglob("part-*")]
+    assert len([f for f in files if "single" in f.parts]) == 1 and len(files) < 30
+
+
 def test_cell_documents(spark, tmp_path):
     cell = f"pair_id string, address string, text string, dv {RULE_DV}, cf {RULE_CF}"
     prev = spark.createDataFrame([("p", "B2", "x", None, None), ("p", "AA1", "y", None, None), ("p", "C2", "z", None, None)], cell)
