@@ -54,6 +54,8 @@ _ROWS = (
 )
 _SCHEMA = pa.schema([(name, pa.int32() if kind == "int" else pa.string()) for name, kind in (c.split() for c in _ROWS.split(", "))])
 _BATCH = 20_000
+#: Bytes of files, or characters of cells, that a task hands on at a time.
+_BATCH_BYTES = 4 << 20
 _NAME = re.compile(r".+\.(prev|curr)\.xlsx", re.S)
 
 
@@ -164,15 +166,16 @@ def _workbook_rows(content: bytes) -> Iterator[dict]:
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path"), batch.column("content")):
-            path, rows = path.as_py(), []
+            path, rows, size = path.as_py(), [], 0
             try:
                 if not _NAME.fullmatch(path.rpartition("/")[2]):
                     raise ValueError("file name is not <pair>.<prev|curr>.xlsx")
                 for row in _workbook_rows(content.as_py()):
                     rows.append({"path": path, **row})
-                    if len(rows) >= _BATCH:
+                    size += len(row.get("text") or "")
+                    if len(rows) >= _BATCH or size >= _BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
-                        rows = []
+                        rows, size = [], 0
             except Exception as broken:  # one unreadable file must not stop the corpus
                 rows.append({"path": path, "what": "error", "error": f"{type(broken).__name__}: {broken}"})
             if rows:
@@ -247,6 +250,34 @@ def _rule_xml(rules: DataFrame) -> DataFrame:
     return both.groupBy("pair_id", "side", "sheet").agg(F.concat(listed("cf"), F.lit("<dataValidations>"), listed("dv"), F.lit("</dataValidations>")).alias("rules"))
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Zips one sheet at a time, as a batch may hold thousands."""
+    def handed_on(files: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist(files, schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
+
+    for batch in batches:
+        out, size = [], 0
+        for values in zip(*(batch.column(c) for c in ("pair_id", "side", "sheet", "xml")), strict=True):
+            pair_id, side, sheet, xml = (v.as_py() for v in values)
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as book:
+                for name, part in _PARTS.items():
+                    book.writestr(name, part)
+                title = sheet.replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;")
+                book.writestr(
+                    "xl/workbook.xml",
+                    f'<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets><sheet name="{title}" sheetId="1" r:id="r1"/></sheets></workbook>',
+                )
+                book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_MAIN}">{xml}</worksheet>')
+            out.append({"path": f"{pair_id}.{side}.xlsx", "content": buffer.getvalue()})
+            size += len(out[-1]["content"])
+            if size >= _BATCH_BYTES:
+                yield handed_on(out)
+                out, size = [], 0
+        if out:
+            yield handed_on(out)
+
+
 def workbook_files(cells: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """One-sheet workbooks ``(path, content)`` from cells and their rules, one per (pair, side, sheet).
 
@@ -270,21 +301,4 @@ def workbook_files(cells: DataFrame, rules: DataFrame | None = None) -> DataFram
     if rules is not None:
         sheets = sheets.join(_rule_xml(rules), ["pair_id", "side", "sheet"], "left").withColumn("xml", F.concat("xml", F.coalesce("rules", F.lit("")))).drop("rules")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for one in batch.to_pylist():
-                buffer = io.BytesIO()
-                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as book:
-                    for name, part in _PARTS.items():
-                        book.writestr(name, part)
-                    title = one["sheet"].replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;")
-                    book.writestr(
-                        "xl/workbook.xml",
-                        f'<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets><sheet name="{title}" sheetId="1" r:id="r1"/></sheets></workbook>',
-                    )
-                    book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_MAIN}">{one["xml"]}</worksheet>')
-                out.append({"path": f"{one['pair_id']}.{one['side']}.xlsx", "content": buffer.getvalue()})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
-
-    return sheets.mapInArrow(pack, "path string, content binary")
+    return sheets.mapInArrow(_pack, "path string, content binary")

@@ -5,6 +5,7 @@ import random
 import tracemalloc
 import zipfile
 
+import pyarrow as pa
 from helpers import RULE_CF, RULE_DV, question
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from revdiff.functions.address import address_col, address_row
 from revdiff.operators import diff, ordering, report
 from revdiff.operators.align import align
 from revdiff.sources.session import cut_lineage
+from revdiff.sources import workbook as books
 from revdiff.sources.sinks import read_documents, write_documents, write_documents_together, write_tables
 from revdiff.sources.workbook import ingest_cells
 
@@ -336,3 +338,19 @@ def test_other_workbooks(spark, tmp_path):
     assert sorted((r.path.rpartition("/")[2], r.error) for r in errors.collect()) == [
         ("none.prev.xlsx", "ValueError: the workbook has no sheet"), ("report.xlsx", "ValueError: file name is not <pair>.<prev|curr>.xlsx"),
     ]
+
+
+def test_workbook_tasks_hand_on_a_little_at_a_time(monkeypatch):
+    """However many sheets a batch holds and however long their texts are, what is handed on is small, and whole."""
+    monkeypatch.setattr(books, "_BATCH_BYTES", 5000)
+    texts = {f"{i}": [f"{i} " + "long " * 150 for _ in range(4)] for i in range(40)}
+    xml = lambda ts: "<sheetData>" + "".join(f'<row><c t="inlineStr"><is><t>{t}</t></is></c></row>' for t in ts) + "</sheetData>"
+    sheets = pa.RecordBatch.from_pylist([{"pair_id": p, "side": "prev", "sheet": "S", "xml": xml(ts)} for p, ts in texts.items()])
+    files = list(books._pack(iter([sheets])))
+    assert len(files) > 3 and all(f.num_rows < 40 for f in files)
+    rows = list(books._parse(iter(files)))
+    assert all(sum(len(t) for t in r.column("text").to_pylist()) < 6000 for r in rows)
+    got = [(r["path"], r["text"].strip()) for batch in rows for r in batch.to_pylist()]
+    assert got == [(f"{p}.prev.xlsx", t.strip()) for p, ts in texts.items() for t in ts]
+    (one,) = books._pack(iter([pa.RecordBatch.from_pylist([{"pair_id": "x", "side": "curr", "sheet": "S", "xml": xml(["a" * 3000] * 9)}])]))
+    assert [b.num_rows for b in books._parse(iter([one]))] == [2, 2, 2, 2, 1]
