@@ -2,10 +2,13 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import best_total, levenshtein, question, similarity
 
-from revdiff.functions.edits import edit_distances, similarity_matrix
+from revdiff.functions import edits
+from revdiff.functions.edits import edit_distances, similarity_matrices, similarity_matrix
+from revdiff.operators import align as align_module
 from revdiff.operators import align_large
 from revdiff.operators.align import UNIT, align, best_assignment, tie_cost
 from revdiff.operators.align_large import best_flow
@@ -21,6 +24,42 @@ def test_edit_distances_against_table():
         assert [[levenshtein(p, t) for t in packed] for p in probes] == got.tolist()
 
 
+def _blocks(rng, count):
+    def text():
+        letters = rng.choice(["ab", "abcdefgh", "aé漢😀x"])
+        return "".join(rng.choices(letters, k=rng.choice([0, 1, 5, 63, 64, 65, 128, 129, 200, 400, 1300])))
+
+    blocks = [([text() for _ in range(rng.choice([0, 1, 4]))], [text() for _ in range(rng.choice([0, 2, 5]))]) for _ in range(count)]
+    return [(new + old[:1], old) for new, old in blocks]
+
+
+def test_blocks_side_by_side_score_as_alone():
+    blocks = _blocks(random.Random(5), 120)
+    for got, (new, old) in zip(similarity_matrices(blocks), blocks, strict=True):
+        assert got.shape == (len(new), len(old))
+        dist = edit_distances(old, new) if new and old else np.zeros(got.shape)
+        longer = np.array([[max(len(a), len(b), 1) for b in old] for a in new]).reshape(got.shape)
+        assert np.array_equal(got, 1.0 - dist / longer)
+
+
+def test_pairs_of_all_blocks_are_scored_once_and_together(monkeypatch):
+    blocks, calls = _blocks(random.Random(6), 60), []
+    advance = edits._advance
+    monkeypatch.setattr(edits, "_advance", lambda packed, probes, w: calls.append(len(packed)) or advance(packed, probes, w))
+    similarity_matrices(blocks + [(old, new) for new, old in blocks])
+    unlike = {frozenset((a, b)) for new, old in blocks for a in new for b in old if a and b and a != b}
+    assert sum(calls) == len(unlike) and len(calls) <= 3
+
+
+def test_groups_are_bounded_and_lose_no_block(monkeypatch):
+    monkeypatch.setattr(align_module, "_GROUP_CHARS", 40)
+    record = lambda o, txt: {"ord": o, "txt": txt, "section": None, "number": None}
+    blocks = [{"pair_id": str(k), "new": [record(2, "b" * k), record(1, "a" * k)], "old": [record(1, "a" * k)]} for k in (1, 4, 9, 30, 2)]
+    groups = list(align_module._groups(iter(pa.RecordBatch.from_pylist([b]) for b in blocks)))
+    assert [[b["pair_id"] for b in g] for g in groups] == [["1", "4"], ["9"], ["30"], ["2"]]
+    assert [r["ord"] for r in groups[0][0]["new"]] == [1, 2]
+
+
 def test_similarity_matrix_empty_texts():
     assert similarity_matrix(["", "ab"], ["", "ab"]).tolist() == [[1.0, 0.0], [0.0, 1.0]]
 
