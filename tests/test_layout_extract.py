@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revdiff.functions import col_index
-from revdiff.operators import extract, layout
+from revdiff.operators import extract, layout, scan
 from revdiff.operators.diff import cell_range_diff
 from revdiff.operators.extract import extract_control, extract_general, extract_risk, span_rows
 from revdiff.operators.scan import attach_rules, disjoint_rectangles, nonblank_rows, range_errors, range_grid
@@ -146,6 +146,20 @@ def test_layout_files_need_a_pair_and_a_side(spark, tmp_path):
     assert got == {("a", "prev"): None, ("notes.json", ""): "file name is not <pair>.<prev|curr>.json"}
 
 
+def test_cell_range_diff_has_tasks_by_addresses(spark, monkeypatch):
+    monkeypatch.setattr(scan, "TASK_ADDRESSES", 100)
+    args = spark.createDataFrame([("p", s, "S", "A1:B1000") for s in ("prev", "curr")], "pair_id string, side string, sheet string, ranges string")
+    cells = spark.createDataFrame([("p", "curr", "S", 1000, 2, "x")], "pair_id string, side string, sheet string, row_num int, col_idx int, text string")
+    rules = spark.createDataFrame([("p", "prev", "S", "dv", 0, 0, 1, 1, 1000, 2, "List", None, "1", "")], "pair_id string, side string, sheet string, kind string, rule_ord int, range_ord int, r1 int, c1 int, r2 int, c2 int, type string, op string, v1 string, v2 string")
+    out = cell_range_diff(args, cells, rules)
+    assert scan.grid_tasks(scan.range_rectangles(args)) == 41
+    sizes = out.rdd.glom().map(len).collect()
+    assert sum(sizes) == 2000 and max(sizes) < 300  # not folded into a task for their few bytes
+    rows = out.collect()
+    assert [(r.row_num, r.col_idx) for r in rows] == [(r, c) for r in range(1, 1001) for c in (1, 2)]
+    assert all(r.dv_changed for r in rows) and [r.address for r in rows if r.text_changed] == ["B1000"]
+
+
 def test_cell_range_diff(spark):
     args = spark.createDataFrame([(p, s, "S", r) for p, r in (("p", "Z2:AA2;a1"), ("q", "A1;bad one")) for s in ("prev", "curr")], "pair_id string, side string, sheet string, ranges string")
     both = spark.createDataFrame([("p", "prev", "S", 1, 1, "x"), ("p", "curr", "S", 1, 1, " x "), ("p", "curr", "S", 2, 26, "new")], "pair_id string, side string, sheet string, row_num int, col_idx int, text string")
