@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revdiff.llm.common import byte_slices
+from revdiff.llm.common import arrow_rows, byte_slices, stored, unused
 
 #: n-grams of one to three characters share 2^15 slots.
 BITS, LONGEST = 15, 3
@@ -20,6 +20,9 @@ SLOTS = 1 << BITS
 #: At most about so many labelled documents train and calibrate the model, evenly by language;
 #: their n-gram counts are what comes to the driver. All other statistics cover all documents.
 FIT_ROWS = 4000
+#: Texts in an Arrow batch, and bytes of text whose n-grams are counted at once: a worker keeps what it
+#: once took, and it outlives this step.
+TEXT_ROWS, SLICE = 1000, 1 << 18
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -66,7 +69,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Dat
     return rows.filter("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL AND crc32(id) % 5 <> 0")
 
 
-def document_frequencies(rows: DataFrame, batch_bytes: int = 1 << 20) -> np.ndarray:
+def document_frequencies(rows: DataFrame, batch_bytes: int = SLICE) -> np.ndarray:
     """In how many of all ``rows(text)`` each slot occurs; the last entry is the number of rows."""
 
     def count(batches):
@@ -92,7 +95,7 @@ def _sample(rows: DataFrame, languages: dict[str, int], limit: int) -> list:
     some = drawn.join(F.broadcast(shares), "lang").filter("draw < share").select("lang", "draw", "id", "text")
 
     def count(batches):
-        for batch in byte_slices(batches, 3, 1 << 20):
+        for batch in byte_slices(batches, 3, SLICE):
             found = [np.unique(x, return_counts=True) for x in slots(batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([f"{d:.17f} {i}" for d, i in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]),
@@ -154,10 +157,12 @@ def train(
     rows = _labelled(docs, id_col, text_col, lang_col)
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
-    seen = document_frequencies(rows.select("text"))
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        seen = document_frequencies(rows.select("text"))
+        sample = _sample(rows, sizes, fit_rows) if languages else []
     idf = np.log((1 + seen[SLOTS]) / (1 + seen[:SLOTS])) + 1
     examples = []
-    for r in _sample(rows, sizes, fit_rows) if languages else []:
+    for r in sample:
         at = np.frombuffer(r.slots, "<u2").astype(np.int64)
         x = np.frombuffer(r.n, "<f4") * idf[at]
         if len(at):
@@ -186,7 +191,7 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     ])
 
     def predict(batches):
-        for batch in byte_slices(batches, 2, 1 << 20):
+        for batch in byte_slices(batches, 2, SLICE):
             found, scores = judge(model, batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
@@ -210,14 +215,21 @@ def judge(model: Model, texts: list) -> tuple[list[str], list[float]]:
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs``, with their columns, whose language is determined with at least ``min_score``."""
-    model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
-
-    @F.arrow_udf("boolean")
-    def sure(texts: pa.Array) -> pa.Array:
-        out = []
-        for part in byte_slices([pa.RecordBatch.from_arrays([texts], names=["text"])], 0, 1 << 20):
-            out += [lang != UNDETERMINED and score >= min_score for lang, score in zip(*judge(model, part.column(0).to_pylist()), strict=True)]
-        return pa.array(out, pa.bool_())
+    """The rows of ``docs``, with their columns, whose language is determined with at least ``min_score``.
 
-    return docs.filter(sure(docs[text_col]))  # only the text goes to Python, and one bit comes back
+    An eager job judges all texts; only hashes of those that are not sure, as a rule few, are
+    stored, and their rows left out.
+    """
+    model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    h1, h2 = unused(docs, "_h1", "_h2")
+    texts = docs.select(F.xxhash64(docs[text_col]).alias(h1), F.hash(docs[text_col]).alias(h2), docs[text_col])
+
+    def unsure(batches):
+        for part in byte_slices(batches, 2, SLICE):
+            bad = [lang == UNDETERMINED or not score >= min_score for lang, score in zip(*judge(model, part.column(2).to_pylist()), strict=True)]
+            yield part.select([0, 1]).filter(pa.array(bad, pa.bool_()))
+
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        left_out = stored(texts.mapInArrow(unsure, f"{h1} long, {h2} int").distinct())
+    same = (F.xxhash64(docs[text_col]) == left_out[h1]) & (F.hash(docs[text_col]) == left_out[h2])
+    return docs.join(left_out, same, "left_anti")

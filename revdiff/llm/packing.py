@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revdiff.llm.common import byte_slices, cut_lineage, unused
+from revdiff.llm.common import arrow_rows, byte_slices, cut_lineage, unused
 from revdiff.llm.tokens import encoder
 
+#: Texts in an Arrow batch, where token ids are kept.
+TEXT_ROWS = 1000
+
 
 class OpenWindows:
     """A segment tree over remaining capacities: leaf r tells whether a window with r left is open."""
@@ -181,7 +184,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, k
     if not keep_ids:
         return place(cut_lineage(cut), window, id_col)
     (piece,) = unused(cut, "_piece")
-    cut = cut_lineage(cut.withColumn(piece, F.monotonically_increasing_id()))
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        cut = cut_lineage(cut.withColumn(piece, F.monotonically_increasing_id()))
     placed = place(cut.drop("ids"), window, id_col).join(cut.select(piece, "ids"), piece)  # ids move once, and not through the ranking
     return placed.select(id_col, "start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset")
 

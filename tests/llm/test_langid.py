@@ -42,3 +42,20 @@ def test_odd_rows(spark):
 
 def test_letters():
     assert langid.has_letter("1 ½ é") and not langid.has_letter("1 ½ ² _ 😀 ٣")
+
+
+def test_identified_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    usual = spark.conf.get(name)
+    frequencies = langid.document_frequencies
+    monkeypatch.setattr(langid, "document_frequencies", lambda rows: seen.append(int(spark.conf.get(name))) or frequencies(rows))
+    rows = [*labelled(300), (900, "12 34", "en", "s"), (901, "12 34", "en", "s"), (902, None, "en", "s")]
+    docs = cases.documents(spark, rows + rows[:2])
+    kept = langid.keep_identified(docs)
+    judged = {r.doc_id: r for r in langid.identify(docs).collect()}
+    want = sorted(i for i, *_ in rows + rows[:2] if judged[i].lang_pred != "und" and judged[i].score >= 0.5)
+    assert sorted(r.doc_id for r in kept.collect()) == want
+    assert max(seen) <= 1000 and spark.conf.get(name) == usual
+    # what is written later, with batches of the usual size, sends no text to Python
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "MapInArrow" not in plan
