@@ -292,3 +292,47 @@ def test_empty_sides_and_anti_joins(spark):
     assert [r["pair_id"] for r in added_rows(new, alignment).collect()] == ["only-new"]
     assert [r["pair_id"] for r in removed_rows(old, alignment).collect()] == ["only-old"]
     assert align(question(spark, []), question(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("alone", [40, 10_000_000])
+def test_bounded_scores_find_the_same_assignment(monkeypatch, alone):
+    monkeypatch.setattr(align_module, "_ALONE_CHARS", alone)
+    rng = random.Random(11)
+
+    def side(texts):
+        return [{"ord": k, "txt": t, "section": rng.choice([None, "", "s", "t"]), "number": rng.choice([None, "1", "2"])} for k, t in enumerate(texts)]
+
+    blocks = [{"pair_id": "none", "new": [], "old": side(["a"])}]
+    for k in range(150):
+        letters = rng.choice(["ab", "abcdefgh tuvw", "aé漢😀x"])
+        old = ["".join(rng.choices(letters, k=rng.choice([0, 1, 2, 5, 30, 90]))) for _ in range(rng.randint(0, 9))]
+        new = [t[::-1] if rng.random() < 0.2 else t[: rng.randint(0, 90)] for t in old if rng.random() < 0.9] + old[:1] * rng.randint(0, 2) + [""]
+        rng.shuffle(new)
+        blocks.append({"pair_id": str(k), "new": side(new), "old": side(old)})
+    bases = align_module._bounded_scores(blocks)
+    for block, base in zip(blocks, bases, strict=True):
+        new, old = block["new"], block["old"]
+        whole = similarity_matrix([r["txt"] for r in new], [r["txt"] for r in old])
+        assert base.shape == whole.shape and (base >= whole).all()
+        want = [r[:4] for r in align_module._solve_block(new, old, whole)]
+        assert [r[:4] for r in align_module._solve_block(new, old, base, seconds=False)] == want
+
+
+def test_without_second_best_few_pairs_are_scored(spark, monkeypatch):
+    rng, scored = random.Random(12), []
+    words = [f"w{k:x}" for k in range(400)]
+    old = [" ".join(rng.choices(words, k=30)) for _ in range(40)]
+    block = {side: [{"ord": k, "txt": t + more, "section": None, "number": None} for k, t in enumerate(old)] for side, more in (("new", " end"), ("old", ""))}
+    distances, alone = align_module.some_distances, align_module.edit_distances
+    monkeypatch.setattr(align_module, "some_distances", lambda t, a, b: scored.append(len(a)) or distances(t, a, b))
+    monkeypatch.setattr(align_module, "edit_distances", lambda a, b: scored.append(len(a)) or alone(a, b))
+    base = align_module._bounded_scores([block])[0]
+    assert [r[:2] for r in align_module._solve_block(block["new"], block["old"], base, False)] == [(k, k) for k in range(40)]
+    assert 0 < sum(scored) < 40 * 40 / 4
+    from revdiff.plans import catalog
+
+    asked = []
+    monkeypatch.setattr(catalog, "align", lambda prev, curr, seconds=True: asked.append(seconds) or align(prev, curr, seconds=seconds))
+    for name in ("match_one_to_one", "removed_rows", "diff_summary", "similarity_band", "sheet_order_breaks"):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert asked == [False] * 5
