@@ -48,3 +48,42 @@ def test_texts_are_shuffled_as_documents_only(spark, tmp_path, monkeypatch):
     assert [(r.row_num, r.text, r.chapter, r.section) for r in got] == [
         (3, "head 5", "Document in en from src5", "Part 1"), *[(4 + k, f"5{LINE}{k}", "Document in en from src5", "Part 1") for k in range(5)],
         (9, "", "Document in en from src5", "Part 1")]
+
+
+def test_places_are_aligned_without_moving_texts(spark, tmp_path):
+    prev, curr = corpus.split_sides(corpus.control_questions(spark, documents(spark, tmp_path)))
+    out = corpus.row_alignment(prev, curr)
+    assert "Exchange" not in _plan(out)
+    old, new = ({(r.pair_id, r.ord): r.text for r in df.collect()} for df in (prev, curr))
+    for r in out.collect():
+        if r.n_ord is not None and r.o_ord is not None:
+            assert r.similarity == similarity(old[r.pair_id, r.o_ord], new[r.pair_id, r.n_ord])
+        else:
+            assert r.similarity is None
+
+
+def test_odd_documents(spark, tmp_path):
+    """Null ids and texts, repeated rows and an empty table go through; repeated documents count once."""
+    line = f"one{LINE}1"
+    rows = [(None, line, "en", "a"), (1, None, "en", "a"), (2, line, None, None), (3, line, "en", "a"), (3, line, "en", "a"), (4, "", "en", "a")]
+    d = catalog.control_flags(spark, documents(spark, tmp_path / "odd", rows)).collect()
+    assert sorted((r.pair_id, r.n_ord, r.status) for r in d if r.pair_id == "3") == [("3", 3, "changed"), ("3", 4, "added")]
+    assert {r.pair_id for r in d} == {"2", "3", "4"}
+    none = documents(spark, tmp_path / "none", [(1, "x", "en", "a")])
+    spark.read.parquet(f"{none}/documents.parquet").limit(0).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    assert catalog.control_sheet_breaks(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_pairs_of_rows_are_compared_side_by_side(monkeypatch):
+    random.seed(5)
+    some = ["".join(random.choices("abc é𝄞", k=random.randrange(90))) for _ in range(300)]
+    other = [x[: len(x) // 2] + random.choice(some)[:20] for x in some]
+    calls = []
+    many = edits.some_distances
+    monkeypatch.setattr(edits, "some_distances", lambda *a: calls.append(1) or many(*a))
+    compare = edits.pair_distance.func
+    got = compare(pd.Series([None, *some, "x" * 9000]), pd.Series(["a", *other, "x" * 8999 + "yy"]))
+    assert got.isna().tolist() == [True] + [False] * 301
+    assert got.tolist()[1:] == [levenshtein(x, y) for x, y in zip(some, other, strict=True)] + [2] and len(calls) == 1
+    monkeypatch.setattr(edits, "_TOGETHER_CHARS", 500)
+    assert np.array_equal(compare(pd.Series(some), pd.Series(other)), got.tolist()[1:-1]) and len(calls) > 10
