@@ -74,6 +74,16 @@ def test_odd_documents(spark, tmp_path):
     assert catalog.control_sheet_breaks(spark, str(tmp_path / "empty")).count() == 0
 
 
+def test_sheet_breaks_store_no_texts(spark, tmp_path, monkeypatch):
+    path = documents(spark, tmp_path)
+    places = catalog._control_places(spark, path)
+    want = report.sheet_breaks(report.sheet_order(places, "previous")).select("pair_id", "row_num", "position", "chapter_break", "section_break")
+    seen = _stored(monkeypatch, catalog)
+    got = catalog.control_sheet_breaks(spark, path).filter("view = 'previous'").select(*want.columns)
+    assert len(seen) == 1 and "text:" not in seen[0][2] and "section:" in seen[0][2]
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 40
+
+
 def test_pairs_of_rows_are_compared_side_by_side(monkeypatch):
     random.seed(5)
     some = ["".join(random.choices("abc é𝄞", k=random.randrange(90))) for _ in range(300)]
