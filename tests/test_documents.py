@@ -84,6 +84,30 @@ def test_sheet_breaks_store_no_texts(spark, tmp_path, monkeypatch):
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 40
 
 
+def test_summary_scores_without_second_best(spark, tmp_path, monkeypatch):
+    path, asked = documents(spark, tmp_path), []
+    align = catalog.align_dealt
+
+    def noted(questions, **more):
+        asked.append((more.get("seconds"), _plan(align(questions, **more))))
+        return align(questions, **more)
+
+    monkeypatch.setattr(catalog, "align_dealt", noted)
+    got = {tuple(r) for r in catalog.document_diff_summary(spark, path).collect()}
+    ((seconds, plan),) = asked
+    assert seconds is False and "Exchange" not in plan
+    monkeypatch.undo()
+    assert got == {tuple(r) for r in report.diff_summary(catalog._control_diff(spark, path)).collect()} and len(got) == 40
+
+
+def test_large_documents_are_scored_in_tiles(spark, tmp_path):
+    from revdiff.operators.align import align, align_dealt
+
+    q = corpus.control_questions(spark, documents(spark, tmp_path), all_pairs=True)
+    some = align_dealt(q, max_rows=6)
+    assert sorted(map(repr, some.collect())) == sorted(map(repr, align(*corpus.split_sides(q)).collect()))
+
+
 def test_pairs_of_rows_are_compared_side_by_side(monkeypatch):
     random.seed(5)
     some = ["".join(random.choices("abc é𝄞", k=random.randrange(90))) for _ in range(300)]
